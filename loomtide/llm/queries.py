@@ -55,9 +55,9 @@ WITH sizes AS (
   SELECT r.source, r.source_size, r.target, r.rate, k.seed,
     abs(floor(r.rate) * r.source_size + sum(CASE WHEN CAST('0x' || substr(md5(k.seed::VARCHAR || ':' || coalesce(d.doc_id::VARCHAR, '')), 1, 12) AS BIGINT)::DOUBLE / 281474976710656.0 < r.rate - floor(r.rate) THEN d.size ELSE 0 END) - r.target) AS off
   FROM sizes d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source, (SELECT unnest(range(32)) AS seed) k
-  GROUP BY ALL
+  GROUP BY r.source, r.source_size, r.target, r.rate, k.seed
 ), best AS (
-  SELECT source, source_size, target, rate, arg_min(seed, struct_pack(o := off, s := seed)) AS seed FROM tried GROUP BY ALL
+  SELECT source, source_size, target, rate, arg_min(seed, struct_pack(o := off, s := seed)) AS seed FROM tried GROUP BY source, source_size, target, rate
 )
 SELECT d.doc_id, d.size, b.source_size, b.target,
   CAST(d.size * (floor(b.rate) + CASE WHEN CAST('0x' || substr(md5(b.seed::VARCHAR || ':' || coalesce(d.doc_id::VARCHAR, '')), 1, 12) AS BIGINT)::DOUBLE / 281474976710656.0 < b.rate - floor(b.rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
