@@ -76,3 +76,55 @@ def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
+
+
+_P = 0x9E3779B97F4A7C15  # odd, so its powers have inverses modulo 2**64
+_P_INV = pow(_P, -1, 1 << 64)
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    got = _powers.get(base)
+    if got is None or len(got) < n:
+        step = np.full(max(n, 1 << 12), base, np.uint64)
+        step[0] = 1
+        got = _powers[base] = np.cumprod(step, dtype=np.uint64)
+    return got[:n]
+
+
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Sums from which ``range_hashes`` takes the hash of any range of bytes."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers(_P, len(data)), dtype=np.uint64, out=out[1:])
+    return out
+
+
+def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end), equal for equal bytes."""
+    inverse = powers(_P_INV, len(prefix))
+    return mixed((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_ranges(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of every word of the block's texts; no word crosses from text to text."""
+    inside = ~_IS_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    cuts = offsets[1:-1]
+    cuts = cuts[cuts < len(data)]
+    first[cuts] = inside[cuts]
+    start = np.flatnonzero(first)
+    last = inside.copy()
+    if len(data):
+        last[:-1] &= ~inside[1:]
+        ends = offsets[1:]
+        ends = ends[ends > 0] - 1
+        last[ends] = inside[ends]
+    end = np.flatnonzero(last) + 1
+    return start, end, np.searchsorted(offsets, start, "right") - 1
