@@ -128,3 +128,33 @@ def word_ranges(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
         last[ends] = inside[ends]
     end = np.flatnonzero(last) + 1
     return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+#: Ids up to which a set of ids is broadcast (8 bytes each); a larger one is joined by a shuffle.
+MAX_IDS = 2_000_000
+
+
+def among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose doc_id is (left_semi) or is not (left_anti) in ``ids``; broadcast only below MAX_IDS."""
+    n = ids.count()
+    return rows.join(F.broadcast(ids) if n <= MAX_IDS else ids, "doc_id", how)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by ``key``; a group is held until its last row has come."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(k, k[-1], "left"))  # rows before the batch's last key are whole groups
+        if held and held[0].column(key)[-1].as_py() != k[-1]:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        elif held or cut == 0:
+            held.append(b)
+        else:
+            yield pa.Table.from_batches([b.slice(0, cut)])
+            held = [b.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
