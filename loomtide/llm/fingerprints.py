@@ -123,13 +123,16 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     """Every document and its edited text (the last third replaced by the head of the next document): doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     low = docs.agg(F.min("doc_id")).first()[0]
-    base = docs.select("doc_id", F.coalesce("doc_id", F.lit((low or 0) - 1).cast("long")).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    none = (low or 0) - 1  # the key of a null id
+    base = docs.select(F.coalesce("doc_id", F.lit(none).cast("long")).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("n", F.length("text").cast("long"))
-    near = ring(base.groupBy("k").agg(F.min("n").alias("n")))
-    one = base.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("n", "text"))).where("at = 1").drop("at", "n")
-    own = one.join(near, "k")
-    heads = own.select(F.col("prev_k").alias("k"), F.expr("left(text, cast(prev_n div 3 as int))").alias("head"))
+    near = settled(ring(base.groupBy("k").agg(F.min("n").alias("n"))), "ring")
+    # both sides below need the same rows by k, so one shuffle of the texts serves them
+    one = base.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("n", "text"))).where("at = 1").select("k", "text", "n")
+    own = one.join(near.select("k", "next_k"), "k")
+    heads = one.join(near.select("k", "prev_k", "prev_n"), "k").select(F.col("prev_k").alias("k"), F.expr("left(text, cast(prev_n div 3 as int))").alias("head"))
     both = own.join(heads, "k").withColumn("edited", F.concat(F.expr("left(text, cast(n - n div 3 as int))"), F.col("head")))
+    both = both.withColumn("doc_id", F.when(F.col("k") != none, F.col("k")))
     both = both.select("k", "doc_id", "n", "next_k", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("text")))).alias("x"))
     both = both.select("k", "doc_id", "n", "next_k", F.col("x.v").alias("v"), F.when(F.col("x.v") == 1, F.sha2(F.col("x.text"), 256)).alias("sha"), exact_lanes(F.col("x.text")).alias("exact"), F.col("x.text").alias("text"))
     keys = ["k", "doc_id", "n", "next_k", "v", "sha", "exact"]
