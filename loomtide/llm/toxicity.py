@@ -19,11 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, utf8_blocks
+from .common import crc32_mod, settled, utf8_blocks
 
 BUCKETS = 1 << 18
 ORDERS = (4, 5, 6)
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_TOXIC, MAX_CLEAN = 4000, 8000
 SMOOTH = 1.0
 LEAST_DOCUMENTS = 4
 
@@ -61,33 +61,53 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     some = lowest(F.col("toxic") > 0, max_toxic).union(lowest(F.col("toxic") <= 0, max_clean))
     share = usable.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    rows = settled(rows, "labelled")  # the bounded sample; two passes read it
+    counted = rows.coalesce(8).mapInArrow(_counted, "p binary, q binary, n long, m long").collect()
+    add = lambda k: sum((np.frombuffer(r[k], np.int32) for r in counted), np.zeros(BUCKETS, np.int64))
+    toxic, clean = sum(r["n"] for r in counted), sum(r["m"] for r in counted)
+    ratio, kept = ratios(add("p"), add("q"), toxic, clean)
+    place = docs.sparkSession.sparkContext.broadcast(kept)
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.full(BUCKETS, -1, np.int32)
+        at[place.value] = np.arange(len(place.value), dtype=np.int32)
         for b in batches:
-            got = [f.astype(np.uint32).tobytes() for _, o, d in utf8_blocks(_lower(b.column("text"))) for f in features(o, d)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(got, pa.binary())], ["doc_id", "toxic", "at"])
+            got = [at[f] for _, o, d in utf8_blocks(_lower(b.column("text"))) for f in features(o, d)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([np.sort(g[g >= 0]).tobytes() for g in got], pa.binary())], ["doc_id", "toxic", "at"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-    got = sorted(rows.mapInArrow(distinct, "doc_id long, toxic int, at binary").collect(), key=lambda r: (r["doc_id"], r["at"]))
-    return train([np.frombuffer(r["at"], np.uint32) for r in got], np.array([r["toxic"] > 0 for r in got], float), share)
+    got = sorted(rows.mapInArrow(telling, "doc_id long, toxic int, at binary").collect(), key=lambda r: (r["doc_id"], r["at"]))
+    return train([np.frombuffer(r["at"], np.int32) for r in got], np.array([r["toxic"] > 0 for r in got], float), ratio, kept, share)
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, share: float, keep: int = 3000, steps: int = 500, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Log-count ratios, then logistic regression on the ``keep`` features that tell most."""
-    weights = np.zeros(BUCKETS, np.float32)
-    logit = lambda p: float(np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6))))
-    if not len(y) or y.min() == y.max():
-        return weights, logit(share)
-    count = lambda which: np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t == which]), minlength=BUCKETS)
-    p, q = count(1.0), count(0.0)
-    ratio = np.log((p + SMOOTH) / (y.sum() + 2 * SMOOTH)) - np.log((q + SMOOTH) / ((1 - y).sum() + 2 * SMOOTH))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a task: in how many toxic and clean texts each bucket is, and how many texts there are."""
+    of, n = np.zeros((2, BUCKETS), np.int32), [0, 0]
+    for b in batches:
+        toxic = b.column("toxic").to_pylist()
+        for at, o, d in utf8_blocks(_lower(b.column("text"))):
+            for i, f in enumerate(features(o, d)):
+                which = int(toxic[at + i] <= 0)
+                of[which, f] += 1
+                n[which] += 1
+    yield pa.RecordBatch.from_arrays([*[pa.array([of[k].tobytes()], pa.binary()) for k in (0, 1)], *[pa.array([k], pa.int64()) for k in n]], ["p", "q", "n", "m"])
+
+
+def ratios(p: np.ndarray, q: np.ndarray, toxic: int, clean: int, keep: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratios of all buckets, and the ``keep`` buckets that tell most."""
+    ratio = np.log((p + SMOOTH) / (toxic + 2 * SMOOTH)) - np.log((q + SMOOTH) / (clean + 2 * SMOOTH))
     ratio[p + q < LEAST_DOCUMENTS] = 0
     tells = np.abs(ratio) * np.sqrt(p + q)
     kept = np.sort(np.argsort(-tells, kind="stable")[:keep])
-    kept = kept[tells[kept] > 0]
-    place = np.full(BUCKETS, -1)
-    place[kept] = np.arange(len(kept))
-    at = [place[r] for r in rows]
-    at = [a[a >= 0] for a in at]
+    return ratio, kept[tells[kept] > 0]
+
+
+def train(at: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, kept: np.ndarray, share: float, steps: int = 500, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Logistic regression on the kept features (``at``: their places in ``kept``, by text), each worth its ratio."""
+    weights = np.zeros(BUCKETS, np.float32)
+    if not len(y) or y.min() == y.max():
+        share = min(max(share, 1e-6), 1 - 1e-6)
+        return weights, float(np.log(share / (1 - share)))
     row = np.repeat(np.arange(len(y)), [len(a) for a in at])
     col = np.concatenate(at)
     value = ratio[kept][col]
