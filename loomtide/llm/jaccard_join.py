@@ -60,8 +60,8 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A bit for each shingle, in a power of two of bits: twice the set's size or more, 64 at least."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """A bit for each shingle, in a power of two of bits: four times the set's size or more, 64 at least."""
+    bits = max(64, 1 << int(4 * len(s) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -225,17 +225,24 @@ def _roots(leaves: DataFrame) -> DataFrame:
 
 
 def _tree_pairs(rows: DataFrame, first_only: bool) -> DataFrame:
-    """Distinct (a, b), a < b, from rows (key, doc_id, n, bits, grp)."""
+    """Distinct (a, b), a < b, from rows (key, doc_id, n, bits, grp, root, also).
+
+    also: all roots of the leaf. Where all pairs are wanted, a pair is told only below the smallest root of both."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, "key"):
             key, doc, size, group = (t.column(c).to_numpy() for c in ("key", "doc_id", "n", "grp"))
             bits = t.column("bits").to_pylist()
+            root, also = t.column("root").to_numpy(), t.column("also").combine_chunks()
             at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist()
             a, b = [], []
             for lo, hi in zip(at, [*at[1:], len(key)], strict=True):
                 if hi - lo > 1:
                     x, y = tree_pairs(doc[lo:hi], size[lo:hi], bits[lo:hi], None if first_only else group[lo:hi], first_only)
+                    if not first_only and len(x):
+                        before = {d: {r for r in also[lo + k].as_py() if r < root[lo]} for k, d in enumerate(doc[lo:hi].tolist())}
+                        new = np.array([before[p].isdisjoint(before[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True)])
+                        x, y = x[new], y[new]
                     a.append(x)
                     b.append(y)
             if a:
@@ -284,17 +291,19 @@ def join(docs: DataFrame) -> DataFrame:
     roots = settled(_roots(leaves), "roots")
     held = leaves.select("doc_id", "n", "bits")
     tile = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.lit(1), F.ceil(F.col("members") / TILE)))
-    rows = roots.withColumn("tile", tile).join(held, "doc_id").select(F.xxhash64("root", "tile").alias("key"), "doc_id", "n", "bits", F.lit(0).cast("long").alias("grp"))
+    rows = roots.withColumn("tile", tile).join(held, "doc_id").select(F.xxhash64("root", "tile").alias("key"), "doc_id", "n", "bits", F.lit(0).cast("long").alias("grp"), "root", F.array().cast("array<long>").alias("also"))
     pairs = settled(_tree_pairs(rows, True), "pairs")
     links = settled(_verified(known, pairs), "links")
     comp = settled(components(links), "components")
     # round two: trees whose leaves are in several components
     grp = roots.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("root", "members", "doc_id", F.coalesce("component", "doc_id").alias("grp"))
     mixed_roots = grp.groupBy("root").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("root")
-    rows = grp.join(mixed_roots, "root").withColumn("tiles", F.greatest(F.lit(1), F.ceil(F.col("members") / TILE)).cast("int"))
+    grp = settled(grp.join(mixed_roots, "root"), "roots")
+    held = held.join(grp.groupBy("doc_id").agg(F.collect_list("root").alias("also")), "doc_id")  # as many as the leaf has first shingles
+    rows = grp.withColumn("tiles", F.greatest(F.lit(1), F.ceil(F.col("members") / TILE)).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.join(held, "doc_id").select(F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "doc_id", "n", "bits", "grp")
+    rows = rows.join(held, "doc_id").select(F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "doc_id", "n", "bits", "grp", "root", "also")
     more = settled(_tree_pairs(rows, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
     found = settled(_verified(known, more), "links")
     if found.limit(1).count():
