@@ -54,50 +54,49 @@ def _repeat_words(w: Column) -> Column:
     return F.when(n < 4, F.lit(0).cast("long")).otherwise(held)
 
 
-def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the base statistics and the ratios the rules test, as columns named ``prefix`` + name.
-
-    Ratios of an empty text are 0."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    p = prefix
-    df = docs.withColumn(f"{p}w", words(F.col(text)))
-    w = F.col(f"{p}w")
+def statistics(text: Column) -> Column:
+    """A struct of the base statistics and of the ratios that the rules test; ratios of an empty text are 0.
+
+    Words and lines are found once: a filter on the statistics may be pushed below the projection that makes them."""
+    t = F.coalesce(text, F.lit(""))
+
+    def base(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            _count(t, "#*$%&|<>").cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x)).cast("long").alias("n_lines"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            _repeat_words(w).alias("n_repeat_words"),
+            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            _count(t, r"\p{Lu}").cast("long").alias("n_upper"),
+            _count(t, "!?").cast("long").alias("n_stops"),
+        )
+
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumns(
-        {
-            f"{p}n_words": F.size(w).cast("long"),
-            f"{p}word_chars": F.length(F.array_join(w, "")).cast("long"),
-            f"{p}n_symbols": _count(t, "#*$%&|<>").cast("long"),
-            f"{p}n_lines": F.size(lines).cast("long"),
-            f"{p}n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            f"{p}n_repeat_words": _repeat_words(w),
-            f"{p}n_distinct": F.size(F.array_distinct(w)).cast("long"),
-            f"{p}n_upper": _count(t, r"\p{Lu}").cast("long"),
-            f"{p}n_stops": _count(t, "!?").cast("long"),
-        }
-    ).drop(f"{p}w")
-    c = lambda k: F.col(p + k)
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0)).cast("double")
-    return df.withColumns(
-        {
-            f"{p}r_symbols": ratio(c("n_symbols"), c("n_words")),
-            f"{p}r_repeat": ratio(c("n_repeat_words"), c("n_words")),
-            f"{p}r_dup_lines": ratio(c("n_dup_lines"), c("n_lines")),
-            f"{p}r_distinct": ratio(c("n_distinct"), c("n_words")),
-            f"{p}r_length": ratio(c("word_chars"), c("n_words")),
-            f"{p}r_upper": ratio(c("n_upper"), c("word_chars")),
-            f"{p}r_stops": ratio(c("n_stops"), c("n_words")),
-        }
-    )
+
+    def with_ratios(s: Column) -> Column:
+        return F.struct(
+            *[s[k].alias(k) for k in BASE],
+            ratio(s["n_symbols"], s["n_words"]).alias("r_symbols"),
+            ratio(s["n_repeat_words"], s["n_words"]).alias("r_repeat"),
+            ratio(s["n_dup_lines"], s["n_lines"]).alias("r_dup_lines"),
+            ratio(s["n_distinct"], s["n_words"]).alias("r_distinct"),
+            ratio(s["word_chars"], s["n_words"]).alias("r_length"),
+            ratio(s["n_upper"], s["word_chars"]).alias("r_upper"),
+            ratio(s["n_stops"], s["n_words"]).alias("r_stops"),
+        )
+
+    return let(let(words(text), base), with_ratios)
 
 
 #: What the thresholds test, and nothing else.
 FEATURES = ("n_words", "r_symbols", "r_repeat", "r_dup_lines", "r_distinct", "r_length", "r_upper", "r_stops")
 
 
-def base_failed(prefix: str = "") -> Column:
-    c = lambda k: F.col(prefix + k)
-    return (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words"))
+def base_failed(s: Column) -> Column:
+    return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
 @dataclass
@@ -113,13 +112,13 @@ class DecisionList:
     rules: list[Rule] = field(default_factory=list)
     default_keep: bool = True
 
-    def verdict(self, prefix: str = "") -> Column:
-        """The first rule whose conjunction holds decides; one ordered CASE expression."""
+    def verdict(self, s: Column) -> Column:
+        """The first rule whose conjunction holds for the statistics decides; one ordered CASE expression."""
         out = None
         for rule in self.rules:
             cond = F.lit(True)
             for name, op, bound in rule.tests:
-                x = F.col(prefix + name)
+                x = s[name]
                 cond = cond & (x <= F.lit(bound) if op == "<=" else x > F.lit(bound))
             out = (F if out is None else out).when(cond, F.lit(rule.keep))
         return F.lit(self.default_keep) if out is None else out.otherwise(F.lit(self.default_keep))
@@ -211,20 +210,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DecisionL
         .limit(max_rows)
     )
     # at most max_rows rows of two numbers: a proven bound
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")).select("quality", *FEATURES)
-    got = rows.orderBy(*FEATURES, "quality").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", statistics(F.col("text")).alias("s"))
+    got = sorted(rows.select("quality", *[F.col(f"s.{k}") for k in FEATURES]).collect())
     x = np.array([[r[k] for k in FEATURES] for r in got], float).reshape(-1, len(FEATURES))
     return learn(x, np.array([int(r["quality"] > 0) for r in got], int))
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """One row per document: statistics, base_failed and kept."""
-    df = with_statistics(docs.select("doc_id", "text"))
-    failed = base_failed()
-    return df.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & rules.verdict()).alias("kept"))
+    s = F.col("s")
+    df = docs.select("doc_id", statistics(F.col("text")).alias("s"))
+    return df.select("doc_id", *[s[k].alias(k) for k in BASE], base_failed(s).alias("base_failed"), (~base_failed(s) & rules.verdict(s)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    p = "__loomtide_"
-    return with_statistics(docs, prefix=p).where(~base_failed(p) & rules.verdict(p)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(let(statistics(F.col("text")), lambda s: ~base_failed(s) & rules.verdict(s)))
