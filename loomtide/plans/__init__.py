@@ -1,0 +1 @@
+"""Pipelines over DataFrames, and the registered queries with their SQL."""
