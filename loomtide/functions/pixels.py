@@ -116,7 +116,7 @@ def normalize(px: Column, mean: list[float], std: list[float]) -> Column:
 
 
 def to_float(px: Column) -> Column:
-    return F.transform(px, lambda v: _f(v) / _f(255.0))
+    return F.transform(px, lambda v: (_f(v) / _f(255.0)).cast("float"))
 
 
 def to_uint8(x: Column) -> Column:

@@ -74,7 +74,7 @@ def previous_in_batch(value: Column) -> Column:
 def uniform_temporal_subsample(frames: Column, n: int) -> Column:
     """n of the frames: a float32 linspace over the places, truncated; repeats when there are fewer."""
     last = (F.size(frames) - 1).cast("float")
-    step = last / F.lit(float(max(1, n - 1))).cast("float")
+    step = (last / F.lit(float(max(1, n - 1)))).cast("float")
     place = lambda k: F.when(k < n / 2, step * k.cast("float")).otherwise(last - step * (n - 1 - k).cast("float"))
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(frames, F.least(F.greatest(place(k).cast("int"), F.lit(0)), F.size(frames) - 1)))
 
