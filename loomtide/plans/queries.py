@@ -8,12 +8,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, linalg, pixels, tokens
 from ..functions import tensor as T
 from ..functions.core import at
+from ..operators import rng
 from ..operators import selection as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -406,6 +408,52 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(after, ["conv_id", "turn"])
 
 
+def _raw_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4 x 4 x 4 uint8 rows for pipelines."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", pixels.from_unit(F.col("embedding")).alias("q"))
+    image = F.to_binary(F.array_join(F.transform("q", lambda v: F.lpad(F.hex(v), 2, "0")), ""), F.lit("hex"))
+    return rows.select(F.col("vec_id").alias("pos"), image.alias("image"), F.col("label").cast("long").alias("label"), F.lit(4).alias("h"), F.lit(4).alias("w"), F.lit(4).alias("c"))
+
+
+@register("pipeline_flip_posterize", f"SELECT CAST(vec_id - 10 AS BIGINT) AS pos, CAST((vec_id - 10) // 32 AS BIGINT) AS batch_id, label, {number_sql('list_sum(' + _K.format('(px[((k // 12) * 4 + 3 - (k // 3) % 4) * 3 + k % 3 + 1] & 240) * (k + 1)') + ')')} AS pixels FROM (SELECT vec_id, CAST(label AS BIGINT) AS label, px FROM ({PIXELS_SQL})) WHERE vec_id >= 10 AND (vec_id - 10) // 32 < ((SELECT count(*) FROM embeddings) - 10) // 32")
+def pipeline_flip_posterize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole pipeline in one Arrow stage: skip, rgb, flip, posterize, batches without the tail."""
+    from .pipeline import Pipeline
+
+    out = Pipeline(_raw_images(spark, sf_dir)).decode_image().skip(10).rgb().horizontal_flip().posterize(4).batch(32, drop_last=True).execute()
+    told = F.aggregate(F.sequence(F.lit(1), F.octet_length("data")), F.lit(0).cast("long"), lambda s, k: s + F.conv(F.substr(F.hex("data"), 2 * k - 1, F.lit(2)), 16, 10).cast("long") * k)
+    return out.select("pos", "batch_id", "label", number(told).alias("pixels"))
+
+
+@register("pipeline_augment")
+def pipeline_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training pipeline: seeded shuffle, random crop and flip, jitter, erasing, normalize, CHW, batches."""
+    from .pipeline import Pipeline, Transform
+
+    p = Pipeline(_raw_images(spark, sf_dir)).seed(42).epoch(3).shuffle().decode_image().rgb().resize(12, 12).random_crop(8, padding=2)
+    p = p.random_horizontal_flip().color_jitter(0.4, 0.4, 0.1, 0.4).random_apply(0.5, Transform().gaussian_blur(0.8, 3)).random_erasing().normalize((0.5, 0.4, 0.3), (0.25, 0.5, 0.2)).hwc_to_chw()
+    return p.batch(64).execute().select("pos", "source", "batch_id", "batch_pos", "h", "w", "c", "dtype", F.md5("data").alias("digest"), "label")
+
+
+@register("rng_horizontal_flip", """WITH s AS (SELECT vec_id, CAST(vec_id AS UBIGINT) AS v FROM embeddings),
+a AS (SELECT vec_id, CAST((xor(v, v >> 30))::UHUGEINT * 13787848793156543929 % 18446744073709551616 AS UBIGINT) AS v FROM s), b AS (SELECT vec_id, CAST((xor(v, v >> 27))::UHUGEINT * 10723151780598845931 % 18446744073709551616 AS UBIGINT) AS v FROM a), c AS (SELECT vec_id, xor({root}::UBIGINT, xor(v, v >> 31)) AS v FROM b),
+d AS (SELECT vec_id, CAST((xor(v, v >> 30))::UHUGEINT * 13787848793156543929 % 18446744073709551616 AS UBIGINT) AS v FROM c), e AS (SELECT vec_id, CAST((xor(v, v >> 27))::UHUGEINT * 10723151780598845931 % 18446744073709551616 AS UBIGINT) AS v FROM d), f AS (SELECT vec_id, xor({inner}::UBIGINT, xor(v, v >> 31)) AS v FROM e),
+g AS (SELECT vec_id, CAST((xor(v, v >> 30))::UHUGEINT * 13787848793156543929 % 18446744073709551616 AS UBIGINT) AS v FROM f), h AS (SELECT vec_id, CAST((xor(v, v >> 27))::UHUGEINT * 10723151780598845931 % 18446744073709551616 AS UBIGINT) AS v FROM g), i AS (SELECT vec_id, CAST((xor(v, v >> 31)::UHUGEINT + 11400714819323198485) % 18446744073709551616 AS UBIGINT) AS v FROM h),
+j AS (SELECT vec_id, CAST((xor(v, v >> 30))::UHUGEINT * 13787848793156543929 % 18446744073709551616 AS UBIGINT) AS v FROM i), k AS (SELECT vec_id, CAST((xor(v, v >> 27))::UHUGEINT * 10723151780598845931 % 18446744073709551616 AS UBIGINT) AS v FROM j)
+SELECT vec_id, (xor(v, v >> 31) >> 11)::DOUBLE / 9007199254740992.0 AS draw, (xor(v, v >> 31) >> 11)::DOUBLE / 9007199254740992.0 < 0.5 AS flips FROM k""".replace("{root}", str(rng.Context(42, 3).root)).replace("{inner}", str(rng.mix(rng.op_key("RandomHorizontalFlip")))))
+def rng_horizontal_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draw by which each row's random flip is decided, whatever the partitioning."""
+    context, key = rng.Context(42, 3), rng.op_key("RandomHorizontalFlip")
+
+    def draws(batches):
+        for b in batches:
+            v = rng.first_draws(rng.row_states(context, b.column("vec_id").to_numpy(), key))
+            d = (v >> _np.uint64(11)).astype(_np.float64) / float(1 << 53)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(d), pa.array(d < 0.5)], ["vec_id", "draw", "flips"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id").mapInArrow(draws, "vec_id long, draw double, flips boolean")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
