@@ -127,7 +127,7 @@ class Vocabulary:
     def encoded(self, words: list[str]) -> list[list[int]]:
         """The tokens of distinct words (as byte letters)."""
         rows = [self.proposed(w) for w in words]
-        size = np.array([len(r) for r in rows])
+        size = np.array([len(r) for r in rows], np.int64)
         flat = np.array([t for r in rows for t in r], np.int64)
         of = np.repeat(np.arange(len(rows)), size)
         bad = size == 0
