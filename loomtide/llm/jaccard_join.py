@@ -2,10 +2,10 @@
 
 Texts become sets of hashed five-word shingles; equal sets are one class and one leaf. Two leaves with Jaccard 0.8 or
 more share one of the first 20 % of their shingles in any common order (here: shingles that a sample found frequent
-come last, the others by hash). Every shingle that two or more leaves have there roots a signature tree over these
-leaves: a leaf is a token bitmap and a size, a node the OR of its children's bitmaps and their size range. A dual
+come last, the others by hash). The shingles that two or more leaves have there root signature trees over these leaves, one
+for all shingles with the same smallest leaf: a leaf is a token bitmap and a size, a node the OR of its children's bitmaps and their size range. A dual
 traversal of the tree with itself goes down from node pairs whose largest possible overlap reaches what their sizes
-need; leaf pairs that are left are compared exactly. Roots over the same leaves are one root.
+need; leaf pairs that are left are compared exactly.
 
 Links inside a group of near copies are not all spelled out. Round one takes for every leaf its first possible partner
 in each tree. Round two takes, in trees whose leaves are in several components, every possible pair across components,
@@ -201,7 +201,10 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _roots(leaves: DataFrame) -> DataFrame:
-    """(root, members, doc_id): the leaves below each shingle that two or more have among their first ones."""
+    """(root, members, doc_id): under each root the leaves that share one of their first shingles with it.
+
+    All shingles whose smallest leaf is the same are one root, named by that leaf: a group of near copies has a root or
+    a few, and not one for each of its shingles."""
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,12 +219,14 @@ def _roots(leaves: DataFrame) -> DataFrame:
             at = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             n = np.diff(np.append(at, len(token)))
             many = np.repeat(n > 1, n)
-            root = np.repeat(np.add.reduceat(mixed(doc.view(np.uint64)), at).view(np.int64), n)[many]
-            yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(np.repeat(n, n)[many]), pa.array(doc[many])], ["root", "members", "doc_id"])
+            root = np.repeat(np.minimum.reduceat(doc, at), n)[many]
+            pairs = np.unique(np.stack([root, doc[many]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["root", "doc_id"])
 
     rows = leaves.select("doc_id", "first").mapInArrow(spelled, "token long, doc_id long")
     rows = rows.repartition("token").sortWithinPartitions("token")
-    return rows.mapInArrow(shared, "root long, members long, doc_id long").distinct()
+    rows = settled(rows.mapInArrow(shared, "root long, doc_id long").distinct(), "roots")
+    return rows.join(rows.groupBy("root").agg(F.count("*").alias("members")), "root")
 
 
 def _tree_pairs(rows: DataFrame, first_only: bool) -> DataFrame:
