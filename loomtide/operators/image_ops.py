@@ -233,6 +233,84 @@ def _trivial_augment(px, s: Stream, bins=31):
     return policy_op(px, name, m)
 
 
+# The published sub-policies, two operations each with probability and magnitude bin (- for none).
+_SUB_POLICIES = {
+    "imagenet": """
+Posterize .4 8 Rotate .6 9 / Solarize .6 5 AutoContrast .6 - / Equalize .8 - Equalize .6 - / Posterize .6 7 Posterize .6 6 / Equalize .4 - Solarize .2 4
+Equalize .4 - Rotate .8 8 / Solarize .6 3 Equalize .6 - / Posterize .8 5 Equalize 1 - / Rotate .2 3 Solarize .6 8 / Equalize .6 - Posterize .4 6
+Rotate .8 8 Color .4 0 / Rotate .4 9 Equalize .6 - / Equalize 0 - Equalize .8 - / Invert .6 - Equalize 1 - / Color .6 4 Contrast 1 8
+Rotate .8 8 Color 1 2 / Color .8 8 Solarize .8 7 / Sharpness .4 7 Invert .6 - / ShearX .6 5 Equalize 1 - / Color .4 0 Equalize .6 -
+Equalize .4 - Solarize .2 4 / Solarize .6 5 AutoContrast .6 - / Invert .6 - Equalize 1 - / Color .6 4 Contrast 1 8 / Equalize .8 - Equalize .6 -""",
+    "cifar10": """
+Invert .1 - Contrast .2 6 / Rotate .7 2 TranslateX .3 9 / Sharpness .8 1 Sharpness .9 3 / ShearY .5 8 TranslateY .7 9 / AutoContrast .5 - Equalize .9 -
+ShearY .2 7 Posterize .3 7 / Color .4 3 Brightness .6 7 / Sharpness .3 9 Brightness .7 9 / Equalize .6 - Equalize .5 - / Contrast .6 7 Sharpness .6 5
+Color .7 7 TranslateX .5 8 / Equalize .3 - AutoContrast .4 - / TranslateY .4 3 Sharpness .2 6 / Brightness .9 6 Color .2 8 / Solarize .5 2 Invert 0 -
+Equalize .2 - AutoContrast .6 - / Equalize .2 - Equalize .6 - / Color .9 9 Equalize .6 - / AutoContrast .8 - Solarize .2 8 / Brightness .1 3 Color .7 0
+Solarize .4 5 AutoContrast .9 - / TranslateY .9 9 TranslateY .7 9 / AutoContrast .9 - Solarize .8 3 / Equalize .8 - Invert .1 - / TranslateY .7 9 AutoContrast .9 -""",
+    "svhn": """
+ShearX .9 4 Invert .2 - / ShearY .9 8 Invert .7 - / Equalize .6 - Solarize .6 6 / Invert .9 - Equalize .6 - / Equalize .6 - Rotate .9 3
+ShearX .9 4 AutoContrast .8 - / ShearY .9 8 Invert .4 - / ShearY .9 5 Solarize .2 6 / Invert .9 - AutoContrast .8 - / Equalize .6 - Rotate .9 3
+ShearX .9 4 Solarize .3 3 / ShearY .8 8 Invert .7 - / Equalize .9 - TranslateY .6 6 / Invert .9 - Equalize .6 - / Contrast .3 3 Rotate .8 4
+Invert .8 - TranslateY 0 2 / ShearY .7 6 Solarize .4 8 / Invert .6 - Rotate .8 4 / ShearY .3 7 TranslateX .9 3 / ShearX .1 6 Invert .6 -
+Solarize .7 2 TranslateY .6 7 / ShearY .8 4 Invert .8 - / ShearX .7 9 TranslateY .8 3 / ShearY .8 5 AutoContrast .7 - / ShearX .7 2 Invert .1 -""",
+}
+
+
+def sub_policies(name: str) -> list[list[tuple[str, float, int | None]]]:
+    out = []
+    for pair in _SUB_POLICIES[name].replace("\n", "/").split("/"):
+        w = pair.split()
+        if w:
+            out.append([(w[k], float(w[k + 1]), None if w[k + 2] == "-" else int(w[k + 2])) for k in (0, 3)])
+    return out
+
+
+def _auto_augment(px, s: Stream, policy="imagenet"):
+    pairs = sub_policies(policy)
+    pair = pairs[s.below(len(pairs))]
+    chance = [float(s.f32()) for _ in range(2)]
+    minus = [s.coin(0.5) for _ in range(2)]
+    for (name, p, bin_), c, less in zip(pair, chance, minus, strict=True):
+        if c <= p:
+            m = 0.0 if bin_ is None else magnitudes(10, *px.shape[:2], False)[name][bin_]
+            px = policy_op(px, name, -m if less and name in _SIGNED else m)
+    return px
+
+
+def gamma_draw(s: Stream, shape: float) -> float:
+    """A gamma variate by squeezed cubes of normals; shapes under 1 are boosted."""
+    if shape < 1:
+        return gamma_draw(s, shape + 1) * max(s.f64(), 1e-300) ** (1 / shape)
+    d = shape - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+    while True:
+        x = s.normal()
+        v = (1 + c * x) ** 3
+        if v > 0 and math.log(max(s.f64(), 1e-300)) < 0.5 * x * x + d - d * v + d * math.log(v):
+            return d * v
+
+
+def beta_draw(s: Stream, alpha: float) -> float:
+    a, b = gamma_draw(s, alpha), gamma_draw(s, alpha)
+    return a / (a + b) if a + b > 0 else 0.5
+
+
+def _augmix(px, s: Stream, severity=3, width=3, depth=-1, alpha=1.0, all_ops=True):
+    """Chains of random operations, mixed by Dirichlet weights, and mixed with the image by a Beta weight."""
+    names = [n for n in POLICY if n != "Identity" and (all_ops or n not in ("Brightness", "Color", "Contrast", "Sharpness"))]
+    m = beta_draw(s, alpha)
+    w = [gamma_draw(s, alpha) for _ in range(width)]
+    total = np.zeros(px.shape, np.float32)
+    for k in range(width):
+        x = px
+        for _ in range(depth if depth > 0 else s.between(1, 4)):
+            name = names[s.below(len(names))]
+            v = 0.0 if name in _PLAIN else magnitudes(10, *px.shape[:2], False)[name][s.below(severity)]
+            x = policy_op(x, name, -v if name in _SIGNED and s.coin(0.5) else v)
+        total += np.float32(w[k] / sum(w)) * x.astype(np.float32)
+    return np.clip((1 - np.float32(m)) * px.astype(np.float32) + np.float32(m) * total, 0, 255).astype(np.uint8)
+
+
 def _grey(px, s, p=0.1, channels=3):
     return K.grayscale(px, channels) if s.coin(p) else px
 
@@ -259,7 +337,7 @@ RANDOM: dict[str, Callable] = {
     "RandomGaussianBlur": lambda px, s, kernel_size, sigma=(0.1, 2.0): K.gaussian_blur(px, _uniform32(s, *sigma), kernel_size), "RandomInvert": _maybe(K.invert), "RandomPosterize": _maybe(lambda px, bits: K.posterize(px, bits)), "RandomSolarize": _maybe(lambda px, threshold: K.solarize(px, threshold)),
     "RandomAdjustSharpness": _maybe(lambda px, f: K.sharpness(px, f)), "RandomAutocontrast": _maybe(K.autocontrast), "RandomEqualize": _maybe(K.equalize), "RandomPhotometricDistort": _photometric, "RandomChannelPermutation": lambda px, s: px[..., _shuffled(s, list(range(px.shape[2])))],
     "GaussianNoise": lambda px, s, mean=0.0, sigma=0.1, clip=True: K.gaussian_noise(px, np.array([mean + sigma * s.normal() for _ in range(px.size)]).reshape(px.shape), clip), "RandomResize": _random_resize, "RandomShortestSize": _shortest, "ScaleJitter": _scale_jitter, "RandomZoomOut": _zoom_out,
-    "RandAugment": _rand_augment, "TrivialAugmentWide": _trivial_augment,
+    "RandAugment": _rand_augment, "TrivialAugmentWide": _trivial_augment, "AutoAugment": _auto_augment, "AugMix": _augmix,
 }
 CONTROL = frozenset(("RandomApply", "RandomChoice", "RandomOrder"))
 VIEWS: dict[str, Callable] = {"FiveCrop": lambda px, w, h: K.five_crop(px, w, h), "TenCrop": lambda px, w, h, vertical_flip=False: K.ten_crop(px, w, h, vertical_flip)}

@@ -17,7 +17,7 @@ from ..operators import image_ops, kernels, selection
 from ..operators.rng import Context
 
 OUT = "pos long, source long, view int, h int, w int, c int, dtype string, layout string, data binary, label long"
-_U8_ONLY = frozenset("Brightness Contrast Saturation Hue Gamma Grayscale Invert Posterize Solarize Autocontrast Equalize Sharpness RandomGrayscale ColorJitter RandomInvert RandomPosterize RandomSolarize RandomAdjustSharpness RandomAutocontrast RandomEqualize RandomPhotometricDistort RandAugment TrivialAugmentWide".split())
+_U8_ONLY = frozenset("Brightness Contrast Saturation Hue Gamma Grayscale Invert Posterize Solarize Autocontrast Equalize Sharpness RandomGrayscale ColorJitter RandomInvert RandomPosterize RandomSolarize RandomAdjustSharpness RandomAutocontrast RandomEqualize RandomPhotometricDistort RandAugment TrivialAugmentWide AutoAugment AugMix".split())
 
 
 class PipelineError(ValueError):
@@ -244,6 +244,17 @@ class Ops:
     def trivial_augment_wide(self, bins=31):
         return self._add("TrivialAugmentWide", bins=bins)
 
+    def auto_augment(self, policy="imagenet"):
+        if policy not in ("imagenet", "cifar10", "svhn"):
+            raise PipelineError(f"unknown policy {policy}")
+        return self._add("AutoAugment", policy=policy)
+
+    def augmix(self, severity=3, width=3, depth=-1, alpha=1.0, all_ops=True):
+        return self._add("AugMix", severity=severity, width=width, depth=depth, alpha=alpha, all_ops=all_ops)
+
+    def jpeg(self, quality):
+        raise PipelineError("jpeg: there is no JPEG codec for arrays here")
+
     def compose(self, transform):
         out = self
         for name, args in transform.steps:
@@ -414,6 +425,21 @@ class Pipeline(Ops):
         schema = OUT + (", batch_id long, batch_pos int" if extra else "")
         return df.select(*[F.col(k).cast("long") if k in ("label", "batch_id") else F.col(k) for k in cols]).mapInArrow(made, schema)
 
+    def _mixed(self, kind: str, num_classes: int, alpha: float) -> DataFrame:
+        from ..operators.mix import mixed
+
+        if not self.state.batched or self.state.views > 1:
+            raise PipelineError(f"{kind} comes after batch, and not after views")
+        return mixed(self.execute(), kind, num_classes, alpha, self.seed_ or 0, self.epoch_)
+
+    def mixup(self, num_classes: int, alpha: float = 1.0) -> DataFrame:
+        """Terminal: the batches with every row mixed with the one before it, and soft labels."""
+        return self._mixed("MixUp", num_classes, alpha)
+
+    def cutmix(self, num_classes: int, alpha: float = 1.0) -> DataFrame:
+        """Terminal: the batches with a rectangle of the row before pasted in, and soft labels."""
+        return self._mixed("CutMix", num_classes, alpha)
+
     def explain(self) -> str:
         lines = ["source"] + [f"  {k}({a})" for k, a in self.index]
         lines += ["decode" if self.state.decoded else "encoded"] + [f"  {n}({', '.join(f'{k}={v!r}' for k, v in a.items() if v is not None)})" for n, a in self.steps]

@@ -141,6 +141,35 @@ def test_every_random_step_runs():
             assert px.dtype == np.uint8 and px.shape[2] == 3
 
 
+def test_policies_have_their_pairs():
+    for name in ("imagenet", "cifar10", "svhn"):
+        pairs = image_ops.sub_policies(name)
+        assert len(pairs) == 25
+        for (n, p, m) in (op for pair in pairs for op in pair):
+            assert (n in image_ops.POLICY or n == "Invert") and 0 <= p <= 1 and (m is None) == (n in image_ops._PLAIN)
+
+
+def test_beta_draws():
+    s = rng.Context(1).stream(0, 0)
+    for alpha, spread in ((0.2, 1 / (4 * 1.4)), (1.0, 1 / 12), (4.0, 1 / 36)):
+        x = np.array([image_ops.beta_draw(s, alpha) for _ in range(4000)])
+        assert abs(x.mean() - 0.5) < 0.03 and abs(x.var() - spread) < 0.02
+
+
+def test_mixup_and_cutmix(pngs):
+    base = Pipeline(pngs).seed(3).decode_image().batch(4)
+    plain = {r["pos"]: np.frombuffer(r["data"], np.uint8).reshape(12, 18, 3) for r in base.execute().collect()}
+    for r in base.mixup(3, 0.8).collect():
+        before = (r["pos"] - 1) if r["batch_pos"] else (3 if r["batch_id"] == 0 else 5)
+        lam = image_ops.beta_draw(rng.Context(3).stream(r["batch_id"], rng.op_key("MixUp")), 0.8)
+        want = plain[before].astype(np.float32) * np.float32(1 - lam) + plain[r["pos"]].astype(np.float32) * np.float32(lam)
+        assert np.array_equal(np.frombuffer(r["data"], np.float32).reshape(12, 18, 3), want) and abs(sum(r["soft_label"]) - 1) < 1e-6
+    a, b = (sorted((r["pos"], bytes(r["data"]), str(r["soft_label"])) for r in p.cutmix(3).collect()) for p in (base, Pipeline(pngs.repartition(5)).seed(3).decode_image().batch(4)))
+    assert a == b and len(a) == 6
+    with pytest.raises(PipelineError):
+        Pipeline(pngs).decode_image().mixup(3)
+
+
 def test_null_images_are_errors(spark):
     df = spark.createDataFrame([(0, None, 1)], "pos long, image binary, label long")
     with pytest.raises(Exception, match="null at row 0"):
