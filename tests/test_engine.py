@@ -271,3 +271,39 @@ def test_streams_run_the_same_stages(spark):
     q.awaitTermination(60)
     assert q.exception() is None
     assert spark.sql("select sum(tokens) = 3 * sum(rows) ok from rates").first()["ok"] in (True, None)
+
+
+VOCABULARY = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3, "hello": 4, "world": 5, "good": 6, "bad": 7, "café": 8, "a": 9, "b": 10, "中": 11}
+
+
+def word_level() -> str:
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers, processors
+
+    t = Tokenizer(models.WordLevel(VOCABULARY, unk_token="[UNK]"))
+    t.add_special_tokens(["[PAD]", "[CLS]", "[SEP]"])
+    t.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.post_processor = processors.TemplateProcessing("[CLS] $A [SEP]", "[CLS] $A [SEP] $B:1 [SEP]:1", [("[CLS]", 2), ("[SEP]", 3)])
+    return t.to_str()
+
+
+def test_text_is_encoded_and_collated(spark):
+    from loomtide.operators import text
+
+    df = spark.createDataFrame([(0, "Hello CAFE\u0301 nope", "a b", 1), (1, "good", "bad", 0), (2, "", "b", 1)], "pos long, text string, text_pair string, label long")
+    j = word_level()
+    e = text.encode(df, j)
+    assert {r["pos"]: r["input_ids"] for r in e.collect()} == {0: [2, 4, 8, 1, 3], 1: [2, 6, 3], 2: [2, 3]}
+    two = {r["pos"]: (r["input_ids"], r["token_type_ids"]) for r in text.encode(df, j, pair=True, max_length=6).collect()}
+    assert two[0] == ([2, 4, 3, 9, 10, 3], [0, 0, 0, 1, 1, 1]) or two[0] == ([2, 4, 8, 3, 9, 3], [0, 0, 0, 0, 1, 1])
+    assert {r["pos"]: r["text"] for r in text.decode(e, j).collect()}[1] == "good"
+    rows = {r["pos"]: r for r in text.collate(e.join(df.select("pos", "label"), "pos"), 2, 0).collect()}
+    assert rows[1]["input_ids"] == [2, 6, 3, 0, 0] and rows[1]["attention_mask"] == [1, 1, 1, 0, 0] and rows[1]["position_ids"] == [0, 1, 2, 0, 0] and len(rows[2]["input_ids"]) == 2
+    causal = {r["pos"]: r["labels"] for r in text.collate(e, 2, 0, labels="causal", side="left").collect()}
+    assert causal[1] == [-100, -100, 2, 6, 3]
+    with pytest.raises(ValueError):
+        text.encode(df, j, max_length=1)
+    with pytest.raises(Exception, match="null at row 7"):
+        text.encode(spark.createDataFrame([(7, None)], "pos long, text string"), j).collect()
+    with pytest.raises(Exception, match="longer than"):
+        text.collate(e, 2, 0, pad_to=3).collect()
