@@ -1,15 +1,16 @@
 """The registered queries against their SQL in DuckDB on the smallest tables."""
 
+import os
 import subprocess
 import sys
 
 import duckdb
 import pandas as pd
 import pytest
-from conftest import ROOT, SF
 
 from loomtide.plans import queries as core
 
+ROOT, SF = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
