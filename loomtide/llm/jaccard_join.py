@@ -7,8 +7,8 @@ for all shingles with the same smallest leaf: a leaf is a token bitmap and a siz
 traversal of the tree with itself goes down from node pairs whose largest possible overlap reaches what their sizes
 need; leaf pairs that are left are compared exactly.
 
-Links inside a group of near copies are not all spelled out. Round one takes for every leaf its first possible partner
-in each tree. Round two takes, in trees whose leaves are in several components, every possible pair across components,
+Links inside a group of near copies are not all spelled out. Round one takes of every tree's possible pairs a spanning
+forest that prefers those whose bitmaps are most alike. Round two takes, in trees whose leaves are in several components, every possible pair across components,
 so no link between components is missed. Trees over more than TILE leaves are dealt out: round one by tiles, round two
 by pairs of tiles.
 
@@ -125,36 +125,66 @@ def traverse(x: Tree, y: Tree, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return (i, j) if len(i) else (i[:0], j[:0])
 
 
-def tree_pairs(doc: np.ndarray, size: np.ndarray, bits: list[bytes], group: np.ndarray | None, first_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Possible pairs among the leaves of one root. Leaves of one bitmap width are a tree; a width meets itself and the next."""
+def tree_pairs(doc: np.ndarray, size: np.ndarray, bits: list[bytes], group: np.ndarray | None, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Possible pairs among the leaves of one root, or a spanning forest of them that prefers those with most common bits.
+
+    Leaves of one bitmap width are a tree; a width meets itself and the next."""
     order = np.lexsort((doc, size))
     doc, size, bits = doc[order], size[order], [bits[k] for k in order]
     group = np.arange(len(doc)) if group is None else group[order]
     width = np.array([len(b) // 8 for b in bits])
-    out_a, out_b = [], []
+    out_a, out_b, alike = [], [], []
     trees = {}
+
+    def told(x: Tree, y: Tree, kx: np.ndarray, ky: np.ndarray, same: bool) -> None:
+        i, j = traverse(x, y, same)
+        out_a.append(kx[i])
+        out_b.append(ky[j])
+        if spanning:
+            alike.append(_likeness(x.levels[0][0], y.levels[0][0], i, j))
+
     for w in np.unique(width).tolist():
         k = np.flatnonzero(width == w)
         trees[w] = (k, np.frombuffer(b"".join(bits[q] for q in k), np.uint64).reshape(len(k), w))
     for w, (k, b) in trees.items():
         own = Tree(size[k], b, group[k])
-        i, j = traverse(own, own, True)
-        out_a.append(k[i])
-        out_b.append(k[j])
+        told(own, own, k, k, True)
         if 2 * w in trees:
             k2, b2 = trees[2 * w]
-            i, j = traverse(own, Tree(size[k2], folded(b2, w), group[k2]), False)
-            out_a.append(k[i])
-            out_b.append(k2[j])
+            told(own, Tree(size[k2], folded(b2, w), group[k2]), k, k2, False)
     a, b = np.concatenate(out_a), np.concatenate(out_b)
-    if first_only and len(b):  # the first possible partner before each leaf
-        s = np.lexsort((a, b))
-        a, b = a[s], b[s]
-        new = np.concatenate(([True], b[1:] != b[:-1]))
-        a, b = a[new], b[new]
+    if spanning and len(b):
+        keep = _forest(a, b, np.concatenate(alike), len(doc))
+        a, b = a[keep], b[keep]
     return doc[a], doc[b]
 
 
+def _likeness(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common bits over all bits of leaf pairs."""
+    out = np.empty(len(i))
+    for part in np.array_split(np.arange(len(i)), len(i) * x.shape[1] // (1 << 21) + 1):
+        a, b = x[i[part]], y[j[part]]
+        out[part] = np.bitwise_count(a & b).sum(1, dtype=np.int64) / np.maximum(1, np.bitwise_count(a | b).sum(1, dtype=np.int64))
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray, alike: np.ndarray, n: int) -> list[int]:
+    """The places of the pairs of a spanning forest that takes the likeliest pairs first."""
+    top, keep = list(range(n)), []
+    order = np.argsort(-alike, kind="stable")
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        while top[y] != y:
+            top[y] = y = top[top[y]]
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            keep.append(k)
+            if len(keep) == n - 1:
+                break
+    return keep
+
+
 def _documents(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(doc_id, n, h1, h2, first, bits): set size, two hashes of the set, the first shingles and the bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -229,7 +259,7 @@ def _roots(leaves: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("root").agg(F.count("*").alias("members")), "root")
 
 
-def _tree_pairs(rows: DataFrame, first_only: bool) -> DataFrame:
+def _tree_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
     """Distinct (a, b), a < b, from rows (key, doc_id, n, bits, grp, root, also).
 
     also: all roots of the leaf. Where all pairs are wanted, a pair is told only below the smallest root of both."""
@@ -243,8 +273,8 @@ def _tree_pairs(rows: DataFrame, first_only: bool) -> DataFrame:
             a, b = [], []
             for lo, hi in zip(at, [*at[1:], len(key)], strict=True):
                 if hi - lo > 1:
-                    x, y = tree_pairs(doc[lo:hi], size[lo:hi], bits[lo:hi], None if first_only else group[lo:hi], first_only)
-                    if not first_only and len(x):
+                    x, y = tree_pairs(doc[lo:hi], size[lo:hi], bits[lo:hi], None if spanning else group[lo:hi], spanning)
+                    if not spanning and len(x):
                         before = {d: {r for r in also[lo + k].as_py() if r < root[lo]} for k, d in enumerate(doc[lo:hi].tolist())}
                         new = np.array([before[p].isdisjoint(before[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True)])
                         x, y = x[new], y[new]
