@@ -11,6 +11,10 @@ GRAM-byte strings), so the cover holds for any two places of any two texts with
    strings' own starts) are merged by their offset and first LENGTH bytes; equal neighbours are repeats.
 4. Repeats become spans, and spans are joined to their texts.
 
+A name with over HOT suffixes (a passage that very many texts share) is in no task whole: its contexts are counted by
+(name, context), and the strings' own starts by (name, offset, hash of the LENGTH bytes), with partial sums before the
+shuffle.
+
 Equal whole texts are settled first (all but one leave the sort), and so are equal contexts inside a text, so that
 copies and periodic texts do not fill one name. Matches never cross texts. Null and empty texts have nothing to remove;
 texts under LENGTH bytes cannot repeat. A row is told by the hash of its id (null too) and text, so rows that repeat an id
@@ -32,6 +36,8 @@ from .common import MAX_IDS, prefix_hashes, range_hashes, settled, shared_dir, s
 LENGTH, WINDOW, GRAM = 200, 88, 24
 #: A string's sampled place and the phrase there are inside the string: the next place after the first is found in time.
 assert 2 * WINDOW + GRAM <= LENGTH
+#: Suffixes up to which one task takes a name whole: about 2 MB of bytes, as one block of ``_merged``.
+HOT = 8192
 
 
 def sampled(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -90,6 +96,29 @@ def _suffixes(docs: DataFrame) -> DataFrame:
 _SORTED = "doc long, lo long, hi long, off long, name long, twice boolean, repeat boolean, check boolean"
 
 
+def _hot_names(suffixes: DataFrame) -> DataFrame:
+    """The names with over HOT suffixes: at most a HOT-th of the rows, so that they are broadcast."""
+    names = suffixes.where("off >= 0").groupBy("name").agg(F.count("*").alias("c"))
+    return settled(names.where(F.col("c") > HOT).select("name"), "hot")
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Keys of several columns, broadcast up to an eighth of MAX_IDS (they take more than an id)."""
+    return F.broadcast(keys) if keys.count() <= MAX_IDS // 8 else keys
+
+
+def _counted(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``_compared``, for hot names, by counts: (doc, lo, hi) of certain repeats, and what must be checked."""
+    rows = suffixes.where("off >= 0")
+    # the columns of one row: all firsts of a group are taken from the same
+    one = [F.first(c).alias(c) for c in ("doc", "lo", "hi", "off")]
+    groups = settled(rows.groupBy("name", "context").agg(F.count("*").alias("c"), *one), "contexts")
+    several = groups.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+    checks = groups.join(F.broadcast(several), "name", "left_semi").select("name", "doc", "lo", "hi", "off")
+    more = rows.where("not twice").join(_few(groups.where("c > 1").select("name", "context")), ["name", "context"], "left_semi")
+    return rows.where("twice").select("doc", "lo", "hi").union(more.select("doc", "lo", "hi")), checks
+
+
 def _compared(suffixes: DataFrame) -> DataFrame:
     """Sorted by (name, context): what is a repeat for certain and what must be checked byte by byte."""
 
@@ -117,8 +146,8 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _merged(docs: DataFrame, checks: DataFrame) -> DataFrame:
-    """(doc, lo, hi): runs of starts whose strings repeat, from suffixes (name, doc, lo, hi, off) of several contexts."""
+def _fetched(docs: DataFrame, checks: DataFrame) -> DataFrame:
+    """The suffixes ``checks`` (name, doc, lo, hi, off) with the bytes of their strings."""
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,6 +161,24 @@ def _merged(docs: DataFrame, checks: DataFrame) -> DataFrame:
                     rows["bytes"].append(data[w["lo"] : w["hi"] + LENGTH])
             yield pa.RecordBatch.from_arrays([*[pa.array(rows[k], pa.int64()) for k in ("name", "doc", "lo", "hi", "off")], pa.array(rows["bytes"], pa.binary())], list(rows))
 
+    want = checks.groupBy("doc").agg(F.collect_list(F.struct("name", "lo", "hi", "off")).alias("want"))
+    texts = _near(docs, checks.select("doc").distinct())
+    return texts.join(want, "doc").mapInArrow(fetched, "name long, doc long, lo long, hi long, off long, bytes binary")
+
+
+def _starts(lo: np.ndarray, hi: np.ndarray, strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, k, hash) of every LENGTH-byte string of suffixes; it starts at the row's lo + k."""
+    data = np.frombuffer(b"".join(x.as_buffer() for x in strings), np.uint8)
+    starts = hi - lo + 1
+    row = np.repeat(np.arange(len(lo)), starts)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
+    begin = np.repeat(np.cumsum(starts + LENGTH - 1) - (starts + LENGTH - 1), starts) + k
+    return row, k, range_hashes(prefix_hashes(data), begin, begin + LENGTH)
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """(doc, lo, hi): runs of starts whose strings repeat, from fetched suffixes of several contexts."""
+
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, "name"):
             name, doc, lo, hi, off = (t.column(c).to_numpy() for c in ("name", "doc", "lo", "hi", "off"))
@@ -142,12 +189,8 @@ def _merged(docs: DataFrame, checks: DataFrame) -> DataFrame:
                 base = size[cut[first] - 1] if cut[first] else 0
                 last = max(first + 1, int(np.searchsorted(size[np.append(cut[1:], len(name)) - 1], base + (1 << 21), "right")))
                 a, z = cut[first], cut[last] if last < len(cut) else len(name)
-                data = np.frombuffer(b"".join(x.as_buffer() for x in t.column("bytes").slice(a, z - a)), np.uint8)
-                starts = hi[a:z] - lo[a:z] + 1
-                row = np.repeat(np.arange(a, z), starts)
-                k = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
-                begin = np.repeat(np.cumsum(starts + LENGTH - 1) - (starts + LENGTH - 1), starts) + k
-                h = range_hashes(prefix_hashes(data), begin, begin + LENGTH)
+                row, k, h = _starts(lo[a:z], hi[a:z], t.column("bytes").slice(a, z - a))
+                row += a
                 order = np.lexsort((h, off[row] - k, name[row]))
                 h2, o2, n2 = h[order], (off[row] - k)[order], name[row][order]
                 same = (h2[1:] == h2[:-1]) & (o2[1:] == o2[:-1]) & (n2[1:] == n2[:-1])
@@ -161,13 +204,39 @@ def _merged(docs: DataFrame, checks: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(doc[row[f]]), pa.array(lo[row[f]] + k[f]), pa.array(lo[row[l]] + k[l])], ["doc", "lo", "hi"])
                 first = last
 
-    want = checks.groupBy("doc").agg(F.collect_list(F.struct("name", "lo", "hi", "off")).alias("want"))
-    ids = checks.select("doc").distinct()
-    texts = _near(docs, ids)
-    rows = texts.join(want, "doc").mapInArrow(fetched, "name long, doc long, lo long, hi long, off long, bytes binary")
     return rows.repartition("name").sortWithinPartitions("name").mapInArrow(equal, "doc long, lo long, hi long")
 
 
+def _spelled(rows: DataFrame) -> DataFrame:
+    """(name, o, h, doc, at): every start of fetched suffixes by its offset from the sampled place and its bytes' hash."""
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2048):
+                b = whole.slice(first, 2048)
+                name, doc, lo, hi, off = (b.column(c).to_numpy() for c in ("name", "doc", "lo", "hi", "off"))
+                row, k, h = _starts(lo, hi, b.column("bytes"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name[row], off[row] - k, h.view(np.int64), doc[row], lo[row] + k)], ["name", "o", "h", "doc", "at"])
+
+    return rows.mapInArrow(spelled, "name long, o long, h long, doc long, at long")
+
+
+def _merged_hot(rows: DataFrame) -> DataFrame:
+    """As ``_merged``, for hot names: the starts are counted, so no task needs all suffixes of a name."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                doc, at = b.column("doc").to_numpy(), b.column("at").to_numpy()
+                head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1))))
+                last = np.append(head[1:], len(doc)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(at[head]), pa.array(at[last])], ["doc", "lo", "hi"])
+
+    starts = _spelled(settled(rows, "fetched"))
+    again = settled(starts.groupBy("name", "o", "h").agg(F.count("*").alias("c")).where("c > 1").select("name", "o", "h"), "again")
+    return starts.join(_few(again), ["name", "o", "h"], "left_semi").select("doc", "at").mapInArrow(runs, "doc long, lo long, hi long")
+
+
 def _near(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "doc", how)
 
@@ -187,10 +256,15 @@ def spans(docs: DataFrame) -> DataFrame:
     copies = settled(whole.join(copies, ["h", "n"]).select("doc", "n", "one"), "copies")
     rest = _near(docs, copies.where("doc <> one").select("doc").distinct(), "left_anti")
     suffixes = settled(_suffixes(rest.where(F.octet_length("text") >= LENGTH)), "suffixes")
-    ranked = settled(_compared(suffixes), "ranked")
+    hot = _hot_names(suffixes)
+    some = bool(hot.take(1))
+    ranked = settled(_compared(suffixes.join(F.broadcast(hot), "name", "left_anti") if some else suffixes), "ranked")
     inner = suffixes.where("off < 0").select("doc", "lo", "hi")
     checks = ranked.where("check").select("name", "doc", "lo", "hi", "off")
-    runs = inner.union(ranked.where("repeat").select("doc", "lo", "hi")).union(_merged(rest, checks))
+    runs = inner.union(ranked.where("repeat").select("doc", "lo", "hi")).union(_merged(_fetched(rest, checks)))
+    if some:
+        repeats, more = _counted(suffixes.join(F.broadcast(hot), "name", "left_semi"))
+        runs = runs.union(repeats).union(_merged_hot(_fetched(rest, more)))
     covered = runs.select("doc", "lo", (F.col("hi") + LENGTH).alias("end")).union(copies.select("doc", F.lit(0).cast("long"), "n"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

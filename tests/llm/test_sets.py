@@ -127,6 +127,28 @@ def test_passages_at_the_edges(spark, monkeypatch, limit):
     check_passages(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4))
 
 
+@pytest.mark.parametrize("limit", [0, 2_000_000])
+def test_hot_names_are_counted(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "MAX_IDS", limit)
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    p, q = letters(420), letters(230)
+    texts = [letters(150) + p + letters(150) for _ in range(40)] + [letters(40) + q + letters(90) for _ in range(12)] + [letters(60) + p[k : k + 260] + letters(60) for k in range(0, 160, 8)]
+    texts += ["ab" * 300 + p[:210], letters(30) + p + p + letters(9), texts[0], texts[1][60:], letters(600), "é" * 150, None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    check_passages(docs)
+    # what is dealt by name alone has no hot name, and the starts of the hottest lie in several tasks
+    suffixes = suffix_dedup._suffixes(suffix_dedup._keyed(docs))
+    hot = suffix_dedup._hot_names(suffixes)
+    assert suffixes.where("off >= 0").join(hot, "name", "left_anti").groupBy("name").count().where("count > 8").count() == 0 < hot.count()
+    _, checks = suffix_dedup._counted(suffixes.join(hot, "name", "left_semi"))
+    spelled = suffix_dedup._spelled(suffix_dedup._fetched(suffix_dedup._keyed(docs), checks))
+    top = spelled.groupBy("name").count().orderBy(F.desc("count")).first()["name"]
+    dealt = spelled.where(F.col("name") == top).repartition(4, "name", "o", "h").groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) == 4 and max(r["count"] for r in dealt) < 0.6 * sum(r["count"] for r in dealt)
+
+
 def test_remove_keeps_columns(odd, empty):
     out = suffix_dedup.remove(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
