@@ -2,10 +2,11 @@
 
 A page becomes a tree. What is never the article (menus, page headers, footers, side bars, notices, adverts, forms,
 scripts, styles, hidden parts, comments of readers) is cut first. For every node left, the density is its characters per
-tag, adjusted by how many of them are in links (against the page's own share); a node's sum is its children's densities.
-The node with the largest sum marks the article; the least density on its path up to the body is the threshold, and of
-each part of the page that reaches it the subtree with the largest sum is text. An article or main element around the
-marked node is taken whole.
+tag, adjusted by how many of them are in links (against the page's own share); a node's sum is its children's densities. Inline
+elements count as tags, but split no text: those that hold no block have no sum, and their blocks are their parent's.
+The node with the largest sum marks the article; the least density on its path up to the body is the threshold. From the
+body down, of every element that reaches the threshold the subtree with the largest sum is text. Densities alone decide,
+whatever the elements are called; only an h1 beside the path is added, as titles are too short to reach a threshold.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space. Null,
 empty and text-free pages give the empty text. Pages are whole however long; unclosed and stray tags are tolerated; each
@@ -48,14 +49,15 @@ _ROLES = frozenset("navigation banner contentinfo complementary search alert dia
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "kids", "away", "chars", "links", "tags", "link_tags", "density", "total", "keep")
+    __slots__ = ("name", "parent", "parts", "kids", "away", "chars", "links", "tags", "link_tags", "density", "blocks", "total", "top", "keep")
 
     def __init__(self, name: str, parent: Node | None, away: bool = False) -> None:
         self.name, self.parent, self.away = name, parent, away
         self.parts: list[str | Node] = []
         self.kids: list[Node] = []
         self.chars = self.links = self.tags = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.density = self.blocks = self.total = 0.0
+        self.top: Node = self
         self.keep = False
 
 
@@ -177,15 +179,10 @@ def _measure(nodes: list[Node]) -> None:
             node.density = c / t * max(0.0, math.log(max(1.0, c / max(1, lc) * t / lt))) / max(base, 1e-9)
             if not node.tags:  # a leaf: log(1) would be 0 for one tag and no links
                 node.density = max(node.density, c / t * math.log(max(1.0, c / max(1, lc))) / max(base, 1e-9))
-        node.total = sum(k.density for k in node.kids) or node.density
-
-
-def _below(node: Node) -> Iterator[Node]:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        yield x
-        stack.extend(reversed(x.kids))
+        node.blocks = sum(k.blocks if k.name in INLINE else k.density for k in node.kids)
+        node.total = node.blocks or (0.0 if node.name in INLINE else node.density)
+        # of equal sums the outer and then the first node
+        node.top = max([node, *(k.top for k in node.kids)], key=lambda x: x.total)
 
 
 def article(page: str | None) -> str:
@@ -196,33 +193,22 @@ def article(page: str | None) -> str:
     if not root.chars:
         return ""
     best = max(nodes[1:], key=lambda x: x.total, default=root)
-    whole = _inside(best, ("article", "main"))
-    if whole is not None:
-        while (more := _inside(whole.parent, ("article", "main"))) is not None:
-            whole = more
-        picked = [whole]
-        if whole.name == "article":  # articles beside it in its parent are parts of the same page's text
-            picked = [x for x in whole.parent.kids if x.name == "article" and 10 * x.chars >= whole.chars] or picked
-    else:
-        path, x = [], best
-        while x is not None and x.name not in ("body", "html", "#root"):
-            path.append(x)
-            x = x.parent
-        threshold = min([y.density for y in path] or [0.0])
-        picked = []
-        stack = [x if x is not None else root]
-        while stack:
-            x = stack.pop()
-            for kid in reversed(x.kids):
-                if kid.density >= threshold and kid.chars:
-                    top = max(_below(kid), key=lambda y: y.total)
-                    # a child of the marked node's own parent goes with it, so that headings and short blocks stay
-                    picked.append(kid if kid in path or top is kid or top.chars * 10 >= kid.chars * 9 else top)
-                else:
-                    stack.append(kid)
-        picked = picked or [best]
-    for x in picked:
-        x.keep = True
+    if not best.total:
+        best = root
+    path = [best]
+    while path[-1].name != "body" and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(x.density for x in path)
+    stack = [path[-1]]
+    while stack:
+        x = stack.pop()
+        if x.keep or x.density < threshold or not x.chars:
+            continue
+        x.top.keep = True
+        stack.extend(x.kids)
+    for x in path[1:]:
+        for kid in x.kids:
+            kid.keep = kid.keep or kid.name == "h1"
     out: list[str] = []
     _text(root, False, out)
     return " ".join("".join(out).split())

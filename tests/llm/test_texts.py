@@ -89,6 +89,20 @@ def test_article_without_an_article_element():
     assert got.startswith("Head Paragraph 0") and got.endswith("high enough.") and "One" not in got and "Also" not in got
 
 
+def test_densities_decide_inside_main():
+    para = "".join(f"<p>Paragraph {k} has a good <b>many words</b> in it, so that its density is high enough.</p>" for k in range(6))
+    links = "".join(f'<li><a href="/{k}">Another story {k}</a></li>' for k in range(9))
+    page = f"<body><main><h1>Title</h1><ul>{links}</ul><div>{para}</div><section><ul>{links}</ul></section></main></body>"
+    got = html_extract.article(page)
+    assert got.startswith("Title Paragraph 0") and got.endswith("high enough.") and "Another" not in got
+    # an article element does not outweigh a denser part of the page that has none, and a short one beside a long one may stay
+    got = html_extract.article(f"<body><article><ul>{links}</ul></article><div>{para}</div></body>")
+    assert got.startswith("Paragraph 0") and "Another" not in got
+    short = "<article><p>A short update of one sentence, as dense as any of them but much less than a tenth of what is beside it.</p></article>"
+    got = html_extract.article(f"<body><article>{para * 4}</article>{short}</body>")
+    assert got.endswith("what is beside it.") and got.count("Paragraph 0") == 4
+
+
 def test_long_pages_and_rows(spark):
     page = "<article>" + "<p>word and more</p>" * 20_000 + "</article>"
     df = spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, None)], "page_id long, url string, html string")
