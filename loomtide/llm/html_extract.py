@@ -1,7 +1,10 @@
 """HTML extraction by composite text density.
 
 A page becomes a tree. What is never the article (menus, page headers, footers, side bars, notices, adverts, forms,
-scripts, styles, hidden parts, comments of readers) is cut first. For every node left, the density is its characters per
+scripts, styles, hidden parts) is cut first, by tag and role. A class or id that sounds like it (side bar, advert, comments
+of readers) is a hint only: an element is cut by its name if it holds no article, main or h1 and all such elements
+together hold less than half of the page's text (nine tenths, where an article or main element is elsewhere); where they
+hold more, only those less dense than the body go. For every node left, the density is its characters per
 tag, adjusted by how many of them are in links (against the page's own share); a node's sum is its children's densities. Inline
 elements count as tags, but split no text: those that hold no block have no sum, and their blocks are their parent's.
 The node with the largest sum marks the article; the least density on its path up to the body is the threshold. From the
@@ -49,10 +52,11 @@ _ROLES = frozenset("navigation banner contentinfo complementary search alert dia
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "kids", "away", "chars", "links", "tags", "link_tags", "density", "blocks", "total", "top", "keep")
+    __slots__ = ("name", "parent", "parts", "kids", "away", "hint", "chars", "links", "tags", "link_tags", "density", "blocks", "total", "top", "keep")
 
     def __init__(self, name: str, parent: Node | None, away: bool = False) -> None:
         self.name, self.parent, self.away = name, parent, away
+        self.hint = False
         self.parts: list[str | Node] = []
         self.kids: list[Node] = []
         self.chars = self.links = self.tags = self.link_tags = 0
@@ -73,8 +77,16 @@ def _away(name: str, raw: str, parent: Node) -> bool:
         return True
     if a.get("role", "").lower() in _ROLES:
         return True
+    return False
+
+
+def _hint(name: str, raw: str) -> bool:
+    """Whether class or id sound like something beside the article."""
+    if not raw.strip() or name in ("html", "body", "article", "main", "h1", "h2", "a"):
+        return False
+    a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
     said = f"{a.get('class', '')} {a.get('id', '')}"
-    return bool(name not in ("h1", "h2", "a") and said.strip() and _AWAY.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", said)))
+    return bool(said.strip() and _AWAY.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", said)))
 
 
 def _inside(node: Node | None, names: tuple[str, ...]) -> Node | None:
@@ -142,6 +154,7 @@ def parse(page: str) -> list[Node]:
             continue
         node = Node(name, at, _away(name, raw, at))
         if not away and not node.away:
+            node.hint = _hint(name, raw)
             at.parts.append(node)
             at.kids.append(node)
             nodes.append(node)
@@ -160,6 +173,8 @@ def parse(page: str) -> list[Node]:
 
 def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):  # children come after their parents
+        node.chars = node.links = node.tags = node.link_tags = 0
+        node.density, node.top = 0.0, node
         for part in node.parts:
             if isinstance(part, str):
                 node.chars += len("".join(part.split()))
@@ -185,10 +200,54 @@ def _measure(nodes: list[Node]) -> None:
         node.top = max([node, *(k.top for k in node.kids)], key=lambda x: x.total)
 
 
+def _without_hinted(nodes: list[Node]) -> list[Node]:
+    """The nodes in page order without what is cut by its name; ``nodes`` are measured."""
+    root, holds = nodes[0], set()
+    for node in reversed(nodes):
+        if node.name in ("article", "main", "h1") and node.chars or node in holds:
+            holds.add(node)
+            holds.add(node.parent)
+    # the outer ones of what may be cut
+    outer, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x.hint and x not in holds:
+            outer.append(x)
+        else:
+            stack.extend(x.kids)
+    if not outer:
+        return nodes
+    cut = set(outer)
+    named = any(x.name in ("article", "main") for x in nodes if x in holds)
+    if sum(x.chars for x in outer) >= root.chars * (0.9 if named else 0.5):
+        body = next((x for x in nodes if x.name == "body"), root)
+        cut, stack = set(), outer
+        while stack:
+            x = stack.pop()
+            if x.hint and x.density < body.density:
+                cut.add(x)
+            else:
+                stack.extend(x.kids)
+    for x in cut:
+        x.away = True
+    left: list[Node] = []
+    for node in nodes:
+        node.away = node.away or node.parent is not None and node.parent.away
+        if not node.away:
+            node.kids = [k for k in node.kids if k not in cut]
+            node.parts = [p for p in node.parts if isinstance(p, str) or p not in cut]
+            left.append(node)
+    return left
+
+
 def article(page: str | None) -> str:
     """The main text of a page."""
     nodes = parse(page or "")
     _measure(nodes)
+    left = _without_hinted(nodes)
+    if left is not nodes:
+        nodes = left
+        _measure(nodes)
     root = nodes[0]
     if not root.chars:
         return ""

@@ -1,6 +1,7 @@
 """Encoding, token counts, extraction and the pipeline."""
 
 import hashlib
+import re
 
 import numpy as np
 import public_tokenizers
@@ -103,6 +104,19 @@ def test_densities_decide_inside_main():
     assert got.endswith("what is beside it.") and got.count("Paragraph 0") == 4
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content has-sidebar"', 'div id="layout-with-sidebar"', 'section class="legal-news"'])
+def test_names_of_wrappers_lose_no_article(wrapper):
+    para = "".join(f"<p>Paragraph {k} has a good many words in it, so that its density is high enough.</p>" for k in range(6))
+    side = '<div class="sidebar"><ul><li><a href="/a">Also this</a></ul></div><div class="ad">Buy this now.</div>'
+    for inner in (f"<article><h1>Title</h1>{para}</article>", f"<main>{para}</main>", f"<h1>Title</h1>{para}", para, f"<div>{para}</div>"):
+        got = html_extract.article(f"<body><nav>Menu</nav>{side}<{wrapper}>{inner}</{wrapper.split()[0]}></body>")
+        assert got == " ".join(re.sub("<.*?>", " ", inner).split())
+    # parts of the article that are named alike
+    parts = "".join(f'<div class="side-story"><p>Story {k} has a good many words in it, so that its density is high.</p></div>' for k in range(5))
+    got = html_extract.article(f"<body>{side}<div>{parts}</div></body>")
+    assert got.count("Story") == 5 and "Also" not in got
+
+
 def test_long_pages_and_rows(spark):
     page = "<article>" + "<p>word and more</p>" * 20_000 + "</article>"
     df = spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, None)], "page_id long, url string, html string")
