@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .rng import Sampler, fisher_yates
 
+#: Rows up to which the driver draws a permutation.
+DRAWN = 1 << 20
+
 
 def with_pos(df: DataFrame, key: str, block: int = 1 << 16, name: str = "pos") -> DataFrame:
     """``df`` with the rank of a distinct integer key from 0. Blocks of keys are counted; each row adds its rank within
@@ -35,15 +38,34 @@ def permuted(df: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def shuffle(df: DataFrame, n: int, seed: int, epoch: int = 0, index: int = 0, op_seed: int = 0) -> DataFrame:
-    """The Fisher-Yates order of ``n`` rows. It is sequential, so the driver draws it (16 bytes a row)."""
-    spark = df.sparkSession
+    """``n`` rows in a seeded order: the Fisher-Yates order up to DRAWN rows, and an order by hash, on Spark, beyond."""
+    state = Sampler(seed, epoch).shuffle_seed(index, op_seed)
+    return drawn_shuffle(df, n, state) if n <= DRAWN else placed_shuffle(df, n, state)
+
+
+def drawn_shuffle(df: DataFrame, n: int, state: int) -> DataFrame:
+    """The Fisher-Yates order of ``n`` rows. It is sequential, so the driver draws and holds it: for DRAWN rows at most."""
     import pandas as pd
 
-    perm = fisher_yates(n, Sampler(seed, epoch).shuffle_seed(index, op_seed))
-    order = spark.createDataFrame(pd.DataFrame({"pos": perm, "new_pos": range(n)}), "pos long, new_pos long")
+    if n > DRAWN:
+        raise ValueError(f"{n} rows are too many for the driver to draw")
+    order = df.sparkSession.createDataFrame(pd.DataFrame({"pos": fisher_yates(n, state), "new_pos": range(n)}), "pos long, new_pos long")
     return permuted(df, order)
 
 
+def placed_shuffle(df: DataFrame, n: int, state: int, block: int = 1 << 16) -> DataFrame:
+    """The order of a seeded hash of ``pos``, with dense places. Ranges of hashes with about ``block`` rows are counted;
+    each row adds its rank in its range to the rows before it. Only the table of ranges is ever in one task."""
+    bits = max(0, (n // block).bit_length())
+    h = F.xxhash64("pos", F.lit(state - (1 << 64) if state >> 63 else state))
+    at = F.shiftright(h, 64 - bits) if bits else F.lit(0).cast("long")
+    rows = df.withColumns({"__h": h, "__b": at})
+    before = rows.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = before.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__h", "pos")) - 1)
+    return ranked.join(before, "__b").withColumn("pos", F.col("__before") + F.col("__r")).drop("__h", "__b", "__r", "__before")
+
+
 def hash_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
     """An order by hash for tables too large for the driver: a different operator from ``shuffle``, without its order."""
     return df.repartitionByRange(F.xxhash64(key, F.lit(seed))).sortWithinPartitions(F.xxhash64(key, F.lit(seed)), key)

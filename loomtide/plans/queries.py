@@ -306,7 +306,7 @@ def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("select_shuffle")
 def select_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seeded Fisher-Yates order of the vectors."""
+    """A seeded order of the vectors: Fisher-Yates, or by hash where they are too many for the driver."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "vec_id")
     return S.shuffle(rows, rows.count(), seed=42, epoch=1)
 

@@ -307,3 +307,27 @@ def test_text_is_encoded_and_collated(spark):
         text.encode(spark.createDataFrame([(7, None)], "pos long, text string"), j).collect()
     with pytest.raises(Exception, match="longer than"):
         text.collate(e, 2, 0, pad_to=3).collect()
+
+
+def test_large_shuffles_leave_the_driver(spark, monkeypatch):
+    from loomtide.plans import queries
+
+    rows = spark.range(3000).select(F.col("id").alias("pos"), F.col("id").alias("source"))
+    places = lambda df: {r["source"]: r["pos"] for r in df.collect()}
+    drawn = rng.fisher_yates(3000, rng.Sampler(7, 1).shuffle_seed(0, 0)).tolist()
+    assert places(selection.shuffle(rows, 3000, 7, 1)) == {v: k for k, v in enumerate(drawn)}
+
+    def never(*_):
+        raise AssertionError("drawn on the driver")
+
+    monkeypatch.setattr(selection, "DRAWN", 100)
+    monkeypatch.setattr(selection, "fisher_yates", never)
+    a = places(selection.shuffle(rows, 3000, 7, 1))
+    assert sorted(a) == sorted(a.values()) == list(range(3000))
+    assert a == places(selection.shuffle(rows.repartition(7), 3000, 7, 1)) != places(selection.shuffle(rows, 3000, 7, 2))
+    assert a == places(selection.placed_shuffle(rows, 3000, rng.Sampler(7, 1).shuffle_seed(0, 0), block=50))
+    assert sum(abs(k - v) for k, v in a.items()) / 3000 > 800  # a uniform order moves a row by a third on average
+    got = queries.queries()["select_shuffle"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["pos"] for r in got) == sorted(r["vec_id"] for r in got) == list(range(500))
+    with pytest.raises(ValueError):
+        selection.drawn_shuffle(rows, 3000, 1)
