@@ -12,6 +12,7 @@ tokens, as in the library; texts are whole however long; every row, repeated one
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_CACHED = 200_000
+#: Letters up to which merging looks for the lowest rank in a list; longer words keep their pairs in a heap.
+SHORT = 100
 END = "</w>"
 #: The split pattern of the tokenizer file, with white space spelled out.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -70,6 +73,8 @@ class Vocabulary:
         none, rank = 1 << 30, self.rank
         s = [self.ids[c] for c in word[:-1]]
         s.append(self.ids[word[-1] + END * end])
+        if len(s) > SHORT:
+            return self._merged_long(s)
         ranks = [rank.get(p, none) for p in zip(s, s[1:], strict=False)]
         while ranks:
             least = min(ranks)
@@ -84,6 +89,28 @@ class Vocabulary:
                 ranks[k] = rank.get((s[k], s[k + 1]), none)
         return s
 
+    def _merged_long(self, s: list[int]) -> list[int]:
+        """As ``merged``, in n log n steps: a heap of (rank, place) over a linked list of symbols. An entry whose pair has
+        changed meanwhile is passed over."""
+        rank, n = self.rank, len(s)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k, p in enumerate(zip(s, s[1:], strict=False)) if (r := rank.get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            j = after[k]
+            if s[k] < 0 or j == n or rank.get((s[k], s[j])) != r:
+                continue
+            s[k], s[j] = self.made[r], -1
+            after[k] = j = after[j]
+            if j < n:
+                before[j] = k
+                if (r := rank.get((s[k], s[j]))) is not None:
+                    heapq.heappush(heap, (r, k))
+            if (i := before[k]) >= 0 and (r := rank.get((s[i], s[k]))) is not None:
+                heapq.heappush(heap, (r, i))
+        return [t for t in s if t >= 0]
+
     def proposed(self, word: str) -> list[int]:
         out, k, n = [], 0, len(word)
         while k < n:

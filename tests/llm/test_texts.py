@@ -41,6 +41,20 @@ def test_pair_test_is_the_merging():
     assert ok.tolist() == want and 0 < sum(want) < 4000
 
 
+def test_long_words_equal_the_library():
+    import random
+    import time
+
+    e, t, rng = bpe.Encoder(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH), random.Random(4)
+    texts = ["".join(rng.choices(letters, k=n)) for n in (*range(1, 40), 99, 100, 101, 102, 300, 1000, 5000) for letters in ("ab", "etaoinshrdlu", "äöüß", "日本語")]
+    texts += ["a" * n for n in (100, 101, 257, 4096)] + ["abab" * 700, "xyz" + "the" * 900]
+    for text, (ids, _) in zip(texts, e.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    began = time.process_time()
+    (ids, _), = e.encode(["".join(rng.choices("etaoinshrdlu", k=1_000_000))])
+    assert len(ids) > 400_000 and time.process_time() - began < 30
+
+
 def test_trie_counts_equal_plain_programming(odd, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     pieces = token_counts.load_pieces(path)
