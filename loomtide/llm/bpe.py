@@ -67,6 +67,9 @@ class Vocabulary:
             end = t.endswith(END) and len(t) > len(END)
             if self.merged(t[: -len(END)] if end else t, end) == [i]:
                 (self.last if end else self.inner)[t[: -len(END)] if end else t] = i
+        self.reach: dict[str, int] = {}  # by two letters: the length of the longest token that begins so
+        for t in self.inner:
+            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
 
     def merged(self, word: str, end: bool = True) -> list[int]:
         """The merges one by one, lowest rank first, leftmost first."""
@@ -90,14 +93,15 @@ class Vocabulary:
         return s
 
     def _merged_long(self, s: list[int]) -> list[int]:
-        """As ``merged``, in n log n steps: a heap of (rank, place) over a linked list of symbols. An entry whose pair has
+        """As ``merged``, in n log n steps: a heap of ranks and places over a linked list of symbols. An entry whose pair has
         changed meanwhile is passed over."""
         rank, n = self.rank, len(s)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, k) for k, p in enumerate(zip(s, s[1:], strict=False)) if (r := rank.get(p)) is not None]
+        heap = [r << 40 | k for k, p in enumerate(zip(s, s[1:], strict=False)) if (r := rank.get(p)) is not None]
         heapq.heapify(heap)
         while heap:
-            r, k = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            r, k = top >> 40, top & 0xFFFFFFFFFF
             j = after[k]
             if s[k] < 0 or j == n or rank.get((s[k], s[j])) != r:
                 continue
@@ -106,9 +110,9 @@ class Vocabulary:
             if j < n:
                 before[j] = k
                 if (r := rank.get((s[k], s[j]))) is not None:
-                    heapq.heappush(heap, (r, k))
+                    heapq.heappush(heap, r << 40 | k)
             if (i := before[k]) >= 0 and (r := rank.get((s[i], s[k]))) is not None:
-                heapq.heappush(heap, (r, i))
+                heapq.heappush(heap, r << 40 | i)
         return [t for t in s if t >= 0]
 
     def proposed(self, word: str) -> list[int]:
@@ -117,7 +121,7 @@ class Vocabulary:
             if n - k <= self.longest and (t := self.last.get(word[k:])) is not None:
                 out.append(t)
                 break
-            for stop in range(min(n - 1, k + self.longest), k, -1):
+            for stop in range(min(n - 1, k + self.reach.get(word[k : k + 2], 1)), k, -1):
                 if (t := self.inner.get(word[k:stop])) is not None:
                     out.append(t)
                     k = stop
