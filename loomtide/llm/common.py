@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,10 +17,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where that is unset a temporary one serves a local master only: on a cluster
+    every executor would write to its own disk, so there it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -78,33 +83,53 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_P = 0x9E3779B97F4A7C15  # odd, so its powers have inverses modulo 2**64
-_P_INV = pow(_P, -1, 1 << 64)
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    got = _powers.get(base)
-    if got is None or len(got) < n:
-        step = np.full(max(n, 1 << 12), base, np.uint64)
-        step[0] = 1
-        got = _powers[base] = np.cumprod(step, dtype=np.uint64)
-    return got[:n]
-
-
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Sums from which ``range_hashes`` takes the hash of any range of bytes."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_P, len(data)), dtype=np.uint64, out=out[1:])
-    return out
-
-
-def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end), equal for equal bytes."""
-    inverse = powers(_P_INV, len(prefix))
-    return mixed((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+def loads(data: np.ndarray) -> np.ndarray:
+    """A view of ``data`` (bytes) as the 8 bytes from each place on, little-endian; zeros follow the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_LANE = np.uint64(0xA0761D6478BD642F)
+#: Ranges over so many bytes are digested one by one.
+LONG_RANGE = 1024
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int = 1) -> tuple[np.ndarray, ...]:
+    """``lanes`` (1 or 2) independent 64-bit hashes of the byte ranges [start, end), equal for equal bytes.
+
+    A lane takes the bytes by eights and mixes each into its state by a bijection that is not linear, so ranges of up to
+    eight bytes of one length never meet, and longer ones only by chance (2**-64 a pair and lane)."""
+    at, size = loads(data), (end - start).astype(np.int64)
+    out = [mixed(size.astype(np.uint64) + _SEEDS[k]) for k in range(lanes)]
+    far = size > LONG_RANGE
+    for k in np.flatnonzero(far).tolist():
+        told = np.frombuffer(hashlib.blake2b(data[start[k] : end[k]], digest_size=16).digest(), np.uint64)
+        for lane in range(lanes):
+            out[lane][k] ^= told[lane]
+    live = np.flatnonzero((size > 0) & ~far)
+    place, left = np.asarray(start)[live], size[live]
+    while len(live):
+        x = at[place]
+        short = left < 8
+        x[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        for lane in range(lanes):
+            out[lane][live] = mixed(out[lane][live] ^ (x if lane == 0 else x * _LANE))
+        on = left > 8
+        live, place, left = live[on], place[on] + 8, left[on] - 8
+    return tuple(out)
+
+
+def window_hashes(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of all ``size``-byte windows (8 or more) of ``data``: halves are mixed, from eight bytes up."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h, span = mixed(loads(data)[: len(data) - 7] ^ _SEEDS[seed]), 8
+    while 2 * span <= size:
+        h, span = mixed((h[:-span] * _LANE) ^ h[span:]), 2 * span
+    # what is left is covered by the last full span of the window
+    return h[:n] if span == size else mixed((h[:n] * _LANE) ^ h[size - span : size - span + n])
 
 
 _IS_SPACE = np.zeros(256, bool)

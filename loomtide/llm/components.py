@@ -9,7 +9,9 @@ from .common import settled
 
 
 def _pulled(edges: DataFrame, least: DataFrame) -> DataFrame:
-    return edges.join(least, "u")
+    """Edges with the smallest neighbour of u. The minima are settled, so that both sides are plain shuffles (or the minima
+    are few and broadcast): Spark splits the edges of a hub."""
+    return edges.join(settled(least, "least"), "u")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -17,7 +19,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Each round links every node's larger neighbours, then its smaller ones, to the smallest of them; the edges become
     stars around the minima in a number of rounds that grows with the logarithm of the longest path. Minima are summed
-    before the shuffle and joined back, so a hub with very many edges is not gathered in one place."""
+    before the shuffle and joined back, so a hub with very many edges is not gathered in one place. Rounds that run out
+    before the stars are complete are an error."""
     e = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,5 +34,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         e = new
         if sums[0] == sums[1]:
             break
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     top = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(top)

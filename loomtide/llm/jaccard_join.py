@@ -3,14 +3,17 @@
 Texts become sets of hashed five-word shingles; equal sets are one class and one leaf. Two leaves with Jaccard 0.8 or
 more share one of the first 20 % of their shingles in any common order (here: shingles that a sample found frequent
 come last, the others by hash). The shingles that two or more leaves have there root signature trees over these leaves, one
-for all shingles with the same smallest leaf: a leaf is a token bitmap and a size, a node the OR of its children's bitmaps and their size range. A dual
-traversal of the tree with itself goes down from node pairs whose largest possible overlap reaches what their sizes
-need; leaf pairs that are left are compared exactly.
+for all shingles with the same smallest leaf: a leaf is a token bitmap and a size, a node the OR of its children's bitmaps
+and their size range. A dual traversal of the tree with itself goes down from node pairs whose largest possible overlap
+reaches what their sizes need; leaf pairs that are left are compared exactly.
 
 Links inside a group of near copies are not all spelled out. Round one takes of every tree's possible pairs a spanning
-forest that prefers those whose bitmaps are most alike. Round two takes, in trees whose leaves are in several components, every possible pair across components,
-so no link between components is missed. Trees over more than TILE leaves are dealt out: round one by tiles, round two
-by pairs of tiles.
+forest that prefers those whose bitmaps are most alike. Round two takes, in trees whose leaves are in several components,
+every possible pair across components, so no link between components is missed. Trees over more than TILE leaves are dealt
+out: round one by tiles, round two by pairs of tiles.
+
+A shingle has two independent 64-bit hashes. The first finds pairs, the second decides them, and a class is told by both,
+so no link rests on one hash.
 
 Null and empty texts have the empty set, link with nothing and are their own component. A row with a null id keeps its
 size and has no component. Rows that repeat an id are one node. Texts are whole however long.
@@ -22,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among, mixed, prefix_hashes, range_hashes, settled, shared_dir, sorted_groups, utf8_blocks, word_ranges
+from .common import among, mixed, range_hashes, settled, shared_dir, sorted_groups, utf8_blocks, word_ranges
 from .components import components
 
 WORDS = 5
@@ -35,28 +38,39 @@ TILE = 4096
 SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 10, 50_000
 
 
-def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a block."""
+def shingles(offsets: np.ndarray, data: np.ndarray, lanes: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each text of a block the hashes of its shingles in order, in one or two independent lanes."""
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     start, end, of = word_ranges(offsets, data)
     n = len(offsets) - 1
-    word = range_hashes(prefix_hashes(data), start, end)
+    words = range_hashes(data, start, end, lanes)
     factors = mixed(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
-    m = max(0, len(word) - WORDS + 1)
-    h = np.zeros(m, np.uint64)
-    for j in range(WORDS):
-        h = mixed(h + word[j : j + m] * factors[j])
+    m = max(0, len(start) - WORDS + 1)
+    rolled = []
+    for word in words:
+        h = np.zeros(m, np.uint64)
+        for j in range(WORDS):
+            h = mixed(h + word[j : j + m] * factors[j])
+        rolled.append(h)
     bounds = np.searchsorted(of, np.arange(n + 1))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= WORDS:
-            yield np.unique(h[a : b - WORDS + 1])
+            yield tuple(h[a : b - WORDS + 1] for h in rolled)
         elif b > a:
-            x = np.zeros(1, np.uint64)
-            for j in range(a, b):
-                x = mixed(x + word[j : j + 1] * factors[j - a])
-            yield mixed(x + np.uint64(b - a))
+            out = []
+            for word in words:
+                x = np.zeros(1, np.uint64)
+                for j in range(a, b):
+                    x = mixed(x + word[j : j + 1] * factors[j - a])
+                out.append(mixed(x + np.uint64(b - a)))
+            yield tuple(out)
         else:
-            yield h[:0]
+            yield (np.empty(0, np.uint64),) * lanes
+
+
+def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes (of the first lane) of each text of a block."""
+    return (np.unique(h) for (h,) in shingles(offsets, data))
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -194,10 +208,11 @@ def _documents(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for b in batches:
             n, h1, h2, first, bits = [], [], [], [], []
             for _, o, d in utf8_blocks(b.column("text")):
-                for s in shingle_sets(o, d):
+                for one, two in shingles(o, d, 2):
+                    s, at = np.unique(one, return_index=True)
                     n.append(len(s))
                     h1.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
-                    h2.append(int(mixed(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)))
+                    h2.append(int(mixed(two[at]).sum(dtype=np.uint64).view(np.int64)))
                     take = len(s) // 5 + 1
                     if len(often) and len(s):
                         common = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
@@ -243,20 +258,11 @@ def _roots(leaves: DataFrame) -> DataFrame:
             doc = np.repeat(b.column("doc_id").to_numpy(), [len(f) // 8 for f in first])
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(doc)], ["token", "doc_id"])
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, "token"):
-            token, doc = (t.column(c).to_numpy() for c in ("token", "doc_id"))
-            at = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            n = np.diff(np.append(at, len(token)))
-            many = np.repeat(n > 1, n)
-            root = np.repeat(np.minimum.reduceat(doc, at), n)[many]
-            pairs = np.unique(np.stack([root, doc[many]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["root", "doc_id"])
-
+    # minima are taken before the shuffle, and they are settled, so that Spark can split the join of a very common shingle
     rows = leaves.select("doc_id", "first").mapInArrow(spelled, "token long, doc_id long")
-    rows = rows.repartition("token").sortWithinPartitions("token")
-    rows = settled(rows.mapInArrow(shared, "root long, doc_id long").distinct(), "roots")
-    return rows.join(rows.groupBy("root").agg(F.count("*").alias("members")), "root")
+    least = settled(rows.groupBy("token").agg(F.min("doc_id").alias("root"), F.max("doc_id").alias("last")).where("root < last").select("token", "root"), "tokens")
+    rows = settled(rows.join(least, "token").select("root", "doc_id").distinct(), "roots")
+    return rows.join(settled(rows.groupBy("root").agg(F.count("*").alias("members")), "members"), "root")
 
 
 def _tree_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
@@ -289,11 +295,11 @@ def _tree_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that link, by their whole sets."""
+    """The pairs that link, by their whole sets in the second lane."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [s.tobytes() for _, o, d in utf8_blocks(b.column("text")) for s in shingle_sets(o, d)]
+            got = [np.unique(s).tobytes() for _, o, d in utf8_blocks(b.column("text")) for _, s in shingles(o, d, 2)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.binary())], ["doc_id", "s"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,8 +326,10 @@ def join(docs: DataFrame) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull())
     made = settled(_documents(docs, frequent_shingles(known)), "leaves")
     full = made.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"))
-    member = settled(full.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "classes")
+    # settled, so that the join below is of two plain shuffles: Spark splits the one that a large class skews
+    classes = settled(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")).where("class_id < last").drop("last"), "groups")
+    copies = full.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    member = settled(copies, "classes")  # of documents that are not alone in their class
     leaves = among(full, member.where("doc_id <> class_id").select("doc_id"), "left_anti")
     roots = settled(_roots(leaves), "roots")
     held = leaves.select("doc_id", "n", "bits")
@@ -343,12 +351,23 @@ def join(docs: DataFrame) -> DataFrame:
     found = settled(_verified(known, more), "links")
     if found.limit(1).count():
         comp = settled(components(links.union(found)), "components")
-    top = member.join(comp.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = made.select("doc_id", F.col("n").alias("n_shingles")).join(top, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a document's component is its own node's, or its class's where it has no node
+    told = member.where("doc_id <> class_id").join(comp.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component"))
+    own = comp.select(F.col("node").alias("doc_id"), F.col("node").alias("class_id"), "component")
+    out = made.select("doc_id", F.col("n").alias("n_shingles")).join(settled(told.union(own), "told"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, with their own columns; rows with a null id stay."""
+    """One row of ``docs`` for each component, with its own columns: the one of the smallest id; of rows that repeat that
+    id the one whose text has the least SHA-256. Rows with a null id stay."""
     gone = join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return among(docs, settled(gone, "copies"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = among(docs, settled(gone, "copies"), "left_anti")
+    again = settled(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "again")
+    if not again.take(1):
+        return kept.select(*columns)
+    first = Window.partitionBy("doc_id").orderBy("__told")
+    told = among(kept, again).withColumn("__told", F.sha2(F.coalesce("text", F.lit("")), 256))
+    told = told.withColumn("__at", F.row_number().over(first)).where("__at = 1")
+    return among(kept, again, "left_anti").select(*columns).union(told.select(*columns))

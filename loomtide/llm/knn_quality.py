@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, prefix_hashes, range_hashes, utf8_blocks, word_ranges
+from .common import crc32_mod, range_hashes, utf8_blocks, word_ranges
 
 TERMS = 1024
 SURFACE = 6
@@ -48,7 +48,7 @@ def term_rates(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     start, end, of = word_ranges(offsets, data)
     words = np.maximum(np.bincount(of, minlength=n), 1)
     if len(start):
-        h = range_hashes(prefix_hashes(data), start, end)
+        (h,) = range_hashes(data, start, end)
         same = (of[1:] == of[:-1]) & (h[1:] == h[:-1])
         first = data[start]
         upper = (first >= 65) & (first <= 90) & (data[end - 1] != 0)

@@ -16,40 +16,52 @@ A name with over HOT suffixes (a passage that very many texts share) is in no ta
 shuffle.
 
 Equal whole texts are settled first (all but one leave the sort), and so are equal contexts inside a text, so that
-copies and periodic texts do not fill one name. Matches never cross texts. Null and empty texts have nothing to remove;
-texts under LENGTH bytes cannot repeat. A row is told by the hash of its id (null too) and text, so rows that repeat an id
-keep their own spans, and equal rows are copies of each other.
+copies and periodic texts do not fill one name. Contexts are compared by 128 bits of hash, single strings byte by byte (by
+128 bits where they are counted), whole texts by their MD5 and length. Matches never cross texts. Null and empty texts
+have nothing to remove; texts under LENGTH bytes cannot repeat. Texts are whole however long. Rows that repeat an id
+(null too) keep their own spans, and equal rows are copies of each other.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_IDS, prefix_hashes, range_hashes, settled, shared_dir, sorted_groups, utf8_blocks
+from .common import MAX_IDS, loads, mixed, range_hashes, settled, shared_dir, sorted_groups, utf8_blocks, window_hashes
 
 LENGTH, WINDOW, GRAM = 200, 88, 24
 #: A string's sampled place and the phrase there are inside the string: the next place after the first is found in time.
 assert 2 * WINDOW + GRAM <= LENGTH
-#: Suffixes up to which one task takes a name whole: about 2 MB of bytes, as one block of ``_merged``.
-HOT = 8192
+#: Suffixes up to which one task takes a name whole: about 0.3 MB of bytes, much less than a block of ``_merged``.
+HOT = 1024
+#: Bytes of a block of texts; arrays of eight bytes for each of its bytes stay in the cache.
+BLOCK = 1 << 18
+
+
+def gram_order(data: np.ndarray) -> np.ndarray:
+    """A number for the GRAM bytes from each place on, in the upper 32 bits; it only orders places, and decides nothing."""
+    x = loads(data).copy()
+    n = len(data) - GRAM + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(0, GRAM, 8):
+        h = (h ^ (h >> np.uint64(29)) ^ x[k : k + n]) * np.uint64(0xD6E8FEB86659FD93 + 2 * k)
+    return h
 
 
 def sampled(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of a block: (text, place, first start, last start, name, context) of every sampled suffix; places count from the
-    block's start. The starts are of the strings that the place stands for."""
-    none = np.empty(0, np.int64)
+    """Of a block: (text, place, first start, last start, name, context, context2) of every sampled suffix; places count
+    from the block's start. The starts are of the strings that the place stands for; a context is 128 bits."""
+    none = (np.empty(0, np.int64),) * 7
     if len(data) < LENGTH:
-        return none, none, none, none, none, none
-    prefix = prefix_hashes(data)
+        return none
     x = np.arange(len(data) - GRAM + 1)
     low = np.uint64(0xFFFFFFFF)
-    v = (range_hashes(prefix, x, x + GRAM) & ~low) | x.astype(np.uint64)
+    v = (gram_order(data) & ~low) | x.astype(np.uint64)
     span = 1
     while 2 * span <= WINDOW:
         v, span = np.minimum(v[:-span], v[span:]), 2 * span
@@ -57,53 +69,55 @@ def sampled(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
         v = np.minimum(v[: len(v) - (WINDOW - span)], v[WINDOW - span :])
     least = (v & low).astype(np.int64)
     s = np.arange(len(data) - LENGTH + 1)
-    text = np.searchsorted(offsets, s, "right") - 1
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(s)]
     ok = s + LENGTH <= offsets[text + 1]
     s, text = s[ok], text[ok]
     if not len(s):
-        return none, none, none, none, none, none
+        return none
     place = least[s]
     first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]))))
     last = np.append(first[1:], len(s)) - 1
     p, lo, hi = place[first], s[first], s[last]
-    name = range_hashes(prefix, p, least[p + 1] + GRAM)
-    context = range_hashes(prefix, lo, hi + LENGTH) ^ (p - lo).astype(np.uint64)
-    return text[first], p, lo, hi, name.view(np.int64), context.view(np.int64)
+    (name,) = range_hashes(data, p, least[p + 1] + GRAM)
+    context, context2 = range_hashes(data, lo, hi + LENGTH, 2)
+    off = (p - lo).astype(np.uint64)
+    return text[first], p, lo, hi, name.view(np.int64), (context ^ mixed(off)).view(np.int64), (context2 ^ off).view(np.int64)
 
 
 def _suffixes(docs: DataFrame) -> DataFrame:
-    """(name, context, doc, lo, hi, off, settled): one row per text and context; settled: it has an equal one in the text."""
+    """(name, context, context2, doc, lo, hi, off, twice): one row per text and context; twice: it has an equal one in the text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc").to_numpy()
-            for at, o, d in utf8_blocks(b.column("text")):
-                text, p, lo, hi, name, context = sampled(o, d)
-                order = np.lexsort((p, context, text))
-                text, p, lo, hi, name, context = (a[order] for a in (text, p, lo, hi, name, context))
-                same = np.concatenate(([False], (text[1:] == text[:-1]) & (context[1:] == context[:-1]) & (name[1:] == name[:-1])))
+            for at, o, d in utf8_blocks(b.column("text"), BLOCK):
+                got = sampled(o, d)
+                order = np.lexsort((got[1], got[6], got[5], got[0]))
+                text, p, lo, hi, name, context, context2 = (a[order] for a in got)
+                same = np.concatenate(([False], (text[1:] == text[:-1]) & (context[1:] == context[:-1]) & (context2[1:] == context2[:-1]) & (name[1:] == name[:-1])))
                 twice = same | np.append(same[1:], False)
                 start = o[text]
                 # the first of equal ones goes on; the others are spans already, and told as such by off = -1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a) for a in (name, context, ids[at + text], lo - start, hi - start, np.where(same, -1, p - lo), twice)],
-                    ["name", "context", "doc", "lo", "hi", "off", "twice"],
+                    [pa.array(a) for a in (name, context, context2, ids[at + text], lo - start, hi - start, np.where(same, -1, p - lo), twice)],
+                    ["name", "context", "context2", "doc", "lo", "hi", "off", "twice"],
                 )
 
-    return docs.mapInArrow(made, "name long, context long, doc long, lo long, hi long, off long, twice boolean")
+    return docs.mapInArrow(made, "name long, context long, context2 long, doc long, lo long, hi long, off long, twice boolean")
 
 
 _SORTED = "doc long, lo long, hi long, off long, name long, twice boolean, repeat boolean, check boolean"
 
 
 def _hot_names(suffixes: DataFrame) -> DataFrame:
-    """The names with over HOT suffixes: at most a HOT-th of the rows, so that they are broadcast."""
+    """The names with over HOT suffixes."""
     names = suffixes.where("off >= 0").groupBy("name").agg(F.count("*").alias("c"))
     return settled(names.where(F.col("c") > HOT).select("name"), "hot")
 
 
 def _few(keys: DataFrame) -> DataFrame:
-    """Keys of several columns, broadcast up to an eighth of MAX_IDS (they take more than an id)."""
+    """Settled keys, broadcast up to an eighth of MAX_IDS; beyond, both sides of the join are shuffled, and Spark splits
+    what is skewed."""
     return F.broadcast(keys) if keys.count() <= MAX_IDS // 8 else keys
 
 
@@ -112,10 +126,11 @@ def _counted(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = suffixes.where("off >= 0")
     # the columns of one row: all firsts of a group are taken from the same
     one = [F.first(c).alias(c) for c in ("doc", "lo", "hi", "off")]
-    groups = settled(rows.groupBy("name", "context").agg(F.count("*").alias("c"), *one), "contexts")
-    several = groups.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
-    checks = groups.join(F.broadcast(several), "name", "left_semi").select("name", "doc", "lo", "hi", "off")
-    more = rows.where("not twice").join(_few(groups.where("c > 1").select("name", "context")), ["name", "context"], "left_semi")
+    groups = settled(rows.groupBy("name", "context", "context2").agg(F.count("*").alias("c"), *one), "contexts")
+    several = settled(groups.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"), "several")
+    checks = groups.join(_few(several), "name", "left_semi").select("name", "doc", "lo", "hi", "off")
+    again = groups.where("c > 1").select("name", "context", "context2")
+    more = rows.where("not twice").join(_few(again), ["name", "context", "context2"], "left_semi")
     return rows.where("twice").select("doc", "lo", "hi").union(more.select("doc", "lo", "hi")), checks
 
 
@@ -124,9 +139,9 @@ def _compared(suffixes: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, "name"):
-            name, context, twice = (t.column(c).to_numpy() for c in ("name", "context", "twice"))
+            name, context, context2, twice = (t.column(c).to_numpy() for c in ("name", "context", "context2", "twice"))
             new_name = np.concatenate(([True], name[1:] != name[:-1]))
-            new = new_name | np.concatenate(([True], context[1:] != context[:-1]))
+            new = new_name | np.concatenate(([True], (context[1:] != context[:-1]) | (context2[1:] != context2[:-1])))
             at = np.flatnonzero(new)
             n = np.diff(np.append(at, len(new)))
             cls = np.cumsum(new) - 1
@@ -138,7 +153,7 @@ def _compared(suffixes: DataFrame) -> DataFrame:
             out = pa.table([*cols, pa.array(repeat), pa.array(repeat), pa.array(check)], _names(_SORTED))
             yield from out.filter(pa.array(keep)).to_batches()
 
-    rows = suffixes.where("off >= 0").repartition("name").sortWithinPartitions("name", "context")
+    rows = suffixes.where("off >= 0").repartition("name").sortWithinPartitions("name", "context", "context2")
     return rows.mapInArrow(made, _SORTED)
 
 
@@ -166,14 +181,23 @@ def _fetched(docs: DataFrame, checks: DataFrame) -> DataFrame:
     return texts.join(want, "doc").mapInArrow(fetched, "name long, doc long, lo long, hi long, off long, bytes binary")
 
 
-def _starts(lo: np.ndarray, hi: np.ndarray, strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, k, hash) of every LENGTH-byte string of suffixes; it starts at the row's lo + k."""
+def _starts(lo: np.ndarray, hi: np.ndarray, strings: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, k, hash, begin, bytes) of every LENGTH-byte string of suffixes: it starts at the row's lo + k, and at
+    ``begin`` in ``bytes``."""
     data = np.frombuffer(b"".join(x.as_buffer() for x in strings), np.uint8)
     starts = hi - lo + 1
     row = np.repeat(np.arange(len(lo)), starts)
     k = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
     begin = np.repeat(np.cumsum(starts + LENGTH - 1) - (starts + LENGTH - 1), starts) + k
-    return row, k, range_hashes(prefix_hashes(data), begin, begin + LENGTH)
+    return row, k, window_hashes(data, LENGTH)[begin], begin, data
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the LENGTH-byte strings at ``a`` and ``b`` are the same, byte by byte."""
+    x, same = loads(data), np.ones(len(a), bool)
+    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        same &= x[a + k] == x[b + k]
+    return same
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -189,11 +213,12 @@ def _merged(rows: DataFrame) -> DataFrame:
                 base = size[cut[first] - 1] if cut[first] else 0
                 last = max(first + 1, int(np.searchsorted(size[np.append(cut[1:], len(name)) - 1], base + (1 << 21), "right")))
                 a, z = cut[first], cut[last] if last < len(cut) else len(name)
-                row, k, h = _starts(lo[a:z], hi[a:z], t.column("bytes").slice(a, z - a))
+                row, k, h, begin, data = _starts(lo[a:z], hi[a:z], t.column("bytes").slice(a, z - a))
                 row += a
                 order = np.lexsort((h, off[row] - k, name[row]))
                 h2, o2, n2 = h[order], (off[row] - k)[order], name[row][order]
                 same = (h2[1:] == h2[:-1]) & (o2[1:] == o2[:-1]) & (n2[1:] == n2[:-1])
+                same[same] = _equal(data, begin[order[1:][same]], begin[order[:-1][same]])
                 hit = np.zeros(len(row), bool)
                 hit[order[1:][same]] = True
                 hit[order[:-1][same]] = True
@@ -208,17 +233,19 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 
 def _spelled(rows: DataFrame) -> DataFrame:
-    """(name, o, h, doc, at): every start of fetched suffixes by its offset from the sampled place and its bytes' hash."""
+    """(name, o, h, h2, doc, at): every start of fetched suffixes by its offset from the sampled place and 128 bits of hash
+    of its bytes."""
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 2048):
                 b = whole.slice(first, 2048)
                 name, doc, lo, hi, off = (b.column(c).to_numpy() for c in ("name", "doc", "lo", "hi", "off"))
-                row, k, h = _starts(lo, hi, b.column("bytes"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name[row], off[row] - k, h.view(np.int64), doc[row], lo[row] + k)], ["name", "o", "h", "doc", "at"])
+                row, k, h, begin, data = _starts(lo, hi, b.column("bytes"))
+                h2 = window_hashes(data, LENGTH, 1)[begin]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name[row], off[row] - k, h.view(np.int64), h2.view(np.int64), doc[row], lo[row] + k)], ["name", "o", "h", "h2", "doc", "at"])
 
-    return rows.mapInArrow(spelled, "name long, o long, h long, doc long, at long")
+    return rows.mapInArrow(spelled, "name long, o long, h long, h2 long, doc long, at long")
 
 
 def _merged_hot(rows: DataFrame) -> DataFrame:
@@ -233,18 +260,32 @@ def _merged_hot(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(at[head]), pa.array(at[last])], ["doc", "lo", "hi"])
 
     starts = _spelled(settled(rows, "fetched"))
-    again = settled(starts.groupBy("name", "o", "h").agg(F.count("*").alias("c")).where("c > 1").select("name", "o", "h"), "again")
-    return starts.join(_few(again), ["name", "o", "h"], "left_semi").select("doc", "at").mapInArrow(runs, "doc long, lo long, hi long")
+    key = ["name", "o", "h", "h2"]
+    again = settled(starts.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").select(*key), "again")
+    return starts.join(_few(again), key, "left_semi").select("doc", "at").mapInArrow(runs, "doc long, lo long, hi long")
 
 
 def _near(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "doc", how)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, text, n): doc tells texts apart that share an id."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Rows (doc_id, doc, text), and what gives ``docs`` with all its columns the same column doc. doc tells texts apart: the id itself where ids are unique
+    and none is null, else a number for each pair of id and text (told by 256 bits), equal rows sharing one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("doc"), text.alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    n = base.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if n[0] == n[2]:
+        return base.withColumn("doc", F.col("doc_id")), lambda t: t.withColumn("doc", F.col("doc_id").cast("long"))
+    told = lambda t: (t["doc_id"].cast("long"), F.sha2(F.coalesce(t["text"].cast("string"), F.lit("")), 256))
+    # written once, so that a number stays what it is
+    ids = settled(base.select(*[c.alias(k) for k, c in zip(("i", "s"), told(base), strict=True)]).distinct().withColumn("doc", F.monotonically_increasing_id()), "numbers")
+
+    def numbered(t: DataFrame) -> DataFrame:
+        i, s = told(t)
+        return t.join(ids, i.eqNullSafe(F.col("i")) & (s == F.col("s"))).drop("i", "s")
+
+    return settled(numbered(base), "numbered"), numbered
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -252,18 +293,19 @@ def spans(docs: DataFrame) -> DataFrame:
     shared_dir(docs.sparkSession)
     size = F.octet_length("text").cast("long")
     whole = settled(docs.where(F.octet_length("text") >= LENGTH).select("doc", size.alias("n"), F.md5("text").alias("h")), "texts")
-    copies = whole.groupBy("h", "n").agg(F.count("*").alias("c"), F.min("doc").alias("one")).where("c > 1")
+    # settled, so that the join below is of two plain shuffles: Spark splits the one that a large group of copies skews
+    copies = settled(whole.groupBy("h", "n").agg(F.count("*").alias("c"), F.min("doc").alias("one")).where("c > 1").select("h", "n", "one"), "groups")
     copies = settled(whole.join(copies, ["h", "n"]).select("doc", "n", "one"), "copies")
     rest = _near(docs, copies.where("doc <> one").select("doc").distinct(), "left_anti")
     suffixes = settled(_suffixes(rest.where(F.octet_length("text") >= LENGTH)), "suffixes")
     hot = _hot_names(suffixes)
     some = bool(hot.take(1))
-    ranked = settled(_compared(suffixes.join(F.broadcast(hot), "name", "left_anti") if some else suffixes), "ranked")
+    ranked = settled(_compared(suffixes.join(_few(hot), "name", "left_anti") if some else suffixes), "ranked")
     inner = suffixes.where("off < 0").select("doc", "lo", "hi")
     checks = ranked.where("check").select("name", "doc", "lo", "hi", "off")
     runs = inner.union(ranked.where("repeat").select("doc", "lo", "hi")).union(_merged(_fetched(rest, checks)))
     if some:
-        repeats, more = _counted(suffixes.join(F.broadcast(hot), "name", "left_semi"))
+        repeats, more = _counted(suffixes.join(_few(hot), "name", "left_semi"))
         runs = runs.union(repeats).union(_merged_hot(_fetched(rest, more)))
     covered = runs.select("doc", "lo", (F.col("hi") + LENGTH).alias("end")).union(copies.select("doc", F.lit(0).cast("long"), "n"))
 
@@ -294,7 +336,7 @@ def kept_bytes(data: bytes, starts: list[int], ends: list[int]) -> bytes:
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    base = _keyed(docs)
+    base, _ = _keyed(docs)
     s = settled(spans(base.select("doc", "text")), "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -320,9 +362,10 @@ def remove(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut out of its text; of a character that a cut splits nothing is left. Other
     columns stay as they are (n_chars too, where there is one, is counted anew)."""
     p = {c: f"__doc_{i}" for i, c in enumerate(docs.columns)}
-    key = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in p.items()], key.alias("doc"))
-    s = settled(spans(_keyed(docs).select("doc", "text")), "spans")
+    base, numbered = _keyed(docs)
+    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in p.items()], "doc_id", "text")
+    held = numbered(held).drop("doc_id", "text")
+    s = settled(spans(base.select("doc", "text")), "spans")
     at = p["text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
