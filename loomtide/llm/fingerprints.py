@@ -11,8 +11,9 @@ deleting one is adding or subtracting its vector. A vector has two parts:
 All is DataFrame code. Pieces are exploded and summed before the shuffle, three lanes to a long, at most 2**19 pieces
 to a partial sum, so no lane runs into the next however long the text is.
 
-Null is the empty text (one empty paragraph, no pieces). A document is its doc_id: of rows with the same id the one
-with the fewest code points, then the least text, counts. A null doc_id is a document too, after all others.
+Null is the empty text (one empty paragraph, no pieces). Every row has its result. Rows go by descending id, null last, rows
+that repeat an id by code points and then by their key; so the next row of one that is repeated may be its equal. Texts are
+whole however long.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ ONES = 1 | 1 << 21 | 1 << 42
 BLOCK = 1 << 19
 PIECE = rf"{WORD}(?:[\x20\x09-\x0D]+{WORD}){{0,3}}"
 VECTOR = [f"v{i}" for i in range(2 * LANES)]
+#: Rows of a window over neighbours, and how many windows there are at most (their ends are one small table).
+ROWS, MOST_RANGES = 1 << 14, 20_000
 
 
 def paragraphs(text: Column) -> Column:
@@ -96,59 +99,69 @@ def likeness(a: Column, b: Column, same: Column) -> Column:
     return F.when(same, F.lit(1.0)).when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / norm))).otherwise(F.lit(0.0))
 
 
-def ring(ids: DataFrame) -> DataFrame:
-    """(k, n, next_k, prev_k, prev_n) of rows (k long, n long) with distinct k: neighbours by descending k, the ends
-    joined. Blocks of keys are windows of about 2**14 rows; only their two end rows meet in one small table."""
-    low, high, count = ids.agg(F.min("k"), F.max("k"), F.count("*")).first()
-    if not count:
-        return ids.select("k", "n", F.col("k").alias("next_k"), F.col("k").alias("prev_k"), F.col("n").alias("prev_n"))
-    width = max(1, -(-(high - low + 1) // -(-count // (1 << 14))))
-    ids = ids.withColumn("block", F.expr(f"cast((cast(k as decimal(20,0)) - cast({low} as decimal(20,0))) div cast({width} as decimal(20,0)) as bigint)"))
-    ends = ids.groupBy("block").agg(F.max("k").alias("top"), F.min("k").alias("bottom"), F.min_by("n", "k").alias("bottom_n"))
-    w, every = Window.orderBy(F.col("block").desc()), Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def ring(rows: DataFrame) -> DataFrame:
+    """(k, next_k, prev_k, prev_n) of rows (doc_id, n, k) with distinct k: neighbours by descending doc_id, the ends joined.
+
+    Rows are dealt by ranges that a sample makes alike in rows, whatever the ids are; a window is over one range (about
+    ROWS rows, more only where there are over MOST_RANGES). Only the ranges' end rows meet in one small table."""
+    order = [F.col("doc_id").desc_nulls_last(), F.col("n"), F.col("k")]
+    ranges = max(1, min(MOST_RANGES, -(-rows.count() // ROWS)))
+    dealt = settled(rows.repartitionByRange(ranges, *order).withColumn("block", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("block").orderBy(*order)
+    near = dealt.select("k", "n", "block", F.lead("k").over(w).alias("next_k"), F.lag("k").over(w).alias("prev_k"), F.lag("n").over(w).alias("prev_n"))
+    near = settled(near, "ring")
+    ends = near.where("prev_k is null").select("block", F.col("k").alias("top")).join(near.where("next_k is null").select("block", F.col("k").alias("low"), F.col("n").alias("low_n")), "block")
+    w, every = Window.orderBy("block"), Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select(
         "block",
         F.coalesce(F.lead("top").over(w), F.first("top").over(every)).alias("below"),
-        F.coalesce(F.lag("bottom").over(w), F.last("bottom").over(every)).alias("above"),
-        F.coalesce(F.lag("bottom_n").over(w), F.last("bottom_n").over(every)).alias("above_n"),
-    )
-    w = Window.partitionBy("block").orderBy(F.col("k").desc())
-    ids = ids.withColumns({"next_k": F.lead("k").over(w), "prev_k": F.lag("k").over(w), "prev_n": F.lag("n").over(w)})
-    return ids.join(ends, "block").select(
-        "k", "n", F.coalesce("next_k", "below").alias("next_k"), F.coalesce("prev_k", "above").alias("prev_k"), F.coalesce("prev_n", "above_n").alias("prev_n")
-    )
+        F.coalesce(F.lag("low").over(w), F.last("low").over(every)).alias("above"),
+        F.coalesce(F.lag("low_n").over(w), F.last("low_n").over(every)).alias("above_n"),
+    )  # a row for each range: at most MOST_RANGES, so that it is broadcast
+    return near.join(F.broadcast(ends), "block").select("k", F.coalesce("next_k", "below").alias("next_k"), F.coalesce("prev_k", "above").alias("prev_k"), F.coalesce("prev_n", "above_n").alias("prev_n"))
 
 
 def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
-    """Every document and its edited text (the last third replaced by the head of the next document): doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    low = docs.agg(F.min("doc_id")).first()[0]
-    none = (low or 0) - 1  # the key of a null id
-    base = docs.select(F.coalesce("doc_id", F.lit(none).cast("long")).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("n", F.length("text").cast("long"))
-    near = settled(ring(base.groupBy("k").agg(F.min("n").alias("n"))), "ring")
+    """Every row and its edited text (the last third replaced by the head of the next row): doc_id, n_chars, edited_sha256,
+    fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Equal rows are worked on once, under the key of their id and text: all but the last of them have an equal one as next."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))))
+    base = base.withColumns({"k": key, "n": F.length("text").cast("long")})
+    rows = settled(base.groupBy("doc_id", "n", "k").agg((F.count("*") - 1).alias("more")), "rows")
+    near = settled(ring(rows).join(rows.select("k", "more"), "k"), "near")
     # both sides below need the same rows by k, so one shuffle of the texts serves them
-    one = base.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("n", "text"))).where("at = 1").select("k", "text", "n")
-    own = one.join(near.select("k", "next_k"), "k")
+    one = base.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("n"))).where("at = 1").select("k", "doc_id", "text", "n")
+    own = one.join(near.select("k", "next_k", "more"), "k")
     heads = one.join(near.select("k", "prev_k", "prev_n"), "k").select(F.col("prev_k").alias("k"), F.expr("left(text, cast(prev_n div 3 as int))").alias("head"))
-    both = own.join(heads, "k").withColumn("edited", F.concat(F.expr("left(text, cast(n - n div 3 as int))"), F.col("head")))
-    both = both.withColumn("doc_id", F.when(F.col("k") != none, F.col("k")))
-    both = both.select("k", "doc_id", "n", "next_k", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("text")))).alias("x"))
-    both = both.select("k", "doc_id", "n", "next_k", F.col("x.v").alias("v"), F.when(F.col("x.v") == 1, F.sha2(F.col("x.text"), 256)).alias("sha"), exact_lanes(F.col("x.text")).alias("exact"), F.col("x.text").alias("text"))
-    keys = ["k", "doc_id", "n", "next_k", "v", "sha", "exact"]
-    parts = sketches(both, keys)
+    body = F.expr("left(text, cast(n - n div 3 as int))")
+    said = lambda v, text: F.struct(F.lit(v).alias("v"), text.alias("text"))
+    texts = [said(0, F.col("text")), said(1, F.concat(body, F.col("head")))]
+    again = said(2, F.concat(body, F.expr("left(text, cast(n div 3 as int))")))  # edited by an equal row
+    both = own.join(heads, "k").select("k", "doc_id", "n", "next_k", "more", F.explode(F.when(F.col("more") > 0, F.array(*texts, again)).otherwise(F.array(*texts))).alias("x"))
+    both = both.select("k", "doc_id", "n", "next_k", "more", F.col("x.v").alias("v"), F.when(F.col("x.v") > 0, F.sha2(F.col("x.text"), 256)).alias("sha"), exact_lanes(F.col("x.text")).alias("exact"), F.col("x.text").alias("text"))
+    held = ["k", "doc_id", "n", "next_k", "more"]
+    parts = sketches(both, [*held, "v", "sha", "exact"])
     pick = lambda c, v: F.max_by(c, F.col("v") == v).alias(f"{c}{v}")
-    whole = parts.groupBy("k", "doc_id", "n", "next_k").agg(*[pick(c, v) for v in (0, 1) for c in ("vector", "n_pieces", "exact", "sha")])
+    whole = parts.groupBy(*held).agg(*[pick(c, v) for v in (0, 1, 2) for c in ("vector", "n_pieces", "exact", "sha")])
     whole = settled(whole, "fingerprints")
     after = whole.select(F.col("k").alias("next_k"), F.col("vector0").alias("nv"), F.col("n_pieces0").alias("nn"), F.col("exact0").alias("ne"))
-    out = whole.join(after, "next_k").withColumns({"s0": signs(F.col("vector0"), F.col("n_pieces0")), "s1": signs(F.col("vector1"), F.col("n_pieces1")), "s2": signs(F.col("nv"), F.col("nn"))})
     shown = lambda v: F.concat("exact" + v, F.lit("."), F.hex(F.col("n_pieces" + v)), F.lit("."), F.array_join(F.transform("vector" + v, lambda x: F.lower(F.hex(x))), ":"))
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_chars"),
-        F.col("sha1").alias("edited_sha256"),
-        shown("0").alias("fingerprint"),
-        shown("1").alias("edited_fingerprint"),
-        likeness(F.col("s0"), F.col("s1"), F.col("exact0") == F.col("exact1")).alias("near_edited"),
-        likeness(F.col("s0"), F.col("s2"), F.col("exact0") == F.col("ne")).alias("near_next"),
-    )
+    signed = lambda v: signs(F.col("vector" + v), F.col("n_pieces" + v))
+
+    def told(rows: DataFrame, v: str, near_next: Column) -> DataFrame:
+        return rows.select(
+            "doc_id",
+            F.col("n").alias("n_chars"),
+            F.col("sha" + v).alias("edited_sha256"),
+            shown("0").alias("fingerprint"),
+            shown(v).alias("edited_fingerprint"),
+            likeness(F.col("s0"), F.col("s" + v), F.col("exact0") == F.col("exact" + v)).alias("near_edited"),
+            near_next.alias("near_next"),
+        )
+
+    last = whole.join(after, "next_k").withColumns({"s0": signed("0"), "s1": signed("1"), "sn": signs(F.col("nv"), F.col("nn"))})
+    last = told(last, "1", likeness(F.col("s0"), F.col("sn"), F.col("exact0") == F.col("ne")))
+    first = whole.where("more > 0").withColumns({"s0": signed("0"), "s2": signed("2")}).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("more"))))
+    return last.union(told(first, "2", F.lit(1.0)))

@@ -4,8 +4,13 @@ The statistics and the verdict are DataFrame expressions on the row itself: no s
 Learning sees at most ``max_rows`` labelled rows (a bounded sample, the ones with the smallest hash) as a table of
 numbers on the driver; it grows a conjunction of thresholds on one part of the rows and prunes it on the other.
 
-Null and empty texts have no words, so their statistics are 0 and they fail the base rule. Repeated rows and ids are
-judged row by row. Without labelled rows of both classes the list is empty and its default verdict is "keep".
+The list has at most ``max_rules`` (12) rules of at most ``max_tests`` (4) thresholds, each from ``bins`` - 1 (63) quantiles of
+the rows that are left: parameters of ``learn`` that keep the list readable. They bound the model, not the rows it judges.
+
+Null and empty texts have no words, so their statistics are 0 and they fail the base rule. Texts are whole however long.
+Repeated rows and ids are judged row by row; of an id's differing labels the lowest counts. A value that ties with a
+threshold is below it. Without labelled rows of both classes (an empty table too) the list is empty and its default
+verdict is "keep".
 """
 
 from __future__ import annotations

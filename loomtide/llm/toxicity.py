@@ -1,12 +1,14 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Every distinct 4-, 5- and 6-gram of code points of the lower-cased text is a hashed binary feature. Its value is
-log(P(feature | toxic) / P(feature | clean)), and a logistic regression learns how far to trust each ratio. Both are
-fitted on a bounded sample (at most ``max_toxic`` toxic and ``max_clean`` clean labelled documents, those whose ids hash
-lowest). The model is one vector of BUCKETS weights, broadcast; scoring is a pass over the rows.
+log(P(feature | toxic) / P(feature | clean)), and a logistic regression (Spark's own, over the cluster) learns how far to
+trust each ratio: all buckets take part, and one that neither class has seen more of has the ratio 0. Both are fitted on a
+bounded sample (at most ``max_toxic`` toxic and ``max_clean`` clean labelled documents, those whose ids hash lowest). The
+model is one vector of BUCKETS weights, broadcast; scoring is a pass over the rows.
 
 Null and empty texts have no features and get the intercept's score. Texts are whole however long; each row is scored
-by itself. Without labels of both classes every score is the share of toxic labels (0 without labels).
+by itself, so repeated rows agree. Rows that repeat an id all take that id's label, toxic where labels differ. Without labels
+of both classes every score is the share of toxic labels (0 without labels).
 """
 
 from __future__ import annotations
@@ -16,16 +18,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc32_mod, settled, utf8_blocks
 
 BUCKETS = 1 << 18
 ORDERS = (4, 5, 6)
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
-SMOOTH = 1.0
-LEAST_DOCUMENTS = 4
+#: Documents that are added to the counts of a bucket, dealt to the classes by their sizes.
+SMOOTH = 2.0
+#: Of the regression: steps at most, and the ridge on coefficients of features of unit mean square.
+STEPS, RIDGE = 40, 1e-4
 
 
 def features(offsets: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
@@ -61,23 +68,40 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     some = lowest(F.col("toxic") > 0, max_toxic).union(lowest(F.col("toxic") <= 0, max_clean))
     share = usable.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-    rows = settled(rows, "labelled")  # the bounded sample; two passes read it
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    rows = settled(rows, "labelled")  # the bounded sample; it is read again
     counted = rows.coalesce(8).mapInArrow(_counted, "p binary, q binary, n long, m long").collect()
     add = lambda k: sum((np.frombuffer(r[k], np.int32) for r in counted), np.zeros(BUCKETS, np.int64))
     toxic, clean = sum(r["n"] for r in counted), sum(r["m"] for r in counted)
-    ratio, kept = ratios(add("p"), add("q"), toxic, clean)
-    place = docs.sparkSession.sparkContext.broadcast(kept)
-
-    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = np.full(BUCKETS, -1, np.int32)
-        at[place.value] = np.arange(len(place.value), dtype=np.int32)
+    if not toxic or not clean:
+        share = min(max(share, 1e-6), 1 - 1e-6)
+        return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
+    p, q = add("p"), add("q")
+    ratio = ratios(p, q, toxic, clean)
+    value = ratio / np.sqrt(max(1e-12, ((p + q) * ratio**2).sum() / (toxic + clean)))  # features of unit mean square
+    shared = docs.sparkSession.sparkContext.broadcast(value)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = shared.value
         for b in batches:
-            got = [at[f] for _, o, d in utf8_blocks(_lower(b.column("text"))) for f in features(o, d)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([np.sort(g[g >= 0]).tobytes() for g in got], pa.binary())], ["doc_id", "toxic", "at"])
-
-    got = sorted(rows.mapInArrow(telling, "doc_id long, toxic int, at binary").collect(), key=lambda r: (r["doc_id"], r["at"]))
-    return train([np.frombuffer(r["at"], np.int32) for r in got], np.array([r["toxic"] > 0 for r in got], float), ratio, kept, share)
+            toxic_ = b.column("toxic").to_numpy() > 0
+            for at, o, d in utf8_blocks(_lower(b.column("text"))):
+                got = [np.sort(f) for f in features(o, d)]
+                got = [f[value[f] != 0] for f in got]
+                y = toxic_[at : at + len(got)]
+                cut = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
+                flat = np.concatenate([*got, np.empty(0, np.int64)])
+                n = len(got)
+                vector = pa.StructArray.from_arrays(
+                    [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, BUCKETS, np.int32)), pa.ListArray.from_arrays(cut, pa.array(flat.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(value[flat]))],
+                    ["type", "size", "indices", "values"],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(y.astype(float)), pa.array(np.where(y, 0.5 / toxic, 0.5 / clean)), vector], ["label", "weight", "features"])
+
+    kind = StructType([StructField("label", DoubleType()), StructField("weight", DoubleType()), StructField("features", VectorUDT())])
+    learner = LogisticRegression(maxIter=STEPS, regParam=RIDGE, standardization=False, weightCol="weight", aggregationDepth=2)
+    model = learner.fit(rows.mapInArrow(vectors, kind))
+    return (np.asarray(model.coefficients.toArray()) * value).astype(np.float32), float(model.intercept)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,36 +117,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*[pa.array([of[k].tobytes()], pa.binary()) for k in (0, 1)], *[pa.array([k], pa.int64()) for k in n]], ["p", "q", "n", "m"])
 
 
-def ratios(p: np.ndarray, q: np.ndarray, toxic: int, clean: int, keep: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """Log-count ratios of all buckets, and the ``keep`` buckets that tell most."""
-    ratio = np.log((p + SMOOTH) / (toxic + 2 * SMOOTH)) - np.log((q + SMOOTH) / (clean + 2 * SMOOTH))
-    ratio[p + q < LEAST_DOCUMENTS] = 0
-    tells = np.abs(ratio) * np.sqrt(p + q)
-    kept = np.sort(np.argsort(-tells, kind="stable")[:keep])
-    return ratio, kept[tells[kept] > 0]
-
-
-def train(at: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, kept: np.ndarray, share: float, steps: int = 500, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Logistic regression on the kept features (``at``: their places in ``kept``, by text), each worth its ratio."""
-    weights = np.zeros(BUCKETS, np.float32)
-    if not len(y) or y.min() == y.max():
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        return weights, float(np.log(share / (1 - share)))
-    row = np.repeat(np.arange(len(y)), [len(a) for a in at])
-    col = np.concatenate(at)
-    value = ratio[kept][col]
-    scale = 1 / np.sqrt(max(1.0, (value**2).sum() / len(y)))  # features of unit mean square: one step size fits
-    value = value * scale
-    each = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    theta, bias, speed, speed_b = np.zeros(len(kept)), 0.0, np.zeros(len(kept)), 0.0
-    for _ in range(steps):
-        z = np.bincount(row, value * (theta + 0.9 * speed)[col], len(y)) + bias + 0.9 * speed_b
-        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * each
-        speed = 0.9 * speed - 2.0 * (np.bincount(col, value * off[row], len(kept)) + ridge * theta)
-        speed_b = 0.9 * speed_b - 2.0 * off.sum()
-        theta, bias = theta + speed, bias + speed_b
-    weights[kept] = (theta * scale * ratio[kept]).astype(np.float32)
-    return weights, float(bias)
+def ratios(p: np.ndarray, q: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Log-count ratios of all buckets: 0 for those that are as frequent in either class, or in none."""
+    share = toxic / (toxic + clean)
+    return np.log((p + SMOOTH * share) / toxic) - np.log((q + SMOOTH * (1 - share)) / clean)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], folds: int = 4, held: int = 2) -> DataFrame:

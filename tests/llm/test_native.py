@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import re
+import unicodedata
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from loomtide.llm import fingerprints as fp
 from loomtide.llm import mixing, quality_rules
+from loomtide.llm.common import settled
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -22,6 +24,30 @@ def stats(text):
     return len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t), len(lines) - len(set(lines)), len(covered)
 
 
+def plain_verdict(rules, text):
+    """The learned list, evaluated in plain Python."""
+    t = text or ""
+    w, s = WORD.findall(t), stats(text)
+    lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+    ratio = lambda a, b: a / b if b else 0.0
+    upper = sum(unicodedata.category(c) == "Lu" for c in t)
+    x = {"n_words": s[0], "r_symbols": ratio(s[2], s[0]), "r_repeat": ratio(s[4], s[0]), "r_dup_lines": ratio(s[3], lines), "r_distinct": ratio(len(set(w)), s[0]), "r_length": ratio(s[1], s[0]), "r_upper": ratio(upper, s[1]), "r_stops": ratio(sum(c in "!?" for c in t), s[0])}
+    for rule in rules.rules:
+        if all(x[n] <= b if op == "<=" else x[n] > b for n, op, b in rule.tests):
+            return rule.keep
+    return rules.default_keep
+
+
+def test_the_emitted_list_is_the_learned_one(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, known = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.fit(docs, known)
+    assert rules.rules
+    got = quality_rules.judge(docs, rules).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert [r["kept"] for r in got] == [not r["base_failed"] and plain_verdict(rules, r["text"]) for r in got]
+    assert 0 < sum(not plain_verdict(rules, r["text"]) for r in got if not r["base_failed"])
+
+
 def test_rules_statistics_and_verdict(odd, labels):
     rules = quality_rules.fit(odd, labels)
     got = quality_rules.judge(odd, rules).join(odd.select("doc_id", "text"), "doc_id").collect()
@@ -30,7 +56,7 @@ def test_rules_statistics_and_verdict(odd, labels):
         n = stats(r["text"])
         assert tuple(r[k] for k in quality_rules.BASE) == n
         assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0])
-        assert not (r["base_failed"] and r["kept"])
+        assert r["kept"] == (not r["base_failed"] and plain_verdict(rules, r["text"]))
     assert quality_rules.judge(odd, rules).count() == odd.count()
 
 
@@ -123,10 +149,49 @@ def test_fingerprints_of_edits(edge):
     assert np.median([got[d]["near_edited"] for d in long]) > 0.5
 
 
-def test_fingerprints_with_null_and_repeated_ids(odd):
+def plain_sketch(text):
+    """The 126 centred sums, and the equality lanes, by plain arithmetic; hashes of pieces come from Spark's function."""
+    lines = (text or "").split("\n")
+    exact = [sum(int(hashlib.sha512(x.encode()).hexdigest()[j * 8 : j * 8 + 8], 16) for x in lines) % 2**32 for j in range(16)]
+    return exact, [m[0] for x in lines for m in re.finditer(fp.PIECE, x)]
+
+
+def test_likeness_equals_plain_arithmetic(spark, edge):
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in edge.select("doc_id", "text").collect()), reverse=True)
+    rows = [(d, t) for d, t in rows if len(t) < 20_000]
+    got = {r["doc_id"]: r for r in fp.fingerprints_with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    texts = {}
+    for i, (d, t) in enumerate(rows):
+        k = len(t) // 3
+        texts[d, 0], texts[d, 1], texts[d, 2] = t, t[: len(t) - k] + rows[(i + 1) % len(rows)][1][:k], rows[(i + 1) % len(rows)][1]
+    pieces = sorted({p for t in texts.values() for p in plain_sketch(t)[1]})
+    hashed = spark.createDataFrame([(p,) for p in pieces], "p string").select("p", F.xxhash64("p").alias("h0"), F.xxhash64("p", F.lit(1)).alias("h1")).collect()
+    bits = {r["p"]: np.array([(h >> (k + 21 * j)) & 1 for j in range(3) for h in (r["h0"] % 2**64, r["h1"] % 2**64) for k in range(21)]) for r in hashed}
+    sums = {}
+    for key, t in texts.items():
+        exact, p = plain_sketch(t)
+        sums[key] = exact, (2 * sum((bits[x] for x in p), np.zeros(126)) - len(p))
+    for d, _ in rows:
+        (e0, a), (e1, b), (e2, c) = (sums[d, v] for v in range(3))
+        assert got[d]["fingerprint"].split(".")[0] == "".join(f"{x:08x}" for x in e0)
+        for name, e, x in (("near_edited", e1, b), ("near_next", e2, c)):
+            size = np.sqrt((a @ a) * (x @ x))
+            want = 1.0 if e == e0 else min(1.0, max(0.0, a @ x / size)) if size else 0.0
+            assert abs(got[d][name] - want) < 1e-9
+
+
+def test_fingerprints_with_null_and_repeated_ids(spark, odd):
     got = fp.fingerprints_with_edits(odd).collect()
-    assert len(got) == odd.select("doc_id").distinct().count()
-    assert sum(r["doc_id"] is None for r in got) == 1
+    assert len(got) == odd.count() and sum(r["doc_id"] is None for r in got) == 1
+    rows = [(5, "e f g h i j"), (5, "e f g h i j"), (5, "e f g h i j"), (5, "zz"), (9, "nine nine nine"), (None, "none a"), (None, "none a"), (None, None), (2, "")]
+    got = fp.fingerprints_with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    ring = [(9, "nine nine nine"), (5, "zz"), *rows[:3], (2, ""), (None, ""), (None, "none a"), (None, "none a")]
+    want = []
+    for i, (d, t) in enumerate(ring):
+        k = len(t) // 3
+        after = ring[(i + 1) % len(ring)][1]
+        want.append((str(d), len(t), hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest(), t == after))
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["near_next"] == 1.0) for r in got) == sorted(want)
 
 
 def test_fingerprints_add_and_remove(spark):
@@ -143,10 +208,22 @@ def test_fingerprints_add_and_remove(spark):
     assert r["x"] and r["y"]
 
 
-def test_ring_across_blocks(spark):
-    ids = [3, 4, 9, 10, 500, 501, 100_000, -7]
-    df = spark.createDataFrame([(i, i % 5) for i in ids], "k long, n long")
-    order = sorted(ids, reverse=True)
-    for r in fp.ring(df).collect():
-        at = order.index(r["k"])
-        assert r["next_k"] == order[(at + 1) % len(order)] and r["prev_k"] == order[at - 1] and r["prev_n"] == order[at - 1] % 5
+def test_ring_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fp, "ROWS", 3)
+    ids = [3, 4, 9, 10, 500, 501, 100_000, -7, None, *range(1000, 1040)]
+    df = spark.createDataFrame([(i, (i or 0) % 5, str(i).encode()) for i in ids], "doc_id long, n long, k binary")
+    order = [str(i).encode() for i in sorted(ids, key=lambda i: (i is None, -(i or 0)))]
+    size = {str(i).encode(): (i or 0) % 5 for i in ids}
+    got = fp.ring(df).collect()
+    assert len(got) == len(ids)
+    for r in got:
+        at = order.index(bytes(r["k"]))
+        assert bytes(r["next_k"]) == order[(at + 1) % len(order)] and bytes(r["prev_k"]) == order[at - 1] and r["prev_n"] == size[order[at - 1]]
+
+
+def test_one_far_id_makes_no_large_window(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(fp, "settled", lambda df, name: seen.append(out := settled(df, name)) or out)
+    ids = spark.range(150_000).select(F.when(F.col("id") == 7, F.lit(1 << 60)).otherwise(F.col("id")).alias("doc_id"), F.lit(1).cast("long").alias("n"))
+    fp.ring(ids.withColumn("k", F.unhex(F.md5(F.col("doc_id").cast("string"))))).count()
+    assert seen[0].groupBy("block").count().agg(F.max("count")).first()[0] < 1 << 15
