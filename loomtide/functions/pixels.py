@@ -93,15 +93,16 @@ def autocontrast(px: Column, channels: int = 3) -> Column:
 
 def equalize(px: Column, channels: int = 3) -> Column:
     """Histogram equalisation by channel: step = (pixels below the largest value) div 255; 0 leaves the channel."""
-    per = F.array(*[channel(px, c, channels) for c in range(channels)])
 
-    def one(v: Column, k: Column, e: Column) -> Column:
-        ch = at(e, k % channels)
-        step = F.floor(F.size(F.filter(ch, lambda x: x < F.array_max(ch))) / 255).cast("int")
-        below = F.size(F.filter(ch, lambda x: x < v))
-        return let(step, lambda s: F.when(s == 0, v).otherwise(F.least(F.floor((F.floor(s / 2) + below) / F.when(s == 0, F.lit(1)).otherwise(s)), F.lit(255)).cast("int")))
+    def table(ch: Column) -> Column:
+        """What each of the 256 values becomes."""
+        below = let(ch, lambda x: F.transform(F.sequence(F.lit(0), F.lit(256)), lambda v: F.size(F.filter(x, lambda y: y < v))))
+        # all but the pixels of the largest value: the greatest count below a value that is not yet the whole
+        step = lambda b: F.floor(F.array_max(F.filter(b, lambda n: n < at(b, 256))) / 255).cast("int")
+        moved = lambda b, s: F.transform(b, lambda n, v: F.when(s == 0, v).otherwise(F.least(F.floor((F.floor(s / 2) + n) / F.when(s == 0, F.lit(1)).otherwise(s)), F.lit(255)).cast("int")))
+        return let(below, lambda b: let(step(b), lambda s: moved(b, s)))
 
-    return let(per, lambda e: F.transform(px, lambda v, k: one(v, k, e)))
+    return let(F.array(*[table(channel(px, c, channels)) for c in range(channels)]), lambda e: F.transform(px, lambda v, k: at(at(e, k % channels), v.cast("int"))))
 
 
 def normalize(px: Column, mean: list[float], std: list[float]) -> Column:

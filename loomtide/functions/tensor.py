@@ -105,6 +105,49 @@ def where(cond: Column, a: Column, b: Column) -> Column:
     return checked((F.size(cond) == F.size(a)) & (F.size(a) == F.size(b)), F.transform(F.arrays_zip(cond.alias("c"), a.alias("a"), b.alias("b")), lambda z: F.when(z["c"] != 0, z["a"]).otherwise(z["b"])), "tensors must have equal shapes")
 
 
+# broadcast forms: shapes are aligned from the last axis on, and an axis of one is repeated
+
+
+def broadcast_shape(s: Shape, t: Shape) -> Shape:
+    n = max(len(s), len(t))
+    one, two = (1,) * (n - len(s)) + tuple(s), (1,) * (n - len(t)) + tuple(t)
+    if any(p != q and 1 not in (p, q) for p, q in zip(one, two, strict=True)):
+        raise ValueError(f"shapes {s} and {t} do not broadcast")
+    return tuple(q if p == 1 else p for p, q in zip(one, two, strict=True))
+
+
+def broadcast_as(a: Column, shape: Shape, to: Shape) -> Column:
+    """``a`` repeated to the shape ``to``; also called expand."""
+    if broadcast_shape(shape, to) != tuple(to):
+        raise ValueError(f"shape {shape} does not broadcast to {to}")
+    own = (1,) * (len(to) - len(shape)) + tuple(shape)
+    old, new = strides(own), strides(tuple(to))
+    if own == tuple(to):
+        return a
+    terms = [(new[d], to[d], old[d]) for d in range(len(to)) if own[d] > 1]
+    place = lambda k: reduce(lambda x, y: x + y, [((k / step).cast("int") % n) * jump for step, n, jump in terms], F.lit(0))
+    return let(a, lambda v: built(size_of(tuple(to)), lambda k: at(v, place(k))))
+
+
+expand = broadcast_as
+
+
+def broadcast_left(a: Column, shape: Shape, left: Shape) -> Column:
+    """``a`` repeated for new axes before its own."""
+    return broadcast_as(a, shape, (*left, *shape))
+
+
+def _broadcast(f):
+    def run(a: Column, s: Shape, b: Column, t: Shape) -> Column:
+        to = broadcast_shape(s, t)
+        return f(broadcast_as(a, s, to), broadcast_as(b, t, to))
+
+    return run
+
+
+broadcast_add, broadcast_sub, broadcast_mul, broadcast_div, broadcast_pow = (_broadcast(f) for f in (add, sub, mul, div, power))
+
+
 # reductions of the whole tensor
 
 
@@ -213,7 +256,48 @@ def permute(a: Column, shape: Shape, order: Shape) -> Column:
     new = tuple(shape[k] for k in order)
     old, now = strides(shape), strides(new)
     place = lambda k: reduce(lambda x, y: x + y, [((k / now[d]).cast("int") % new[d]) * old[order[d]] for d in range(len(new))])
-    return built(size_of(shape), lambda k: at(a, place(k)))
+    return let(a, lambda v: built(size_of(shape), lambda k: at(v, place(k))))
+
+
+def reshape(a: Column, shape: Shape, to: Shape) -> Column:
+    """The same elements in another shape; one axis of ``to`` may be -1."""
+    known = math.prod(n for n in to if n != -1)
+    size = size_of(shape)
+    if to.count(-1) > 1 or (size % known if known and -1 in to else size != known):
+        raise ValueError(f"shape {shape} does not reshape to {to}")
+    return a
+
+
+def squeezed(shape: Shape, dim: int) -> Shape:
+    """The shape without an axis of one; elements stay as they are."""
+    if shape[dim] != 1:
+        raise ValueError("only an axis of one can be squeezed")
+    return (*shape[:dim], *shape[dim + 1 :])
+
+
+def unsqueezed(shape: Shape, dim: int) -> Shape:
+    return (*shape[:dim], 1, *shape[dim:])
+
+
+def flattened(shape: Shape, start: int = 0, end: int | None = None) -> Shape:
+    """The shape with the axes start .. end as one; elements stay as they are."""
+    end = len(shape) - 1 if end is None else end
+    if not 0 <= start <= end < len(shape):
+        raise IndexError("axes are out of range")
+    return (*shape[:start], math.prod(shape[start : end + 1]), *shape[end + 1 :])
+
+
+def get_on_dim(a: Column, shape: Shape, dim: int, i: int) -> Column:
+    """The slice at ``i`` of an axis, without that axis."""
+    return narrow(a, shape, dim, i, 1)
+
+
+def get(a: Column, shape: Shape, i: int) -> Column:
+    return get_on_dim(a, shape, 0, i)
+
+
+def log_sum_exp_dim(a: Column, shape: Shape, dim: int) -> Column:
+    return reduce_dim(a, shape, dim, log_sum_exp)
 
 
 def transpose(a: Column, rows: int, cols: int) -> Column:
@@ -291,6 +375,50 @@ def slice_scatter(a: Column, source: Column, start: int) -> Column:
     return F.transform(a, lambda x, k: F.when((k >= start) & (k < start + F.size(source)), F.get(source, k - start)).otherwise(x))
 
 
+def slice_scatter_dim(a: Column, shape: Shape, dim: int, source: Column, length: int, start: int) -> Column:
+    """``a`` with the places start .. start + length of an axis taken from ``source``."""
+    if start < 0 or start + length > shape[dim]:
+        raise IndexError("slice is out of range")
+    outer, n, inner = _axis(shape, dim)
+    along = lambda k: (k / inner).cast("int") % n
+    inside = lambda k: (along(k) >= start) & (along(k) < start + length)
+    new = lambda k: at(source, (k / (n * inner)).cast("int") * (length * inner) + (along(k) - start) * inner + k % inner)
+    return F.transform(a, lambda x, k: F.when(inside(k), new(k)).otherwise(x))
+
+
+def index_add(a: Column, shape: Shape, dim: int, index: list[int], source: Column) -> Column:
+    """``a`` with the source's slices added at ``index`` of an axis; repeated indices accumulate in order."""
+    if any(i < 0 or i >= shape[dim] for i in index):
+        raise IndexError("index is out of range")
+    outer, n, inner = _axis(shape, dim)
+    m = len(index)
+    hits = F.array(*[F.array(*[F.lit(p) for p in range(m) if index[p] == c]).cast("array<int>") for c in range(n)])
+    from_ = lambda k, p: at(source, (k / (n * inner)).cast("int") * (m * inner) + p * inner + k % inner)
+    return F.transform(a, lambda x, k: F.aggregate(at(hits, (k / inner).cast("int") % n), x, lambda s, p: s + from_(k, p)))
+
+
+#: Number types and the least and greatest whole number of each.
+RANGES = {"u8": (0, 2**8 - 1), "u32": (0, 2**32 - 1), "i16": (-(2**15), 2**15 - 1), "i32": (-(2**31), 2**31 - 1), "i64": (-(2**63), 2**63 - 1)}
+
+
+def convert(a: Column, dtype: str) -> Column:
+    """The values as another type holds them: whole numbers are truncated and stop at their type's ends, NaN is 0; f32 rounds.
+    They come back as doubles, the one type of these columns."""
+    if dtype == "f64":
+        return a
+    if dtype == "f32":
+        return F.transform(a, lambda x: x.cast("float").cast("double"))
+    if dtype not in RANGES:
+        raise ValueError(f"unknown dtype {dtype}")
+    low, high = (F.lit(float(v)) for v in RANGES[dtype])
+    whole = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+    return F.transform(a, lambda x: F.when(F.isnan(x), F.lit(0.0)).when(x <= low, low).when(x >= high, high).otherwise(whole(x)))
+
+
+def argsort(*_args) -> Column:
+    raise NotImplementedError("argsort is unsupported")
+
+
 def cat(parts: list[Column], shapes: list[Shape], dim: int) -> Column:
     """Tensors one after another along a dimension."""
     outer = math.prod(shapes[0][:dim])

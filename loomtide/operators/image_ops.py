@@ -6,12 +6,14 @@ depends on which rows share a batch."""
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
 from . import kernels as K
-from .rng import Stream, combine, op_key
+from .rng import TINY, Stream, combine, op_key
 
 Step = tuple[str, dict]
 
@@ -83,13 +85,13 @@ def _random_erasing(px, s: Stream, p=0.5, scale=(0.02, 0.33), ratio=(0.3, 3.3333
         eh, ew = round(math.sqrt(area * r)), round(math.sqrt(area / r))
         if 0 < eh < h and 0 < ew < w:
             y, x = s.below(h - eh + 1), s.below(w - ew + 1)
-            v = np.array([s.normal() for _ in range(eh * ew * c)], np.float32).reshape(eh, ew, c) if value == "random" else value
+            v = s.normals(eh * ew * c).astype(np.float32).reshape(eh, ew, c) if value == "random" else value
             return K.erase(px, x, y, ew, eh, v)
     return px
 
 
 def _photometric(px, s: Stream, brightness=(0.875, 1.125), contrast=(0.5, 1.5), saturation=(0.5, 1.5), hue=(-0.05, 0.05), p=0.5):
-    draw = lambda r: _uniform(s, *r) if s.coin(p) else None
+    draw = lambda r: float(np.float32(r[0]) + (np.float32(r[1]) - np.float32(r[0])) * np.float32(s.f64())) if s.coin(p) else None
     b, c, sat, h = draw(brightness), draw(contrast), draw(saturation), draw(hue)
     first, swap = s.coin(0.5), s.coin(p)
     for on, f, v in ((True, K.brightness, b), (first, K.contrast, c), (True, K.saturation, sat), (True, K.hue, h), (not first, K.contrast, c)):
@@ -112,17 +114,25 @@ def _random_affine(px, s: Stream, degrees, translate=None, scale=None, shear=Non
 
 def _random_perspective(px, s: Stream, distortion=0.5, p=0.5, interpolation="bilinear", fill=None):
     h, w = px.shape[:2]
-    if not s.coin(p) or w < 2 or h < 2:
+    if not s.coin(p) or w < 2 or h < 2 or distortion == 0:
         return px
-    hw, hh = int(distortion * (w // 2)), int(distortion * (h // 2))
-    d = lambda n: s.below(n + 1)
-    corners = [(d(hw), d(hh)), (w - 1 - d(hw), d(hh)), (w - 1 - d(hw), h - 1 - d(hh)), (d(hw), h - 1 - d(hh))]
-    return K.perspective(px, [(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)], corners, interpolation, fill)
+    return K.perspective(px, [(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)], moved_corners(s, w, h, distortion), interpolation, fill)
+
+
+def moved_corners(s: Stream, w: int, h: int, distortion: float) -> list[tuple[int, int]]:
+    """The four corners, each somewhere in its own box of half the distortion: the near ones from 0 on, the far ones up to
+    the last pixel."""
+    hw, hh = int(np.float32(distortion) * np.float32(w // 2)), int(np.float32(distortion) * np.float32(h // 2))
+    out = []
+    for far_x, far_y in ((0, 0), (1, 0), (1, 1), (0, 1)):
+        x = far_x * (w - 1 - hw) + s.below(hw + 1)
+        out.append((x, far_y * (h - 1 - hh) + s.below(hh + 1)))
+    return out
 
 
 def _elastic(px, s: Stream, alpha=50.0, sigma=5.0, interpolation="bilinear", fill=None):
     h, w = px.shape[:2]
-    draw = lambda: np.array([float(s.f32()) * 2 - 1 for _ in range(h * w)], np.float32).reshape(h, w)
+    draw = lambda: (s.f32s(h * w) * 2 - 1).reshape(h, w)
     fields = draw(), draw()
     size = int(8 * sigma + 1) | 1
     r = min(size // 2, min(h, w) - 1)
@@ -195,18 +205,31 @@ def policy_op(px, name: str, m: float):
     if name == "Posterize":
         return K.posterize(px, int(m))
     if name == "Solarize":
-        return K.solarize(px, m)
+        return K.solarize(px, math.ceil(m))
     return {"Brightness": K.brightness, "Color": K.saturation, "Contrast": K.contrast, "Sharpness": K.sharpness}[name](px, 1 + m)
 
 
-def magnitudes(bins: int, h: int, w: int, wide: bool) -> dict[str, list[float]]:
-    """Each operation's magnitude by bin: straight lines from none to the most."""
-    line = lambda a, b: [a + (b - a) * k / max(1, bins - 1) for k in range(bins)]
-    most = {"ShearX": 0.99, "ShearY": 0.99, "TranslateX": 32.0, "TranslateY": 32.0, "Rotate": 135.0, "Brightness": 0.99} if wide else {"ShearX": 0.3, "ShearY": 0.3, "TranslateX": 150 / 331 * w, "TranslateY": 150 / 331 * h, "Rotate": 30.0, "Brightness": 0.9}
-    out = {k: line(0.0, v) for k, v in most.items()}
+def line(start: float, end: float, bins: int) -> list[float]:
+    """``bins`` even float32 steps; the upper half counts back from the end, as rounding favours both ends."""
+    a, z = np.float32(start), np.float32(end)
+    step = (z - a) / np.float32(max(1, bins - 1))
+    k = np.arange(bins)
+    return [float(v) for v in np.where(k < bins // 2, a + step * k.astype(np.float32), z - step * (bins - 1 - k).astype(np.float32))]
+
+
+@lru_cache(maxsize=256)
+def magnitudes(bins: int, h: int, w: int, kind: str = "") -> dict[str, list[float]]:
+    """Each operation's magnitude by bin, from none to the most; kind: "" (learned policies), "wide" or "mix"."""
+    if kind == "wide":
+        most = {"ShearX": 0.99, "ShearY": 0.99, "TranslateX": 32.0, "TranslateY": 32.0, "Rotate": 135.0, "Brightness": 0.99}
+    else:
+        part = 1 / 3 if kind == "mix" else 150 / 331
+        most = {"ShearX": 0.3, "ShearY": 0.3, "TranslateX": w / 3 if kind == "mix" else part * w, "TranslateY": h / 3 if kind == "mix" else part * h, "Rotate": 30.0, "Brightness": 0.9}
+    out = {k: line(0.0, v, bins) for k, v in most.items()}
     out |= {k: out["Brightness"] for k in ("Color", "Contrast", "Sharpness")}
-    steps = (bins - 1) / (6 if wide else 4)
-    return out | {"Posterize": [8 - round(k / steps) for k in range(bins)], "Solarize": line(255.0, 0.0)}
+    steps = np.float32(max(1, bins - 1)) / np.float32(6 if kind == "wide" else 4)
+    bits = 4 if kind == "mix" else 8
+    return out | {"Posterize": [bits - float(np.rint(np.float32(k) / steps)) for k in range(bins)], "Solarize": line(255.0, 0.0, bins)}
 
 
 #: The operations of both policies, in their fixed order.
@@ -216,7 +239,7 @@ POLICY = ("Identity", "ShearX", "ShearY", "TranslateX", "TranslateY", "Rotate",
 def _rand_augment(px, s: Stream, num_ops=2, magnitude=9, bins=31):
     for _ in range(num_ops):
         name = POLICY[s.below(len(POLICY))]
-        m = 0.0 if name in _PLAIN else magnitudes(bins, *px.shape[:2], False)[name][magnitude]
+        m = 0.0 if name in _PLAIN else magnitudes(bins, *px.shape[:2])[name][magnitude]
         if name in _SIGNED and s.coin(0.5):
             m = -m
         px = policy_op(px, name, m)
@@ -227,88 +250,179 @@ def _trivial_augment(px, s: Stream, bins=31):
     name = POLICY[s.below(len(POLICY))]
     if name in _PLAIN:
         return policy_op(px, name, 0.0)
-    m = magnitudes(bins, *px.shape[:2], True)[name][s.below(bins)]
+    m = magnitudes(bins, *px.shape[:2], "wide")[name][s.below(bins)]
     if name in _SIGNED and s.coin(0.5):
         m = -m
     return policy_op(px, name, m)
 
 
-# The published sub-policies, two operations each with probability and magnitude bin (- for none).
-_SUB_POLICIES = {
-    "imagenet": """
-Posterize .4 8 Rotate .6 9 / Solarize .6 5 AutoContrast .6 - / Equalize .8 - Equalize .6 - / Posterize .6 7 Posterize .6 6 / Equalize .4 - Solarize .2 4
-Equalize .4 - Rotate .8 8 / Solarize .6 3 Equalize .6 - / Posterize .8 5 Equalize 1 - / Rotate .2 3 Solarize .6 8 / Equalize .6 - Posterize .4 6
-Rotate .8 8 Color .4 0 / Rotate .4 9 Equalize .6 - / Equalize 0 - Equalize .8 - / Invert .6 - Equalize 1 - / Color .6 4 Contrast 1 8
-Rotate .8 8 Color 1 2 / Color .8 8 Solarize .8 7 / Sharpness .4 7 Invert .6 - / ShearX .6 5 Equalize 1 - / Color .4 0 Equalize .6 -
-Equalize .4 - Solarize .2 4 / Solarize .6 5 AutoContrast .6 - / Invert .6 - Equalize 1 - / Color .6 4 Contrast 1 8 / Equalize .8 - Equalize .6 -""",
-    "cifar10": """
-Invert .1 - Contrast .2 6 / Rotate .7 2 TranslateX .3 9 / Sharpness .8 1 Sharpness .9 3 / ShearY .5 8 TranslateY .7 9 / AutoContrast .5 - Equalize .9 -
-ShearY .2 7 Posterize .3 7 / Color .4 3 Brightness .6 7 / Sharpness .3 9 Brightness .7 9 / Equalize .6 - Equalize .5 - / Contrast .6 7 Sharpness .6 5
-Color .7 7 TranslateX .5 8 / Equalize .3 - AutoContrast .4 - / TranslateY .4 3 Sharpness .2 6 / Brightness .9 6 Color .2 8 / Solarize .5 2 Invert 0 -
-Equalize .2 - AutoContrast .6 - / Equalize .2 - Equalize .6 - / Color .9 9 Equalize .6 - / AutoContrast .8 - Solarize .2 8 / Brightness .1 3 Color .7 0
-Solarize .4 5 AutoContrast .9 - / TranslateY .9 9 TranslateY .7 9 / AutoContrast .9 - Solarize .8 3 / Equalize .8 - Invert .1 - / TranslateY .7 9 AutoContrast .9 -""",
-    "svhn": """
-ShearX .9 4 Invert .2 - / ShearY .9 8 Invert .7 - / Equalize .6 - Solarize .6 6 / Invert .9 - Equalize .6 - / Equalize .6 - Rotate .9 3
-ShearX .9 4 AutoContrast .8 - / ShearY .9 8 Invert .4 - / ShearY .9 5 Solarize .2 6 / Invert .9 - AutoContrast .8 - / Equalize .6 - Rotate .9 3
-ShearX .9 4 Solarize .3 3 / ShearY .8 8 Invert .7 - / Equalize .9 - TranslateY .6 6 / Invert .9 - Equalize .6 - / Contrast .3 3 Rotate .8 4
-Invert .8 - TranslateY 0 2 / ShearY .7 6 Solarize .4 8 / Invert .6 - Rotate .8 4 / ShearY .3 7 TranslateX .9 3 / ShearX .1 6 Invert .6 -
-Solarize .7 2 TranslateY .6 7 / ShearY .8 4 Invert .8 - / ShearX .7 9 TranslateY .8 3 / ShearY .8 5 AutoContrast .7 - / ShearX .7 2 Invert .1 -""",
+# The published sub-policies, two operations each with probability and magnitude bin.
+SUB_POLICIES: dict[str, tuple] = {
+    "imagenet": (
+        (("Posterize", 0.4, 8), ("Rotate", 0.6, 9)),
+        (("Solarize", 0.6, 5), ("AutoContrast", 0.6, None)),
+        (("Equalize", 0.8, None), ("Equalize", 0.6, None)),
+        (("Posterize", 0.6, 7), ("Posterize", 0.6, 6)),
+        (("Equalize", 0.4, None), ("Solarize", 0.2, 4)),
+        (("Equalize", 0.4, None), ("Rotate", 0.8, 8)),
+        (("Solarize", 0.6, 3), ("Equalize", 0.6, None)),
+        (("Posterize", 0.8, 5), ("Equalize", 1.0, None)),
+        (("Rotate", 0.2, 3), ("Solarize", 0.6, 8)),
+        (("Equalize", 0.6, None), ("Posterize", 0.4, 6)),
+        (("Rotate", 0.8, 8), ("Color", 0.4, 0)),
+        (("Rotate", 0.4, 9), ("Equalize", 0.6, None)),
+        (("Equalize", 0.0, None), ("Equalize", 0.8, None)),
+        (("Invert", 0.6, None), ("Equalize", 1.0, None)),
+        (("Color", 0.6, 4), ("Contrast", 1.0, 8)),
+        (("Rotate", 0.8, 8), ("Color", 1.0, 2)),
+        (("Color", 0.8, 8), ("Solarize", 0.8, 7)),
+        (("Sharpness", 0.4, 7), ("Invert", 0.6, None)),
+        (("ShearX", 0.6, 5), ("Equalize", 1.0, None)),
+        (("Color", 0.4, 0), ("Equalize", 0.6, None)),
+        (("Equalize", 0.4, None), ("Solarize", 0.2, 4)),
+        (("Solarize", 0.6, 5), ("AutoContrast", 0.6, None)),
+        (("Invert", 0.6, None), ("Equalize", 1.0, None)),
+        (("Color", 0.6, 4), ("Contrast", 1.0, 8)),
+        (("Equalize", 0.8, None), ("Equalize", 0.6, None)),
+    ),
+    "cifar10": (
+        (("Invert", 0.1, None), ("Contrast", 0.2, 6)),
+        (("Rotate", 0.7, 2), ("TranslateX", 0.3, 9)),
+        (("Sharpness", 0.8, 1), ("Sharpness", 0.9, 3)),
+        (("ShearY", 0.5, 8), ("TranslateY", 0.7, 9)),
+        (("AutoContrast", 0.5, None), ("Equalize", 0.9, None)),
+        (("ShearY", 0.2, 7), ("Posterize", 0.3, 7)),
+        (("Color", 0.4, 3), ("Brightness", 0.6, 7)),
+        (("Sharpness", 0.3, 9), ("Brightness", 0.7, 9)),
+        (("Equalize", 0.6, None), ("Equalize", 0.5, None)),
+        (("Contrast", 0.6, 7), ("Sharpness", 0.6, 5)),
+        (("Color", 0.7, 7), ("TranslateX", 0.5, 8)),
+        (("Equalize", 0.3, None), ("AutoContrast", 0.4, None)),
+        (("TranslateY", 0.4, 3), ("Sharpness", 0.2, 6)),
+        (("Brightness", 0.9, 6), ("Color", 0.2, 8)),
+        (("Solarize", 0.5, 2), ("Invert", 0.0, None)),
+        (("Equalize", 0.2, None), ("AutoContrast", 0.6, None)),
+        (("Equalize", 0.2, None), ("Equalize", 0.6, None)),
+        (("Color", 0.9, 9), ("Equalize", 0.6, None)),
+        (("AutoContrast", 0.8, None), ("Solarize", 0.2, 8)),
+        (("Brightness", 0.1, 3), ("Color", 0.7, 0)),
+        (("Solarize", 0.4, 5), ("AutoContrast", 0.9, None)),
+        (("TranslateY", 0.9, 9), ("TranslateY", 0.7, 9)),
+        (("AutoContrast", 0.9, None), ("Solarize", 0.8, 3)),
+        (("Equalize", 0.8, None), ("Invert", 0.1, None)),
+        (("TranslateY", 0.7, 9), ("AutoContrast", 0.9, None)),
+    ),
+    "svhn": (
+        (("ShearX", 0.9, 4), ("Invert", 0.2, None)),
+        (("ShearY", 0.9, 8), ("Invert", 0.7, None)),
+        (("Equalize", 0.6, None), ("Solarize", 0.6, 6)),
+        (("Invert", 0.9, None), ("Equalize", 0.6, None)),
+        (("Equalize", 0.6, None), ("Rotate", 0.9, 3)),
+        (("ShearX", 0.9, 4), ("AutoContrast", 0.8, None)),
+        (("ShearY", 0.9, 8), ("Invert", 0.4, None)),
+        (("ShearY", 0.9, 5), ("Solarize", 0.2, 6)),
+        (("Invert", 0.9, None), ("AutoContrast", 0.8, None)),
+        (("Equalize", 0.6, None), ("Rotate", 0.9, 3)),
+        (("ShearX", 0.9, 4), ("Solarize", 0.3, 3)),
+        (("ShearY", 0.8, 8), ("Invert", 0.7, None)),
+        (("Equalize", 0.9, None), ("TranslateY", 0.6, 6)),
+        (("Invert", 0.9, None), ("Equalize", 0.6, None)),
+        (("Contrast", 0.3, 3), ("Rotate", 0.8, 4)),
+        (("Invert", 0.8, None), ("TranslateY", 0.0, 2)),
+        (("ShearY", 0.7, 6), ("Solarize", 0.4, 8)),
+        (("Invert", 0.6, None), ("Rotate", 0.8, 4)),
+        (("ShearY", 0.3, 7), ("TranslateX", 0.9, 3)),
+        (("ShearX", 0.1, 6), ("Invert", 0.6, None)),
+        (("Solarize", 0.7, 2), ("TranslateY", 0.6, 7)),
+        (("ShearY", 0.8, 4), ("Invert", 0.8, None)),
+        (("ShearX", 0.7, 9), ("TranslateY", 0.8, 3)),
+        (("ShearY", 0.8, 5), ("AutoContrast", 0.7, None)),
+        (("ShearX", 0.7, 2), ("Invert", 0.1, None)),
+    ),
 }
 
 
-def sub_policies(name: str) -> list[list[tuple[str, float, int | None]]]:
-    out = []
-    for pair in _SUB_POLICIES[name].replace("\n", "/").split("/"):
-        w = pair.split()
-        if w:
-            out.append([(w[k], float(w[k + 1]), None if w[k + 2] == "-" else int(w[k + 2])) for k in (0, 3)])
-    return out
-
-
 def _auto_augment(px, s: Stream, policy="imagenet"):
-    pairs = sub_policies(policy)
+    pairs = SUB_POLICIES[policy]
     pair = pairs[s.below(len(pairs))]
     chance = [float(s.f32()) for _ in range(2)]
     minus = [s.coin(0.5) for _ in range(2)]
     for (name, p, bin_), c, less in zip(pair, chance, minus, strict=True):
         if c <= p:
-            m = 0.0 if bin_ is None else magnitudes(10, *px.shape[:2], False)[name][bin_]
+            m = 0.0 if bin_ is None else magnitudes(10, *px.shape[:2])[name][bin_]
             px = policy_op(px, name, -m if less and name in _SIGNED else m)
     return px
 
 
-def gamma_draw(s: Stream, shape: float) -> float:
-    """A gamma variate by squeezed cubes of normals; shapes under 1 are boosted."""
+def log_gamma_draw(s: Stream, shape: float) -> float:
+    """The logarithm of a gamma variate, by squeezed cubes of normals; shapes under 1 are boosted."""
     if shape < 1:
-        return gamma_draw(s, shape + 1) * max(s.f64(), 1e-300) ** (1 / shape)
+        return log_gamma_draw(s, shape + 1) + math.log(max(s.f64(), TINY)) / shape
     d = shape - 1 / 3
     c = 1 / math.sqrt(9 * d)
     while True:
         x = s.normal()
-        v = (1 + c * x) ** 3
-        if v > 0 and math.log(max(s.f64(), 1e-300)) < 0.5 * x * x + d - d * v + d * math.log(v):
-            return d * v
+        if (v := 1 + c * x) <= 0:
+            continue
+        v = v**3
+        u = s.f64()
+        if u == 0 or math.log(u) < 0.5 * x * x + d * (1 - v + math.log(v)):
+            return math.log(d) + math.log(v)
 
 
 def beta_draw(s: Stream, alpha: float) -> float:
-    a, b = gamma_draw(s, alpha), gamma_draw(s, alpha)
-    return a / (a + b) if a + b > 0 else 0.5
+    """A Beta(alpha, alpha) variate; where both logarithms are out of reach, all mass is at 0 and 1."""
+    a, b = log_gamma_draw(s, alpha), log_gamma_draw(s, alpha)
+    off = b - a
+    if math.isnan(off):
+        return 0.0 if s.coin(0.5) else 1.0
+    return 1 / (1 + math.exp(off)) if off < 700 else 0.0
+
+
+def dirichlet(s: Stream, n: int, alpha: float) -> np.ndarray:
+    v = np.array([max(math.exp(log_gamma_draw(s, alpha)), TINY) for _ in range(n)])
+    return (v / v.sum()).astype(np.float32)
 
 
-def _augmix(px, s: Stream, severity=3, width=3, depth=-1, alpha=1.0, all_ops=True):
+#: The operations of AugMix, in their fixed order; the last four only with ``all_ops``.
+MIX = ("ShearX", "ShearY", "TranslateX", "TranslateY", "Rotate", "Posterize", "Solarize", "AutoContrast", "Equalize", "Brightness", "Color", "Contrast", "Sharpness")
+
+
+def mix_op(px, name: str, m: float, interpolation: str, fill: int):
+    """An operation of AugMix: geometry on a grid of pixel centres with a masked fill, colours in float32."""
+    h, w = px.shape[:2]
+    if name in ("ShearX", "ShearY", "TranslateX", "TranslateY", "Rotate"):
+        r = math.radians(m)
+        matrix = {
+            "ShearX": (1, m, m * h / 2, 0, 1, 0), "ShearY": (1, 0, 0, m, 1, m * w / 2), "TranslateX": (1, 0, -math.trunc(m), 0, 1, 0), "TranslateY": (1, 0, 0, 0, 1, -math.trunc(m)),
+            "Rotate": (math.cos(r), -math.sin(r), 0, math.sin(r), math.cos(r), 0),
+        }[name]
+        return K.grid_warp(px, matrix, interpolation, fill)
+    if name in ("Color", "Contrast", "Sharpness", "AutoContrast"):
+        return K.mix_colour(px, name, m)
+    return policy_op(px, name, m)
+
+
+def _augmix(px, s: Stream, severity=3, width=3, depth=-1, alpha=1.0, all_ops=True, interpolation="bilinear", fill=0):
     """Chains of random operations, mixed by Dirichlet weights, and mixed with the image by a Beta weight."""
-    names = [n for n in POLICY if n != "Identity" and (all_ops or n not in ("Brightness", "Color", "Contrast", "Sharpness"))]
-    m = beta_draw(s, alpha)
-    w = [gamma_draw(s, alpha) for _ in range(width)]
-    total = np.zeros(px.shape, np.float32)
-    for k in range(width):
-        x = px
+    names = MIX if all_ops else MIX[:9]
+    beta = dirichlet(s, 2, alpha)
+    weights = dirichlet(s, width, alpha) * beta[1]
+    chains = []
+    for _ in range(width):
+        chain = []
         for _ in range(depth if depth > 0 else s.between(1, 4)):
             name = names[s.below(len(names))]
-            v = 0.0 if name in _PLAIN else magnitudes(10, *px.shape[:2], False)[name][s.below(severity)]
-            x = policy_op(x, name, -v if name in _SIGNED and s.coin(0.5) else v)
-        total += np.float32(w[k] / sum(w)) * x.astype(np.float32)
-    return np.clip((1 - np.float32(m)) * px.astype(np.float32) + np.float32(m) * total, 0, 255).astype(np.uint8)
+            m = 0.0 if name in _PLAIN else magnitudes(10, *px.shape[:2], "mix")[name][s.below(severity)]
+            chain.append((name, -m if name in _SIGNED and s.coin(0.5) else m))
+        chains.append(chain)
+    total = px.astype(np.float32) * beta[0]
+    for chain, weight in zip(chains, weights, strict=True):
+        x = px
+        for name, m in chain:
+            x = mix_op(x, name, m, interpolation, fill)
+        total = total + weight * x.astype(np.float32)
+    return np.clip(total, 0, 255).astype(np.uint8)
 
 
 def _grey(px, s, p=0.1, channels=3):
@@ -336,23 +450,37 @@ RANDOM: dict[str, Callable] = {
     "RandomRotation": lambda px, s, degrees, interpolation="nearest", expand=False, fill=None, center=None: K.rotate(px, _uniform32(s, *degrees), interpolation, expand, fill, center), "RandomAffine": _random_affine, "RandomPerspective": _random_perspective, "ElasticTransform": _elastic,
     "RandomGaussianBlur": lambda px, s, kernel_size, sigma=(0.1, 2.0): K.gaussian_blur(px, _uniform32(s, *sigma), kernel_size), "RandomInvert": _maybe(K.invert), "RandomPosterize": _maybe(lambda px, bits: K.posterize(px, bits)), "RandomSolarize": _maybe(lambda px, threshold: K.solarize(px, threshold)),
     "RandomAdjustSharpness": _maybe(lambda px, f: K.sharpness(px, f)), "RandomAutocontrast": _maybe(K.autocontrast), "RandomEqualize": _maybe(K.equalize), "RandomPhotometricDistort": _photometric, "RandomChannelPermutation": lambda px, s: px[..., _shuffled(s, list(range(px.shape[2])))],
-    "GaussianNoise": lambda px, s, mean=0.0, sigma=0.1, clip=True: K.gaussian_noise(px, np.array([mean + sigma * s.normal() for _ in range(px.size)]).reshape(px.shape), clip), "RandomResize": _random_resize, "RandomShortestSize": _shortest, "ScaleJitter": _scale_jitter, "RandomZoomOut": _zoom_out,
+    "GaussianNoise": lambda px, s, mean=0.0, sigma=0.1, clip=True: K.gaussian_noise(px, (mean + sigma * (s.normals(px.size) if sigma else np.zeros(px.size))).reshape(px.shape), clip), "RandomResize": _random_resize, "RandomShortestSize": _shortest, "ScaleJitter": _scale_jitter, "RandomZoomOut": _zoom_out,
     "RandAugment": _rand_augment, "TrivialAugmentWide": _trivial_augment, "AutoAugment": _auto_augment, "AugMix": _augmix,
 }
 CONTROL = frozenset(("RandomApply", "RandomChoice", "RandomOrder"))
 VIEWS: dict[str, Callable] = {"FiveCrop": lambda px, w, h: K.five_crop(px, w, h), "TenCrop": lambda px, w, h, vertical_flip=False: K.ten_crop(px, w, h, vertical_flip)}
 
 
-def keyed(steps: list[Step]) -> list[tuple[str, dict, int]]:
-    """Steps with their keys: each kind counts its own occurrences, in declared order."""
+def keyed(steps: list[Step], parent: int | None = None) -> list[tuple[str, dict, int]]:
+    """Steps with their keys: each kind counts its own occurrences among its siblings, in declared order; below a random
+    step the key is combined with the parent's."""
     seen: dict[str, int] = {}
     out = []
     for name, args in steps:
         n = seen[name] = seen.get(name, -1) + 1
-        out.append((name, args, op_key(name, n)))
+        out.append((name, args, op_key(name, n) if parent is None else combine(parent, op_key(name, n))))
     return out
 
 
+def choice_bounds(count: int, p) -> list[float] | None:
+    """The upper bounds of the choices' shares, from their weights; from the last positive weight on they are 1."""
+    if count == 0:
+        raise ValueError("random_choice needs a choice")
+    if p is None:
+        return None
+    if len(p) != count or any(not math.isfinite(x) or x < 0 for x in p) or not (0 < sum(p) < math.inf):
+        raise ValueError("random_choice needs a finite weight of 0 or more for each choice, and a positive sum")
+    upper = np.cumsum(np.array(p, float) / sum(p)).tolist()
+    last = max(k for k, x in enumerate(p) if x > 0)
+    return upper[:last] + [1.0] * (count - last)
+
+
 def apply(steps: list[tuple[str, dict, int]], images: list[np.ndarray], stream: Callable[[int], Stream]) -> list[np.ndarray]:
     """Runs keyed steps; ``stream(key)`` gives this row's draws for a key. Views make several images of one."""
     for name, args, key in steps:
@@ -369,18 +497,13 @@ def apply(steps: list[tuple[str, dict, int]], images: list[np.ndarray], stream:
 
 def _control(name: str, args: dict, key: int, images: list[np.ndarray], stream: Callable[[int], Stream]) -> list[np.ndarray]:
     s = stream(key)
-    children = lambda steps: [(n, a, combine(key, combine(op_key(n), i))) for i, (n, a) in enumerate(steps)]
     if name == "RandomApply":
-        return apply(children(args["steps"]), images, stream) if s.coin(args["p"]) else images
+        return apply(keyed(args["steps"], key), images, stream) if s.coin(args["p"]) else images
     if name == "RandomOrder":
-        return apply(_shuffled(s, children(args["steps"])), images, stream)
-    p = args.get("p")
-    if p is None:
+        return apply(_shuffled(s, keyed(args["steps"], key)), images, stream)
+    upper = choice_bounds(len(args["choices"]), args.get("p"))
+    if upper is None:
         k = s.below(len(args["choices"]))
     else:
-        draw, upper, k = s.f64() * sum(p), 0.0, -1
-        while k + 1 < len(p) and (k < 0 or upper <= draw):
-            k += 1
-            upper += p[k]
-    branch = combine(key, op_key("RandomChoiceBranch", k))
-    return apply([(n, a, combine(branch, combine(op_key(n), i))) for i, (n, a) in enumerate(args["choices"][k])], images, stream)
+        k = min(bisect_right(upper, s.f64()), len(upper) - 1)
+    return apply(keyed(args["choices"][k], combine(key, op_key("RandomChoiceBranch", k))), images, stream)

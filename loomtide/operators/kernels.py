@@ -36,32 +36,52 @@ def decode_png(data: bytes) -> Image:
         raise ValueError("only 8-bit PNG images without interlacing are decoded")
     c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
     raw = np.frombuffer(zlib.decompress(b"".join(idat)), np.uint8).reshape(h, 1 + w * c)
-    out = np.zeros((h, w * c), np.uint8)
-    before = np.zeros(w * c, np.uint8)
-    for i in range(h):
-        kind, line = raw[i, 0], raw[i, 1:].copy()
-        if kind == 2:
-            line += before
-        elif kind == 1:
-            line = np.cumsum(line.reshape(w, c), axis=0, dtype=np.uint8).reshape(-1)
-        elif kind:
-            for j in range(w * c):
-                left = int(line[j - c]) if j >= c else 0
-                up, corner = int(before[j]), int(before[j - c]) if j >= c else 0
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    a, b, d = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = left if a <= b and a <= d else up if b <= d else corner
-                line[j] = (int(line[j]) + guess) & 255
-        out[i] = before = line
+    out = _unfiltered(raw[:, 0], raw[:, 1:].reshape(h, w, c))
     px = out.reshape(h, w, c)
     if colour == 3:
         return palette[px[:, :, 0]].copy()
     return rgb(px)
 
 
+def _unfiltered(kinds: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """The pixels of filtered scanlines. Average and Paeth need the pixel to the left, so a row of theirs is worked through
+    along the diagonals of its run of rows: all pixels of a diagonal have what they need."""
+    h, w, c = raw.shape
+    out = np.zeros((h + 1, w + 1, c), np.uint8)  # a zero row above and a zero column to the left
+    out[1:, 1:] = raw
+    y = 0
+    while y < h:
+        kind = kinds[y]
+        if kind == 0:
+            y += 1
+        elif kind == 1:
+            out[y + 1, 1:] = np.cumsum(raw[y], axis=0, dtype=np.uint8)
+            y += 1
+        elif kind == 2:
+            out[y + 1, 1:] += out[y, 1:]
+            y += 1
+        else:
+            stop = y
+            while stop < h and kinds[stop] > 2:
+                stop += 1
+            _diagonals(out, kinds, y, stop)
+            y = stop
+    return out[1:, 1:]
+
+
+def _diagonals(out: np.ndarray, kinds: np.ndarray, first: int, stop: int) -> None:
+    w = out.shape[1] - 1
+    paeth = kinds == 4
+    for d in range(w + stop - first - 1):
+        rows = np.arange(max(0, d - w + 1), min(stop - first, d + 1))
+        y, x = rows + first + 1, d - rows + 1
+        left, up, corner = (out[i, j].astype(np.int16) for i, j in ((y, x - 1), (y - 1, x), (y - 1, x - 1)))
+        p = left + up - corner
+        a, b, e = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        guess = np.where((a <= b) & (a <= e), left, np.where(b <= e, up, corner))
+        out[y, x] += np.where(paeth[y - 1][:, None], guess, (left + up) >> 1).astype(np.uint8)
+
+
 def encode_png(px: Image) -> bytes:
     h, w, c = px.shape
     raw = np.concatenate([np.zeros((h, 1), np.uint8), px.reshape(h, w * c)], axis=1).tobytes()
@@ -240,6 +260,57 @@ def warp(px: Image, m: tuple[float, ...], size: tuple[int, int], kind: str, fill
     return _sample(px, x - 0.5, y - 0.5, kind, fill)
 
 
+def grid_warp(px: Image, m: tuple[float, ...], kind: str = "bilinear", fill: float = 0) -> Image:
+    """By an inverse affine matrix about the image's middle, in float32: places are shares of the image, as grid samplers
+    take them. Bilinear sums weigh the pixels inside; what is missing of the weight is ``fill``."""
+    h, w = px.shape[:2]
+    f = np.float32
+    jj, ii = np.meshgrid(np.arange(w, dtype=f) - (f(w) - 1) * f(0.5), np.arange(h, dtype=f) - (f(h) - 1) * f(0.5))
+    share = lambda k, half: jj * (f(m[k]) / half) + ii * (f(m[k + 1]) / half) + f(m[k + 2]) / half
+    x = ((share(0, f(w) * f(0.5)) + 1) * f(w) - 1) * f(0.5)
+    y = ((share(3, f(h) * f(0.5)) + 1) * f(h) - 1) * f(0.5)
+    inside = lambda i, j: (j >= 0) & (i >= 0) & (j < w) & (i < h)
+    at = lambda i, j: px[np.clip(i, 0, h - 1), np.clip(j, 0, w - 1)]
+    if kind == "nearest":
+        i, j = np.rint(y).astype(int), np.rint(x).astype(int)
+        return np.where(inside(i, j)[..., None], at(i, j), np.uint8(fill))
+    if kind != "bilinear":
+        raise ValueError("only nearest and bilinear sampling")
+    j, i = np.floor(x), np.floor(y)
+    dx, dy = x - j, y - i
+    i, j = i.astype(int), j.astype(int)
+    total, mask = np.zeros(px.shape, f), np.zeros((h, w, 1), f)
+    for ai, aj, weight in ((i, j, (1 - dx) * (1 - dy)), (i, j + 1, dx * (1 - dy)), (i + 1, j, (1 - dx) * dy), (i + 1, j + 1, dx * dy)):
+        weight = np.where(inside(ai, aj), weight, f(0))[..., None]
+        total, mask = total + at(ai, aj).astype(f) * weight, mask + weight
+    return np.clip(np.rint(total * mask + (1 - mask) * f(fill)), 0, 255).astype(np.uint8)
+
+
+def mix_colour(px: Image, name: str, m: float) -> Image:
+    """Color, Contrast, Sharpness by 1 + m and AutoContrast, in float32 arithmetic and truncated."""
+    f = np.float32
+    p = px.astype(f)
+    if name == "AutoContrast":
+        lo, hi = px.min((0, 1)), px.max((0, 1))
+        scale = f(255) / np.where(hi == lo, 1, hi - lo).astype(f)
+        return np.clip(np.where(hi == lo, p, (p - lo.astype(f)) * scale), 0, 255).astype(np.uint8)
+    grey = np.trunc(f(0.2989) * p[..., 0] + f(0.587) * p[..., 1] + f(0.114) * p[..., 2])
+    if name == "Color":
+        base = grey[..., None]
+    elif name == "Contrast":
+        base = f(grey.astype(np.int64).sum()) / f(grey.size)
+    else:
+        h, w = px.shape[:2]
+        base = p.copy()
+        if h > 2 and w > 2:
+            soft = np.zeros((h - 2, w - 2, px.shape[2]), f)
+            for i in range(3):
+                for j in range(3):
+                    soft = soft + p[i : i + h - 2, j : j + w - 2] * (f(5 / 13) if i == j == 1 else f(1 / 13))
+            base[1:-1, 1:-1] = np.clip(np.rint(soft), 0, 255)
+    return np.clip(f(1 + m) * p + f(-m) * base, 0, 255).astype(np.uint8)
+
+
 def _trig(angle: float) -> tuple[float, float]:
     return round(math.cos(angle), 15), round(math.sin(angle), 15)
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .image_ops import beta_draw
 from .rng import Context, Stream, op_key
@@ -20,20 +21,35 @@ from .selection import previous_in_batch
 def rectangle(s: Stream, h: int, w: int, lam: float) -> tuple[int, int, int, int]:
     """x1, y1, x2, y2 of a box of area 1 - lam around a random pixel, clipped to the image."""
     x, y = s.below(w), s.below(h)
+    return cut_box(x, y, h, w, lam)
+
+
+def cut_box(x: int, y: int, h: int, w: int, lam: float) -> tuple[int, int, int, int]:
+    """Half the box's sides are whole pixels, to both sides of the pixel."""
     half = 0.5 * math.sqrt(1 - lam)
-    return max(0, int(x - half * w)), max(0, int(y - half * h)), min(w, int(x + half * w)), min(h, int(y + half * h))
+    dx, dy = int(half * w), int(half * h)
+    return max(0, x - dx), max(0, y - dy), min(w, x + dx), min(h, y + dy)
 
 
-def mixed(rows: DataFrame, kind: str, num_classes: int, alpha: float, seed: int = 0, epoch: int = 0) -> DataFrame:
-    """``rows`` of a pipeline with mixed data and a soft_label column; the images of a batch have one shape."""
-    if alpha <= 0 or num_classes <= 0:
+def mixed(rows: DataFrame, kind: str, num_classes: int | None, alpha: float, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """``rows`` of a pipeline with mixed data and a soft_label column; the images of a batch have one shape. MixUp takes
+    float32 images. Labels are class numbers, or arrays of floats (soft labels) of one length."""
+    if not (math.isfinite(alpha) and alpha > 0) or num_classes is not None and num_classes <= 0:
         raise ValueError("alpha and num_classes must be positive")
+    soft_in = isinstance(rows.schema["label"].dataType, ArrayType)
+    if num_classes is None and not soft_in:
+        raise ValueError("num_classes is required for class numbers")
     context, key = Context(seed, epoch), op_key(kind)
     paired = rows.withColumns({"before": previous_in_batch(F.struct("data", "label", "h", "w", "c", "dtype"))})
     out = rows.schema.fieldNames()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", soft_label array<float>"
 
-    def one_hot(label: int) -> np.ndarray:
+    def one_hot(label) -> np.ndarray:
+        if soft_in:
+            v = np.array(label, np.float32)
+            if num_classes is not None and len(v) != num_classes or not np.isfinite(v).all():
+                raise ValueError("soft labels must be finite, one for each class")
+            return v
         if not 0 <= label < num_classes:
             raise ValueError(f"label {label} is out of range")
         return (np.arange(num_classes) == label).astype(np.float32)
@@ -51,16 +67,18 @@ def mixed(rows: DataFrame, kind: str, num_classes: int, alpha: float, seed: int
                 shape = (cols["h"][i], cols["w"][i], cols["c"][i]) if cols["layout"][i] == "HWC" else (cols["c"][i], cols["h"][i], cols["w"][i])
                 cur, old = (np.frombuffer(d, cols["dtype"][i]).reshape(shape) for d in (cols["data"][i], prev["data"]))
                 if kind == "MixUp":
-                    px = old.astype(np.float32) * np.float32(1 - lam) + cur.astype(np.float32) * np.float32(lam)
-                    cols["dtype"][i] = "float32"
+                    if cols["dtype"][i] != "float32":
+                        raise ValueError("MixUp takes float32 images; convert them first")
+                    lam = np.float32(lam)
+                    px = old * (np.float32(1) - lam) + cur * lam
                 else:
                     x1, y1, x2, y2 = rectangle(s, cols["h"][i], cols["w"][i], lam)
                     part = (slice(y1, y2), slice(x1, x2)) if cols["layout"][i] == "HWC" else (slice(None), slice(y1, y2), slice(x1, x2))
                     px = cur.copy()
                     px[part] = old[part]
-                    lam = float(np.float32(1 - (x2 - x1) * (y2 - y1) / (cols["h"][i] * cols["w"][i])))
+                    lam = np.float32(1 - (x2 - x1) * (y2 - y1) / (cols["h"][i] * cols["w"][i]))
                 cols["data"][i] = px.tobytes()
-                soft.append((one_hot(prev["label"]) * np.float32(1 - lam) + one_hot(cols["label"][i]) * np.float32(lam)).tolist())
+                soft.append((one_hot(prev["label"]) * (np.float32(1) - lam) + one_hot(cols["label"][i]) * lam).tolist())
             arrays = [pa.array(cols[c], b.column(c).type) for c in out]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(soft, pa.list_(pa.float32()))], [*out, "soft_label"])
 

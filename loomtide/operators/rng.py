@@ -9,6 +9,8 @@ _M = (1 << 64) - 1
 F1, F2, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 SAMPLER, TRANSFORM, TENSOR = 0x53414D504C455201, 0x5452414E53464D01, 0x54454E534F520101
 KEY = 0x4F504B45595F5631
+#: The smallest normal double: a draw of 0 counts as this where its logarithm is taken.
+TINY = 2.2250738585072014e-308
 
 
 def mix(v: int) -> int:
@@ -62,9 +64,23 @@ class Stream:
         return low + self.below(high - low)
 
     def normal(self) -> float:
-        u = max(self.f64(), 1e-300)
+        u = max(self.f64(), TINY)
         return float(np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * self.f64()))
 
+    def u64s(self, n: int) -> np.ndarray:
+        """The next ``n`` draws at once: a draw is its place's number, mixed."""
+        with np.errstate(over="ignore"):
+            out = first_draws(np.uint64(self.state) + np.arange(n, dtype=np.uint64) * np.uint64(STEP))
+        self.state = (self.state + n * STEP) & _M
+        return out
+
+    def f32s(self, n: int) -> np.ndarray:
+        return (self.u64s(n) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
+
+    def normals(self, n: int) -> np.ndarray:
+        u = (self.u64s(2 * n) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+        return np.sqrt(-2 * np.log(np.maximum(u[::2], TINY))) * np.cos(2 * np.pi * u[1::2])
+
 
 class Context:
     def __init__(self, seed: int = 0, epoch: int = 0) -> None:

@@ -84,8 +84,11 @@ def iou(boxes: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def random_iou_crop(s: dict, r: Stream, low=0.3, high=1.0, min_ratio=0.5, max_ratio=2.0, options=(0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0), trials=40, max_attempts=100) -> dict:
-    """A random window that overlaps some box enough; boxes whose centre is outside become empty. Too many attempts: as is."""
+    """A random window that overlaps some box enough; boxes whose centre is outside become empty. Too many attempts: as is.
+    A sample without boxes is left as it is, before any draw."""
     h, w = s["image"].shape[:2]
+    if not len(s["boxes"]):
+        return s
     for _ in range(max_attempts):
         least = options[r.below(len(options))]
         if least >= 1.0:
@@ -95,8 +98,6 @@ def random_iou_crop(s: dict, r: Stream, low=0.3, high=1.0, min_ratio=0.5, max_ra
             if not (nh and nw and min_ratio <= nw / nh <= max_ratio):
                 continue
             x, y = int((w - nw) * r.f64()), int((h - nh) * r.f64())
-            if not len(s["boxes"]):
-                return crop(s, x, y, nw, nh)
             centre = (s["boxes"][:, :2] + s["boxes"][:, 2:]) / 2
             inside = (centre[:, 0] > x) & (centre[:, 0] < x + nw) & (centre[:, 1] > y) & (centre[:, 1] < y + nh)
             if inside.any() and iou(s["boxes"][inside], np.array([x, y, x + nw, y + nh], float)).max() >= least:

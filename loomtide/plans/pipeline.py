@@ -5,6 +5,7 @@ pushed to the source, and all image steps fuse into a single ``mapInArrow``, so
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -249,8 +250,12 @@ class Ops:
             raise PipelineError(f"unknown policy {policy}")
         return self._add("AutoAugment", policy=policy)
 
-    def augmix(self, severity=3, width=3, depth=-1, alpha=1.0, all_ops=True):
-        return self._add("AugMix", severity=severity, width=width, depth=depth, alpha=alpha, all_ops=all_ops)
+    def augmix(self, severity=3, width=3, depth=-1, alpha=1.0, all_ops=True, interpolation="bilinear", fill=0):
+        if not 1 <= severity <= 10 or width < 1 or not (math.isfinite(alpha) and alpha > 0):
+            raise PipelineError("augmix takes a severity of 1 to 10, a positive width and a positive alpha")
+        if interpolation not in ("nearest", "bilinear"):
+            raise PipelineError("augmix samples nearest or bilinear")
+        return self._add("AugMix", severity=severity, width=width, depth=depth, alpha=alpha, all_ops=all_ops, interpolation=interpolation, fill=fill)
 
     def jpeg(self, quality):
         raise PipelineError("jpeg: there is no JPEG codec for arrays here")
@@ -265,6 +270,7 @@ class Ops:
         return self._add("RandomApply", p=p, steps=tuple(transform.steps))
 
     def random_choice(self, choices, p=None):
+        image_ops.choice_bounds(len(choices), p)
         return self._add("RandomChoice", choices=tuple(tuple(t.steps) for t in choices), p=p)
 
     def random_order(self, transform):
@@ -374,8 +380,7 @@ class Pipeline(Ops):
 
     def _source(self) -> DataFrame:
         df = self.df.withColumn("source", F.col("pos"))
-        shuffles = [a for k, a in self.index if k == "shuffle"]
-        seed = self.seed_ if self.seed_ is not None else (shuffles[0] if shuffles else 0)
+        seed = self._seed()
         n, k = None, 0
         for op, arg in self.index:
             if op == "skip":
@@ -393,8 +398,7 @@ class Pipeline(Ops):
     def execute(self) -> DataFrame:
         """Rows (pos, source, view, h, w, c, dtype, layout, data, label), with batch_id and batch_pos after batch()."""
         df = self._source()
-        shuffles = [a for k, a in self.index if k == "shuffle"]
-        context = Context(self.seed_ if self.seed_ is not None else (shuffles[0] if shuffles else 0), self.epoch_)
+        context = Context(self._seed(), self.epoch_)
         if self.batch_:
             # a batch counts source rows; its views stay together
             df = selection.batch(df, *self.batch_)
@@ -430,10 +434,16 @@ class Pipeline(Ops):
 
         if not self.state.batched or self.state.views > 1:
             raise PipelineError(f"{kind} comes after batch, and not after views")
-        return mixed(self.execute(), kind, num_classes, alpha, self.seed_ or 0, self.epoch_)
+        if kind == "MixUp" and self.state.dtype != "float32":
+            raise PipelineError("mixup takes float32 images; convert them first")
+        return mixed(self.execute(), kind, num_classes, alpha, self._seed(), self.epoch_)
+
+    def _seed(self) -> int:
+        """The pipeline's seed, or that of its first shuffle."""
+        return self.seed_ if self.seed_ is not None else next((a for k, a in self.index if k == "shuffle"), 0)
 
     def mixup(self, num_classes: int, alpha: float = 1.0) -> DataFrame:
-        """Terminal: the batches with every row mixed with the one before it, and soft labels."""
+        """Terminal: the float32 batches with every row mixed with the one before it, and soft labels."""
         return self._mixed("MixUp", num_classes, alpha)
 
     def cutmix(self, num_classes: int, alpha: float = 1.0) -> DataFrame:

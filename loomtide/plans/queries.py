@@ -154,7 +154,11 @@ _nested = f"SELECT *, {_rows[0]} FROM ({EMBEDDINGS_SQL})"
 for _r in _rows[1:]:
     _nested = f"SELECT *, {_r} FROM ({_nested})"
 results("linalg_triangular_solve", embeddings, _nested, {"solved": (lambda x, y, px: linalg.triangular_solve(F.transform(x, lambda v, k: F.when(k % 9 == 0, F.lit(2.0)).otherwise(v)), F.slice(y, 1, 8), 8), "[" + ", ".join(f"s{i}" for i in range(8)) + "]")})
-results("linalg_givens", embeddings, EMBEDDINGS_SQL, None, {k: (lambda x, y, px, k=k: linalg.givens(at(x, 0), at(x, 1))[k], s) for k, s in {"c": "x[1] / sqrt(x[1] * x[1] + x[2] * x[2])", "s": "x[2] / sqrt(x[1] * x[1] + x[2] * x[2])", "r": "sqrt(x[1] * x[1] + x[2] * x[2])"}.items()})
+_R = "sqrt(v * v + y[i] * y[i])"
+results(
+    "linalg_givens", embeddings, EMBEDDINGS_SQL,
+    {k: (lambda x, y, px, k=k: F.zip_with(x, y, lambda p, q: linalg.givens(p, q)[k]), _map(s)) for k, s in {"c": f"v / {_R}", "s": f"y[i] / {_R}", "r": _R}.items()},
+)
 results(
     "tensor_views", embeddings, EMBEDDINGS_SQL,
     {
@@ -190,28 +194,39 @@ def tensor_rows_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("label", "place").agg(r(F.sum("v"), "total"), r(F.avg("v"), "average"), r(F.var_samp("v"), "variance"), r(F.min("v"), "lowest"), r(F.max("v"), "highest"))
 
 
-@register("tensor_rows_cumsum", "SELECT vec_id, round(sum(CAST(embedding[1] AS DOUBLE)) OVER (ORDER BY vec_id), 6) AS running FROM embeddings")
+@register(
+    "tensor_rows_cumsum",
+    "SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(v) OVER (PARTITION BY k ORDER BY vec_id), 6) AS running FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings)",
+)
 def tensor_rows_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A running sum over rows as a two-level prefix sum."""
-    rows = embeddings(spark, sf_dir).select("vec_id", at(F.col("x"), 0).alias("v"), F.floor(F.col("vec_id") / 256).alias("run"))
-    totals = rows.groupBy("run").agg(F.sum("v").alias("t"))
-    totals = totals.select("run", F.coalesce(F.sum("t").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
-    return rows.join(totals, "run").select("vec_id", F.round(F.col("before") + F.sum("v").over(Window.partitionBy("run").orderBy("vec_id")), 6).alias("running"))
-
-
-@register("tensor_rows_matmul", "SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, round(sum(a * b), 5) AS v FROM (SELECT label AS i, vec_id AS k, CAST(embedding[1] AS DOUBLE) AS a FROM embeddings) JOIN (SELECT vec_id AS k, unnest(range(0, 64)) AS j, unnest(CAST(embedding AS DOUBLE[])) AS b FROM embeddings) USING (k) GROUP BY ALL")
+    """Running sums of every column over the rows, as two-level prefix sums."""
+    rows = embeddings(spark, sf_dir).select("vec_id", F.posexplode("x").alias("k", "v"), F.floor(F.col("vec_id") / 256).alias("run"))
+    totals = rows.groupBy("k", "run").agg(F.sum("v").alias("t"))
+    before = Window.partitionBy("k").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("k", "run", F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("before"))
+    within = F.sum("v").over(Window.partitionBy("k", "run").orderBy("vec_id"))
+    return rows.join(totals, ["k", "run"]).select("vec_id", "k", F.round(F.col("before") + within, 6).alias("running"))
+
+
+@register(
+    "tensor_rows_matmul",
+    """WITH e AS (SELECT vec_id AS k, label AS i, unnest(range(0, 64)) AS j, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings)
+SELECT CAST(a.j AS BIGINT) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.v * b.v), 5) AS v FROM e a JOIN e b ON a.k = b.k GROUP BY a.j, b.j""",
+)
 def tensor_rows_matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's transpose by the table: 64 by 64 sums over all rows."""
     e = embeddings(spark, sf_dir)
-    a = e.select(F.col("label").cast("long").alias("i"), F.col("vec_id").alias("k"), at(F.col("x"), 0).alias("v"))
+    a = e.select(F.col("vec_id").alias("k"), F.posexplode("x").alias("i", "v")).select(F.col("i").cast("long").alias("i"), "k", "v")
     b = e.select(F.col("vec_id").alias("k"), F.posexplode("x").alias("j", "v"))
     return linalg.matmul_rows(a, b).select("i", "j", F.round("v", 5).alias("v"))
 
 
-@register("tensor_embedding_lookup", "SELECT e.event_id, v.label AS label, round(CAST(v.embedding[1] AS DOUBLE), 6) AS first FROM events e JOIN embeddings v ON v.vec_id = e.user_id % 500")
+@register("tensor_embedding_lookup", "SELECT e.event_id, v.label AS label, round(CAST(v.embedding[1] AS DOUBLE), 6) AS first FROM events e JOIN embeddings v ON v.vec_id = e.user_id % (SELECT count(*) FROM embeddings)")
 def tensor_embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embedding(ids): rows of a table by index, as a join."""
-    ids = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 500).alias("vec_id"))
-    return ids.join(embeddings(spark, sf_dir), "vec_id").select("event_id", "label", F.round(at(F.col("x"), 0), 6).alias("first"))
+    rows = embeddings(spark, sf_dir)
+    ids = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % rows.count()).alias("vec_id"))
+    return ids.join(rows, "vec_id").select("event_id", "label", F.round(at(F.col("x"), 0), 6).alias("first"))
 
 
 # pixels
@@ -255,8 +270,8 @@ results(
         "symmetric": (lambda x, y, px: pixels.pad(px, 4, 4, (2, 2, 2, 2), "symmetric"), "list_transform(range(192), lambda k: px[(([1, 0, 0, 1, 2, 3, 3, 2])[k // 24 + 1] * 4 + ([1, 0, 0, 1, 2, 3, 3, 2])[(k // 3) % 8 + 1]) * 3 + k % 3 + 1])"),
     },
 )
-_MATRIX = [[((i * 7 + j * 3) % 5 - 2) / 4 for j in range(12)] for i in range(12)]
-results("pixel_linear_transform", images, PIXELS_SQL, {"moved": (lambda x, y, px: pixels.linear_transform(F.transform(F.slice(px, 1, 12), lambda v: v / F.lit(255.0)), _MATRIX, [0.5] * 12), "list_transform(range(12), lambda j: list_sum(list_transform(range(12), lambda i: (px[i + 1] / 255.0 - 0.5) * (((i * 7 + j * 3) % 5 - 2) / 4.0))))")})
+_MATRIX = [[((i * 7 + j * 3) % 5 - 2) / 4 for j in range(48)] for i in range(48)]
+results("pixel_linear_transform", images, PIXELS_SQL, {"moved": (lambda x, y, px: pixels.linear_transform(F.transform(px, lambda v: v / F.lit(255.0)), _MATRIX, [0.5] * 48), "list_transform(range(48), lambda j: list_sum(list_transform(range(48), lambda i: (px[i + 1] / 255.0 - 0.5) * (((i * 7 + j * 3) % 5 - 2) / 4.0))))")})
 
 
 @register("pixel_five_crop", f"SELECT vec_id, CAST(view - 1 AS INTEGER) AS view, label, {weighed_sql('list_transform(range(12), lambda k: px[((k // 6 + oy) * 4 + (k // 3) % 2 + ox) * 3 + k % 3 + 1])')} AS pixels FROM ({PIXELS_SQL}), (SELECT * FROM (VALUES (1, 0, 0), (2, 2, 0), (3, 0, 2), (4, 2, 2), (5, 1, 1)) t(view, ox, oy))")
@@ -274,11 +289,11 @@ def pixel_ten_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 # selection and batches
 
 
-@register("batch_channel_means", f"SELECT CAST(pos // 32 AS BIGINT) AS batch_id, CAST(k % 3 AS INTEGER) AS channel, round(avg(CAST(v AS DOUBLE)), 4) AS average FROM (SELECT vec_id AS pos, unnest(range(48)) AS k, unnest({_K.format('CAST(' + _BLEND.format(b='0', f='1.2', v='px[k + 1]') + f' AS FLOAT) * ([{_SC}])[k % 3 + 1] + ([{_BI}])[k % 3 + 1]')}) AS v FROM ({PIXELS_SQL}) WHERE vec_id < 400) WHERE pos // 32 < 12 GROUP BY ALL")
+@register("batch_channel_means", f"SELECT CAST(pos // 32 AS BIGINT) AS batch_id, CAST(k % 3 AS INTEGER) AS channel, round(avg(CAST(v AS DOUBLE)), 4) AS average FROM (SELECT vec_id AS pos, unnest(range(48)) AS k, unnest({_K.format('CAST(' + _BLEND.format(b='0', f='1.2', v='px[k + 1]') + f' AS FLOAT) * ([{_SC}])[k % 3 + 1] + ([{_BI}])[k % 3 + 1]')}) AS v FROM ({PIXELS_SQL})) WHERE pos // 32 < (SELECT count(*) FROM embeddings) // 32 GROUP BY ALL")
 def batch_channel_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source to batches: take, brightness, normalize, batches without the partial tail, and their channel means."""
-    rows = S.take(images(spark, sf_dir).withColumnRenamed("vec_id", "pos"), 400)
-    rows = S.batch(rows, 32, drop_last=True, n=400).withColumn("v", pixels.normalize(pixels.brightness(F.col("px"), 1.2), _MEAN, _STD))
+    """Source to batches: brightness, normalize, batches without the partial tail, and their channel means."""
+    rows = images(spark, sf_dir).withColumnRenamed("vec_id", "pos")
+    rows = S.batch(rows, 32, drop_last=True).withColumn("v", pixels.normalize(pixels.brightness(F.col("px"), 1.2), _MEAN, _STD))
     flat = rows.select("batch_id", F.posexplode("v").alias("k", "v"))
     return flat.groupBy("batch_id", (F.col("k") % 3).cast("int").alias("channel")).agg(F.round(F.avg(F.col("v").cast("double")), 4).alias("average"))
 
@@ -290,11 +305,11 @@ def select_skip_take(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.skip(S.take(S.skip(rows, 7), 120), 5).select("pos", "doc_id")
 
 
-@register("select_indices", "SELECT e.event_id AS pos, o.o_orderkey, o.o_totalprice FROM events e JOIN orders o ON o.o_orderkey = (e.event_id * 37) % 1000")
+@register("select_indices", "SELECT e.event_id AS pos, o.o_orderkey, o.o_totalprice FROM events e JOIN orders o ON o.o_orderkey = (e.event_id * 37) % (SELECT count(*) FROM orders)")
 def select_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by requested index, with order and duplicates kept."""
-    wanted = table(spark, sf_dir, "events").select(F.col("event_id").alias("req"), ((F.col("event_id") * 37) % 1000).alias("pos"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), "o_orderkey", "o_totalprice")
+    wanted = table(spark, sf_dir, "events").select(F.col("event_id").alias("req"), ((F.col("event_id") * 37) % orders.count()).alias("pos"))
     return S.indices(orders, wanted).select("pos", "o_orderkey", "o_totalprice")
 
 
@@ -362,12 +377,13 @@ def video_temporal_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # text
 _WORDS_SQL = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')"
-_IDS_SQL = f"SELECT doc_id, list_transform({_WORDS_SQL}, lambda w: CAST(len(w) AS INTEGER)) AS ids FROM documents"
+_IDS_SQL = f"SELECT doc_id, list_transform({_WORDS_SQL}, lambda w: CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 50000 + 100 AS INTEGER)) AS ids FROM documents"
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A word's id is its length: enough to follow ids through truncation, padding and packing."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.transform(tokens.pieces(F.col("text")), lambda w: F.length(w)).alias("ids"))
+    """A word's id is its bucket of a hashed vocabulary of 50,000, after 100 reserved ids."""
+    bucket = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % 50_000 + 100).cast("int")
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(tokens.pieces(F.col("text")), bucket).alias("ids"))
 
 
 @register("text_vocabulary_encode", f"WITH w AS (SELECT doc_id, unnest({_WORDS_SQL}) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM w GROUP BY w), v AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS id FROM (SELECT * FROM c ORDER BY n DESC, w LIMIT 1000)) SELECT w.doc_id, count(*) AS n_tokens, CAST(count(v.id) AS BIGINT) AS n_known, CAST(coalesce(sum(v.id), 0) AS BIGINT) AS id_sum FROM w LEFT JOIN v ON v.w = w.w GROUP BY w.doc_id")
@@ -455,8 +471,11 @@ def rng_horizontal_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import algebra_queries, draw_queries  # noqa: F401  they register theirs
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

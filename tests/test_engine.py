@@ -143,7 +143,7 @@ def test_every_random_step_runs():
 
 def test_policies_have_their_pairs():
     for name in ("imagenet", "cifar10", "svhn"):
-        pairs = image_ops.sub_policies(name)
+        pairs = image_ops.SUB_POLICIES[name]
         assert len(pairs) == 25
         for (n, p, m) in (op for pair in pairs for op in pair):
             assert (n in image_ops.POLICY or n == "Invert") and 0 <= p <= 1 and (m is None) == (n in image_ops._PLAIN)
@@ -156,18 +156,167 @@ def test_beta_draws():
         assert abs(x.mean() - 0.5) < 0.03 and abs(x.var() - spread) < 0.02
 
 
+def test_cut_boxes_truncate_half_sides():
+    from loomtide.operators import mix
+
+    # half = 0.25: half sides of 2.5 are 2 pixels, on both sides of the pixel
+    assert mix.cut_box(7, 7, 10, 10, 0.75) == (5, 5, 9, 9)
+    assert mix.cut_box(1, 9, 10, 10, 0.75) == (0, 7, 3, 10)
+    assert mix.cut_box(3, 3, 8, 16, 0.0) == (0, 0, 11, 7)
+
+
+def test_beta_draws_of_tiny_shapes_are_ends():
+    s = rng.Context(1).stream(0, 0)
+    x = [image_ops.beta_draw(s, 1e-310) for _ in range(200)] + [image_ops.beta_draw(s, 1e-4) for _ in range(200)]
+    assert all(v < 1e-6 or v > 1 - 1e-6 for v in x) and 0.3 < np.mean(x) < 0.7
+
+
 def test_mixup_and_cutmix(pngs):
     base = Pipeline(pngs).seed(3).decode_image().batch(4)
-    plain = {r["pos"]: np.frombuffer(r["data"], np.uint8).reshape(12, 18, 3) for r in base.execute().collect()}
-    for r in base.mixup(3, 0.8).collect():
+    whole = Pipeline(pngs).seed(3).decode_image().convert_image_dtype("float32").batch(4)
+    plain = {r["pos"]: np.frombuffer(r["data"], np.float32).reshape(12, 18, 3) for r in whole.execute().collect()}
+    for r in whole.mixup(3, 0.8).collect():
         before = (r["pos"] - 1) if r["batch_pos"] else (3 if r["batch_id"] == 0 else 5)
-        lam = image_ops.beta_draw(rng.Context(3).stream(r["batch_id"], rng.op_key("MixUp")), 0.8)
-        want = plain[before].astype(np.float32) * np.float32(1 - lam) + plain[r["pos"]].astype(np.float32) * np.float32(lam)
+        lam = np.float32(image_ops.beta_draw(rng.Context(3).stream(r["batch_id"], rng.op_key("MixUp")), 0.8))
+        want = plain[before] * (np.float32(1) - lam) + plain[r["pos"]] * lam
         assert np.array_equal(np.frombuffer(r["data"], np.float32).reshape(12, 18, 3), want) and abs(sum(r["soft_label"]) - 1) < 1e-6
     a, b = (sorted((r["pos"], bytes(r["data"]), str(r["soft_label"])) for r in p.cutmix(3).collect()) for p in (base, Pipeline(pngs.repartition(5)).seed(3).decode_image().batch(4)))
     assert a == b and len(a) == 6
-    with pytest.raises(PipelineError):
-        Pipeline(pngs).decode_image().mixup(3)
+    for f in (lambda: Pipeline(pngs).decode_image().mixup(3), lambda: base.mixup(3)):
+        with pytest.raises(PipelineError):
+            f()
+    # the first shuffle's seed counts where the pipeline has none, for batches too
+    shuffled = Pipeline(pngs).shuffle(3).decode_image().convert_image_dtype("float32").batch(4)
+    lam = np.float32(image_ops.beta_draw(rng.Context(3).stream(1, rng.op_key("MixUp")), 1.0))
+    for r in shuffled.mixup(3).where("batch_id = 1").collect():
+        assert min(abs(v - lam) for v in r["soft_label"]) < 1e-6 or max(r["soft_label"]) == 1
+
+
+def test_soft_labels_are_mixed(pngs):
+    from loomtide.operators.mix import mixed
+
+    rows = Pipeline(pngs).decode_image().convert_image_dtype("float32").batch(3).execute()
+    soft = rows.withColumn("label", F.array(F.lit(0.25).cast("float"), F.lit(0.75).cast("float")))
+    for r in mixed(soft, "MixUp", None, 1.0).collect():
+        assert np.allclose(r["soft_label"], [0.25, 0.75])
+    for bad in (lambda: mixed(rows, "MixUp", None, 1.0), lambda: mixed(rows, "MixUp", 3, 0.0), lambda: mixed(soft, "MixUp", 3, 1.0).collect()):
+        with pytest.raises(Exception):  # noqa: B017
+            bad()
+
+
+def test_keys_below_random_steps_count_siblings_of_a_kind():
+    flip = ("RandomHorizontalFlip", {})
+    steps = [("RandomApply", {"p": 1.0, "steps": (("Invert", {}), flip, flip)}), ("RandomApply", {"p": 1.0, "steps": (flip,)})]
+    (_, args, first), (_, _, second) = image_ops.keyed(steps)
+    assert (first, second) == (rng.op_key("RandomApply", 0), rng.op_key("RandomApply", 1))
+    assert [k for n, _, k in image_ops.keyed(args["steps"], first) if n == flip[0]] == [rng.combine(first, rng.op_key(flip[0], k)) for k in (0, 1)]
+    asked = []
+    image_ops.apply(image_ops.keyed([("RandomChoice", {"choices": ((flip,), (flip, flip)), "p": (0.0, 2.0)})]), [PIXELS[0]], lambda key: asked.append(key) or rng.Context(1).stream(0, key))
+    branch = rng.combine(rng.op_key("RandomChoice"), rng.op_key("RandomChoiceBranch", 1))
+    assert asked == [rng.op_key("RandomChoice"), *[rng.combine(branch, rng.op_key(flip[0], k)) for k in (0, 1)]]
+
+
+def test_choice_weights():
+    assert image_ops.choice_bounds(4, (0.0, 1.0, 3.0, 0.0)) == [0.0, 0.25, 1.0, 1.0] and image_ops.choice_bounds(3, None) is None
+    for bad in ((), (1.0,), (0.0, 0.0), (-1.0, 2.0), (float("nan"), 1.0), (float("inf"), 1.0)):
+        with pytest.raises(ValueError):
+            image_ops.choice_bounds(2, bad)
+    with pytest.raises(ValueError):
+        Transform().random_choice([Transform().invert()], [1.0, 2.0])
+
+
+def test_perspective_corners_stay_in_their_boxes():
+    class Top:
+        def below(self, n):
+            return n - 1
+
+    class Low:
+        def below(self, n):
+            return 0
+
+    # width 11, height 9, distortion 0.5: boxes of 2 by 2 pixels
+    assert image_ops.moved_corners(Low(), 11, 9, 0.5) == [(0, 0), (8, 0), (8, 6), (0, 6)]
+    assert image_ops.moved_corners(Top(), 11, 9, 0.5) == [(2, 2), (10, 2), (10, 8), (2, 8)]
+
+
+def test_magnitudes_are_float32_steps_from_both_ends():
+    m = image_ops.magnitudes(10, 8, 16, "mix")
+    assert m["TranslateX"][9] == float(np.float32(16 / 3)) and m["Posterize"] == [4.0, 4.0, 3.0, 3.0, 2.0, 2.0, 1.0, 1.0, 0.0, 0.0]
+    assert m["ShearX"][7] == float(np.float32(0.3) - np.float32(0.3) / np.float32(9) * np.float32(2))
+    assert image_ops.magnitudes(10, 8, 16)["Posterize"][9] == 4.0 and image_ops.magnitudes(31, 8, 16, "wide")["TranslateY"][30] == 32.0
+
+
+def test_augmix_weights_and_order():
+    """One chain of one known operation: total = beta0 * image + weight * beta1 * operation."""
+    s = rng.Context(5).stream(0, 1)
+    beta, (weight,) = image_ops.dirichlet(s, 2, 1.0), image_ops.dirichlet(s, 1, 1.0)
+    name = image_ops.MIX[:9][s.below(9)]
+    m = 0.0 if name in image_ops._PLAIN else image_ops.magnitudes(10, 12, 18, "mix")[name][s.below(3)]
+    m = -m if name in image_ops._SIGNED and s.coin(0.5) else m
+    want = PIXELS[0].astype(np.float32) * beta[0] + weight * beta[1] * image_ops.mix_op(PIXELS[0], name, m, "bilinear", 0).astype(np.float32)
+    got = image_ops._augmix(PIXELS[0], rng.Context(5).stream(0, 1), width=1, depth=1, all_ops=False)
+    assert np.array_equal(got, np.clip(want, 0, 255).astype(np.uint8))
+    for bad in ({"severity": 0}, {"severity": 11}, {"width": 0}, {"alpha": 0.0}, {"interpolation": "bicubic"}):
+        with pytest.raises(PipelineError):
+            Transform().augmix(**bad)
+
+
+def test_grid_warp_and_mix_colours():
+    px = PIXELS[3]
+    same = (1, 0, 0, 0, 1, 0)
+    assert (kernels.grid_warp(px, same, "nearest") == px).all() and np.abs(kernels.grid_warp(px, same).astype(int)[1:-1, 1:-1] - px[1:-1, 1:-1]).max() <= 1
+    moved = kernels.grid_warp(px, (1, 0, 3, 0, 1, 0), "nearest", 9)
+    assert (moved[:, :-3] == px[:, 3:]).all() and (moved[:, -3:] == 9).all()
+    for name in ("Color", "Contrast", "Sharpness"):
+        assert (kernels.mix_colour(px, name, 0.0) == px).all()
+    grey = np.trunc(np.float32(0.2989) * px[..., 0].astype(np.float32) + np.float32(0.587) * px[..., 1].astype(np.float32) + np.float32(0.114) * px[..., 2].astype(np.float32))
+    assert (kernels.mix_colour(px, "Color", -1.0) == grey[..., None]).all()
+
+
+def test_draws_at_once_are_the_draws_one_by_one():
+    one, many = rng.Context(9).stream(3, 4), rng.Context(9).stream(3, 4)
+    assert [one.u64() for _ in range(40)] == many.u64s(40).tolist() and one.u64() == many.u64()
+    assert [float(one.f32()) for _ in range(9)] == many.f32s(9).tolist()
+    assert np.allclose([one.normal() for _ in range(9)], many.normals(9)) and one.state == many.state
+
+
+def test_png_filters(monkeypatch):
+    """Every filter, against the definition, a byte at a time."""
+    import struct
+    import zlib
+
+    gen = np.random.default_rng(2)
+    for h, w, c in ((1, 1, 1), (5, 1, 3), (9, 7, 3), (12, 33, 4)):
+        px = gen.integers(0, 256, (h, w, c), dtype=np.uint8)
+        kinds = gen.integers(0, 5, h) if h > 6 else gen.permutation(5)[:h]
+        lines = []
+        for y in range(h):
+            line = bytearray([kinds[y]])
+            for x in range(w):
+                for k in range(c):
+                    left, up, corner = (int(px[y + b, x + a, k]) if x + a >= 0 and y + b >= 0 else 0 for a, b in ((-1, 0), (0, -1), (-1, -1)))
+                    p = left + up - corner
+                    near = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+                    line.append((int(px[y, x, k]) - (0, left, up, (left + up) // 2, near)[kinds[y]]) % 256)
+            lines.append(bytes(line))
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0)
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+        assert (kernels.decode_png(png) == kernels.rgb(px)).all()
+
+
+def test_linear_algebra_errors_name_their_batch(spark):
+    df = spark.createDataFrame([([1.0, 0.0, 2.0, 3.0] + [1.0, 0.0, 5.0, 0.0], [1.0, 2.0, 3.0, 4.0])], "a array<double>, b array<double>")
+    with pytest.raises(Exception, match="batch 1 at diagonal 1"):
+        df.select(linalg.batch_triangular_solve(F.col("a"), F.col("b"), 2, 2)).collect()
+    for f in (lambda: tensor.broadcast_shape((2, 3), (4,)), lambda: tensor.reshape(F.col("a"), (8,), (3, -1)), lambda: tensor.squeezed((2, 3), 0), lambda: tensor.index_add(F.col("a"), (8,), 0, [8], F.col("b")), lambda: tensor.convert(F.col("a"), "f8")):
+        with pytest.raises((ValueError, IndexError)):
+            f()
+    with pytest.raises(NotImplementedError):
+        tensor.argsort(F.col("a"))
+    nan = F.transform("a", lambda x: F.lit(float("nan")))
+    assert df.select(linalg.baddbmm(nan, F.col("a"), F.col("a"), 2, 2, 2, 2, 0.0).alias("r")).first()["r"][0] == 1.0
+    assert df.select(linalg.addbmm(F.slice("a", 1, 4), nan, nan, 2, 2, 2, 2, 2.0, 0.0).alias("r")).first()["r"] == [2.0, 0.0, 4.0, 6.0]
 
 
 def test_null_images_are_errors(spark):
@@ -193,6 +342,9 @@ def test_structured_fields_move_together(spark):
     assert cut["labels"].tolist() == [4] and len(cut["masks"]) == 1
     rows = [(i, 10, 12, 3, bytearray(np.ascontiguousarray(s["image"]).tobytes()), s["boxes"].tolist(), s["labels"].tolist(), s["keypoints"].tolist(), [bytearray(m.tobytes()) for m in s["masks"]]) for i in range(6)]
     df = spark.createDataFrame(rows, structured.SCHEMA)
+    none = s | {"boxes": s["boxes"][:0], "labels": s["labels"][:0], "keypoints": s["keypoints"][:0]}
+    draws = rng.Context(1).stream(0, 0)
+    assert structured.random_iou_crop(none, draws) is none and draws.state == rng.Context(1).stream(0, 0).state
     steps = [("RandomIoUCrop", {}), ("RandomHorizontalFlip", {}), ("Resize", {"w": 8, "h": 8}), ("Sanitize", {})]
     a, b = (sorted(map(str, structured.transformed(d, steps, 3).collect())) for d in (df.coalesce(1), df.repartition(3)))
     assert a == b and len(a) == 6
