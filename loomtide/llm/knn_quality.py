@@ -6,7 +6,7 @@ bounded broadcast) are compared with every document's, in blocks, by exact cosin
 similarity. Labels, language, source and id are not inputs.
 
 Null and empty texts have no vector: their score is the mean label of the fit. Texts are whole however long; each row
-is scored by itself, so repeated rows agree. Without labels every score is 0.5.
+is scored by itself, so repeated rows agree. Of neighbours that tie for the last vote either may vote. Without labels every score is 0.5.
 """
 
 from __future__ import annotations

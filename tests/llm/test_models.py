@@ -58,3 +58,75 @@ def test_features_are_distinct_and_inside_texts():
     got = [f for _, o, d in utf8_blocks(x) for f in toxicity.features(o, d)]
     assert [len(g) for g in got] == [3 + 3 + 3, 0, 0, 1]
     assert all(len(set(g.tolist())) == len(g) for g in got)
+
+
+def test_ratios_equal_plain_arithmetic(spark):
+    """Counts, ratios and weighing by plain Python on the sample's own texts."""
+    import math
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    rows = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        rows.append((i, " ".join(rng.choice(words, 12)) + (" stinkweed" if toxic and i % 8 else " ") + (" pleasant" if not toxic and i % 3 else ""), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    grams = {}
+    for d, t, _ in rows:
+        (f,) = (f for _, o, b in utf8_blocks(pa.array([t])) for f in toxicity.features(o, b))
+        grams[d] = set(f.tolist())
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, _, _ in rows}
+    ids = [(d, y) for d, _, y in rows if not held[d]]
+    n, m = sum(y for _, y in ids), sum(1 - y for _, y in ids)
+    p, q = np.zeros(toxicity.BUCKETS), np.zeros(toxicity.BUCKETS)
+    for d, y in ids:
+        for g in grams[d]:
+            (p if y else q)[g] += 1
+    ratio = toxicity.ratios(p, q, n, m)
+    for g in sorted(set().union(*grams.values()))[::7]:
+        a, b = p[g] + n / (n + m), q[g] + m / (n + m)
+        r = math.log(a / n) - math.log(b / m)
+        keep = max(0.0, 1 - 16 * (1 / a + 1 / b) / r**2) if r else 0.0
+        assert abs(ratio[g] - r * keep) < 1e-12
+    weights, bias = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", F.lit(1).alias("quality"), "toxic"))
+    assert (ratio != 0).any() and (weights[ratio == 0] == 0).all() and (weights[ratio != 0] != 0).mean() > 0.9
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, (weights, bias)).collect()}
+    for d, _, _ in rows:
+        assert abs(got[d] - 1 / (1 + math.exp(-(bias + sum(float(weights[g]) for g in grams[d]))))) < 1e-6
+
+
+def test_votes_equal_brute_force(spark):
+    """Every score from the labelled texts' own similarities, one pair at a time; tied neighbours too."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join("".join(rng.choice(list("abcdeXYZ!\n"), rng.integers(1, 9))) for _ in range(rng.integers(3, 60)))
+    rows = [(i, text(), int(rng.integers(0, 2))) for i in range(120)]
+    rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(5)] + [(300, "", 1), (301, None, 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    model = knn_quality.fit(docs, spark.createDataFrame([(d, q) for d, _, q in rows], "doc_id long, quality int"))
+    got = {r["doc_id"]: r["score"] for r in knn_quality.score(docs, model).collect()}
+    fitted = [(d, t, q) for d, t, q in rows if zlib.crc32(str(d).encode()) % 5]
+
+    def vector(t):
+        (r,) = (r for _, o, b in utf8_blocks(pa.array([t], pa.string())) for r in knn_quality.term_rates(o, b))
+        v = (np.sqrt(r) * model["idf"]).astype(np.float64) @ model["to"].astype(np.float64)
+        return v / np.linalg.norm(v) if np.linalg.norm(v) else None
+
+    known = [(vector(t), q) for _, t, q in fitted]
+    prior, tied = np.mean([q for _, _, q in fitted]), set()
+    known = [(v, q) for v, q in known if v is not None]
+    for d, t, _ in rows:
+        v = vector(t)
+        if v is None:
+            assert abs(got[d] - prior) < 1e-6
+            continue
+        near = sorted(((float(v @ w), q) for w, q in known), reverse=True)
+        if near[14][0] - near[15][0] < 1e-5:
+            tied.add(d)  # a tie at the last neighbour: either one may vote
+            continue
+        votes = [(max(0.0, c), q) for c, q in near[:15]]
+        assert abs(got[d] - sum(c * q for c, q in votes) / sum(c for c, _ in votes)) < 1e-4
+    assert len(tied) < 30 and all(abs(got[200 + i] - got[i]) < 1e-4 for i in range(5) if i not in tied)  # matrix products round by block
