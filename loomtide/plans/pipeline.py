@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import image_ops, kernels, selection
+from ..operators import batched, image_ops, kernels, selection
 from ..operators.rng import Context
 
 OUT = "pos long, source long, view int, h int, w int, c int, dtype string, layout string, data binary, label long"
@@ -407,23 +407,61 @@ class Pipeline(Ops):
         raw = "h" in self.df.columns
         steps, layout = image_ops.keyed(list(self.steps)), self.state.layout
         extra = ["batch_id", "batch_pos"] if self.batch_ else []
+        at_once = batched.prefix(steps)
+
+        def decoded(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """(places in the batch, images) of images of one shape."""
+            image = b.column("image")
+            if image.null_count:
+                row = int(np.flatnonzero(image.is_null().to_numpy(zero_copy_only=False))[0])
+                raise ValueError(f"image is null at row {b.column('source')[row].as_py()}")
+            if raw:
+                shape = np.stack([b.column(k).to_numpy() for k in ("h", "w", "c")], axis=1)
+            else:
+                px = [kernels.decode_png(x) for x in image.to_pylist()]
+                shape = np.array([x.shape for x in px], np.int64).reshape(-1, 3)
+            kinds, of = np.unique(shape, axis=0, return_inverse=True)
+            for k, (h, w, c) in enumerate(kinds.tolist()):
+                at = np.flatnonzero(of.reshape(-1) == k)
+                if raw:
+                    data = np.frombuffer(b"".join(image[i].as_buffer() for i in at.tolist()), np.uint8)
+                    yield at, data.reshape(len(at), h, w, c)
+                else:
+                    yield at, np.stack([px[i] for i in at.tolist()])
+
+        def told(b: pa.RecordBatch, at: np.ndarray, views: np.ndarray, px: np.ndarray) -> list[pa.RecordBatch]:
+            """Batches of images of one shape; ``at`` are their rows in ``b``. Offsets are of 32 bits: at most 1 GiB a batch."""
+            n = len(px)
+            h, w, c = px.shape[1:] if layout == "HWC" else (px.shape[2], px.shape[3], px.shape[1])
+            data = np.ascontiguousarray(px)
+            size = data.nbytes // n
+            if data.nbytes > 1 << 30:
+                return [x for part in np.array_split(np.arange(n), data.nbytes // (1 << 30) + 1) for x in told(b, at[part], views[part], px[part])]
+            offsets = pa.py_buffer((np.arange(n + 1) * size).astype(np.int32))
+            pixels = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(data)])
+            rows = pa.array(at)
+            take = lambda k: b.column(k).take(rows)
+            same = lambda v, kind: pa.array(np.full(n, v), kind) if kind != pa.string() else pa.array([v] * n, kind)
+            cols = [take("pos"), take("source"), pa.array(views, pa.int32()), *[same(v, pa.int32()) for v in (h, w, c)], same(str(px.dtype), pa.string()), same(layout, pa.string()), pixels, take("label")]
+            return [pa.RecordBatch.from_arrays([*cols, *[take(e) for e in extra]], [*[k.split()[0] for k in OUT.split(", ")], *extra])]
 
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                c = {k: b.column(k).to_pylist() for k in b.schema.names}
-                rows: dict[str, list] = {k.split()[0]: [] for k in OUT.split(", ")} | {k: [] for k in extra}
-                for i in range(b.num_rows):
-                    if c["image"][i] is None:
-                        raise ValueError(f"image is null at row {c['source'][i]}")
-                    px = np.frombuffer(c["image"][i], np.uint8).reshape(c["h"][i], c["w"][i], c["c"][i]) if raw else kernels.decode_png(c["image"][i])
-                    images = image_ops.apply(steps, [px], lambda key, source=c["source"][i]: context.stream(source, key))
-                    for v, x in enumerate(images):
-                        h, w, ch = x.shape if layout == "HWC" else (x.shape[1], x.shape[2], x.shape[0])
-                        new = (c["pos"][i], c["source"][i], v, h, w, ch, str(x.dtype), layout, np.ascontiguousarray(x).tobytes(), c["label"][i])
-                        for k, value in zip(rows, (*new, *[c[e][i] for e in extra]), strict=True):
-                            rows[k].append(value)
-                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.binary(), pa.int64(), *[pa.int64(), pa.int32()][: len(extra)]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], list(rows))
+                if not b.num_rows:
+                    continue
+                source = b.column("source").to_numpy()
+                for at, px in decoded(b):
+                    px = batched.apply(steps[:at_once], px, context, source[at])
+                    if at_once == len(steps):
+                        yield from told(b, at, np.zeros(len(at), np.int32), px)
+                        continue
+                    rest: dict[tuple, list] = {}
+                    for i, one in zip(at.tolist(), px, strict=True):
+                        images = image_ops.apply(steps[at_once:], [one], lambda key, row=int(source[i]): context.stream(row, key))
+                        for v, x in enumerate(images):
+                            rest.setdefault((x.shape, x.dtype), []).append((i, v, x))
+                    for same in rest.values():
+                        yield from told(b, np.array([i for i, _, _ in same]), np.array([v for _, v, _ in same], np.int32), np.stack([x for _, _, x in same]))
 
         cols = ["pos", "source", "image", "label", *(["h", "w", "c"] if raw else []), *extra]
         schema = OUT + (", batch_id long, batch_pos int" if extra else "")

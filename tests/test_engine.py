@@ -124,6 +124,40 @@ def test_draws_do_not_depend_on_partitions(pngs):
     assert one == run(pngs.repartition(4), 1) and one != run(pngs, 2)
 
 
+def test_steps_at_once_equal_steps_one_by_one():
+    from loomtide.operators import batched
+
+    gen = np.random.default_rng(8)
+    px = gen.integers(0, 256, (40, 9, 11, 3), dtype=np.uint8)
+    px[:3] = px[:3, :1, :1]
+    plain = {
+        "HorizontalFlip": {}, "VerticalFlip": {}, "Rotate": {"angle": 270}, "Pad": {"sides": (1, 2, 3, 0), "mode": "reflect"}, "Brightness": {"f": 1.3}, "Contrast": {"f": 0.7}, "Saturation": {"f": 1.4}, "Hue": {"f": -0.2}, "Gamma": {"g": 0.8}, "Grayscale": {"channels": 3}, "Invert": {},
+        "Posterize": {"bits": 3}, "Solarize": {"threshold": 99}, "GaussianBlur": {"sigma": 0.8, "kernel_size": 3}, "PermuteChannels": {"order": (2, 0, 1)}, "Rgb": {}, "Normalize": {"mean": (0.5, 0.4, 0.3), "std": (0.2, 0.3, 0.4)}, "ToFloat": {}, "CastFloat": {}, "HwcToChw": {}, "Resize": {"w": 6, "h": 14, "interpolation": "bicubic"},
+    }
+    drawn = {
+        "RandomCrop": {"w": 7, "h": 8, "padding": (2, 2, 2, 2), "mode": "edge"}, "RandomHorizontalFlip": {}, "RandomVerticalFlip": {"p": 0.3}, "RandomGrayscale": {"p": 0.4}, "RandomInvert": {}, "RandomPosterize": {"bits": 2}, "RandomSolarize": {"threshold": 77}, "ColorJitter": {"b": 0.4, "c": 0.3, "h": 0.1, "sat": 0.5},
+        "RandomApply": {"p": 0.5, "steps": (("Invert", {}), ("Contrast", {"f": 0.5}))},
+    }
+    assert set(plain) | {"ToUint8", "CastUint8", "ChwToHwc"} == set(batched.PLAIN) and set(drawn) == {*batched.RANDOM, "RandomApply"}
+    context, rows = rng.Context(3, 1), np.arange(100, 140)
+    whole = [("ColorJitter", drawn["ColorJitter"]), ("RandomCrop", drawn["RandomCrop"]), ("HwcToChw", {}), ("ChwToHwc", {}), ("ToFloat", {}), ("ToUint8", {}), ("CastFloat", {}), ("CastUint8", {})]
+    for steps in [*([(n, a)] for n, a in (plain | drawn).items()), whole]:
+        keyed = image_ops.keyed(steps)
+        assert batched.prefix(keyed) == len(keyed)
+        got = batched.apply(keyed, px, context, rows)
+        want = [image_ops.apply(keyed, [x], lambda key, r=r: context.stream(int(r), key))[0] for x, r in zip(px, rows, strict=True)]
+        assert got.dtype == want[0].dtype and np.array_equal(got, np.stack(want)), steps
+    assert batched.prefix(image_ops.keyed([("Invert", {}), ("RandomErasing", {}), ("Invert", {})])) == 1
+
+
+def test_rows_of_several_shapes(spark):
+    gen = np.random.default_rng(4)
+    images = [gen.integers(0, 256, (5 + i % 3, 6, 3), dtype=np.uint8) for i in range(12)]
+    raw = spark.createDataFrame([(i, bytearray(x.tobytes()), i, x.shape[0], 6, 3) for i, x in enumerate(images)], "pos long, image binary, label long, h int, w int, c int").repartition(2)
+    got = {r["pos"]: np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"], r["c"]) for r in Pipeline(raw).decode_image().horizontal_flip().execute().collect()}
+    assert all((got[i] == x[:, ::-1]).all() for i, x in enumerate(images)) and len(got) == 12
+
+
 def test_views_keep_their_label(pngs):
     rows = Pipeline(pngs).decode_image().ten_crop(5, 4).batch(2).execute().orderBy("pos", "view").collect()
     assert len(rows) == 60 and [r["view"] for r in rows[:10]] == list(range(10)) and all(r["label"] == r["source"] % 3 for r in rows)
