@@ -1,7 +1,7 @@
 """Order-aware selection. Rows carry a dense ``pos``; skip, take, shuffle and batches are arithmetic on it.
 
-Ranges compose in the order they are declared; a permutation joins by position. Nothing here needs a global sort except
-``with_pos``, which counts rows before each block of keys and never gathers them in one task."""
+Ranges compose in the order they are declared; a permutation joins by position. Nothing here needs a global sort: places
+are counted by blocks of keys or hashes, and no task gathers all rows."""
 
 from __future__ import annotations
 
@@ -14,14 +14,41 @@ from .rng import Sampler, fisher_yates
 DRAWN = 1 << 20
 
 
+#: Blocks of rows that positions are counted by, at most; their bounds are literals in the plan.
+MOST_BLOCKS = 1024
+
+
+def _bounds(df: DataFrame, key: str, block: int) -> list[int]:
+    """Rising keys that cut ``df`` into blocks of about ``block`` rows, MOST_BLOCKS at most, whatever the keys are."""
+    n = df.count()
+    blocks = min(MOST_BLOCKS, -(-n // block))
+    if blocks < 2:
+        return []
+    shares = F.array(*[F.lit(k / blocks) for k in range(1, blocks)])
+    return sorted(set(df.agg(F.percentile_approx(key, shares, F.lit(10 * MOST_BLOCKS)).alias("q")).first()[0]))
+
+
+def _block(key: Column, bounds: list[int], width: int = 32) -> Column:
+    """How many bounds are at or below the key: first by every ``width``-th bound, then inside its run."""
+    if not bounds:
+        return F.lit(0)
+    runs = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    under = lambda b: F.size(F.filter(b, lambda x: x <= key))
+    heads = F.array(*[F.lit(r[0]) for r in runs])
+    tails = F.array(*[F.array(*[F.lit(x) for x in r]) for r in runs])
+    run = F.greatest(under(heads) - 1, F.lit(0))
+    return run * width + under(F.get(tails, run))
+
+
 def with_pos(df: DataFrame, key: str, block: int = 1 << 16, name: str = "pos") -> DataFrame:
-    """``df`` with the rank of a distinct integer key from 0. Blocks of keys are counted; each row adds its rank within
-    its block to the rows before it, so windows hold at most ``block`` keys and the table of blocks is small."""
-    at = F.floor(F.col(key) / block)
-    before = df.groupBy(at.alias("__b")).agg(F.count("*").alias("__n"))
+    """``df`` with the rank of a distinct integer key from 0. Blocks are cut by quantiles of the key, so that sparse, hashed
+    and far-off keys fill them alike; each row adds its rank within its block to the rows before the block."""
+    ranked = df.withColumn("__b", _block(F.col(key), _bounds(df, key, block)))
+    before = ranked.groupBy("__b").agg(F.count("*").alias("__n"))
+    # a row for each block: MOST_BLOCKS at most, in one window and broadcast
     before = before.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
-    ranked = df.withColumn("__b", at).withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1)
-    return ranked.join(before, "__b").withColumn(name, F.col("__before") + F.col("__r")).drop("__b", "__r", "__before")
+    ranked = ranked.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1)
+    return ranked.join(F.broadcast(before), "__b").withColumn(name, F.col("__before") + F.col("__r")).drop("__b", "__r", "__before")
 
 
 def skip(df: DataFrame, n: int) -> DataFrame:
@@ -56,19 +83,24 @@ def drawn_shuffle(df: DataFrame, n: int, state: int) -> DataFrame:
 def placed_shuffle(df: DataFrame, n: int, state: int, block: int = 1 << 16) -> DataFrame:
     """The order of a seeded hash of ``pos``, with dense places. Ranges of hashes with about ``block`` rows are counted;
     each row adds its rank in its range to the rows before it. Only the table of ranges is ever in one task."""
+    return _by_hash(df, F.xxhash64("pos", F.lit(state - (1 << 64) if state >> 63 else state)), "pos", n, block)
+
+
+def _by_hash(df: DataFrame, h: Column, tie: str, n: int, block: int) -> DataFrame:
+    """``df`` with dense places by (hash, tie) as pos."""
     bits = max(0, (n // block).bit_length())
-    h = F.xxhash64("pos", F.lit(state - (1 << 64) if state >> 63 else state))
     at = F.shiftright(h, 64 - bits) if bits else F.lit(0).cast("long")
     rows = df.withColumns({"__h": h, "__b": at})
     before = rows.groupBy("__b").agg(F.count("*").alias("__n"))
     before = before.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__h", "pos")) - 1)
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__h", tie)) - 1)
     return ranked.join(before, "__b").withColumn("pos", F.col("__before") + F.col("__r")).drop("__h", "__b", "__r", "__before")
 
 
-def hash_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """An order by hash for tables too large for the driver: a different operator from ``shuffle``, without its order."""
-    return df.repartitionByRange(F.xxhash64(key, F.lit(seed))).sortWithinPartitions(F.xxhash64(key, F.lit(seed)), key)
+def hash_shuffle(df: DataFrame, key: str, seed: int, block: int = 1 << 16) -> DataFrame:
+    """An order by a seeded hash of a distinct key, with dense places as the new pos: for tables too large for the driver,
+    without the order of ``shuffle``."""
+    return _by_hash(df, F.xxhash64(key, F.lit(seed)), key, df.count(), block)
 
 
 def indices(df: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -451,6 +451,20 @@ def pipeline_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.batch(64).execute().select("pos", "source", "batch_id", "batch_pos", "h", "w", "c", "dtype", F.md5("data").alias("digest"), "label")
 
 
+@register("pipeline_cifar")
+def pipeline_cifar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32 x 32 RGB images, one for each event: random crop with padding, flip, normalize, CHW, batches of 128."""
+    from .pipeline import Pipeline
+
+    # the hash's digits, over and over, are the pixels
+    digits = F.sha2(F.concat_ws(":", "event_id", "props"), 512)
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("pos"), F.to_binary(F.substring(F.repeat(digits, 24), 1, 3072), F.lit("utf-8")).alias("image"), (F.col("user_id") % 10).alias("label"), *[F.lit(n).alias(k) for k, n in (("h", 32), ("w", 32), ("c", 3))]
+    )
+    p = Pipeline(rows).seed(42).decode_image().random_crop(32, padding=4).random_horizontal_flip().normalize((0.5, 0.4, 0.3), (0.25, 0.5, 0.2)).hwc_to_chw()
+    return p.batch(128).execute().select("pos", "batch_id", "batch_pos", "label", "dtype", F.crc32("data").alias("checksum"))
+
+
 @register("rng_horizontal_flip", """WITH s AS (SELECT vec_id, CAST(vec_id AS UBIGINT) AS v FROM embeddings),
 a AS (SELECT vec_id, CAST((xor(v, v >> 30))::UHUGEINT * 13787848793156543929 % 18446744073709551616 AS UBIGINT) AS v FROM s), b AS (SELECT vec_id, CAST((xor(v, v >> 27))::UHUGEINT * 10723151780598845931 % 18446744073709551616 AS UBIGINT) AS v FROM a), c AS (SELECT vec_id, xor({root}::UBIGINT, xor(v, v >> 31)) AS v FROM b),
 d AS (SELECT vec_id, CAST((xor(v, v >> 30))::UHUGEINT * 13787848793156543929 % 18446744073709551616 AS UBIGINT) AS v FROM c), e AS (SELECT vec_id, CAST((xor(v, v >> 27))::UHUGEINT * 10723151780598845931 % 18446744073709551616 AS UBIGINT) AS v FROM d), f AS (SELECT vec_id, xor({inner}::UBIGINT, xor(v, v >> 31)) AS v FROM e),

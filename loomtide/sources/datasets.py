@@ -16,11 +16,23 @@ class ManifestError(ValueError):
     pass
 
 
+def upgraded(m: dict) -> dict:
+    """A manifest of version 1 (splits with a path and perhaps a number of rows, no features) as one of version 2."""
+    splits = m.get("splits")
+    if not isinstance(splits, dict) or not all(isinstance(s, dict) and s.get("path") for s in splits.values()):
+        raise ManifestError("a manifest of version 1 needs splits with a path")
+    return {"version": 1, "name": m.get("name") or "legacy-dataset", "features": {}, "splits": {k: {"uri": s["path"], "num_rows": s.get("num_rows")} for k, s in splits.items()}}
+
+
 def checked(m: dict) -> dict:
-    """A manifest of version 2: a name, features (column and kind), splits (uri and num_rows)."""
-    if m.get("version") != 2:
-        raise ManifestError(f"unsupported manifest version {m.get('version')!r}")
-    for k in ("name", "features", "splits"):
+    """A manifest of version 2: a name, features (column and kind), splits (uri and num_rows). One of version 1 comes back
+    with no features: its splits' columns are taken as they are."""
+    version = m.get("version", m.get("format_version"))
+    if version == 1:
+        m = upgraded(m)
+    elif version != 2:
+        raise ManifestError(f"unsupported manifest version {version!r}")
+    for k in ("name", "splits", *(["features"] if version == 2 else [])):
         if not m.get(k):
             raise ManifestError(f"manifest without {k}")
     for name, f in m["features"].items():
@@ -61,7 +73,8 @@ def load_dataset(spark: SparkSession, root: str, split: str | None = None) -> di
     if m is not None:
         place = {k: (s["uri"] if "://" in s["uri"] else f"{root}/{s['uri']}") for k, s in m["splits"].items()}
         columns = [f["column"] for f in m["features"].values()]
-        out = {k: spark.read.parquet(p).select(*[F.col(f"`{c}`").alias(n) for n, c in zip(m["features"], columns, strict=True)]) for k, p in place.items()}
+        named = lambda df: df.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(m["features"], columns, strict=True)]) if columns else df
+        out = {k: named(spark.read.parquet(p)) for k, p in place.items()}
     else:
         sc = spark.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(root)
@@ -75,8 +88,13 @@ def load_dataset(spark: SparkSession, root: str, split: str | None = None) -> di
     return out[split]
 
 
-def convert(splits: dict[str, DataFrame], root: str, name: str, image_column: str = "image", label_column: str = "label", max_rows: int = 1_048_576) -> dict:
-    """Writes splits as Parquet (image binary, label int) with at most ``max_rows`` rows a file, and the manifest."""
+#: Bytes of images in a file, at most.
+MOST_BYTES = 1 << 31
+
+
+def convert(splits: dict[str, DataFrame], root: str, name: str, image_column: str = "image", label_column: str = "label", max_rows: int = 1_048_576, most_bytes: int = MOST_BYTES) -> dict:
+    """Writes splits as Parquet (image binary, label int) with at most ``max_rows`` rows and about ``most_bytes`` bytes of
+    images a file, and the manifest."""
     m = {"version": 2, "name": name, "features": {"image": {"kind": "image", "column": "image"}, "label": {"kind": "class_label", "column": "label"}}, "splits": {}}
     spark = None
     for split, df in splits.items():
@@ -85,7 +103,8 @@ def convert(splits: dict[str, DataFrame], root: str, name: str, image_column: st
         image = F.col(f"{image_column}.bytes") if kind.startswith("struct") else F.col(image_column)
         extra = [c for c in df.columns if c == "pos"]
         out = df.select(*extra, image.alias("image"), F.col(label_column).cast("int").alias("label"))
-        out.write.mode("errorifexists").option("maxRecordsPerFile", max_rows).parquet(f"{root}/{split}.parquet")
+        large = out.agg(F.max(F.octet_length("image"))).first()[0] or 1  # no file holds more than its rows times this
+        out.write.mode("errorifexists").option("maxRecordsPerFile", max(1, min(max_rows, most_bytes // max(1, large)))).parquet(f"{root}/{split}.parquet")
         m["splits"][split] = {"uri": f"{split}.parquet", "num_rows": spark.read.parquet(f"{root}/{split}.parquet").count()}
     checked(m)
     sc = spark.sparkContext

@@ -40,15 +40,21 @@ def scan_image_folder(spark: SparkSession, root: str) -> DataFrame:
     files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS))
     inner = F.expr(f"substring(path, locate('{root.rstrip('/')}/', path) + {len(root.rstrip('/')) + 1})")
     files = files.withColumn("class", F.element_at(F.split(inner, "/"), 1))
-    # names only: a row per file without its content, a row per class
-    classes = files.select("class").distinct().select("class", (F.row_number().over(Window.orderBy("class")) - 1).cast("long").alias("label"))
-    order = files.select("path").select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("pos"))
-    return files.join(classes, "class").join(order, "path").select("pos", F.col("content").alias("image"), "label", "class", "path")
+    # A path sorts by its class and the slash after it, so files are ranked in their class, and classes are counted.
+    named = files.select("path", "class")
+    classes = named.groupBy("class").agg(F.count("*").alias("n"))  # a row per class
+    by_name, by_path = Window.orderBy("class"), Window.orderBy(F.concat("class", F.lit("/")))
+    classes = classes.select("class", (F.row_number().over(by_name) - 1).cast("long").alias("label"), (F.sum("n").over(by_path) - F.col("n")).alias("before"))
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy("path")) - 1)
+    order = ranked.join(classes, "class").select("path", "label", (F.col("before") + F.col("rank")).cast("long").alias("pos"))
+    return files.join(order, "path").select("pos", F.col("content").alias("image"), "label", "class", "path")
 
 
 def scan_decoded_folder(spark: SparkSession, root: str) -> DataFrame:
-    """Images of a folder decoded by Spark's own image source (any format of the JVM): origin, h, w, c, image (RGB)."""
-    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root).select("image.*")
+    """Images of a folder decoded by Spark's own image source (any format of the JVM): origin, h, w, c, image (RGB). A file
+    with an image's extension that is none is an error that names it."""
+    pattern = "*.{" + ",".join(x for e in EXTENSIONS for x in (e, e.upper())) + "}"
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("image.*")
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -56,7 +62,9 @@ def scan_decoded_folder(spark: SparkSession, root: str) -> DataFrame:
         for b in batches:
             d = b.to_pydict()
             out = []
-            for h, w, c, data in zip(d["height"], d["width"], d["nChannels"], d["data"], strict=True):
+            for origin, h, w, c, data in zip(d["origin"], d["height"], d["width"], d["nChannels"], d["data"], strict=True):
+                if h is None or h < 0 or not data:
+                    raise ValueError(f"{origin} is not an image")
                 px = np.frombuffer(data, np.uint8).reshape(h, w, c)
                 out.append(np.ascontiguousarray(px[..., 2::-1] if c >= 3 else px.repeat(3, axis=2)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("origin"), b.column("height"), b.column("width"), pa.array([3] * b.num_rows, pa.int32()), pa.array(out, pa.binary())], ["origin", "h", "w", "c", "image"])
@@ -64,6 +72,12 @@ def scan_decoded_folder(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("origin", "height", "width", "nChannels", "data").mapInArrow(turned, "origin string, h int, w int, c int, image binary")
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's file sources name it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def scan_arrow(spark: SparkSession, paths: list[str], columns: dict[str, str]) -> DataFrame:
     """Arrow IPC files (stream or file format) as one table in the order of ``paths``; all must have the same schema.
 
@@ -89,10 +103,10 @@ def scan_arrow(spark: SparkSession, paths: list[str], columns: dict[str, str]) -
     heads = files.mapInArrow(counted, "path string, n long, kind string").collect()  # a row per file
     if len({h["kind"] for h in heads}) > 1:
         raise ValueError("Arrow schema mismatch in " + ", ".join(sorted(h["path"] for h in heads)))
-    by_name = {h["path"].rsplit("/", 1)[-1]: h for h in heads}
+    by_path = {h["path"]: h for h in heads}
     start, starts = 0, {}
     for p in paths:
-        h = by_name[p.rsplit("/", 1)[-1]]
+        h = by_path[_qualified(spark, p)]
         starts[h["path"]] = start
         start += h["n"]
 
@@ -109,3 +123,34 @@ def scan_arrow(spark: SparkSession, paths: list[str], columns: dict[str, str]) -
                     at += part.num_rows
 
     return files.mapInArrow(numbered, f"pos long, {schema}")
+
+
+def scan_cached_dataset(spark: SparkSession, dataset, columns: dict[str, str]) -> DataFrame:
+    """The Arrow files behind a loaded dataset object (its ``cache_files``), as one table. A dataset whose rows were chosen
+    or put in order by an index table has other rows than its files, so it is an error."""
+    if getattr(dataset, "_indices", None) is not None:
+        raise ValueError("the dataset has an index table; write its rows out first")
+    files = [f["filename"] if isinstance(f, dict) else str(f) for f in getattr(dataset, "cache_files", None) or []]
+    if not files:
+        raise ValueError("the dataset has no Arrow files")
+    return scan_arrow(spark, files, columns)
+
+
+def read_image_batch(rows: DataFrame, batch_size: int, start: int = 0, as_numpy: bool = True) -> dict:
+    """Rows start .. start + batch_size of (pos, image, label), decoded, on the driver: images (n, h, w, 3) and labels, or
+    with ``as_numpy`` off their bytes, shape and a list of labels. Images of several shapes are an error, and so is a start
+    at or beyond the end."""
+    from ..plans.pipeline import Pipeline, to_numpy
+
+    if batch_size <= 0 or start < 0:
+        raise ValueError("batch_size must be positive and start not negative")
+    batches = list(to_numpy(Pipeline(rows).skip(start).take(batch_size).decode_image().batch(batch_size).execute()))
+    if not batches:
+        raise ValueError(f"no rows from {start} on")
+    return batches[0] if as_numpy else as_bytes(batches[0])
+
+
+def as_bytes(batch: dict) -> dict:
+    """A batch of arrays as bytes and lists."""
+    x = batch["images"]
+    return {"images": x.tobytes(), "shape": list(x.shape), "dtype": str(x.dtype), "labels": batch["labels"].tolist()}

@@ -46,6 +46,24 @@ def test_with_pos_ranks_across_blocks(spark):
     assert {r["k"]: r["pos"] for r in got} == {k: i for i, k in enumerate(sorted(ids))}
 
 
+def test_with_pos_of_sparse_and_far_keys(spark, monkeypatch):
+    monkeypatch.setattr(selection, "MOST_BLOCKS", 40)
+    keys = spark.range(5000).select(F.when(F.col("id") == 9, F.lit(1 << 60)).when(F.col("id") == 11, F.lit(-(1 << 60))).when(F.col("id") < 2500, F.col("id")).otherwise(F.xxhash64("id")).alias("k"))
+    got = {r["k"]: r["pos"] for r in selection.with_pos(keys, "k", block=100).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(got))} and len(got) == 5000
+    blocks = keys.groupBy(selection._block(F.col("k"), selection._bounds(keys, "k", 100)).alias("b")).count().collect()
+    assert len(blocks) == 40 and max(r["count"] for r in blocks) < 400
+
+
+def test_hash_shuffle_gives_dense_places(spark):
+    rows = spark.range(2000).select(F.col("id").alias("pos"), (F.col("id") * 7 - 3000).alias("k"))
+    got = {r["k"]: r["pos"] for r in selection.hash_shuffle(rows, "k", 5, block=100).collect()}
+    assert sorted(got.values()) == list(range(2000)) and sum(abs(p - (k + 3000) // 7) for k, p in got.items()) > 800_000 // 2
+    assert got == {r["k"]: r["pos"] for r in selection.hash_shuffle(rows.repartition(5), "k", 5).collect()}
+    batches = selection.batch(selection.hash_shuffle(rows, "k", 5), 100).groupBy("batch_id").agg(F.count("*").alias("n"), (F.max("k") - F.min("k")).alias("wide")).collect()
+    assert len(batches) == 20 and all(r["n"] == 100 and r["wide"] > 7000 for r in batches)
+
+
 def test_packing(spark):
     docs = [[1, 2, 3], [], [4, 5], [6, 7, 8, 9]]
     df = spark.createDataFrame(list(enumerate(docs)), "pos long, ids array<int>")
@@ -411,7 +429,18 @@ def test_image_folder_and_parquet(spark, tmp_path):
     assert [r["label"] for r in got] == [0, 0, 0, 1, 1, 1] and datasets.classes(str(tmp_path / "in")) == ["class0", "class1"]
     assert (kernels.decode_png(bytes(got[1]["image"])) == PIXELS[2]).all()
     decoded = images.scan_decoded_folder(spark, str(tmp_path / "in")).collect()
-    assert any(bytes(r["image"]) == PIXELS[3].tobytes() for r in decoded)
+    assert len(decoded) == 6 and any(bytes(r["image"]) == PIXELS[3].tobytes() for r in decoded)
+    one = images.read_image_batch(rows, 3, 2)
+    assert one["labels"].tolist() == [0, 1, 1] and (one["images"] == np.stack([PIXELS[4], PIXELS[1], PIXELS[3]])).all()
+    told = images.read_image_batch(rows, 3, 4, as_numpy=False)
+    assert told["shape"] == [2, 12, 18, 3] and told["images"] == np.stack([PIXELS[3], PIXELS[5]]).tobytes() and told["labels"] == [1, 1]
+    for bad in ((0, 0), (3, -1), (3, 6)):
+        with pytest.raises(ValueError):
+            images.read_image_batch(rows, *bad)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.png").write_bytes(b"no image at all")
+    with pytest.raises(Exception, match="x.png is not an image"):
+        images.scan_decoded_folder(spark, str(tmp_path / "bad")).collect()
     datasets.convert({"train": rows, "test": rows.where("pos < 2")}, str(tmp_path / "out"), "tiny")
     back = datasets.load_dataset(spark, str(tmp_path / "out"))
     assert set(back) == {"train", "test"} and back["test"].count() == 2 and back["train"].columns == ["image", "label"]
@@ -423,7 +452,27 @@ def test_image_folder_and_parquet(spark, tmp_path):
     assert Pipeline(scanned).decode_image().resize(4, 4).execute().count() == 6
 
 
-@pytest.mark.parametrize("change", [{"version": 1}, {"name": ""}, {"features": {"x": {"kind": "odd", "column": "x"}}}, {"splits": {"a": {"uri": "../x", "num_rows": 1}}}, {"splits": {"a": {"uri": "http://x", "num_rows": 1}}}, {"splits": {"a": {"uri": "x"}}}])
+def test_paths_sort_by_their_class(spark, tmp_path):
+    for name in ("a/2.png", "a/b/1.png", "a-b/9.png", "ab/0.png", "B/5.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(kernels.encode_png(PIXELS[0]))
+    got = images.scan_image_folder(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [r["path"] for r in got] == sorted(r["path"] for r in got) and [r["pos"] for r in got] == list(range(5))
+    assert {r["class"]: r["label"] for r in got} == {"B": 0, "a": 1, "a-b": 2, "ab": 3}
+
+
+def test_version_one_manifests(spark, tmp_path):
+    m = datasets.checked({"version": 1, "splits": {"train": {"path": "t.parquet", "num_rows": 3}}})
+    assert m["name"] == "legacy-dataset" and m["splits"]["train"] == {"uri": "t.parquet", "num_rows": 3}
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    (tmp_path / "dataset.json").write_text(json.dumps({"format_version": 1, "splits": {"train": {"path": "t.parquet"}}}))
+    assert datasets.load_dataset(spark, str(tmp_path), "train").count() == 3
+    for bad in ({"version": 1}, {"version": 1, "splits": {"a": {}}}, {"version": 1, "splits": {"a": {"path": "../x"}}}):
+        with pytest.raises(datasets.ManifestError):
+            datasets.checked(bad)
+
+
+@pytest.mark.parametrize("change", [{"version": 3}, {"name": ""}, {"features": {"x": {"kind": "odd", "column": "x"}}}, {"splits": {"a": {"uri": "../x", "num_rows": 1}}}, {"splits": {"a": {"uri": "http://x", "num_rows": 1}}}, {"splits": {"a": {"uri": "x"}}}])
 def test_bad_manifests(change):
     good = {"version": 2, "name": "n", "features": {"i": {"kind": "image", "column": "c"}}, "splits": {"a": {"uri": "a.parquet", "num_rows": 1}}}
     assert datasets.checked(json.loads(json.dumps(good)))
@@ -435,7 +484,8 @@ def test_arrow_files_are_one_table(spark, tmp_path):
     paths = []
     for k, n in enumerate((3, 0, 2)):
         t = pa.table({"img": pa.array([bytes([k, i]) for i in range(n)], pa.binary()), "label": pa.array(range(n), pa.int64())})
-        paths.append(str(tmp_path / f"{9 - k}.arrow"))
+        (tmp_path / f"{9 - k}").mkdir()
+        paths.append(str(tmp_path / f"{9 - k}" / "data.arrow"))  # one name in several folders
         with pa.OSFile(paths[-1], "wb") as f, pa.ipc.new_stream(f, t.schema) as w:
             w.write_table(t)
     got = images.scan_arrow(spark, paths, {"img": "binary", "label": "long"}).orderBy("pos").collect()
@@ -448,6 +498,16 @@ def test_arrow_files_are_one_table(spark, tmp_path):
     with pytest.raises(ValueError):
         images.scan_arrow(spark, [], {})
 
+    class Cached:
+        cache_files = [{"filename": p} for p in paths]
+        _indices = None
+
+    kinds = {"img": "binary", "label": "long"}
+    assert images.scan_cached_dataset(spark, Cached(), kinds).count() == 5
+    Cached._indices = [1, 0]
+    with pytest.raises(ValueError, match="index table"):
+        images.scan_cached_dataset(spark, Cached(), kinds)
+
 
 def test_streams_run_the_same_stages(spark):
     from loomtide.streaming import token_rates
