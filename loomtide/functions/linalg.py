@@ -19,10 +19,16 @@ def _up_to(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(n - 1))
 
 
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
 def _product(a: Column, b: Column, m: int, k: int, n: int, at_a: Column | int = 0, at_b: Column | int = 0) -> Column:
-    """(m, k) by (k, n) of bound operands, from the places ``at_a`` and ``at_b`` on."""
-    row = lambda i, j: F.aggregate(_up_to(k), F.lit(0.0), lambda s, t: s + at(a, at_a + i * k + t) * at(b, at_b + t * n + j))
-    return built(m * n, lambda q: row((q / n).cast("int"), q % n))
+    """(m, k) by (k, n) of bound operands, from the places ``at_a`` and ``at_b`` on: rows and columns are cut out once, and
+    every element is one dot product of two of them."""
+    rows = F.transform(_up_to(m), lambda i: F.slice(a, at_a + i * k + 1, k))
+    cols = F.transform(_up_to(n), lambda j: F.transform(_up_to(k), lambda t: at(b, at_b + t * n + j)))
+    return let(cols, lambda c: F.flatten(F.transform(rows, lambda x: F.transform(c, lambda y: _dot(x, y)))))
 
 
 def matmul(a: Column, b: Column, m: int, k: int, n: int) -> Column:
@@ -92,7 +98,8 @@ def addr(c: Column, x: Column, y: Column, beta: float = 1.0, alpha: float = 1.0)
 
 def gram(a: Column, m: int, k: int) -> Column:
     """a aT."""
-    return let(a, lambda x: built(m * m, lambda q: F.aggregate(_up_to(k), F.lit(0.0), lambda s, t: s + at(x, (q / m).cast("int") * k + t) * at(x, (q % m) * k + t))))
+    rows = lambda x: F.transform(_up_to(m), lambda i: F.slice(x, i * k + 1, k))
+    return let(let(a, rows), lambda r: F.flatten(F.transform(r, lambda x: F.transform(r, lambda y: _dot(x, y)))))
 
 
 def matrix_copy(a: Column, rows: int, cols: int, transpose: bool = False, alpha: float = 1.0) -> Column:

@@ -91,14 +91,35 @@ def resize(px: Images, w: int, h: int, kind: str = "bilinear") -> Images:
 
 
 def pad(px: Images, sides, fill=0, mode="constant") -> Images:
+    left, top, right, bottom = sides
     n, h, w, c = px.shape
-    return K.pad(px.transpose(1, 2, 0, 3).reshape(h, w, n * c), sides, fill, mode).reshape(h + sides[1] + sides[3], w + sides[0] + sides[2], n, c).transpose(2, 0, 1, 3)
+    if mode == "constant":
+        value = min(255, max(0, int(fill))) if px.dtype == np.uint8 else np.float32(fill)
+        out = np.full((n, h + top + bottom, w + left + right, c), value, px.dtype)
+        out[:, top : top + h, left : left + w] = px
+        return out
+    return K.pad(px.transpose(1, 2, 0, 3).reshape(h, w, n * c), sides, fill, mode).reshape(h + top + bottom, w + left + right, n, c).transpose(2, 0, 1, 3)
 
 
 def cropped(px: Images, x: np.ndarray, y: np.ndarray, w: int, h: int) -> Images:
-    """A window of one size, somewhere else in each image."""
-    rows = np.arange(len(px))[:, None, None]
-    return px[rows, (y[:, None] + np.arange(h))[:, :, None], (x[:, None] + np.arange(w))[:, None, :]]
+    """A window of one size, somewhere else in each image; a copy of whole rows each."""
+    out = np.empty((len(px), h, w, px.shape[3]), px.dtype)
+    for i, (a, b) in enumerate(zip(y.tolist(), x.tolist(), strict=True)):
+        out[i] = px[i, a : a + h, b : b + w]
+    return out
+
+
+def normalized(px: Images, mean, std, planes: bool = False) -> Images:
+    """Normalization, to planes (CHW) if wanted: bytes are turned before they become floats."""
+    if planes:
+        px = np.ascontiguousarray(px.transpose(0, 3, 1, 2))
+    shape = (-1, 1, 1) if planes else (-1,)
+    m, s = (np.asarray(v, np.float32).reshape(shape) for v in (mean, std))
+    if px.dtype != np.uint8:
+        return (px - m) / s
+    out = np.multiply(px, np.float32(1) / (np.float32(255) * s), dtype=np.float32)
+    out += -m / s
+    return out
 
 
 def blur(px: Images, sigma: float, size: int | None = None) -> Images:
@@ -151,10 +172,6 @@ def _color_jitter(px: Images, s: Streams, b=0.0, c=0.0, h=0.0, sat=0.0) -> Image
     return out
 
 
-def _kept(f: Callable) -> Callable:
-    return lambda px, **args: f(px, **args)
-
-
 PLAIN: dict[str, Callable] = {
     "HorizontalFlip": lambda px: px[:, :, ::-1],
     "VerticalFlip": lambda px: px[:, ::-1],
@@ -172,7 +189,7 @@ PLAIN: dict[str, Callable] = {
     "GaussianBlur": lambda px, sigma, kernel_size=None: blur(px, sigma, kernel_size),
     "PermuteChannels": lambda px, order: px[..., list(order)],
     "Rgb": lambda px: px if px.shape[3] == 3 else px[..., :3] if px.shape[3] == 4 else np.repeat(px[..., :1], 3, axis=3),
-    "Normalize": lambda px, mean, std: K.normalize(px, mean, std),
+    "Normalize": normalized,
     "ToFloat": K.to_float,
     "ToUint8": K.to_uint8,
     "CastFloat": lambda px: px.astype(np.float32),
@@ -227,8 +244,12 @@ def prefix(steps: list[tuple[str, dict, int]]) -> int:
 
 def apply(steps: list[tuple[str, dict, int]], px: Images, context: Context, rows: np.ndarray) -> Images:
     """Keyed steps on images of one shape; ``rows`` are their source rows."""
-    for name, args, key in steps:
-        if name in PLAIN:
+    for k, (name, args, key) in enumerate(steps):
+        if name == "Normalize" and k + 1 < len(steps) and steps[k + 1][0] == "HwcToChw":
+            px = normalized(px, **args, planes=True)
+        elif name == "HwcToChw" and k and steps[k - 1][0] == "Normalize":
+            continue
+        elif name in PLAIN:
             px = PLAIN[name](px, **args)
         elif name == "RandomApply":
             at = Streams(row_states(context, rows, key)).coin(args["p"])

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..operators import batched, image_ops, kernels, selection
 from ..operators.rng import Context
 
+#: Bytes of pixels that a step works on at once: what they become stays in a processor's cache.
+CHUNK = 1 << 20
 OUT = "pos long, source long, view int, h int, w int, c int, dtype string, layout string, data binary, label long"
 _U8_ONLY = frozenset("Brightness Contrast Saturation Hue Gamma Grayscale Invert Posterize Solarize Autocontrast Equalize Sharpness RandomGrayscale ColorJitter RandomInvert RandomPosterize RandomSolarize RandomAdjustSharpness RandomAutocontrast RandomEqualize RandomPhotometricDistort RandAugment TrivialAugmentWide AutoAugment AugMix".split())
 
@@ -410,7 +412,7 @@ class Pipeline(Ops):
         at_once = batched.prefix(steps)
 
         def decoded(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            """(places in the batch, images) of images of one shape."""
+            """(places in the batch, images) of images of one shape, about CHUNK bytes at a time."""
             image = b.column("image")
             if image.null_count:
                 row = int(np.flatnonzero(image.is_null().to_numpy(zero_copy_only=False))[0])
@@ -422,12 +424,13 @@ class Pipeline(Ops):
                 shape = np.array([x.shape for x in px], np.int64).reshape(-1, 3)
             kinds, of = np.unique(shape, axis=0, return_inverse=True)
             for k, (h, w, c) in enumerate(kinds.tolist()):
-                at = np.flatnonzero(of.reshape(-1) == k)
-                if raw:
-                    data = np.frombuffer(b"".join(image[i].as_buffer() for i in at.tolist()), np.uint8)
-                    yield at, data.reshape(len(at), h, w, c)
-                else:
-                    yield at, np.stack([px[i] for i in at.tolist()])
+                every = np.flatnonzero(of.reshape(-1) == k)
+                for at in np.array_split(every, len(every) * h * w * c // CHUNK + 1):
+                    if raw:
+                        data = np.frombuffer(b"".join(image[i].as_buffer() for i in at.tolist()), np.uint8)
+                        yield at, data.reshape(len(at), h, w, c)
+                    elif len(at):
+                        yield at, np.stack([px[i] for i in at.tolist()])
 
         def told(b: pa.RecordBatch, at: np.ndarray, views: np.ndarray, px: np.ndarray) -> list[pa.RecordBatch]:
             """Batches of images of one shape; ``at`` are their rows in ``b``. Offsets are of 32 bits: at most 1 GiB a batch."""
@@ -451,6 +454,8 @@ class Pipeline(Ops):
                     continue
                 source = b.column("source").to_numpy()
                 for at, px in decoded(b):
+                    if not len(at):
+                        continue
                     px = batched.apply(steps[:at_once], px, context, source[at])
                     if at_once == len(steps):
                         yield from told(b, at, np.zeros(len(at), np.int32), px)
