@@ -1,15 +1,22 @@
 """HTML extraction by composite text density.
 
-A page becomes a tree. What is never the article (menus, page headers, footers, side bars, notices, adverts, forms,
-scripts, styles, hidden parts) is cut first, by tag and role. A class or id that sounds like it (side bar, advert, comments
-of readers) is a hint only: an element is cut by its name if it holds no article, main or h1 and all such elements
-together hold less than half of the page's text (nine tenths, where an article or main element is elsewhere); where they
-hold more, only those less dense than the body go. For every node left, the density is its characters per
-tag, adjusted by how many of them are in links (against the page's own share); a node's sum is its children's densities. Inline
-elements count as tags, but split no text: those that hold no block have no sum, and their blocks are their parent's.
-The node with the largest sum marks the article; the least density on its path up to the body is the threshold. From the
-body down, of every element that reaches the threshold the subtree with the largest sum is text. Densities alone decide,
-whatever the elements are called; only an h1 beside the path is added, as titles are too short to reach a threshold.
+A page becomes a tree. What is never the article (menus, page headers, footers, side bars, forms, scripts, styles, hidden
+parts) is cut first, by tag and role; one that is never closed ends at the next block. For every node left, the density is
+its characters per tag, adjusted by how many of them are in links (against the page's own share); a node's sum is its
+children's densities. Inline elements count as tags, but split no text: those that hold no block have no sum, and their
+blocks are their parent's. The node with the largest sum marks the article (of equal sums the outer, then the first); the
+least density on its path up to the body is the threshold. From the body down, of every element that reaches the
+threshold the subtree with the largest sum is text.
+
+Classes and ids are hints, and of two kinds. A name that begins with (or, after a word like site or page, ends with) a
+word for adverts, comments, side bars and the like cuts an element that holds no article, main or h1, if all such elements
+together hold less than half of the page's text (nine tenths, where an article or main element is elsewhere; where they
+hold more, only those less dense than the body go), and one that holds an article, if it is not the marked one. A word that
+articles use too (legal, side, header, notice) cuts an element only outside the marked article, or where half of its text
+is links.
+
+Besides what reaches the threshold, an h1 beside the path is added, and where the marked node is in an article or main
+element, so is every other article of which less than half is links: both are too short to reach a threshold.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space. Null,
 empty and text-free pages give the empty text. Pages are whole however long; unclosed and stray tags are tolerated; each
@@ -44,10 +51,14 @@ SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-_AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|sidebar|side|widgets?|menus?|nav\w*|breadcrumbs?|footers?|header|masthead|topbar|share|sharing|social|comments?|commentlist|discussion|disqus|respond|reply|replies|related|recommend\w*|pagination|pager|toolbar|login|signup|search|copyright|legal|disclaimer)(?=$|[\s_-])",
-    re.I,
+#: Words for what stands beside an article, and words that an article may use for its own parts.
+BESIDE = re.compile(
+    r"ads?|advert\w*|adsense|banners?|sponsor\w*|promos?|promotions?|cookies?|consent|gdpr|popups?|modals?|overlays?|newsletters?|subscri\w*|sidebars?|widgets?|menus?|nav|navs|navbar|navigation"
+    r"|breadcrumbs?|footers?|masthead|topbar|share|sharing|social|comments?|commentlist|disqus|respond|reply|replies|related|recommend\w*|pagination|pager|toolbar|login|signup|search"
 )
+EITHER = re.compile(r"notices?|alerts?|side|headers?|legal|disclaimers?|copyright|discussions?|responses?")
+#: Words before one of those that do not change what it says.
+BEFORE = frozenset("site page main top bottom left right post article user reader global primary secondary google blog entry inline mobile desktop".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
 
@@ -56,7 +67,7 @@ class Node:
 
     def __init__(self, name: str, parent: Node | None, away: bool = False) -> None:
         self.name, self.parent, self.away = name, parent, away
-        self.hint = False
+        self.hint = 0
         self.parts: list[str | Node] = []
         self.kids: list[Node] = []
         self.chars = self.links = self.tags = self.link_tags = 0
@@ -80,13 +91,38 @@ def _away(name: str, raw: str, parent: Node) -> bool:
     return False
 
 
-def _hint(name: str, raw: str) -> bool:
-    """Whether class or id sound like something beside the article."""
+def _hint(name: str, raw: str) -> int:
+    """What class or id say: 2, that the element stands beside the article; 1, that it may; 0, nothing."""
     if not raw.strip() or name in ("html", "body", "article", "main", "h1", "h2", "a"):
-        return False
+        return 0
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
-    said = f"{a.get('class', '')} {a.get('id', '')}"
-    return bool(said.strip() and _AWAY.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", said)))
+    said, most = f"{a.get('class', '')} {a.get('id', '')}", 0
+    for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", said).lower().split():
+        words = [w for w in re.split(r"[_-]+", token) if w]
+        for w in words[:1] + words[-1:] * (len(words) > 1 and words[0] in BEFORE):
+            most = max(most, 2 if BESIDE.fullmatch(w) else int(bool(EITHER.fullmatch(w))))
+        if all(BESIDE.fullmatch(w) or EITHER.fullmatch(w) for w in words) and any(BESIDE.fullmatch(w) for w in words):
+            most = 2
+    return most
+
+
+_CLOSED = sorted(CUT - RAW - VOID)
+_OPENED = re.compile(rf"<(/?)({'|'.join(_CLOSED)}|header)(?=[\s/>])", re.I)
+
+
+def _unclosed(page: str) -> frozenset[int]:
+    """Where elements start that are cut by their tag and never closed."""
+    low = page.lower()
+    if all(low.count(f"<{n}") <= low.count(f"</{n}") for n in (*_CLOSED, "header")):
+        return frozenset()
+    open_: dict[str, list[int]] = {}
+    for m in _OPENED.finditer(page):
+        at = open_.setdefault(m[2].lower(), [])
+        if not m[1]:
+            at.append(m.start())
+        elif at:
+            at.pop()
+    return frozenset(k for at in open_.values() for k in at)
 
 
 def _inside(node: Node | None, names: tuple[str, ...]) -> Node | None:
@@ -100,7 +136,8 @@ def parse(page: str) -> list[Node]:
     root = Node("#root", None)
     nodes, at, k = [root], root, 0
     away = 0  # open elements that are cut
-    n = len(page)
+    n, unclosed = len(page), _unclosed(page)
+    short: list[Node] = []  # open elements that end at the next block
 
     def close(to: Node) -> None:
         nonlocal at, away
@@ -132,6 +169,11 @@ def parse(page: str) -> list[Node]:
             if open_ is not root and open_.name == name:
                 close(open_)
             continue
+        if short and (name in ENDS_P or name == "body"):
+            last = short[0]
+            while at is not root and _below(at, last):
+                close(at)
+            short.clear()
         if name in ENDS_P:
             p = at
             while p is not root and p.name not in ("p", "table", "td", "th", "article", "section", "div", "body", "blockquote", "li"):
@@ -168,9 +210,18 @@ def parse(page: str) -> list[Node]:
             continue
         at = node
         away += node.away
+        if node.away and m.start() in unclosed:
+            short.append(node)
     return nodes
 
 
+def _below(node: Node | None, top: Node) -> bool:
+    """Whether ``node`` is ``top`` or inside it."""
+    while node is not None and node is not top:
+        node = node.parent
+    return node is top
+
+
 def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):  # children come after their parents
         node.chars = node.links = node.tags = node.link_tags = 0
@@ -200,34 +251,10 @@ def _measure(nodes: list[Node]) -> None:
         node.top = max([node, *(k.top for k in node.kids)], key=lambda x: x.total)
 
 
-def _without_hinted(nodes: list[Node]) -> list[Node]:
-    """The nodes in page order without what is cut by its name; ``nodes`` are measured."""
-    root, holds = nodes[0], set()
-    for node in reversed(nodes):
-        if node.name in ("article", "main", "h1") and node.chars or node in holds:
-            holds.add(node)
-            holds.add(node.parent)
-    # the outer ones of what may be cut
-    outer, stack = [], [root]
-    while stack:
-        x = stack.pop()
-        if x.hint and x not in holds:
-            outer.append(x)
-        else:
-            stack.extend(x.kids)
-    if not outer:
+def _without(nodes: list[Node], cut: set[Node]) -> list[Node]:
+    """The nodes in page order, measured, without some of them and what is in them."""
+    if not cut:
         return nodes
-    cut = set(outer)
-    named = any(x.name in ("article", "main") for x in nodes if x in holds)
-    if sum(x.chars for x in outer) >= root.chars * (0.9 if named else 0.5):
-        body = next((x for x in nodes if x.name == "body"), root)
-        cut, stack = set(), outer
-        while stack:
-            x = stack.pop()
-            if x.hint and x.density < body.density:
-                cut.add(x)
-            else:
-                stack.extend(x.kids)
     for x in cut:
         x.away = True
     left: list[Node] = []
@@ -237,23 +264,67 @@ def _without_hinted(nodes: list[Node]) -> list[Node]:
             node.kids = [k for k in node.kids if k not in cut]
             node.parts = [p for p in node.parts if isinstance(p, str) or p not in cut]
             left.append(node)
+    _measure(left)
     return left
 
 
+def _holding(nodes: list[Node]) -> set[Node]:
+    """What is, or holds, an article, main or h1 with text."""
+    out: set[Node] = set()
+    for node in reversed(nodes):
+        if node.name in ("article", "main", "h1") and node.chars or node in out:
+            out |= {node, node.parent} - {None}
+    return out
+
+
+def _beside(nodes: list[Node]) -> set[Node]:
+    """What goes by its name: elements without an article, main or h1."""
+    root, holds = nodes[0], _holding(nodes)
+    # the outer ones of what may be cut
+    outer, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x.hint == 2 and x not in holds:
+            outer.append(x)
+        else:
+            stack.extend(x.kids)
+    named = any(x.name in ("article", "main") for x in nodes if x in holds)
+    if sum(x.chars for x in outer) < root.chars * (0.9 if named else 0.5):
+        return set(outer)
+    body = next((x for x in nodes if x.name == "body"), root)
+    cut, stack = set(), outer
+    while stack:
+        x = stack.pop()
+        if x.hint == 2 and x.density < body.density:
+            cut.add(x)
+        else:
+            stack.extend(x.kids)
+    return cut
+
+
+def _marked(nodes: list[Node]) -> Node:
+    best = max(nodes[1:], key=lambda x: x.total, default=nodes[0])
+    return best if best.total else nodes[0]
+
+
 def article(page: str | None) -> str:
     """The main text of a page."""
     nodes = parse(page or "")
     _measure(nodes)
-    left = _without_hinted(nodes)
-    if left is not nodes:
-        nodes = left
-        _measure(nodes)
-    root = nodes[0]
+    nodes = _without(nodes, _beside(nodes))
+    best = _marked(nodes)
+    region = _inside(best, ("article", "main")) or best
+    path = set()
+    x = best
+    while x is not None:
+        path.add(x)
+        x = x.parent
+    holds = _holding(nodes)
+    cut = {x for x in nodes if x not in path and (x.hint == 2 and x in holds or x.hint == 1 and (2 * x.links >= x.chars or not _below(x, region)))}
+    nodes = _without(nodes, cut)
+    root, best = nodes[0], _marked(nodes)
     if not root.chars:
         return ""
-    best = max(nodes[1:], key=lambda x: x.total, default=root)
-    if not best.total:
-        best = root
     path = [best]
     while path[-1].name != "body" and path[-1].parent is not None:
         path.append(path[-1].parent)
@@ -268,6 +339,9 @@ def article(page: str | None) -> str:
     for x in path[1:]:
         for kid in x.kids:
             kid.keep = kid.keep or kid.name == "h1"
+    if _inside(best, ("article", "main")):
+        for x in nodes:
+            x.keep = x.keep or x.name == "article" and 2 * x.links < x.chars
     out: list[str] = []
     _text(root, False, out)
     return " ".join("".join(out).split())

@@ -70,7 +70,7 @@ def test_trie_counts_equal_plain_programming(odd, empty):
             best.append((-low[0], low[1]))
         return best[-1][1]
 
-    rows = odd.where(F.coalesce(F.length("text"), F.lit(0)) < 20_000)
+    rows = odd
     words = [[x.decode() for x in (r["text"] or "").encode().split()] for r in rows.select("text").collect()]
     got = token_counts.count_tokens(rows, path).collect()
     assert sorted((r["n_words"], r["n_tokens"]) for r in got) == sorted((len(w), sum(map(plain, w))) for w in words)
@@ -131,6 +131,147 @@ def test_names_of_wrappers_lose_no_article(wrapper):
     assert got.count("Story") == 5 and "Also" not in got
 
 
+PARAGRAPHS = "".join(f"<p>Paragraph {k} of the article has a good many words in it, so that its density is high.</p>" for k in range(3))
+READERS = "<p>A reader says something about it all, at length and more.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<nav><a href="/">Home</a></nav><article><h1>T</h1><div class="legal">{PARAGRAPHS}</div><p>The end of it, with some words more.</p></article>',
+        f'<article><h1>T</h1><div class="section-header"><p>The intro has some words in it for the reader.</p></div>{PARAGRAPHS}</article>',
+        f'<article><h1>T</h1><p class="side">A side remark that belongs to the article itself.</p>{PARAGRAPHS}</article>',
+        f"<main><article><h1>T</h1>{PARAGRAPHS * 5}</article></main><article><p>A short second article, outside main.</p></article>",
+    ],
+)
+def test_parts_of_the_article_stay(page):
+    want = " ".join(re.sub("<.*?>", " ", page.replace('<nav><a href="/">Home</a></nav>', "")).split())
+    beside = f'<div class="notice">Down on Sunday for some hours, as every year.</div><div id="header">Site name</div><section id="comments">{READERS}</section>'
+    for body in (page, beside + page, page + beside, page.replace("</article>", f'<div class="ad-slot">Buy this.</div><div class="comments"><article class="comment">{READERS}</article></div></article>', 1)):
+        assert html_extract.article(f"<html><body>{body}</body></html>") == want
+
+
+def test_menus_that_are_never_closed():
+    menu = '<ul><li><a href="/">Home</a><li><a href="/b">Other</a></ul>'
+    for tag in ("nav", "aside", "header"):
+        got = html_extract.article(f"<body><{tag}>{menu}<div><h1>T</h1>{PARAGRAPHS}</div></body>")
+        assert got.startswith("T Paragraph 0") and got.endswith("density is high.") and "Home" not in got
+    assert html_extract.article(f"<body><nav>{menu}</nav><div>{PARAGRAPHS}</div><nav>Last").count("Paragraph") == 3
+
+
+def test_extraction_equals_a_recursive_version(spark):
+    """Densities by recursion over a tree of the standard library's parser, on whole tables of pages."""
+    import math
+    from html.parser import HTMLParser
+
+    h = html_extract
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.root = self.at = {"name": "#root", "kids": [], "up": None}
+
+        def handle_starttag(self, name, attrs):
+            node = {"name": name, "kids": [], "up": self.at, "cls": dict(attrs).get("class") or ""}
+            self.at["kids"].append(node)
+            if name not in h.VOID:
+                self.at = node
+
+        def handle_endtag(self, name):
+            x = self.at
+            while x["up"] and x["name"] != name:
+                x = x["up"]
+            if x["up"]:
+                self.at = x["up"]
+
+        def handle_data(self, data):
+            self.at["kids"].append(data)
+
+    def cut(x):
+        return x["name"] in h.CUT or x["name"] == "header" and not inside(x) or x.get("cls") in ("ad", "comments", "sidebar")
+
+    def inside(x):
+        return x is not None and (x["name"] in ("article", "main") or inside(x["up"]))
+
+    def counts(x):
+        x["kids"] = [k for k in x["kids"] if isinstance(k, str) or not cut(k)]
+        x["c"] = sum(len("".join(k.split())) for k in x["kids"] if isinstance(k, str))
+        x["t"] = x["lc"] = x["lt"] = 0
+        for k in (k for k in x["kids"] if not isinstance(k, str)):
+            counts(k)
+            x["c"], x["t"], x["lc"], x["lt"] = x["c"] + k["c"], x["t"] + k["t"] + 1, x["lc"] + k["lc"], x["lt"] + k["lt"] + (k["name"] == "a")
+        x["lc"] = x["c"] if x["name"] == "a" else x["lc"]
+
+    def densities(x, share):
+        c, t, lc, lt = x["c"], max(1, x["t"]), x["lc"], max(1, x["lt"])
+        x["d"] = 0.0
+        if c:
+            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+            x["d"] = c / t * max(0.0, math.log(max(1.0, c / max(1, lc) * t / lt))) / base
+            if not x["t"]:
+                x["d"] = max(x["d"], c / t * math.log(max(1.0, c / max(1, lc))) / base)
+        nodes = [k for k in x["kids"] if not isinstance(k, str)]
+        for k in nodes:
+            densities(k, share)
+        x["b"] = sum(k["b"] if k["name"] in h.INLINE else k["d"] for k in nodes)
+        x["sum"] = x["b"] or (0.0 if x["name"] in h.INLINE else x["d"])
+
+    def every(x):
+        yield x
+        for k in x["kids"]:
+            if not isinstance(k, str):
+                yield from every(k)
+
+    def largest(x):
+        return max(every(x), key=lambda y: y["sum"])
+
+    def text(x, keep):
+        keep = keep or x.get("keep", False)
+        inner = "".join((k if keep else "") if isinstance(k, str) else text(k, keep) for k in x["kids"])
+        return inner if x["name"] in h.INLINE else f" {inner} "
+
+    def plain(page):
+        t = Tree()
+        t.feed(page)
+        t.close()
+        counts(t.root)
+        densities(t.root, t.root["lc"] / max(1, t.root["c"]))
+        path = [largest(t.root)]
+        while path[-1]["name"] != "body" and path[-1]["up"]:
+            path.append(path[-1]["up"])
+        least = min(x["d"] for x in path)
+
+        def mark(x):
+            if x["d"] >= least and x["c"] and not x.get("keep"):
+                largest(x)["keep"] = True
+                for k in x["kids"]:
+                    if not isinstance(k, str):
+                        mark(k)
+
+        mark(path[-1])
+        for x in path[1:]:
+            for k in x["kids"]:
+                if not isinstance(k, str) and k["name"] == "h1":
+                    k["keep"] = True
+        for x in every(t.root):
+            if x["name"] == "article" and 2 * x["lc"] < x["c"]:
+                x["keep"] = True
+        return " ".join(text(t.root, False).split())
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
+    rows = pages.collect()
+    assert len(rows) == len(got) and all(got[r["page_id"]]["text"] == plain(r["html"]) and got[r["page_id"]]["url"] == r["url"] for r in rows)
+
+
+def test_empty_tables_and_clashing_columns_of_pages(spark):
+    schema = "page_id int, url string, html string, text string, n_chars string, `a b` int"
+    assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "u", "<p>one two</p>", "x", "y", 1), (1, "u", "<p>one two</p>", "x", "y", 2), (None, None, None, None, None, None)]
+    got = sorted(tuple(str(v) for v in r) for r in html_extract.extract(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("1", "u", "one two", "7"), ("1", "u", "one two", "7"), ("None", "None", "", "0")]
+
+
 def test_long_pages_and_rows(spark):
     page = "<article>" + "<p>word and more</p>" * 20_000 + "</article>"
     df = spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, None)], "page_id long, url string, html string")
