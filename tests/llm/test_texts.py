@@ -12,7 +12,6 @@ from tokenizers import Tokenizer
 
 from loomtide.llm import bpe, html_extract, token_counts
 
-SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -277,19 +276,3 @@ def test_long_pages_and_rows(spark):
     df = spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, None)], "page_id long, url string, html string")
     got = html_extract.extract(df).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 20_000 * 14 - 1, 20_000 * 14 - 1]
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline as c
-
-    from loomtide.llm import jaccard_join, mixing, quality_rules, suffix_dedup
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = quality_rules.keep_good(docs, quality_rules.fit(docs, spark.read.parquet(f"{SF}/labels.parquet")))
-    one = jaccard_join.keep_one(kept)
-    mixed = mixing.mix(suffix_dedup.remove(one))
-    assert mixed.columns == docs.columns
-    t = Tokenizer.from_file(PATH)
-    want = sorted((r["doc_id"], t.encode(r["text"], add_special_tokens=False).ids) for r in mixed.collect())
-    assert sorted((r["doc_id"], list(r["ids"])) for r in c.run(spark, SF).collect()) == want
-    assert [n for n, _ in c.STAGES] == ["quality rules", "near duplicates", "passages", "mixing", "tokens"]
