@@ -42,7 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", by_rules), ("near duplicates", near_duplicates), ("passages", passages), ("mixing", mix), ("tokens", tokens)]
 
-#: The learned rules, the seeded coins and the encoding are not SQL; tests hold run() against a brute-force version.
+#: The learned rules, the suffixes and the encoding are not SQL; tests hold run()'s rows against plain Python.
 ORACLE_SQL = None
 
 
