@@ -26,34 +26,38 @@ def _uniform32(s: Stream, low: float, high: float) -> float:
     return float(np.float32(low) + (np.float32(high) - np.float32(low)) * s.f32())
 
 
-def _random_crop(px, s: Stream, w, h, padding=(0, 0, 0, 0), pad_if_needed=False, fill=0, mode="constant"):
-    if any(padding):
-        px = K.pad(px, padding, fill, mode)
-    if pad_if_needed:
-        dw, dh = max(0, w - px.shape[1]), max(0, h - px.shape[0])
-        if dw or dh:
-            px = K.pad(px, (dw, dh, dw, dh), fill, mode)
-    ih, iw = px.shape[:2]
-    if h > ih or w > iw:
+# What a random step of places does: fixed steps, from its draws and the image's size. Images and annotated samples share it.
+
+
+def _crop_steps(s: Stream, iw, ih, w, h, padding=(0, 0, 0, 0), pad_if_needed=False, fill=0, mode="constant") -> list[Step]:
+    out = []
+    sides = [tuple(padding)] if any(padding) else []
+    pw, ph = (iw + padding[0] + padding[2], ih + padding[1] + padding[3]) if sides else (iw, ih)
+    if pad_if_needed and pw < w:
+        sides.append((w - pw, 0, w - pw, 0))
+        pw += 2 * (w - pw)
+    if pad_if_needed and ph < h:
+        sides.append((0, h - ph, 0, h - ph))
+        ph += 2 * (h - ph)
+    out += [("Pad", {"sides": x, "fill": fill, "mode": mode}) for x in sides]
+    if h > ph or w > pw:
         raise ValueError("crop is larger than the image")
-    y = s.below(ih - h + 1)
-    x = s.below(iw - w + 1)
-    return K.crop(px, x, y, w, h)
+    y = s.below(ph - h + 1)
+    return [*out, ("Crop", {"x": s.below(pw - w + 1), "y": y, "w": w, "h": h})]
 
 
-def _random_resized_crop(px, s: Stream, w, h, scale=(0.08, 1.0), ratio=(0.75, 1.3333334), interpolation="bilinear"):
-    ih, iw = px.shape[:2]
+def _resized_crop_steps(s: Stream, iw, ih, w, h, scale=(0.08, 1.0), ratio=(0.75, 1.3333334), interpolation="bilinear") -> list[Step]:
+    to = lambda x, y, cw, ch: [("ResizedCrop", {"x": x, "y": y, "w": cw, "h": ch, "ow": w, "oh": h, "interpolation": interpolation})]
     for _ in range(10):
         area = ih * iw * _uniform(s, *scale)
         r = math.exp(_uniform(s, math.log(ratio[0]), math.log(ratio[1])))
         cw, ch = round(math.sqrt(area * r)), round(math.sqrt(area / r))
         if 0 < cw <= iw and 0 < ch <= ih:
             x = s.below(iw - cw + 1)
-            y = s.below(ih - ch + 1)
-            return K.resize(K.crop(px, x, y, cw, ch), w, h, interpolation)
+            return to(x, s.below(ih - ch + 1), cw, ch)
     r = iw / ih
     cw, ch = (iw, round(iw / ratio[0])) if r < ratio[0] else (round(ih * ratio[1]), ih) if r > ratio[1] else (iw, ih)
-    return K.resize(K.crop(px, (iw - cw) // 2, (ih - ch) // 2, cw, ch), w, h, interpolation)
+    return to((iw - cw) // 2, (ih - ch) // 2, cw, ch)
 
 
 def _shuffled(s: Stream, items: list) -> list:
@@ -100,8 +104,7 @@ def _photometric(px, s: Stream, brightness=(0.875, 1.125), contrast=(0.5, 1.5),
     return px[..., _shuffled(s, list(range(px.shape[2])))] if swap else px
 
 
-def _random_affine(px, s: Stream, degrees, translate=None, scale=None, shear=None, interpolation="nearest", fill=None, center=None):
-    h, w = px.shape[:2]
+def _affine_steps(s: Stream, w, h, degrees, translate=None, scale=None, shear=None, interpolation="nearest", fill=None, center=None) -> list[Step]:
     angle = _uniform(s, *degrees)
     move = (0, 0)
     if translate:
@@ -109,14 +112,18 @@ def _random_affine(px, s: Stream, degrees, translate=None, scale=None, shear=Non
     size = _uniform(s, *scale) if scale else 1.0
     sx = _uniform(s, shear[0], shear[1]) if shear else 0.0
     sy = _uniform(s, shear[2], shear[3]) if shear and len(shear) == 4 else 0.0
-    return K.affine(px, angle, move, size, (sx, sy), interpolation, fill, center)
+    return [("Affine", {"angle": angle, "translate": move, "scale": size, "shear": (sx, sy), "interpolation": interpolation, "fill": fill, "center": center})]
 
 
-def _random_perspective(px, s: Stream, distortion=0.5, p=0.5, interpolation="bilinear", fill=None):
-    h, w = px.shape[:2]
+def _rotation_steps(s: Stream, w, h, degrees, interpolation="nearest", expand=False, fill=None, center=None) -> list[Step]:
+    return [("ArbitraryRotate", {"angle": _uniform32(s, *degrees), "interpolation": interpolation, "expand": expand, "fill": fill, "center": center})]
+
+
+def _perspective_steps(s: Stream, w, h, distortion=0.5, p=0.5, interpolation="bilinear", fill=None) -> list[Step]:
     if not s.coin(p) or w < 2 or h < 2 or distortion == 0:
-        return px
-    return K.perspective(px, [(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)], moved_corners(s, w, h, distortion), interpolation, fill)
+        return []
+    start = [(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)]
+    return [("Perspective", {"start": start, "end": moved_corners(s, w, h, distortion), "interpolation": interpolation, "fill": fill})]
 
 
 def moved_corners(s: Stream, w: int, h: int, distortion: float) -> list[tuple[int, int]]:
@@ -147,28 +154,61 @@ def _elastic(px, s: Stream, alpha=50.0, sigma=5.0, interpolation="bilinear", fil
     return K.elastic(px, dx, dy, interpolation, fill)
 
 
-def _zoom_out(px, s: Stream, fill=0, side=(1.0, 4.0), p=0.5):
+def _zoom_out_steps(s: Stream, w, h, fill=0, side=(1.0, 4.0), p=0.5) -> list[Step]:
     if not s.coin(p):
-        return px
-    h, w = px.shape[:2]
+        return []
     r = _uniform(s, *side)
     nw, nh = int(w * r), int(h * r)
     left, top = int(s.f64() * (nw - w)), int(s.f64() * (nh - h))
-    return K.pad(px, (left, top, nw - w - left, nh - h - top), fill)
+    return [("Pad", {"sides": (left, top, nw - w - left, nh - h - top), "fill": fill})]
 
 
-def _shortest(px, s: Stream, sizes, max_size=None, interpolation="bilinear"):
-    h, w = px.shape[:2]
+def _sized(w: float, h: float, interpolation: str) -> list[Step]:
+    if int(w) < 1 or int(h) < 1:
+        raise ValueError("the new size must be positive")
+    return [("Resize", {"w": int(w), "h": int(h), "interpolation": interpolation})]
+
+
+def _shortest_steps(s: Stream, w, h, sizes, max_size=None, interpolation="bilinear") -> list[Step]:
     r = sizes[s.below(len(sizes))] / min(h, w)
     if max_size is not None:
         r = min(r, max_size / max(h, w))
-    return K.resize(px, max(1, int(w * r)), max(1, int(h * r)), interpolation)
+    return _sized(w * r, h * r, interpolation)
 
 
-def _scale_jitter(px, s: Stream, w, h, scale=(0.1, 2.0), interpolation="bilinear"):
-    ih, iw = px.shape[:2]
+def _jitter_steps(s: Stream, iw, ih, w, h, scale=(0.1, 2.0), interpolation="bilinear") -> list[Step]:
     r = min(w / iw, h / ih) * _uniform(s, *scale)
-    return K.resize(px, max(1, int(iw * r)), max(1, int(ih * r)), interpolation)
+    return _sized(iw * r, ih * r, interpolation)
+
+
+def _random_resize_steps(s: Stream, w, h, low, high, interpolation="bilinear") -> list[Step]:
+    nw, nh = K.short_edge(w, h, s.between(low, high))
+    return _sized(nw, nh, interpolation)
+
+
+#: Random steps of places: fixed steps from (stream, width, height).
+RESOLVE: dict[str, Callable[..., list[Step]]] = {
+    "RandomCrop": _crop_steps,
+    "RandomResizedCrop": _resized_crop_steps,
+    "RandomHorizontalFlip": lambda s, w, h, p=0.5: [("HorizontalFlip", {})] if s.coin(p) else [],
+    "RandomVerticalFlip": lambda s, w, h, p=0.5: [("VerticalFlip", {})] if s.coin(p) else [],
+    "RandomAffine": _affine_steps,
+    "RandomRotation": _rotation_steps,
+    "RandomPerspective": _perspective_steps,
+    "RandomResize": _random_resize_steps,
+    "RandomShortestSize": _shortest_steps,
+    "ScaleJitter": _jitter_steps,
+    "RandomZoomOut": _zoom_out_steps,
+}
+
+
+def _by_steps(name: str) -> Callable:
+    def run(px, s: Stream, **args):
+        for n, a in RESOLVE[name](s, px.shape[1], px.shape[0], **args):
+            px = PLAIN[n](px, **a)
+        return px
+
+    return run
 
 
 def _resize(px, w, h=None, interpolation="bilinear", max_size=None):
@@ -177,10 +217,6 @@ def _resize(px, w, h=None, interpolation="bilinear", max_size=None):
     return K.resize(px, w, h, interpolation)
 
 
-def _random_resize(px, s: Stream, low, high, interpolation="bilinear"):
-    return K.resize(px, *K.short_edge(px.shape[1], px.shape[0], s.between(low, high)), interpolation)
-
-
 # policies: an operation by name and magnitude
 
 _SIGNED = frozenset("ShearX ShearY TranslateX TranslateY Rotate Brightness Color Contrast Sharpness".split())
@@ -445,24 +481,38 @@ PLAIN: dict[str, Callable] = {
     "HwcToChw": lambda px: px.transpose(2, 0, 1), "ChwToHwc": lambda px: px.transpose(1, 2, 0), "LinearTransform": lambda px, matrix, mean: K.linear_transform(px, np.asarray(matrix), np.asarray(mean)),
 }
 
-RANDOM: dict[str, Callable] = {
-    "RandomCrop": _random_crop, "RandomResizedCrop": _random_resized_crop, "RandomHorizontalFlip": _maybe(lambda px: px[:, ::-1]), "RandomVerticalFlip": _maybe(lambda px: px[::-1]), "RandomGrayscale": _grey, "ColorJitter": _color_jitter, "RandomErasing": _random_erasing,
-    "RandomRotation": lambda px, s, degrees, interpolation="nearest", expand=False, fill=None, center=None: K.rotate(px, _uniform32(s, *degrees), interpolation, expand, fill, center), "RandomAffine": _random_affine, "RandomPerspective": _random_perspective, "ElasticTransform": _elastic,
-    "RandomGaussianBlur": lambda px, s, kernel_size, sigma=(0.1, 2.0): K.gaussian_blur(px, _uniform32(s, *sigma), kernel_size), "RandomInvert": _maybe(K.invert), "RandomPosterize": _maybe(lambda px, bits: K.posterize(px, bits)), "RandomSolarize": _maybe(lambda px, threshold: K.solarize(px, threshold)),
-    "RandomAdjustSharpness": _maybe(lambda px, f: K.sharpness(px, f)), "RandomAutocontrast": _maybe(K.autocontrast), "RandomEqualize": _maybe(K.equalize), "RandomPhotometricDistort": _photometric, "RandomChannelPermutation": lambda px, s: px[..., _shuffled(s, list(range(px.shape[2])))],
-    "GaussianNoise": lambda px, s, mean=0.0, sigma=0.1, clip=True: K.gaussian_noise(px, (mean + sigma * (s.normals(px.size) if sigma else np.zeros(px.size))).reshape(px.shape), clip), "RandomResize": _random_resize, "RandomShortestSize": _shortest, "ScaleJitter": _scale_jitter, "RandomZoomOut": _zoom_out,
-    "RandAugment": _rand_augment, "TrivialAugmentWide": _trivial_augment, "AutoAugment": _auto_augment, "AugMix": _augmix,
-}
+RANDOM: dict[str, Callable] = {name: _by_steps(name) for name in RESOLVE} | {
+    "RandomGrayscale": _grey,
+    "ColorJitter": _color_jitter,
+    "RandomErasing": _random_erasing,
+    "ElasticTransform": _elastic,
+    "RandomGaussianBlur": lambda px, s, kernel_size, sigma=(0.1, 2.0): K.gaussian_blur(px, _uniform32(s, *sigma), kernel_size),
+    "RandomInvert": _maybe(K.invert),
+    "RandomPosterize": _maybe(lambda px, bits: K.posterize(px, bits)),
+    "RandomSolarize": _maybe(lambda px, threshold: K.solarize(px, threshold)),
+    "RandomAdjustSharpness": _maybe(lambda px, f: K.sharpness(px, f)),
+    "RandomAutocontrast": _maybe(K.autocontrast),
+    "RandomEqualize": _maybe(K.equalize),
+    "RandomPhotometricDistort": _photometric,
+    "RandomChannelPermutation": lambda px, s, p=1.0: px[..., _shuffled(s, list(range(px.shape[2])))] if s.coin(p) else px,
+    "GaussianNoise": lambda px, s, mean=0.0, sigma=0.1, clip=True: K.gaussian_noise(px, (mean + sigma * (s.normals(px.size) if sigma else np.zeros(px.size))).reshape(px.shape), clip),
+    "RandAugment": _rand_augment,
+    "TrivialAugmentWide": _trivial_augment,
+    "AutoAugment": _auto_augment,
+    "AugMix": _augmix,
+}
 CONTROL = frozenset(("RandomApply", "RandomChoice", "RandomOrder"))
 VIEWS: dict[str, Callable] = {"FiveCrop": lambda px, w, h: K.five_crop(px, w, h), "TenCrop": lambda px, w, h, vertical_flip=False: K.ten_crop(px, w, h, vertical_flip)}
 
 
-def keyed(steps: list[Step], parent: int | None = None) -> list[tuple[str, dict, int]]:
+def keyed(steps: list[Step], parent: int | None = None, seen: dict[str, int] | None = None) -> list[tuple[str, dict, int]]:
     """Steps with their keys: each kind counts its own occurrences among its siblings, in declared order; below a random
     step the key is combined with the parent's."""
-    seen: dict[str, int] = {}
+    seen = {} if seen is None else seen
     out = []
     for name, args in steps:
+        if name == "ImageConcat":  # the branches' steps count on, in declared order
+            args = args | {"branches": tuple(keyed(branch, parent, seen) for branch in args["branches"])}
         n = seen[name] = seen.get(name, -1) + 1
         out.append((name, args, op_key(name, n) if parent is None else combine(parent, op_key(name, n))))
     return out
@@ -488,22 +538,31 @@ def apply(steps: list[tuple[str, dict, int]], images: list[np.ndarray], stream:
             images = [PLAIN[name](px, **args) for px in images]
         elif name in VIEWS:
             images = [v for px in images for v in VIEWS[name](px, **args)]
+        elif name == "ImageConcat":
+            images = [np.concatenate([_one(apply(branch, [px], stream)) for branch in args["branches"]], axis=args["axis"]) for px in images]
         elif name in RANDOM:
             images = [RANDOM[name](px, stream(key if k == 0 else combine(key, k)), **args) for k, px in enumerate(images)]
         else:
-            images = _control(name, args, key, images, stream)
+            images = apply(chosen(name, args, key, stream), images, stream)
     return images
 
 
-def _control(name: str, args: dict, key: int, images: list[np.ndarray], stream: Callable[[int], Stream]) -> list[np.ndarray]:
+def _one(images: list[np.ndarray]) -> np.ndarray:
+    if len(images) != 1:
+        raise ValueError("a branch gives one image")
+    return images[0]
+
+
+def chosen(name: str, args: dict, key: int, stream: Callable[[int], Stream]) -> list[tuple[str, dict, int]]:
+    """The keyed steps that a random step of steps comes down to."""
     s = stream(key)
     if name == "RandomApply":
-        return apply(keyed(args["steps"], key), images, stream) if s.coin(args["p"]) else images
+        return keyed(args["steps"], key) if s.coin(args["p"]) else []
     if name == "RandomOrder":
-        return apply(_shuffled(s, keyed(args["steps"], key)), images, stream)
+        return _shuffled(s, keyed(args["steps"], key))
     upper = choice_bounds(len(args["choices"]), args.get("p"))
     if upper is None:
         k = s.below(len(args["choices"]))
     else:
         k = min(bisect_right(upper, s.f64()), len(upper) - 1)
-    return apply(keyed(args["choices"][k], combine(key, op_key("RandomChoiceBranch", k))), images, stream)
+    return keyed(args["choices"][k], combine(key, op_key("RandomChoiceBranch", k)))

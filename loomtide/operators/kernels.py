@@ -315,12 +315,8 @@ def _trig(angle: float) -> tuple[float, float]:
     return round(math.cos(angle), 15), round(math.sin(angle), 15)
 
 
-def rotate(px: Image, angle: float, kind: str = "nearest", expand: bool = False, fill=None, center=None) -> Image:
-    """Counter-clockwise by any angle."""
-    h, w = px.shape[:2]
-    angle %= 360.0
-    if center is None and (angle in (0, 180) or angle in (90, 270) and (expand or h == w)):
-        return np.ascontiguousarray(np.rot90(px, int(angle // 90)))
+def rotation(w: int, h: int, angle: float, expand: bool = False, center=None) -> tuple[tuple[float, ...], tuple[int, int]]:
+    """The inverse matrix of a turn counter-clockwise, and the new size."""
     cx, cy = center if center is not None else (w / 2, h / 2)
     cos, sin = _trig(-math.radians(angle))
     a, b, d, e = cos, sin, -sin, cos
@@ -331,7 +327,17 @@ def rotate(px: Image, angle: float, kind: str = "nearest", expand: bool = False,
         nw, nh = math.ceil(max(xs)) - math.floor(min(xs)), math.ceil(max(ys)) - math.floor(min(ys))
         ox, oy = -(nw - w) / 2, -(nh - h) / 2
         c, f, size = a * ox + b * oy + c, d * ox + e * oy + f, (nw, nh)
-    return warp(px, (a, b, c, d, e, f), size, kind, fill)
+    return (a, b, c, d, e, f), size
+
+
+def rotate(px: Image, angle: float, kind: str = "nearest", expand: bool = False, fill=None, center=None) -> Image:
+    """Counter-clockwise by any angle."""
+    h, w = px.shape[:2]
+    angle %= 360.0
+    if center is None and (angle in (0, 180) or angle in (90, 270) and (expand or h == w)):
+        return np.ascontiguousarray(np.rot90(px, int(angle // 90)))
+    m, size = rotation(w, h, angle, expand, center)
+    return warp(px, m, size, kind, fill)
 
 
 def affine_matrix(center, angle: float, translate, scale: float, shear) -> tuple[float, ...]:

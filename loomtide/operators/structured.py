@@ -5,14 +5,15 @@ A sample is a dict: image (HWC), boxes (N, 4 float32 xyxy), labels (N), masks (N
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import image_ops
 from . import kernels as K
-from .rng import Context, Stream, op_key
+from .rng import Context, Stream
 
 SCHEMA = "pos long, h int, w int, c int, image binary, boxes array<array<float>>, labels array<long>, keypoints array<array<array<float>>>, masks array<binary>"
 
@@ -107,19 +108,114 @@ def random_iou_crop(s: dict, r: Stream, low=0.3, high=1.0, min_ratio=0.5, max_ra
     return s
 
 
-STEPS = {"HorizontalFlip": horizontal_flip, "VerticalFlip": vertical_flip, "Resize": resize, "Crop": crop, "Pad": pad, "Sanitize": sanitize}
-RANDOM = {"RandomHorizontalFlip": lambda s, r, p=0.5: horizontal_flip(s) if r.coin(p) else s, "RandomVerticalFlip": lambda s, r, p=0.5: vertical_flip(s) if r.coin(p) else s, "RandomIoUCrop": random_iou_crop}
+def center_crop(s: dict, w: int, h: int) -> dict:
+    ih, iw = s["image"].shape[:2]
+    pw, ph = max(0, w - iw), max(0, h - ih)
+    if pw or ph:
+        s = pad(s, (pw // 2, ph // 2, pw - pw // 2, ph - ph // 2))
+    ih, iw = s["image"].shape[:2]
+    return crop(s, K.offset(iw - w), K.offset(ih - h), w, h)
 
 
-def transformed(samples: DataFrame, steps: list[tuple[str, dict]], seed: int = 0, epoch: int = 0) -> DataFrame:
-    """Rows of SCHEMA through steps; each random step draws by row and occurrence. Unknown steps are errors at once."""
-    seen: dict[str, int] = {}
-    plan = []
+def resized_crop(s: dict, x: int, y: int, w: int, h: int, ow: int, oh: int, interpolation: str = "bilinear") -> dict:
+    return resize(crop(s, x, y, w, h), ow, oh, interpolation)
+
+
+def _warped(s: dict, image: np.ndarray, m) -> dict:
+    """Boxes, masks and keypoints of an image warped by an inverse matrix (six numbers, or eight of a homography): boxes
+    become the envelope of their corners inside the image, masks take the nearest pixel."""
+    full = np.array([*m, *((0.0, 0.0, 1.0) if len(m) == 6 else (1.0,))]).reshape(3, 3)
+    back = np.linalg.inv(full)
+
+    def point(p: np.ndarray) -> np.ndarray:
+        q = np.concatenate([p, np.ones((*p.shape[:-1], 1))], -1) @ back.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = q[..., :2] / q[..., 2:]
+        if not np.isfinite(out).all():
+            raise ValueError("a point maps to no finite place")
+        return out
+
+    h, w = image.shape[:2]
+    return _with(_mapped(s, point, (w, h)), image, lambda mask: K.warp(mask[..., None], tuple(m), (w, h), "nearest")[..., 0])
+
+
+def affine(s: dict, angle=0.0, translate=(0, 0), scale=1.0, shear=(0.0, 0.0), interpolation="nearest", fill=None, center=None) -> dict:
+    h, w = s["image"].shape[:2]
+    m = K.affine_matrix(center or (w / 2, h / 2), angle, translate, scale, shear)
+    return _warped(s, K.affine(s["image"], angle, translate, scale, shear, interpolation, fill, center), m)
+
+
+def arbitrary_rotate(s: dict, angle: float, interpolation="nearest", expand=False, fill=None, center=None) -> dict:
+    h, w = s["image"].shape[:2]
+    m, _ = K.rotation(w, h, angle % 360.0, expand, center)
+    return _warped(s, K.rotate(s["image"], angle, interpolation, expand, fill, center), m)
+
+
+def perspective(s: dict, start, end, interpolation="bilinear", fill=None) -> dict:
+    return _warped(s, K.perspective(s["image"], start, end, interpolation, fill), K.homography(start, end))
+
+
+def clamp_boxes(s: dict) -> dict:
+    h, w = s["image"].shape[:2]
+    return s | {"boxes": np.clip(s["boxes"], 0, np.array([w, h, w, h], np.float32))}
+
+
+def _resize_step(s: dict, w: int, h: int | None = None, interpolation: str = "bilinear", max_size: int | None = None) -> dict:
+    ih, iw = s["image"].shape[:2]
+    w, h = K.short_edge(iw, ih, w, max_size) if h is None else (w, h)
+    return resize(s, w, h, interpolation)
+
+
+#: Steps of places on whole samples; other fixed steps touch the image only.
+STEPS = {
+    "HorizontalFlip": horizontal_flip, "VerticalFlip": vertical_flip, "Resize": _resize_step, "Crop": crop, "CenterCrop": center_crop, "Pad": pad, "ResizedCrop": resized_crop, "Affine": affine,
+    "ArbitraryRotate": arbitrary_rotate, "Rotate": lambda s, angle: arbitrary_rotate(s, angle, "nearest", True), "Perspective": perspective, "Sanitize": sanitize, "ClampBoxes": clamp_boxes,
+}
+#: What cannot move boxes, masks and keypoints along.
+REFUSED = frozenset("FiveCrop TenCrop ElasticTransform AutoAugment RandAugment TrivialAugmentWide AugMix ImageConcat HwcToChw ChwToHwc LinearTransform Normalize ToFloat CastFloat".split())
+_CONTROL = {"RandomApply": lambda a: [a["steps"]], "RandomOrder": lambda a: [a["steps"]], "RandomChoice": lambda a: a["choices"]}
+
+
+def checked(steps: list[tuple[str, dict]]) -> None:
+    """Raises for a step that does not apply to annotated samples, nested ones too."""
     for name, args in steps:
-        if name not in STEPS and name not in RANDOM:
+        if name in _CONTROL:
+            for inner in _CONTROL[name](args):
+                checked(list(inner))
+            if name == "RandomChoice":
+                image_ops.choice_bounds(len(args["choices"]), args.get("p"))
+        elif name in REFUSED or not (name in STEPS or name == "RandomIoUCrop" or name in image_ops.RANDOM or name in image_ops.PLAIN):
             raise ValueError(f"{name} does not apply to annotated samples")
-        seen[name] = seen.get(name, -1) + 1
-        plan.append((name, args, op_key(name, seen[name])))
+        elif name == "Sanitize" and min(args.get("min_size", 1.0), args.get("min_area", 1.0)) < 1:
+            raise ValueError("sanitize thresholds must be 1 or more")
+
+
+def apply(steps: list[tuple[str, dict, int]], s: dict, stream: Callable[[int], Stream]) -> dict:
+    """Keyed steps on one sample: a random step of places is resolved once, for the image and all that goes with it."""
+    for name, args, key in steps:
+        if name in STEPS:
+            s = STEPS[name](s, **args)
+        elif name == "RandomIoUCrop":
+            s = random_iou_crop(s, stream(key), **args)
+        elif name in image_ops.RESOLVE:
+            h, w = s["image"].shape[:2]
+            for n, a in image_ops.RESOLVE[name](stream(key), w, h, **args):
+                s = STEPS[n](s, **a)
+        elif name in image_ops.RANDOM:
+            s = s | {"image": image_ops.RANDOM[name](s["image"], stream(key), **args)}
+        elif name in image_ops.PLAIN:
+            s = s | {"image": image_ops.PLAIN[name](s["image"], **args)}
+        else:
+            s = apply(image_ops.chosen(name, args, key, stream), s, stream)
+    return s
+
+
+def transformed(samples: DataFrame, steps: list[tuple[str, dict]], seed: int = 0, epoch: int = 0) -> DataFrame:
+    """Rows of SCHEMA (and batch columns, if there are) through steps; each random step draws by the row's source (its pos
+    where there is none) and occurrence. Unknown steps are errors at once."""
+    checked(steps)
+    plan = image_ops.keyed(steps)
+    extra = [f for f in samples.schema if f.name in ("source", "batch_id", "batch_pos")]
     context = Context(seed, epoch)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +227,13 @@ def transformed(samples: DataFrame, steps: list[tuple[str, dict]], seed: int = 0
                     "image": np.frombuffer(r["image"], np.uint8).reshape(r["h"], r["w"], r["c"]), "boxes": np.array(r["boxes"], np.float32).reshape(n, 4), "labels": np.array(r["labels"], np.int64),
                     "keypoints": np.array(r["keypoints"], np.float32).reshape(n, -1, 2), "masks": np.array([np.frombuffer(m, np.uint8).reshape(r["h"], r["w"]) for m in r["masks"]]).reshape(-1, r["h"], r["w"]),
                 }
-                for name, args, key in plan:
-                    s = STEPS[name](s, **args) if name in STEPS else RANDOM[name](s, context.stream(r["pos"], key), **args)
+                row = r.get("source", r["pos"])
+                s = apply(plan, s, lambda key, row=row: context.stream(row, key))
                 h, w, c = s["image"].shape
-                out.append({"pos": r["pos"], "h": h, "w": w, "c": c, "image": np.ascontiguousarray(s["image"]).tobytes(), "boxes": s["boxes"].tolist(), "labels": s["labels"].tolist(), "keypoints": s["keypoints"].tolist(), "masks": [np.ascontiguousarray(m, np.uint8).tobytes() for m in s["masks"]]})
+                out.append({"pos": r["pos"], "h": h, "w": w, "c": c, "image": np.ascontiguousarray(s["image"]).tobytes(), "boxes": s["boxes"].tolist(), "labels": s["labels"].tolist(), "keypoints": s["keypoints"].tolist(), "masks": [np.ascontiguousarray(m, np.uint8).tobytes() for m in s["masks"]]} | {f.name: r[f.name] for f in extra})
             f32 = pa.float32()
-            kinds = pa.schema([("pos", pa.int64()), ("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("image", pa.binary()), ("boxes", pa.list_(pa.list_(f32))), ("labels", pa.list_(pa.int64())), ("keypoints", pa.list_(pa.list_(pa.list_(f32)))), ("masks", pa.list_(pa.binary()))])
+            kinds = pa.schema([("pos", pa.int64()), ("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("image", pa.binary()), ("boxes", pa.list_(pa.list_(f32))), ("labels", pa.list_(pa.int64())), ("keypoints", pa.list_(pa.list_(pa.list_(f32)))), ("masks", pa.list_(pa.binary())), *[(f.name, pa.int32() if f.name == "batch_pos" else pa.int64()) for f in extra]])
             yield from pa.Table.from_pylist(out, schema=kinds).to_batches()
 
-    return samples.mapInArrow(made, SCHEMA)
+    told = ", ".join([SCHEMA, *[f"{f.name} {'int' if f.name == 'batch_pos' else 'long'}" for f in extra]])
+    return samples.select(*[k.split()[0] for k in SCHEMA.split(", ")], *[f.name for f in extra]).mapInArrow(made, told)

@@ -223,8 +223,8 @@ class Ops:
     def random_photometric_distort(self, **options):
         return self._add("RandomPhotometricDistort", **options)
 
-    def random_channel_permutation(self):
-        return self._add("RandomChannelPermutation")
+    def random_channel_permutation(self, p=1.0):
+        return self._add("RandomChannelPermutation", p=p)
 
     def gaussian_noise(self, mean=0.0, sigma=0.1, clip=True):
         return self._add("GaussianNoise", mean=mean, sigma=sigma, clip=clip)
@@ -275,6 +275,12 @@ class Ops:
         image_ops.choice_bounds(len(choices), p)
         return self._add("RandomChoice", choices=tuple(tuple(t.steps) for t in choices), p=p)
 
+    def concat(self, branches, axis=1):
+        """The images of several transforms of this image, one beside the other along an axis (0 to 2)."""
+        if len(branches) < 2 or axis not in (0, 1, 2):
+            raise PipelineError("concat takes two branches or more and an axis of 0, 1 or 2")
+        return self._add("ImageConcat", branches=tuple(tuple(t.steps) for t in branches), axis=axis)
+
     def random_order(self, transform):
         return self._add("RandomOrder", steps=tuple(transform.steps))
 
@@ -338,8 +344,23 @@ class Pipeline(Ops):
             s = replace(s, views=5 if name == "FiveCrop" else 10)
         elif name == "LinearTransform" and s.dtype != "float32":
             raise PipelineError("linear_transform needs float32 images")
+        elif name == "ImageConcat":
+            ends = {self._branch(branch) for branch in args["branches"]}
+            if len(ends) > 1 or s.views > 1:
+                raise PipelineError("branches must end with one dtype, layout and view each")
+            dtype, layout = ends.pop()
+            s = replace(s, dtype=dtype, layout=layout)
         return replace(self, steps=(*self.steps, (name, args)), state=s)
 
+    def _branch(self, steps: tuple) -> tuple[str, str]:
+        """The dtype and layout that a branch's steps end with."""
+        end = replace(self, steps=())
+        for name, args in steps:
+            end = end._add(name, **args)
+        if end.state.views > 1:
+            raise PipelineError("a branch gives one image")
+        return end.state.dtype, end.state.layout
+
     def decode_image(self) -> Pipeline:
         if self.state.decoded:
             raise PipelineError("images are decoded already")

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -401,7 +402,71 @@ def test_structured_fields_move_together(spark):
     a, b = (sorted(map(str, structured.transformed(d, steps, 3).collect())) for d in (df.coalesce(1), df.repartition(3)))
     assert a == b and len(a) == 6
     with pytest.raises(ValueError):
-        structured.transformed(df, [("Hue", {})])
+        structured.transformed(df, [("ElasticTransform", {})])
+
+
+def annotated(spark, n=6):
+    s = sample()
+    rows = [(i, 10, 12, 3, bytearray(np.ascontiguousarray(PIXELS[i % 6][:10, :12]).tobytes()), s["boxes"].tolist(), s["labels"].tolist(), s["keypoints"].tolist(), [bytearray(m.tobytes()) for m in s["masks"]]) for i in range(n)]
+    return spark.createDataFrame(rows, structured.SCHEMA)
+
+
+def test_structured_warps_agree():
+    """A pixel's box, mask and keypoint go where the pixel goes."""
+    h, w = 21, 17
+    image = np.zeros((h, w, 3), np.uint8)
+    image[9, 6] = 255
+    mask = (image[..., 0] > 0).astype(np.uint8)[None]
+    s = {"image": image, "boxes": np.array([[6, 9, 7, 10]], np.float32), "labels": np.array([1]), "masks": mask, "keypoints": np.array([[[6.5, 9.5]]], np.float32)}
+    moves = [
+        ("Affine", {"angle": 0.0, "translate": (3, -2), "scale": 1.0, "shear": (0.0, 0.0)}), ("ArbitraryRotate", {"angle": 90.0, "expand": True}), ("Rotate", {"angle": 180}),
+        ("Perspective", {"start": [(0, 0), (w, 0), (w, h), (0, h)], "end": [(2, 1), (w + 2, 1), (w + 2, h + 1), (2, h + 1)], "interpolation": "nearest"}), ("CenterCrop", {"w": 11, "h": 13}), ("ResizedCrop", {"x": 2, "y": 3, "w": 10, "h": 12, "ow": 10, "oh": 12}),
+    ]
+    for name, args in moves:
+        out = structured.apply([(name, args, 0)], s, None)
+        (y,), (x,) = np.nonzero(out["image"][..., 0])
+        assert out["image"][y, x, 0] == 255 and np.allclose(out["boxes"][0], [x, y, x + 1, y + 1], atol=1e-4), name
+        assert np.argwhere(out["masks"][0]).tolist() == [[y, x]] and out["masks"].shape[1:] == out["image"].shape[:2], name
+        assert np.allclose(out["keypoints"][0, 0], [x + 0.5, y + 0.5], atol=1e-4), name
+
+
+def test_structured_pipeline(spark):
+    from loomtide.plans.structured_pipeline import StructuredPipeline
+
+    df = annotated(spark)
+    inner = Transform().random_horizontal_flip().brightness(1.2)
+    p = StructuredPipeline(df).seed(4).epoch(2).random_affine(20, translate=(0.1, 0.1)).random_apply(0.5, inner).random_choice([inner, Transform().random_crop(8)]).random_zoom_out().color_jitter(0.3)
+    p = p.random_iou_crop().clamp_boxes().sanitize().compose(Transform().resize(8, 8))
+    told = lambda q: {r["source"]: str(r.asDict() | {"pos": 0, "batch_id": 0, "batch_pos": 0}) for r in q.execute().collect()}
+    one = told(p.batch(4))
+    assert one == told(replace(p, df=df.repartition(4)).batch(4)) == told(p.shuffle().batch(2)) and len(one) == 6 and one != told(p.epoch(3).batch(4))
+    rows = p.shuffle().batch(4, drop_last=True).execute().collect()
+    drawn = rng.fisher_yates(6, rng.combine(rng.combine(rng.Context(4, 2).root, 0), rng.op_key("StructuredShuffle"))).tolist()
+    assert sorted((r["pos"], r["source"]) for r in rows) == list(enumerate(drawn))[:4] and {r["batch_id"] for r in rows} == {0}
+    for bad in (
+        lambda: p.five_crop(4), lambda: p.auto_augment(), lambda: p.random_apply(0.5, Transform().random_order(Transform().elastic_transform())), lambda: p.random_choice([Transform().augmix()]), lambda: p.sanitize(0.5), lambda: p.batch(0), lambda: p.batch(2).invert(),
+        lambda: StructuredPipeline(df).hwc_to_chw(),
+    ):
+        with pytest.raises(PipelineError):
+            bad()
+    # images follow the image pipeline's own draws
+    flips = {r["pos"]: bytes(r["image"]) for r in StructuredPipeline(df).seed(9).random_horizontal_flip().execute().collect()}
+    raw = df.select("pos", "image", F.lit(0).alias("label"), "h", "w", "c")
+    assert flips == {r["pos"]: bytes(r["data"]) for r in Pipeline(raw).seed(9).decode_image().random_horizontal_flip().execute().collect()}
+
+
+def test_concatenated_branches(pngs):
+    t = Transform()
+    rows = Pipeline(pngs).seed(2).decode_image().concat([t, t.horizontal_flip(), t.random_invert()], axis=0).execute().collect()
+    for r in rows:
+        px = PIXELS[r["pos"]]
+        got = np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"], 3)
+        last = kernels.invert(px) if rng.Context(2).stream(r["source"], rng.op_key("RandomInvert")).coin(0.5) else px
+        assert (got == np.concatenate([px, px[:, ::-1], last])).all()
+    p = Pipeline(pngs).decode_image()
+    for bad in (lambda: p.concat([t]), lambda: p.concat([t, t], axis=3), lambda: p.concat([t, t.convert_image_dtype("float32")]), lambda: p.concat([t, t.five_crop(4)]), lambda: p.five_crop(4).concat([t, t])):
+        with pytest.raises(PipelineError):
+            bad()
 
 
 def test_strict_tensors(spark):
