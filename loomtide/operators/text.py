@@ -1,68 +1,109 @@
-"""Tokenizer files over text DataFrames (pos, text[, text_pair], label): encode, decode and collate.
+"""Word-level tokenizers over text DataFrames (pos, text[, text_pair], label): encode, decode and collate.
 
-The tokenizer's JSON travels as a broadcast string; batches are encoded by the tokenizers library inside Arrow stages.
-Nulls are errors with their row, labels are all or none, and a batch's rows have one length."""
+A tokenizer is a table of tokens and ids (``WordLevel``): words meet their ids in a join, broadcast where the vocabulary is of
+a checked size. Nulls are errors with their row, labels are all or none, and a batch's rows have one length."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import tokens
 from ..functions.core import checked
 
-ENCODED = "pos long, input_ids array<int>, attention_mask array<int>, token_type_ids array<int>"
-_loaded: dict[int, object] = {}
-
-
-def tokenizer(text: str):
-    """The tokenizer of a JSON text, loaded once in a process."""
-    from tokenizers import Tokenizer
-
-    key = hash(text)
-    if key not in _loaded:
-        _loaded[key] = Tokenizer.from_str(text)
-    return _loaded[key]
-
-
-def encode(df: DataFrame, json_text: str, pair: bool = False, add_special_tokens: bool = True, max_length: int | None = None, strategy: str = "longest_first", direction: str = "right") -> DataFrame:
-    """Ids, mask and type ids by row; a length limit counts the special tokens."""
-    shared = df.sparkSession.sparkContext.broadcast(json_text)
-    t = tokenizer(json_text)
-    if max_length is not None and max_length < t.num_special_tokens_to_add(pair) * add_special_tokens:
-        raise ValueError("the special tokens do not fit")
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(shared.value)
-        t.no_padding()
-        t.no_truncation()
-        if max_length is not None:
-            t.enable_truncation(max_length, strategy=strategy, direction=direction)
-        for b in batches:
-            pos, text = b.column("pos").to_pylist(), b.column("text").to_pylist()
-            second = b.column("text_pair").to_pylist() if pair else text
-            for p, x, y in zip(pos, text, second, strict=True):
-                if x is None or y is None:
-                    raise ValueError(f"text is null at row {p}")
-            got = t.encode_batch(list(zip(text, second, strict=True)) if pair else text, add_special_tokens=add_special_tokens)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("pos"), pa.array([e.ids for e in got], kind), pa.array([e.attention_mask for e in got], kind), pa.array([e.type_ids for e in got], kind)], ["pos", "input_ids", "attention_mask", "token_type_ids"])
-
-    return df.select(F.col("pos").cast("long").alias("pos"), "text", *(["text_pair"] if pair else [])).mapInArrow(made, ENCODED)
-
-
-def decode(df: DataFrame, json_text: str, skip_special_tokens: bool = True) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(json_text)
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(shared.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("pos"), pa.array([t.decode(i, skip_special_tokens=skip_special_tokens) for i in b.column("input_ids").to_pylist()], pa.string())], ["pos", "text"])
-
-    return df.select(F.col("pos").cast("long").alias("pos"), "input_ids").mapInArrow(made, "pos long, text string")
+#: Tokens up to which a vocabulary is broadcast; a larger one is joined by a shuffle.
+MAX_TOKENS = 1_000_000
+
+
+@F.pandas_udf(StringType())
+def _composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+@dataclass(frozen=True)
+class WordLevel:
+    """``vocabulary`` has distinct tokens (token string, id int). Words are lower-cased runs without white space, composed
+    (NFC) first; one that is not in the vocabulary is ``unknown``. A text stands between ``first`` and ``last``, a second
+    one of a pair before another ``last``."""
+
+    vocabulary: DataFrame
+    unknown: str = "[UNK]"
+    first: str = "[CLS]"
+    last: str = "[SEP]"
+    padding: str = "[PAD]"
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.vocabulary.count() <= MAX_TOKENS else df
+
+    def token_to_id(self, *names: str) -> dict[str, int]:
+        """Ids of a few tokens; those that are not there are left out."""
+        return {r["token"]: r["id"] for r in self.vocabulary.where(F.col("token").isin(*names)).collect()}
+
+    def id_to_token(self, *ids: int) -> dict[int, str]:
+        return {r["id"]: r["token"] for r in self.vocabulary.where(F.col("id").isin(*ids)).collect()}
+
+    def _special(self) -> tuple[int, int, int]:
+        got = self.token_to_id(self.unknown, self.first, self.last)
+        if missing := [t for t in (self.unknown, self.first, self.last) if t not in got]:
+            raise ValueError(f"the vocabulary has no {', '.join(missing)}")
+        return got[self.unknown], got[self.first], got[self.last]
+
+    def _words(self, df: DataFrame, name: str) -> Column:
+        # only texts beyond ASCII go to Python to be composed
+        text = F.coalesce(_composed(F.when(F.length(name) != F.octet_length(name), F.col(name))), F.col(name))
+        said = F.raise_error(F.concat(F.lit("text is null at row "), F.col("pos").cast("string")))
+        return F.when(F.col(name).isNull(), said).otherwise(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""))
+
+    def ids(self, df: DataFrame, name: str, unknown: int) -> DataFrame:
+        """(pos, ids) of one text column."""
+        words = df.select("pos", F.posexplode_outer(self._words(df, name)).alias("at", "token"))
+        known = words.join(self._small(self.vocabulary.select("token", "id")), "token", "left")
+        told = F.struct("at", F.coalesce("id", F.lit(unknown)).cast("int").alias("id"))
+        # a text without words has one row without a word
+        rows = known.groupBy("pos").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), told))).alias("x"))
+        return rows.select("pos", F.transform("x", lambda x: x["id"]).alias("ids"))
+
+    def encode(self, df: DataFrame, pair: bool = False, add_special_tokens: bool = True, max_length: int | None = None, direction: str = "right") -> DataFrame:
+        """(pos, input_ids, attention_mask, token_type_ids); a length limit counts the special tokens, and takes from the
+        longer text of a pair first."""
+        unknown, first, last = self._special()
+        room = None if max_length is None else max_length - (2 + pair) * add_special_tokens
+        if room is not None and room < 0:
+            raise ValueError("the special tokens do not fit")
+        rows = self.ids(df, "text", unknown).withColumnRenamed("ids", "a")
+        a, b = F.col("a"), F.array().cast("array<int>")
+        if pair:
+            rows, b = rows.join(self.ids(df, "text_pair", unknown).withColumnRenamed("ids", "b"), "pos"), F.col("b")
+        if room is not None:
+            a, b = tokens.truncate_pair(a, b, room) if pair else (tokens.truncate(a, room, direction), b)
+        one = lambda i: F.array(F.lit(i))
+        rows = rows.select("pos", a.alias("a"), b.alias("b"))
+        head, tail = F.col("a"), F.col("b")
+        if add_special_tokens:
+            head = F.concat(one(first), head, one(last))
+            tail = F.concat(tail, one(last)) if pair else tail
+        rows = rows.select("pos", F.concat(head, tail).alias("input_ids"), F.concat(F.transform(head, lambda _: F.lit(0)), F.transform(tail, lambda _: F.lit(1))).alias("token_type_ids"))
+        return rows.select("pos", "input_ids", F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"), "token_type_ids")
+
+    def decode(self, df: DataFrame, skip_special_tokens: bool = True) -> DataFrame:
+        """(pos, text) of rows (pos, input_ids): tokens joined by spaces. An id that the vocabulary does not have is an
+        error."""
+        words = df.select("pos", F.posexplode_outer("input_ids").alias("at", "id"))
+        known = words.join(self._small(self.vocabulary.select("id", "token")), "id", "left")
+        said = F.raise_error(F.concat(F.lit("no token has the id "), F.col("id").cast("string")))
+        token = F.when(F.col("id").isNotNull() & F.col("token").isNull(), said).otherwise(F.col("token"))
+        keep = F.col("id").isNotNull()
+        if skip_special_tokens:
+            keep = keep & ~F.coalesce(F.col("token").isin(self.unknown, self.first, self.last, self.padding), F.lit(False))
+        rows = known.groupBy("pos").agg(F.array_sort(F.collect_list(F.when(keep, F.struct("at", token.alias("token"))))).alias("x"))
+        return rows.select("pos", F.array_join(F.transform("x", lambda x: x["token"]), " ").alias("text"))
 
 
 def collate(df: DataFrame, size: int, pad_id: int, labels: str = "sample", pad_to: int | None = None, side: str = "right", multiple: int = 1, ignore: int = -100) -> DataFrame:

@@ -14,9 +14,11 @@ from ..operators import image_ops, rng
 from ..operators.mix import rectangle
 from .queries import number, number_sql, register, table
 
-# The root of seed 42 and epoch 3, and the mixed keys of the first RandomApply, of the second
-# RandomHorizontalFlip below it, and of the first CutMix; the finaliser's factors and the stream's step.
-ROOT, APPLY, FLIP_BELOW, CUTMIX = 16626565845750415834, 16308957253192314141, 7198858492091629599, 15793510699368716618
+# The root of seed 42 and epoch 3, and the mixed keys of the first RandomHorizontalFlip, of the first
+# RandomApply and the second RandomHorizontalFlip below it, and of the first CutMix; the finaliser's factors and the
+# stream's step.
+ROOT, FLIP, APPLY = 16626565845750415834, 17017183065694297897, 16308957253192314141
+FLIP_BELOW, CUTMIX = 7198858492091629599, 15793510699368716618
 F1, F2, STEP = 13787848793156543929, 10723151780598845931, 11400714819323198485
 
 
@@ -39,6 +41,20 @@ def draw_sql(key: int, n: int) -> str:
 _F64 = "({}.v >> 11)::DOUBLE / 9007199254740992.0"
 
 
+@register("rng_horizontal_flip", f"SELECT vec_id, {_F64.format('a')} AS draw, {_F64.format('a')} < 0.5 AS flips FROM ({draw_sql(FLIP, 1)}) a")
+def rng_horizontal_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draw by which each row's random flip is decided, whatever the partitioning."""
+    context, key = rng.Context(42, 3), rng.op_key("RandomHorizontalFlip")
+
+    def draws(batches):
+        for b in batches:
+            v = rng.first_draws(rng.row_states(context, b.column("vec_id").to_numpy(), key))
+            d = (v >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(d), pa.array(d < 0.5)], ["vec_id", "draw", "flips"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id").mapInArrow(draws, "vec_id long, draw double, flips boolean")
+
+
 @register(
     "rng_nested_flip",
     f"SELECT vec_id, {_F64.format('a')} < 0.5 AS applies, {_F64.format('b')} AS draw FROM ({draw_sql(APPLY, 1)}) a JOIN ({draw_sql(FLIP_BELOW, 1)}) b USING (vec_id)",

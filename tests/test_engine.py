@@ -584,40 +584,74 @@ def test_streams_run_the_same_stages(spark):
     assert spark.sql("select sum(tokens) = 3 * sum(rows) ok from rates").first()["ok"] in (True, None)
 
 
-VOCABULARY = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3, "hello": 4, "world": 5, "good": 6, "bad": 7, "café": 8, "a": 9, "b": 10, "中": 11}
+VOCABULARY = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3, "river": 4, "stone": 5, "bright": 6, "dull": 7, "naïve": 8, "x": 9, "y": 10, "山": 11}
 
 
-def word_level() -> str:
-    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers, processors
+@pytest.fixture(scope="module")
+def word_level(spark):
+    from loomtide.operators.text import WordLevel
 
-    t = Tokenizer(models.WordLevel(VOCABULARY, unk_token="[UNK]"))
-    t.add_special_tokens(["[PAD]", "[CLS]", "[SEP]"])
-    t.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-    t.post_processor = processors.TemplateProcessing("[CLS] $A [SEP]", "[CLS] $A [SEP] $B:1 [SEP]:1", [("[CLS]", 2), ("[SEP]", 3)])
-    return t.to_str()
+    return WordLevel(spark.createDataFrame(list(VOCABULARY.items()), "token string, id int").cache())
 
 
-def test_text_is_encoded_and_collated(spark):
+def test_text_is_encoded_and_collated(spark, word_level):
     from loomtide.operators import text
 
-    df = spark.createDataFrame([(0, "Hello CAFE\u0301 nope", "a b", 1), (1, "good", "bad", 0), (2, "", "b", 1)], "pos long, text string, text_pair string, label long")
-    j = word_level()
-    e = text.encode(df, j)
+    df = spark.createDataFrame([(0, "River NAI\u0308VE nope", "x y", 1), (1, "bright", "dull", 0), (2, "", "y\u3000x", 1)], "pos long, text string, text_pair string, label long")
+    e = word_level.encode(df)
     assert {r["pos"]: r["input_ids"] for r in e.collect()} == {0: [2, 4, 8, 1, 3], 1: [2, 6, 3], 2: [2, 3]}
-    two = {r["pos"]: (r["input_ids"], r["token_type_ids"]) for r in text.encode(df, j, pair=True, max_length=6).collect()}
-    assert two[0] == ([2, 4, 3, 9, 10, 3], [0, 0, 0, 1, 1, 1]) or two[0] == ([2, 4, 8, 3, 9, 3], [0, 0, 0, 0, 1, 1])
-    assert {r["pos"]: r["text"] for r in text.decode(e, j).collect()}[1] == "good"
+    two = {r["pos"]: (r["input_ids"], r["token_type_ids"]) for r in word_level.encode(df, pair=True, max_length=6).collect()}
+    assert two[0] in (([2, 4, 3, 9, 10, 3], [0, 0, 0, 1, 1, 1]), ([2, 4, 8, 3, 9, 3], [0, 0, 0, 0, 1, 1])) and two[2] == ([2, 3, 10, 9, 3], [0, 0, 1, 1, 1])
+    assert {r["pos"]: r["input_ids"] for r in word_level.encode(df, max_length=3, direction="left").collect()}[0] == [2, 1, 3]
+    assert {r["pos"]: r["input_ids"] for r in word_level.encode(df, add_special_tokens=False).collect()} == {0: [4, 8, 1], 1: [6], 2: []}
+    assert {r["pos"]: r["text"] for r in word_level.decode(e).collect()} == {0: "river naïve", 1: "bright", 2: ""}
+    assert {r["pos"]: r["text"] for r in word_level.decode(e, skip_special_tokens=False).collect()}[0] == "[CLS] river naïve [UNK] [SEP]"
+    assert word_level.token_to_id("stone", "none") == {"stone": 5} and word_level.id_to_token(11, 99) == {11: "山"}
     rows = {r["pos"]: r for r in text.collate(e.join(df.select("pos", "label"), "pos"), 2, 0).collect()}
     assert rows[1]["input_ids"] == [2, 6, 3, 0, 0] and rows[1]["attention_mask"] == [1, 1, 1, 0, 0] and rows[1]["position_ids"] == [0, 1, 2, 0, 0] and len(rows[2]["input_ids"]) == 2
     causal = {r["pos"]: r["labels"] for r in text.collate(e, 2, 0, labels="causal", side="left").collect()}
     assert causal[1] == [-100, -100, 2, 6, 3]
     with pytest.raises(ValueError):
-        text.encode(df, j, max_length=1)
+        word_level.encode(df, max_length=1)
     with pytest.raises(Exception, match="null at row 7"):
-        text.encode(spark.createDataFrame([(7, None)], "pos long, text string"), j).collect()
+        word_level.encode(spark.createDataFrame([(7, None)], "pos long, text string")).collect()
     with pytest.raises(Exception, match="longer than"):
         text.collate(e, 2, 0, pad_to=3).collect()
+    with pytest.raises(Exception, match="no token has the id 77"):
+        word_level.decode(spark.createDataFrame([(0, [2, 77])], "pos long, input_ids array<int>")).collect()
+
+
+def test_large_vocabularies_are_shuffled(spark, word_level, monkeypatch):
+    from loomtide.operators import text
+
+    df = spark.createDataFrame([(0, "river stone nope"), (1, "山")], "pos long, text string")
+    monkeypatch.setattr(text, "MAX_TOKENS", 0)
+    assert {r["pos"]: r["input_ids"] for r in word_level.encode(df).collect()} == {0: [2, 4, 5, 1, 3], 1: [2, 11, 3]}
+
+
+def test_text_pipeline(spark, word_level):
+    from loomtide.plans.text_pipeline import TextError, TextPipeline
+
+    words = list(VOCABULARY)[4:]
+    df = spark.createDataFrame([(i, " ".join(words[: i + 1]), i) for i in range(8)], "pos long, text string, label long")
+    p = TextPipeline(df, word_level).indices([3, 0, 3, 7, 5])
+    assert [r["source"] for r in p.rows().orderBy("pos").collect()] == [3, 0, 3, 7, 5]
+    order = rng.fisher_yates(5, rng.combine(11, 2)).tolist()
+    assert [r["source"] for r in p.shuffle(11).epoch(2).rows().orderBy("pos").collect()] == [[3, 0, 3, 7, 5][k] for k in order]
+    batches = list(p.batch(2).loader())
+    assert [[r["source"] for r in b] for b in batches] == [[3, 0], [3, 7], [5]] and [[len(r["input_ids"]) for r in b] for b in batches] == [[6, 6], [10, 10], [8]] and [r["label"] for r in batches[1]] == [3, 7]
+    assert [len(b) for b in p.batch(2, drop_last=True).loader()] == [2, 2]
+    causal = list(p.encode(max_length=4).pad(side="left", multiple=4).labels("causal").batch(5).loader())
+    assert [r["labels"] for r in causal[0]][1] == [-100, 2, 4, 3]
+    with pytest.raises(TextError, match="no row at index 9"):
+        list(p.indices([1, 9]).loader())
+    gone = TextPipeline(df.union(spark.createDataFrame([(8, None, 8)], df.schema)), word_level).batch(2).loader()
+    with pytest.raises(TextError, match="null at row 8"):
+        list(gone)
+    assert list(gone) == []
+    for bad in (lambda: p.batch(0), lambda: p.labels("odd"), lambda: p.indices([-1])):
+        with pytest.raises((ValueError, IndexError)):
+            bad()
 
 
 def test_large_shuffles_leave_the_driver(spark, monkeypatch):
