@@ -30,11 +30,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again: lineage ends there, and a lost
-    executor costs a re-read. The table stays until the folder is cleared, as checkpoints do."""
+    executor costs a re-read. The table stays until the folder is cleared, as checkpoints do, or until its ``Scratch`` ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    if _scratch:
+        _scratch[-1].paths.append(path)
+    return out
+
+
+_scratch: list[Scratch] = []
+
+
+class Scratch:
+    """A with block whose settled tables go when it ends, but for those that ``keep`` names. What leaves the block must read
+    no other table; after an error all stay."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def __enter__(self) -> Scratch:
+        _scratch.append(self)
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept |= {t.settled_path for t in tables}
+
+    def __exit__(self, kind, *_) -> None:
+        _scratch.pop()
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in self.paths:
+            if kind is None and p not in self.kept:
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+                path.getFileSystem(conf).delete(path, True)
+            elif _scratch:  # now the outer block's
+                _scratch[-1].paths.append(p)
 
 
 def words(text: Column) -> Column:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, let, settled
+from .common import WORD, Scratch, let, settled
 
 LANES = 21  # longs for each hash; a long has three lanes of 20 bits with a spare bit between
 SPARE = (1 << 20) - 1 | ((1 << 20) - 1) << 21 | ((1 << 20) - 1) << 42
@@ -129,32 +129,35 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))))
     base = base.withColumns({"k": key, "n": F.length("text").cast("long")})
-    rows = settled(base.groupBy("doc_id", "n", "k").agg((F.count("*") - 1).alias("more")), "rows")
-    near = settled(ring(rows).join(rows.select("k", "more"), "k"), "near")
-    # both sides below need the same rows by k, so one shuffle of the texts serves them
-    one = base.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("n"))).where("at = 1").select("k", "doc_id", "text", "n")
-    own = one.join(near.select("k", "next_k", "more"), "k")
-    heads = one.join(near.select("k", "prev_k", "prev_n"), "k").select(F.col("prev_k").alias("k"), F.expr("left(text, cast(prev_n div 3 as int))").alias("head"))
-    body = F.expr("left(text, cast(n - n div 3 as int))")
-    said = lambda v, text: F.struct(F.lit(v).alias("v"), text.alias("text"))
-    texts = [said(0, F.col("text")), said(1, F.concat(body, F.col("head")))]
-    again = said(2, F.concat(body, F.expr("left(text, cast(n div 3 as int))")))  # edited by an equal row
-    both = own.join(heads, "k").select("k", "doc_id", "n", "next_k", "more", F.explode(F.when(F.col("more") > 0, F.array(*texts, again)).otherwise(F.array(*texts))).alias("x"))
-    both = both.select("k", "doc_id", "n", "next_k", "more", F.col("x.v").alias("v"), F.when(F.col("x.v") > 0, F.sha2(F.col("x.text"), 256)).alias("sha"), exact_lanes(F.col("x.text")).alias("exact"), F.col("x.text").alias("text"))
-    held = ["k", "doc_id", "n", "next_k", "more"]
-    parts = sketches(both, [*held, "v", "sha", "exact"])
-    pick = lambda c, v: F.max_by(c, F.col("v") == v).alias(f"{c}{v}")
-    whole = parts.groupBy(*held).agg(*[pick(c, v) for v in (0, 1, 2) for c in ("vector", "n_pieces", "exact", "sha")])
-    whole = settled(whole, "fingerprints")
+    with Scratch(docs.sparkSession) as tables:
+        rows = settled(base.groupBy("doc_id", "n", "k").agg((F.count("*") - 1).alias("more")), "rows")
+        near = settled(ring(rows).join(rows.select("k", "doc_id", "more"), "k"), "near")
+        # both sides below need the same columns of the same rows by k, so one shuffle of the texts serves them
+        one = base.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("n"))).where("at = 1").select("k", "text", "n")
+        own = one.join(near.select("k", "doc_id", "next_k", "more"), "k")
+        heads = one.join(near.select("k", "prev_k", "prev_n"), "k").select(F.col("prev_k").alias("k"), F.expr("left(text, cast(prev_n div 3 as int))").alias("head"))
+        body = F.expr("left(text, cast(n - n div 3 as int))")
+        said = lambda v, text: F.struct(F.lit(v).alias("v"), text.alias("text"))
+        texts = [said(0, F.col("text")), said(1, F.concat(body, F.col("head")))]
+        again = said(2, F.concat(body, F.expr("left(text, cast(n div 3 as int))")))  # edited by an equal row
+        both = own.join(heads, "k").select("k", "doc_id", "n", "next_k", "more", F.explode(F.when(F.col("more") > 0, F.array(*texts, again)).otherwise(F.array(*texts))).alias("x"))
+        both = both.select("k", "doc_id", "n", "next_k", "more", F.col("x.v").alias("v"), F.when(F.col("x.v") > 0, F.unhex(F.sha2(F.col("x.text"), 256))).alias("sha"), F.unhex(exact_lanes(F.col("x.text"))).alias("exact"), F.col("x.text").alias("text"))
+        held = ["k", "doc_id", "n", "next_k", "more"]
+        parts = sketches(both, [*held, "v", "sha", "exact"])
+        pick = lambda c, v: F.max_by(c, F.col("v") == v).alias(f"{c}{v}")
+        whole = parts.groupBy(*held).agg(*[pick(c, v) for v in (0, 1, 2) for c in ("vector", "n_pieces", "exact", "sha")])
+        whole = settled(whole, "fingerprints")
+        tables.keep(whole)
     after = whole.select(F.col("k").alias("next_k"), F.col("vector0").alias("nv"), F.col("n_pieces0").alias("nn"), F.col("exact0").alias("ne"))
-    shown = lambda v: F.concat("exact" + v, F.lit("."), F.hex(F.col("n_pieces" + v)), F.lit("."), F.array_join(F.transform("vector" + v, lambda x: F.lower(F.hex(x))), ":"))
+    digits = lambda c: F.lower(F.hex(c))
+    shown = lambda v: F.concat(digits("exact" + v), F.lit("."), F.hex(F.col("n_pieces" + v)), F.lit("."), F.array_join(F.transform("vector" + v, lambda x: F.lower(F.hex(x))), ":"))
     signed = lambda v: signs(F.col("vector" + v), F.col("n_pieces" + v))
 
     def told(rows: DataFrame, v: str, near_next: Column) -> DataFrame:
         return rows.select(
             "doc_id",
             F.col("n").alias("n_chars"),
-            F.col("sha" + v).alias("edited_sha256"),
+            digits("sha" + v).alias("edited_sha256"),
             shown("0").alias("fingerprint"),
             shown(v).alias("edited_fingerprint"),
             likeness(F.col("s0"), F.col("s" + v), F.col("exact0") == F.col("exact" + v)).alias("near_edited"),
