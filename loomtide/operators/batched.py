@@ -10,7 +10,8 @@ from collections.abc import Callable
 import numpy as np
 
 from . import kernels as K
-from .rng import STEP, Context, first_draws, row_states
+from .image_ops import erased
+from .rng import STEP, Context, Stream, first_draws, row_states
 
 Images = np.ndarray
 
@@ -153,6 +154,14 @@ def _random_crop(px: Images, s: Streams, w, h, padding=(0, 0, 0, 0), pad_if_need
     return cropped(px, s.below(iw - w + 1), y, w, h)
 
 
+def _random_erasing(px: Images, s: Streams, p=0.5, **args) -> Images:
+    """Rectangles differ, so the images that a coin takes are worked on one by one, in place of their copies."""
+    out = px.copy()
+    for i in np.flatnonzero(s.coin(p)).tolist():
+        out[i] = erased(px[i], Stream(int(s.states[i])), **args)
+    return out
+
+
 def _color_jitter(px: Images, s: Streams, b=0.0, c=0.0, h=0.0, sat=0.0) -> Images:
     names = ["b", "c", "h"] + (["s"] if sat else [])
     order = s.shuffled(len(names))
@@ -214,6 +223,7 @@ RANDOM: dict[str, Callable] = {
     "RandomInvert": _where(K.invert),
     "RandomPosterize": _where(PLAIN["Posterize"]),
     "RandomSolarize": _where(PLAIN["Solarize"]),
+    "RandomErasing": _random_erasing,
     "ColorJitter": _color_jitter,
 }
 

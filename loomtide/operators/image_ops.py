@@ -79,9 +79,12 @@ def _color_jitter(px, s: Stream, b=0.0, c=0.0, h=0.0, sat=0.0):
     return px
 
 
-def _random_erasing(px, s: Stream, p=0.5, scale=(0.02, 0.33), ratio=(0.3, 3.3333333), value=0):
-    if not s.coin(p):
-        return px
+def _random_erasing(px, s: Stream, p=0.5, **args):
+    return erased(px, s, **args) if s.coin(p) else px
+
+
+def erased(px, s: Stream, scale=(0.02, 0.33), ratio=(0.3, 3.3333333), value=0):
+    """The image with a random rectangle erased; the image itself after ten rectangles that do not fit."""
     h, w, c = px.shape
     for _ in range(10):
         area = h * w * _uniform(s, *scale)

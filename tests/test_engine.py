@@ -155,7 +155,7 @@ def test_steps_at_once_equal_steps_one_by_one():
     }
     drawn = {
         "RandomCrop": {"w": 7, "h": 8, "padding": (2, 2, 2, 2), "mode": "edge"}, "RandomHorizontalFlip": {}, "RandomVerticalFlip": {"p": 0.3}, "RandomGrayscale": {"p": 0.4}, "RandomInvert": {}, "RandomPosterize": {"bits": 2}, "RandomSolarize": {"threshold": 77}, "ColorJitter": {"b": 0.4, "c": 0.3, "h": 0.1, "sat": 0.5},
-        "RandomApply": {"p": 0.5, "steps": (("Invert", {}), ("Contrast", {"f": 0.5}))},
+        "RandomApply": {"p": 0.5, "steps": (("Invert", {}), ("Contrast", {"f": 0.5}))}, "RandomErasing": {"value": "random"},
     }
     assert set(plain) | {"ToUint8", "CastUint8", "ChwToHwc"} == set(batched.PLAIN) and set(drawn) == {*batched.RANDOM, "RandomApply"}
     context, rows = rng.Context(3, 1), np.arange(100, 140)
@@ -166,7 +166,7 @@ def test_steps_at_once_equal_steps_one_by_one():
         got = batched.apply(keyed, px, context, rows)
         want = [image_ops.apply(keyed, [x], lambda key, r=r: context.stream(int(r), key))[0] for x, r in zip(px, rows, strict=True)]
         assert got.dtype == want[0].dtype and np.array_equal(got, np.stack(want)), steps
-    assert batched.prefix(image_ops.keyed([("Invert", {}), ("RandomErasing", {}), ("Invert", {})])) == 1
+    assert batched.prefix(image_ops.keyed([("Invert", {}), ("ElasticTransform", {}), ("Invert", {})])) == 1
 
 
 def test_rows_of_several_shapes(spark):
