@@ -464,6 +464,13 @@ def _augmix(px, s: Stream, severity=3, width=3, depth=-1, alpha=1.0, all_ops=Tru
     return np.clip(total, 0, 255).astype(np.uint8)
 
 
+def _gaussian_noise(px, s: Stream, mean=0.0, sigma=0.1, clip=True):
+    """No draws at sigma 0."""
+    unit = 255 if px.dtype == np.uint8 else 1
+    draws = s.normals(px.size).astype(np.float32) if sigma else np.zeros(px.size, np.float32)
+    return K.gaussian_noise(px, (np.float32(mean * unit) + draws * np.float32(sigma * unit)).reshape(px.shape), clip)
+
+
 def _grey(px, s, p=0.1, channels=3):
     return K.grayscale(px, channels) if s.coin(p) else px
 
@@ -498,7 +505,7 @@ RANDOM: dict[str, Callable] = {name: _by_steps(name) for name in RESOLVE} | {
     "RandomEqualize": _maybe(K.equalize),
     "RandomPhotometricDistort": _photometric,
     "RandomChannelPermutation": lambda px, s, p=1.0: px[..., _shuffled(s, list(range(px.shape[2])))] if s.coin(p) else px,
-    "GaussianNoise": lambda px, s, mean=0.0, sigma=0.1, clip=True: K.gaussian_noise(px, (mean + sigma * (s.normals(px.size) if sigma else np.zeros(px.size))).reshape(px.shape), clip),
+    "GaussianNoise": _gaussian_noise,
     "RandAugment": _rand_augment,
     "TrivialAugmentWide": _trivial_augment,
     "AutoAugment": _auto_augment,

@@ -523,10 +523,11 @@ def erase(px: Image, x: int, y: int, w: int, h: int, value) -> Image:
 
 
 def gaussian_noise(px: Image, noise: np.ndarray, clip: bool = True) -> Image:
+    """Float32 noise added; for uint8 it is in steps of the pixels, truncated to int16 before the sum."""
     if px.dtype == np.uint8:
-        v = px.astype(np.int64) + np.trunc(noise * 255).astype(np.int16)
-        return (np.clip(v, 0, 255) if clip else v % 256).astype(np.uint8)
-    v = px + noise.astype(np.float32)
+        v = px.astype(np.int16) + np.trunc(noise).astype(np.int64).astype(np.int16)
+        return (np.clip(v, 0, 255) if clip else v.astype(np.int64) % 256).astype(np.uint8)
+    v = px + noise
     return np.clip(v, 0, 1) if clip else v
 
 

@@ -333,6 +333,19 @@ def test_draws_at_once_are_the_draws_one_by_one():
     assert np.allclose([one.normal() for _ in range(9)], many.normals(9)) and one.state == many.state
 
 
+def test_noise_is_float32_and_truncated():
+    px = np.array([[[0, 100, 250]]], np.uint8)
+    s, t = rng.Context(4).stream(1, 2), rng.Context(4).stream(1, 2)
+    n = [np.float32(t.normal()) for _ in range(3)]
+    want = [int(v) + int(np.trunc(np.float32(0.02 * 255) + x * np.float32(0.3 * 255))) for v, x in zip(px.ravel(), n, strict=True)]
+    assert image_ops._gaussian_noise(px, s, 0.02, 0.3).ravel().tolist() == [min(255, max(0, v)) for v in want] and s.state == t.state
+    assert image_ops._gaussian_noise(px, rng.Context(4).stream(1, 2), 0.02, 0.3, False).ravel().tolist() == [v % 256 for v in want]
+    assert (image_ops._gaussian_noise(px, s, 0.0, 0.0) == px).all() and s.state == t.state
+    f = kernels.to_float(px)
+    got = image_ops._gaussian_noise(f, rng.Context(4).stream(1, 2), 0.1, 0.2, False)
+    assert got.dtype == np.float32 and got.ravel().tolist() == [float(v + (np.float32(0.1) + x * np.float32(0.2))) for v, x in zip(f.ravel(), n, strict=True)]
+
+
 def test_png_filters(monkeypatch):
     """Every filter, against the definition, a byte at a time."""
     import struct
