@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import Scratch, settled
 
 
 def _pulled(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -21,20 +21,22 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     stars around the minima in a number of rounds that grows with the logarithm of the longest path. Minima are summed
     before the shuffle and joined back, so a hub with very many edges is not gathered in one place. Rounds that run out
     before the stars are complete are an error."""
-    e = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(most_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _pulled(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _pulled(large, least).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
-        new = settled(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
-        sums = [t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first() for t in (e, new)]
-        e = new
-        if sums[0] == sums[1]:
-            break
-    else:
-        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
+    with Scratch(edges.sparkSession) as tables:
+        e = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        for _ in range(most_rounds):
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = _pulled(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = large.where("u <> v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = _pulled(large, least).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
+            new = settled(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+            sums = [t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first() for t in (e, new)]
+            e = new
+            if sums[0] == sums[1]:
+                break
+        else:
+            raise RuntimeError(f"components are not complete after {most_rounds} rounds")
+        tables.keep(e)
     top = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(top)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among, mixed, range_hashes, settled, shared_dir, sorted_groups, utf8_blocks, word_ranges
+from .common import Scratch, among, mixed, range_hashes, settled, shared_dir, sorted_groups, utf8_blocks, word_ranges
 from .components import components
 
 WORDS = 5
@@ -324,46 +324,53 @@ def join(docs: DataFrame) -> DataFrame:
     shared_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where(F.col("doc_id").isNotNull())
-    made = settled(_documents(docs, frequent_shingles(known)), "leaves")
-    full = made.where("n > 0 and doc_id is not null")
-    # settled, so that the join below is of two plain shuffles: Spark splits the one that a large class skews
-    classes = settled(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")).where("class_id < last").drop("last"), "groups")
-    copies = full.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    member = settled(copies, "classes")  # of documents that are not alone in their class
-    leaves = among(full, member.where("doc_id <> class_id").select("doc_id"), "left_anti")
-    roots = settled(_roots(leaves), "roots")
-    held = leaves.select("doc_id", "n", "bits")
-    tile = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.lit(1), F.ceil(F.col("members") / TILE)))
-    rows = roots.withColumn("tile", tile).join(held, "doc_id").select(F.xxhash64("root", "tile").alias("key"), "doc_id", "n", "bits", F.lit(0).cast("long").alias("grp"), "root", F.array().cast("array<long>").alias("also"))
-    pairs = settled(_tree_pairs(rows, True), "pairs")
-    links = settled(_verified(known, pairs), "links")
-    comp = settled(components(links), "components")
-    # round two: trees whose leaves are in several components
-    grp = roots.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("root", "members", "doc_id", F.coalesce("component", "doc_id").alias("grp"))
-    mixed_roots = grp.groupBy("root").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("root")
-    grp = settled(grp.join(mixed_roots, "root"), "roots")
-    held = held.join(grp.groupBy("doc_id").agg(F.collect_list("root").alias("also")), "doc_id")  # as many as the leaf has first shingles
-    rows = grp.withColumn("tiles", F.greatest(F.lit(1), F.ceil(F.col("members") / TILE)).cast("int"))
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.join(held, "doc_id").select(F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "doc_id", "n", "bits", "grp", "root", "also")
-    more = settled(_tree_pairs(rows, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    found = settled(_verified(known, more), "links")
-    if found.limit(1).count():
-        comp = settled(components(links.union(found)), "components")
-    # a document's component is its own node's, or its class's where it has no node
-    told = member.where("doc_id <> class_id").join(comp.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component"))
-    own = comp.select(F.col("node").alias("doc_id"), F.col("node").alias("class_id"), "component")
-    out = made.select("doc_id", F.col("n").alias("n_shingles")).join(settled(told.union(own), "told"), "doc_id", "left")
+    with Scratch(docs.sparkSession) as tables:
+        made = settled(_documents(docs, frequent_shingles(known)), "leaves")
+        full = made.where("n > 0 and doc_id is not null")
+        # settled, so that the join below is of two plain shuffles: Spark splits the one that a large class skews
+        classes = settled(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")).where("class_id < last").drop("last"), "groups")
+        copies = full.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+        member = settled(copies, "classes")  # of documents that are not alone in their class
+        leaves = among(full, member.where("doc_id <> class_id").select("doc_id"), "left_anti")
+        with Scratch(docs.sparkSession) as inner:
+            roots = settled(_roots(leaves), "roots")
+            inner.keep(roots)
+        held = leaves.select("doc_id", "n", "bits")
+        tile = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.lit(1), F.ceil(F.col("members") / TILE)))
+        rows = roots.withColumn("tile", tile).join(held, "doc_id").select(F.xxhash64("root", "tile").alias("key"), "doc_id", "n", "bits", F.lit(0).cast("long").alias("grp"), "root", F.array().cast("array<long>").alias("also"))
+        pairs = settled(_tree_pairs(rows, True), "pairs")
+        links = settled(_verified(known, pairs), "links")
+        comp = settled(components(links), "components")
+        # round two: trees whose leaves are in several components
+        grp = roots.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("root", "members", "doc_id", F.coalesce("component", "doc_id").alias("grp"))
+        mixed_roots = settled(grp.groupBy("root").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("root"), "mixed")
+        grp = settled(grp.join(mixed_roots, "root"), "roots")
+        held = held.join(grp.groupBy("doc_id").agg(F.collect_list("root").alias("also")), "doc_id")  # as many as the leaf has first shingles
+        rows = grp.withColumn("tiles", F.greatest(F.lit(1), F.ceil(F.col("members") / TILE)).cast("int"))
+        rows = rows.withColumn("tile", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("tiles")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows = rows.join(held, "doc_id").select(F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "doc_id", "n", "bits", "grp", "root", "also")
+        more = settled(_tree_pairs(rows, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = settled(_verified(known, more), "links")
+        if found.limit(1).count():
+            comp = settled(components(links.union(found)), "components")
+        # a document's component is its own node's, or its class's where it has no node
+        told = member.where("doc_id <> class_id").join(comp.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component"))
+        own = comp.select(F.col("node").alias("doc_id"), F.col("node").alias("class_id"), "component")
+        told = settled(told.union(own), "told")
+        tables.keep(made, told)
+    out = made.select("doc_id", F.col("n").alias("n_shingles")).join(told, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component, with its own columns: the one of the smallest id; of rows that repeat that
     id the one whose text has the least SHA-256. Rows with a null id stay."""
-    gone = join(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    with Scratch(docs.sparkSession) as tables:
+        gone = settled(join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+        tables.keep(gone)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = among(docs, settled(gone, "copies"), "left_anti")
+    kept = among(docs, gone, "left_anti")
     again = settled(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "again")
     if not again.take(1):
         return kept.select(*columns)

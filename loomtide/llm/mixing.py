@@ -6,7 +6,9 @@ below the fraction. The sizes (id, source, number) are settled once as a small t
 Sizes are summed per source with partial aggregation before the shuffle, so a hot source costs no more than others.
 The plan has a row per source; it is broadcast only where it has at most ``MAX_BROADCAST`` sources, else it is joined
 with the hot sources dealt over salts. A null text has size 0, a null source is a source of its own (the last).
-Sources without words have target 0 and none of their documents are taken. Equal rows get equal copies.
+Sources without words have target 0 and none of their documents are taken. Equal rows get equal copies. Texts are whole
+however long; an empty table gives no rows. Of sources that are as large for their weight, the first by code point stops
+first, which moves no target.
 """
 
 from __future__ import annotations

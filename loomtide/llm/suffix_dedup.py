@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_IDS, loads, mixed, range_hashes, settled, shared_dir, sorted_groups, utf8_blocks, window_hashes
+from .common import MAX_IDS, Scratch, loads, mixed, range_hashes, settled, shared_dir, sorted_groups, utf8_blocks, window_hashes
 
 LENGTH, WINDOW, GRAM = 200, 88, 24
 #: A string's sampled place and the phrase there are inside the string: the next place after the first is found in time.
@@ -337,7 +337,9 @@ def kept_bytes(data: bytes, starts: list[int], ends: list[int]) -> bytes:
 def digests(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     base, _ = _keyed(docs)
-    s = settled(spans(base.select("doc", "text")), "spans")
+    with Scratch(docs.sparkSession) as tables:
+        s = settled(spans(base.select("doc", "text")), "spans")
+        tables.keep(s)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +367,9 @@ def remove(docs: DataFrame) -> DataFrame:
     base, numbered = _keyed(docs)
     held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in p.items()], "doc_id", "text")
     held = numbered(held).drop("doc_id", "text")
-    s = settled(spans(base.select("doc", "text")), "spans")
+    with Scratch(docs.sparkSession) as tables:
+        s = settled(spans(base.select("doc", "text")), "spans")
+        tables.keep(s)
     at = p["text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,6 +83,38 @@ def test_keep_one(odd, empty):
     assert jaccard_join.join(empty).count() == 0 and jaccard_join.keep_one(empty).columns == empty.columns
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Made
+
+    from loomtide.llm.common import shared_dir
+
+    made = lambda master, folder, seen: Made(sparkContext=Made(master=master, getCheckpointDir=lambda: seen[-1] if seen else None, setCheckpointDir=seen.append), conf=Made(get=lambda k, d: folder))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(made("spark://host:7077", None, []))
+    assert shared_dir(made("spark://host:7077", "hdfs://there", [])) == "hdfs://there" and "spark-" in shared_dir(made("local[4]", None, []))
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from loomtide.llm.common import Scratch, settled, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    there = lambda t: os.path.exists(t.settled_path.removeprefix("file:"))
+    with Scratch(spark) as outer:
+        with Scratch(spark) as inner:
+            a, b = settled(spark.range(3), "a"), settled(spark.range(4), "b")
+            inner.keep(b)
+        c = settled(spark.range(5), "c")
+        assert not there(a) and there(b) and there(c)
+        outer.keep(c)
+    assert not there(b) and there(c) and c.count() == 5 and os.path.isdir(folder)
+    with pytest.raises(ValueError), Scratch(spark):
+        d = settled(spark.range(2), "d")
+        raise ValueError
+    assert there(d)
+
+
 def test_components_of_a_path(spark):
     path = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(200, 100), (100, 300)], "a long, b long"))
     got = {r["node"]: r["component"] for r in components(path).collect()}
