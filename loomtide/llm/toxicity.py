@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc32_mod, settled, utf8_blocks
+from .common import Scratch, crc32_mod, settled, utf8_blocks
 
 BUCKETS = 1 << 18
 ORDERS = (4, 5, 6)
@@ -75,40 +75,49 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     some = lowest(F.col("toxic") > 0, max_toxic).union(lowest(F.col("toxic") <= 0, max_clean))
     share = usable.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
-    rows = settled(rows, "labelled")  # the bounded sample; it is read again
-    counted = rows.coalesce(8).mapInArrow(_counted, "p binary, q binary, n long, m long").collect()
-    add = lambda k: sum((np.frombuffer(r[k], np.int32) for r in counted), np.zeros(BUCKETS, np.int64))
-    toxic, clean = sum(r["n"] for r in counted), sum(r["m"] for r in counted)
-    if not toxic or not clean:
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
-    p, q = add("p"), add("q")
-    ratio = ratios(p, q, toxic, clean)
-    value = ratio / np.sqrt(max(1e-12, ((p + q) * ratio**2).sum() / (toxic + clean)))  # features of unit mean square
-    shared = docs.sparkSession.sparkContext.broadcast(value)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = shared.value
-        for b in batches:
-            toxic_ = b.column("toxic").to_numpy() > 0
-            for at, o, d in utf8_blocks(_lower(b.column("text"))):
-                got = [np.sort(f) for f in features(o, d)]
-                got = [f[value[f] != 0] for f in got]
-                y = toxic_[at : at + len(got)]
-                cut = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
-                flat = np.concatenate([*got, np.empty(0, np.int64)])
-                n = len(got)
-                vector = pa.StructArray.from_arrays(
-                    [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, BUCKETS, np.int32)), pa.ListArray.from_arrays(cut, pa.array(flat.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(value[flat]))],
-                    ["type", "size", "indices", "values"],
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(y.astype(float)), pa.array(np.where(y, TOXIC_SHARE / toxic, (1 - TOXIC_SHARE) / clean)), vector], ["label", "weight", "features"])
-
-    kind = StructType([StructField("label", DoubleType()), StructField("weight", DoubleType()), StructField("features", VectorUDT())])
-    learner = LogisticRegression(maxIter=STEPS, regParam=RIDGE, standardization=False, weightCol="weight", aggregationDepth=2)
-    model = learner.fit(rows.mapInArrow(vectors, kind))
-    return (np.asarray(model.coefficients.toArray()) * value).astype(np.float32), float(model.intercept)
+    with Scratch(docs.sparkSession):
+        rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+        rows = settled(rows, "labelled")  # the bounded sample; it is read again
+        counted = rows.coalesce(8).mapInArrow(_counted, "p binary, q binary, n long, m long").collect()
+        add = lambda k: sum((np.frombuffer(r[k], np.int32) for r in counted), np.zeros(BUCKETS, np.int64))
+        toxic, clean = sum(r["n"] for r in counted), sum(r["m"] for r in counted)
+        if not toxic or not clean:
+            share = min(max(share, 1e-6), 1 - 1e-6)
+            return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
+        p, q = add("p"), add("q")
+        ratio = ratios(p, q, toxic, clean)
+        value = ratio / np.sqrt(max(1e-12, ((p + q) * ratio**2).sum() / (toxic + clean)))  # features of unit mean square
+        telling = np.flatnonzero(value)  # the regression's features: the other buckets are 0 in every text
+        if not len(telling):
+            share = min(max(share, 1e-6), 1 - 1e-6)
+            return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
+        place = np.zeros(BUCKETS, np.int32)
+        place[telling] = np.arange(len(telling), dtype=np.int32)
+        shared = docs.sparkSession.sparkContext.broadcast((value, place, len(telling)))
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            value, place, size = shared.value
+            for b in batches:
+                toxic_ = b.column("toxic").to_numpy() > 0
+                for at, o, d in utf8_blocks(_lower(b.column("text"))):
+                    got = [np.sort(f) for f in features(o, d)]
+                    got = [f[value[f] != 0] for f in got]
+                    y = toxic_[at : at + len(got)]
+                    cut = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
+                    flat = np.concatenate([*got, np.empty(0, np.int64)])
+                    n = len(got)
+                    vector = pa.StructArray.from_arrays(
+                        [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(cut, pa.array(place[flat])), pa.ListArray.from_arrays(cut, pa.array(value[flat]))],
+                        ["type", "size", "indices", "values"],
+                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(y.astype(float)), pa.array(np.where(y, TOXIC_SHARE / toxic, (1 - TOXIC_SHARE) / clean)), vector], ["label", "weight", "features"])
+
+        kind = StructType([StructField("label", DoubleType()), StructField("weight", DoubleType()), StructField("features", VectorUDT())])
+        learner = LogisticRegression(maxIter=STEPS, regParam=RIDGE, standardization=False, weightCol="weight", aggregationDepth=2)
+        model = learner.fit(rows.mapInArrow(vectors, kind))
+        weights = np.zeros(BUCKETS, np.float32)
+        weights[telling] = model.coefficients.toArray() * value[telling]
+        return weights, float(model.intercept)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
