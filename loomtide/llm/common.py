@@ -168,9 +168,10 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_ranges(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text) of every word of the block's texts; no word crosses from text to text."""
-    inside = ~_IS_SPACE[data]
+def word_ranges(offsets: np.ndarray, data: np.ndarray, outside: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of every word of the block's texts; no word crosses from text to text. ``outside`` says for each
+    byte value whether it parts words."""
+    inside = ~outside[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = offsets[1:-1]
@@ -187,6 +188,40 @@ def word_ranges(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+#: Bytes with A to Z in lower case and all others as they are.
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
+
+
+def lowered(text: Column) -> Column:
+    """A text with A to Z in lower case and all other characters as they are; null is the empty text."""
+    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+class Vocabulary:
+    """Distinct words, numbered as given, that words of a block are looked up in; two lanes of hash tell words apart."""
+
+    def __init__(self, words: list[str]) -> None:
+        raw = [w.encode() for w in words]
+        end = np.cumsum([len(w) for w in raw], dtype=np.int64)
+        self.size = len(raw)
+        h, g = range_hashes(np.frombuffer(b"".join(raw), np.uint8), end - [len(w) for w in raw], end, 2) if raw else (np.empty(0, np.uint64),) * 2
+        self.order = np.argsort(h)
+        self.first, self.second = h[self.order], g[self.order]
+
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each word of the block, or -1."""
+        out = np.full(len(start), -1, np.int64)
+        if self.size and len(start):
+            (h,) = range_hashes(data, start, end)
+            at = np.minimum(np.searchsorted(self.first, h), self.size - 1)
+            near = np.flatnonzero(self.first[at] == h)
+            _, g = range_hashes(data, start[near], end[near], 2)
+            same = self.second[at[near]] == g
+            out[near[same]] = self.order[at[near[same]]]
+        return out
+
+
 #: Ids up to which a set of ids is broadcast (8 bytes each); a larger one is joined by a shuffle.
 MAX_IDS = 2_000_000
 
