@@ -88,6 +88,12 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import nodes
+
+    return nodes(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -157,6 +163,44 @@ WITH docs AS (
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
+OP13_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST) AS rank FROM conversations
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+    xor(4294967295::BIGINT, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(8 * length(conv_id::VARCHAR)), lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(conv_id::VARCHAR, CAST(i // 8 + 1 AS INTEGER), 1)) ELSE 0 END)),
+      lambda crc, x: CASE WHEN xor(crc, x) & 1 = 1 THEN xor(3988292384::BIGINT, xor(crc, x) >> 1) ELSE xor(crc, x) >> 1 END)) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+), pieces AS (
+  SELECT c.conv_id, 0 AS own, t.rank, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.rank <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1 AS own, t.rank, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.rank > c.h
+), rebuilt AS (
+  SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY own, rank) AS said,
+    list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY own, rank) AS words
+  FROM pieces GROUP BY conv_id
+), whole AS (
+  SELECT conv_id, coalesce(said, []) AS said, coalesce(words, []) AS words FROM convs LEFT JOIN rebuilt USING (conv_id)
+), paths AS (
+  SELECT conv_id, d, said[1:d] AS key, said[1:d - 1] AS above, words[d] AS words, d = len(said) AS ends FROM (SELECT *, unnest(range(len(said) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT CAST(d AS BIGINT) AS depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(min(words), 0) AS saved, any_value(above) AS above,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM paths GROUP BY d, key
+), children AS (
+  SELECT depth - 1 AS depth, above AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT x.*, coalesce(c.n, 0) AS n_children FROM nodes x LEFT JOIN children c USING (depth, key)
+), ancestors AS (
+  SELECT key[1:a] AS key, a AS depth, saved, (n_children = 0)::BIGINT AS leaf FROM (SELECT *, unnest(range(depth + 1)) AS a FROM counted)
+), sums AS (
+  SELECT depth, key, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves FROM ancestors GROUP BY depth, key
+)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, CAST(x.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM counted x JOIN sums s USING (depth, key) LEFT JOIN nodes p ON x.depth > 0 AND p.depth = x.depth - 1 AND p.key = x.above
+"""
+
 
 def queries() -> dict:
     named = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
@@ -164,4 +208,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op11_ranked_search": OP11_SQL}
+    return {"op3_mixing": OP3_SQL, "op11_ranked_search": OP11_SQL, "op13_conversation_trie": OP13_SQL}
