@@ -108,7 +108,7 @@ class DoubleArray:
     """A trie as two arrays: the child of node s by code c (1 or more) is BASE[s] + c, where CHECK is s. The root is 0."""
 
     def __init__(self) -> None:
-        self.base, self.check, self.free = np.zeros(1024, np.int64), np.full(1024, -1, np.int64), 1
+        self.base, self.check, self.free, self.taken = np.zeros(1024, np.int64), np.full(1024, -1, np.int64), 1, 1
         self.check[0] = 0
 
     def _room(self, size: int) -> None:
@@ -131,9 +131,13 @@ class DoubleArray:
             self._place(int(parents[first[k]]), codes[first[k] : first[k] + size[k]])
         one = first[size == 1]  # a single child fits any free place
         self._skip_taken()
-        self._room(len(self.check) + len(one))
-        at = self.free + np.flatnonzero(self.check[self.free :] < 0)[: len(one)]
+        self._room(self.taken + len(one))
+        look = 2 * len(one)
+        while len(at := np.flatnonzero(self.check[self.free : self.free + look] < 0)) < len(one):
+            look *= 2
+        at = self.free + at[: len(one)]
         self.base[parents[one]], self.check[at] = at - codes[one], parents[one]
+        self.taken += len(one)
 
     def _place(self, parent: int, codes: np.ndarray) -> None:
         """Puts all children of a node at the first places tried where each falls on a free one."""
@@ -147,6 +151,7 @@ class DoubleArray:
             if fits.any():
                 at = int(tried[fits.argmax()])
                 self.base[parent], self.check[at + span] = at - int(codes[0]), parent
+                self.taken += len(span)
                 return
             look += 512
 

@@ -1,14 +1,16 @@
 """Ranked search, licence scans and the conversation trie against brute force."""
 
 import collections
+import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 
-from loomtide.llm import license_scan, ranked_search
+from loomtide.llm import conversation_trie, license_scan, ranked_search
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -135,3 +137,72 @@ def test_scan_spans_do_not_overlap(spark):
     docs = spark.createDataFrame([(1, "x " * 5 + "released under the mit license. " * 3)], "doc_id long, text string")
     (row,) = license_scan.scan(docs).collect()
     assert [(m["label"], m["first_word"], m["words"]) for m in row["matches"] if m["share"] == 1.0] == [("mit", 5, 5), ("mit", 10, 5), ("mit", 15, 5)]
+
+
+def brute_trie(rows):
+    """Nodes of (conv_id, turn, role, text) rows; equal turns of a conversation must say the same."""
+    own = collections.defaultdict(list)
+    for c, t, r, x in rows:
+        own[c].append((t is not None, t or 0, r or "", x or ""))
+    own = {c: [x[2:] for x in sorted(ts)] for c, ts in own.items()}
+    whole = {}
+    for c, ts in own.items():
+        h = 0 if c is None else zlib.crc32(str(c).encode()) % 4
+        whole[c] = (own.get(c - int(math.fmod(c, 20)), []) if h else [])[:h] + ts[h:]
+    members = collections.defaultdict(list)
+    for c, ts in whole.items():
+        for d in range(len(ts) + 1):
+            members[tuple(ts[:d])].append(c)
+    low = lambda cs: min(cs, key=lambda c: (c is not None, c or 0))
+    out = []
+    for p, cs in members.items():
+        under = [q for q in members if q[: len(p)] == p]
+        children = [q for q in under if len(q) == len(p) + 1]
+        saved = sum((len(members[q]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", q[-1][1])) for q in under if q)
+        leaves = sum(not any(len(z) == len(q) + 1 and z[: len(q)] == q for z in under) for q in under)
+        ends = sorted((c for c in cs if len(whole[c]) == len(p)), key=lambda c: (c is not None, c or 0))
+        digest = hashlib.sha256(",".join("" if c is None else str(c) for c in ends).encode()).hexdigest()
+        out.append((low(cs), len(p), low(members[p[:-1]]) if p else None, len(cs), len(children), leaves, saved, digest))
+    return out
+
+
+def conversations(spark):
+    rng = random.Random(12)
+    rows = []
+    for c in [*range(130), 200, 201, 340, 341, 347, 900, -3, -20]:
+        kind, n = rng.randrange(4), rng.choice([1, 2, 3, 4, 5, 9])
+        rows += [(c, t, rng.choice(["user", "system"]) if t else "user", "hello  there you" if t == 0 else f"w{kind if t < 4 else rng.randrange(3)} " * rng.randrange(1, 3)) for t in range(n)]
+    rows += [(7, t, "user", f"long {t % 5}") for t in range(20, 90)] + [(340, t, "assistant", "again") for t in range(20, 70)]
+    rows += [(None, None, None, None), (None, 1, "user", ""), (12, None, None, "null turn"), (13, 3, "same", "row"), (13, 3, "same", "row"), (950, 1, "", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, depth int, owner string")
+    return rows, df.repartition(3)
+
+
+@pytest.mark.parametrize(("most", "chunk"), [(1 << 14, 1 << 12), (40, 7), (1, 1 << 12)])
+def test_trie_equals_brute_force(spark, monkeypatch, most, chunk):
+    monkeypatch.setattr(conversation_trie, "MAX_ROWS", most)
+    monkeypatch.setattr(conversation_trie, "CHUNK", chunk)
+    rows, df = conversations(spark)
+    assert plain(conversation_trie.nodes(df).collect()) == plain(brute_trie(rows))
+
+
+def test_trie_of_an_empty_table(spark):
+    assert conversation_trie.nodes(conversations(spark)[1].limit(0)).count() == 0
+
+
+def test_double_array_holds_what_was_added():
+    rng = np.random.default_rng(6)
+    shard = np.repeat(np.arange(1, 60), rng.integers(1, 30, 59))
+    conv = np.arange(len(shard))
+    size = rng.integers(1, 12, len(shard))
+    shard, conv = np.repeat(shard, size), np.repeat(conv, size)
+    first = np.concatenate(([True], conv[1:] != conv[:-1]))
+    turn = np.where(first, 1, rng.integers(1, 5, len(conv)))
+    trie, node, levels = conversation_trie.walk(shard, conv, turn)
+    told, now = {}, ()
+    for k in range(len(conv)):
+        now = (shard[k],) if first[k] else (*now, turn[k])
+        assert told.setdefault(int(node[k]), now) == now
+    assert len(set(told.values())) == len(told) == sum(map(len, levels)) == (trie.check >= 0).sum() - 1
+    assert (trie.step(np.array(list(told)), np.full(len(told), 99)) == -1).all()
