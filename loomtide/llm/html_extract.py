@@ -8,15 +8,17 @@ blocks are their parent's. The node with the largest sum marks the article (of e
 least density on its path up to the body is the threshold. From the body down, of every element that reaches the
 threshold the subtree with the largest sum is text.
 
-Classes and ids are hints, and of two kinds. A name that begins with (or, after a word like site or page, ends with) a
-word for adverts, comments, side bars and the like cuts an element that holds no article, main or h1, if all such elements
-together hold less than half of the page's text (nine tenths, where an article or main element is elsewhere; where they
-hold more, only those less dense than the body go), and one that holds an article, if it is not the marked one. A word that
-articles use too (legal, side, header, notice) cuts an element only outside the marked article, or where half of its text
-is links.
-
-Besides what reaches the threshold, an h1 beside the path is added, and where the marked node is in an article or main
-element, so is every other article of which less than half is links: both are too short to reach a threshold.
+Where the marked node is in an article or main element, all of that element is text, short sections too, but for lists of
+three links and more that are little else; so is every other article of which less than half is links. An h1 beside the
+path is added: it is too short to reach a threshold.
+
+Classes and ids are hints, and of two kinds. A name is sure if all its words are words for adverts, comments, side bars and the like,
+for what a thing is made of (box, list, links) or where it stands, and one of the first or two fitting ones are there: comment-list,
+ad-slot-2, related-posts. It cuts an element that holds no article, main or h1, if all such elements together hold less than half
+of the page's text (nine tenths, where an article or main element is elsewhere; where they hold more, only those less dense than
+the body go), and one that holds an article, if it is not the marked one. A name that only begins so (related-work,
+search-tips), or with a word that articles use too (legal, reply, header), cuts an element only outside the marked article, or
+where half of its text is links. A form is cut unless it wraps the page: holds an article, main or h1, or paragraphs and half of all text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space. Null,
 empty and text-free pages give the empty text. Pages are whole however long; unclosed and stray tags are tolerated; each
@@ -34,40 +36,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_ANY_TAG = r"<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
+_PLAIN = re.compile(rf"<!--.*?(?:-->|\Z)|{_ANY_TAG}", re.S)
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|{_ANY_TAG}", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that are never the article's text.
-CUT = frozenset("script style noscript template head title iframe object embed svg canvas audio video nav footer aside form button select option textarea input fieldset dialog menu".split())
+CUT = frozenset("script style noscript template head title iframe object embed svg canvas audio video nav footer aside button select option textarea input fieldset dialog menu".split())
 #: A start of any of these ends an open p.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: An open p outside any of these stays open.
+P_STAYS_IN = ("table", "td", "th", "article", "section", "div", "body", "blockquote", "li")
 #: A start of the key ends an open element of the value, up to one of the borders.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-#: Words for what stands beside an article, and words that an article may use for its own parts.
+#: Words for what stands beside an article.
 BESIDE = re.compile(
     r"ads?|advert\w*|adsense|banners?|sponsor\w*|promos?|promotions?|cookies?|consent|gdpr|popups?|modals?|overlays?|newsletters?|subscri\w*|sidebars?|widgets?|menus?|nav|navs|navbar|navigation"
-    r"|breadcrumbs?|footers?|masthead|topbar|share|sharing|social|comments?|commentlist|disqus|respond|reply|replies|related|recommend\w*|pagination|pager|toolbar|login|signup|search"
+    r"|breadcrumbs?|footers?|masthead|topbar|comments?|commentlist|disqus|pagination|pager|toolbar|login|signup"
+)
+#: Words that an article may use for its own parts.
+EITHER = re.compile(r"notices?|alerts?|side|headers?|legal|disclaimers?|copyright|discussions?|responses?|share|sharing|social|respond|reply|replies|related|recommend\w*|search")
+#: Words for what a thing is made of: with one of them a word of the second kind is one of the first.
+MADE_OF = re.compile(r"bars?|box|boxes|buttons?|icons?|links?|posts?|articles?|stories|form|forms|widget")
+#: Words and numbers that do not change what the others say.
+BEFORE = re.compile(
+    r"site|page|main|top|bottom|left|right|article|user|reader|global|primary|secondary|google|blog|entry|inline|mobile|desktop|slot|unit|wrap|wrapper|container|content|block|section|area|list|items?|panel"
+    r"|inner|outer|row|col|column|group|thread|title|heading|body|text|img|image|label|\w?\d+\w*"
 )
-EITHER = re.compile(r"notices?|alerts?|side|headers?|legal|disclaimers?|copyright|discussions?|responses?")
-#: Words before one of those that do not change what it says.
-BEFORE = frozenset("site page main top bottom left right post article user reader global primary secondary google blog entry inline mobile desktop".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "kids", "away", "hint", "chars", "links", "tags", "link_tags", "density", "blocks", "total", "top", "keep")
+    __slots__ = ("name", "parent", "parts", "kids", "away", "hint", "chars", "links", "tags", "link_tags", "density", "blocks", "total", "top", "keep", "depth", "block", "open")
 
     def __init__(self, name: str, parent: Node | None, away: bool = False) -> None:
         self.name, self.parent, self.away = name, parent, away
-        self.hint = 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = parent.block if parent and name in INLINE else self.depth  # of the nearest element that is not inline
+        self.open, self.hint = True, 0
         self.parts: list[str | Node] = []
         self.kids: list[Node] = []
         self.chars = self.links = self.tags = self.link_tags = 0
@@ -76,11 +87,11 @@ class Node:
         self.keep = False
 
 
-def _away(name: str, raw: str, parent: Node) -> bool:
+def _away(name: str, raw: str, sectioned: bool) -> bool:
     if name in CUT:
         return True
     if name == "header":
-        return not _inside(parent, ("article", "main"))
+        return not sectioned
     if not raw.strip() or name in ("html", "body", "article", "main"):
         return False
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
@@ -96,17 +107,18 @@ def _hint(name: str, raw: str) -> int:
     if not raw.strip() or name in ("html", "body", "article", "main", "h1", "h2", "a"):
         return 0
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
-    said, most = f"{a.get('class', '')} {a.get('id', '')}", 0
-    for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", said).lower().split():
+    most = 0
+    for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')}").lower().split():
         words = [w for w in re.split(r"[_-]+", token) if w]
-        for w in words[:1] + words[-1:] * (len(words) > 1 and words[0] in BEFORE):
-            most = max(most, 2 if BESIDE.fullmatch(w) else int(bool(EITHER.fullmatch(w))))
-        if all(BESIDE.fullmatch(w) or EITHER.fullmatch(w) for w in words) and any(BESIDE.fullmatch(w) for w in words):
-            most = 2
+        sure, may, made = ([bool(x.fullmatch(w)) for w in words] for x in (BESIDE, EITHER, MADE_OF))
+        known = all(s or m or k or BEFORE.fullmatch(w) for s, m, k, w in zip(sure, may, made, words, strict=True))
+        if known and (any(sure) or any(may) and any(made)):
+            return 2
+        most = max(most, int(any(sure[:1] + may[:1]) or known and any(may)))
     return most
 
 
-_CLOSED = sorted(CUT - RAW - VOID)
+_CLOSED = sorted((CUT | {"form"}) - RAW - VOID)
 _OPENED = re.compile(rf"<(/?)({'|'.join(_CLOSED)}|header)(?=[\s/>])", re.I)
 
 
@@ -132,23 +144,31 @@ def _inside(node: Node | None, names: tuple[str, ...]) -> Node | None:
 
 
 def parse(page: str) -> list[Node]:
-    """The nodes in page order; the first is the root. Text is decoded; what is cut away has no text."""
+    """The nodes in page order; the first is the root. Text is decoded; what is cut away has no text. Open elements are kept by
+    name, so no tag, stray or not, walks along all that is open."""
     root = Node("#root", None)
     nodes, at, k = [root], root, 0
     away = 0  # open elements that are cut
     n, unclosed = len(page), _unclosed(page)
+    last_tag, last_cdata = page.rfind(">"), page.rfind("]]>")
+    opened: dict[str, list[Node]] = {}
     short: list[Node] = []  # open elements that end at the next block
 
     def close(to: Node) -> None:
         nonlocal at, away
-        while at is not to:
+        while True:
             away -= at.away
-            at = at.parent
-        away -= at.away
-        at = at.parent
+            at.open = False
+            opened[at.name].pop()
+            at, done = at.parent, at is to
+            if done:
+                return
+
+    def deepest(names) -> int:
+        return max((opened[x][-1].depth for x in names if opened.get(x)), default=-1)
 
     while k < n:
-        m = _TAG.search(page, k)
+        m = (_TAG if k <= last_cdata else _PLAIN).search(page, k) if k <= last_tag or page.find("<!--", k) >= 0 else None
         stop = m.start() if m else n
         if stop > k and not away:
             at.parts.append(html.unescape(page[k:stop]))
@@ -162,39 +182,31 @@ def parse(page: str) -> list[Node]:
         if end:
             if name == "br":
                 at.parts.append(" ")
-                continue
-            open_ = at
-            while open_ is not root and open_.name != name and not (name in INLINE and open_.name not in INLINE):
-                open_ = open_.parent
-            if open_ is not root and open_.name == name:
-                close(open_)
+            elif opened.get(name) and (name not in INLINE or opened[name][-1].depth > at.block):  # no inline end tag ends a block
+                close(opened[name][-1])
             continue
         if short and (name in ENDS_P or name == "body"):
-            last = short[0]
-            while at is not root and _below(at, last):
-                close(at)
+            if short[0].open:
+                close(short[0])
             short.clear()
         if name in ENDS_P:
-            p = at
-            while p is not root and p.name not in ("p", "table", "td", "th", "article", "section", "div", "body", "blockquote", "li"):
-                p = p.parent
-            if p.name == "p":
-                close(p)
+            if opened.get("p") and opened["p"][-1].depth > deepest(P_STAYS_IN):
+                close(opened["p"][-1])
         elif name in SIBLINGS:
             ends, borders = SIBLINGS[name]
-            p, found = at, None
-            while p is not root and p.name not in borders:
-                found = p if p.name in ends else found
-                p = p.parent
+            over, found = deepest(borders), None
+            for x in ends:
+                inside = opened.get(x, [])
+                first = next((i for i in range(len(inside), 0, -1) if inside[i - 1].depth <= over), 0)
+                if first < len(inside) and (found is None or inside[first].depth < found.depth):
+                    found = inside[first]
             if found is not None:
                 close(found)
-        elif name == "body":
-            p = _inside(at, ("head",))
-            if p is not None:
-                close(p)
-        if name in ("html", "body") and _inside(at, (name,)):
+        elif name == "body" and opened.get("head"):
+            close(opened["head"][-1])
+        if name in ("html", "body") and opened.get(name):
             continue
-        node = Node(name, at, _away(name, raw, at))
+        node = Node(name, at, _away(name, raw, any(opened.get(x) for x in ("article", "main", "section"))))
         if not away and not node.away:
             node.hint = _hint(name, raw)
             at.parts.append(node)
@@ -209,17 +221,20 @@ def parse(page: str) -> list[Node]:
             k = page.find(">", shut.start()) + 1 or n
             continue
         at = node
+        opened.setdefault(name, []).append(node)
         away += node.away
-        if node.away and m.start() in unclosed:
+        if (node.away or name == "form") and m.start() in unclosed:
             short.append(node)
     return nodes
 
 
-def _below(node: Node | None, top: Node) -> bool:
-    """Whether ``node`` is ``top`` or inside it."""
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
+def _below(nodes: list[Node], top: Node) -> set[Node]:
+    """``top`` and what is inside it."""
+    out = {top}
+    for node in nodes:  # parents come before their children
+        if node.parent in out:
+            out.add(node)
+    return out
 
 
 def _measure(nodes: list[Node]) -> None:
@@ -277,6 +292,18 @@ def _holding(nodes: list[Node]) -> set[Node]:
     return out
 
 
+def _forms(nodes: list[Node]) -> set[Node]:
+    """Forms, but for those that are wrappers: with an article, main or h1, or with paragraphs and half of the page's text."""
+    holds, wrapped = _holding(nodes), set()
+    for node in nodes:
+        if node.name == "p" and node.chars:
+            x = node.parent
+            while x is not None and x not in wrapped:
+                wrapped.add(x)
+                x = x.parent
+    return {x for x in nodes if x.name == "form" and x not in holds and not (x in wrapped and 2 * x.chars >= nodes[0].chars)}
+
+
 def _beside(nodes: list[Node]) -> set[Node]:
     """What goes by its name: elements without an article, main or h1."""
     root, holds = nodes[0], _holding(nodes)
@@ -311,16 +338,20 @@ def article(page: str | None) -> str:
     """The main text of a page."""
     nodes = parse(page or "")
     _measure(nodes)
+    nodes = _without(nodes, _forms(nodes))
     nodes = _without(nodes, _beside(nodes))
     best = _marked(nodes)
-    region = _inside(best, ("article", "main")) or best
+    named = _inside(best, ("article", "main"))
     path = set()
     x = best
     while x is not None:
         path.add(x)
         x = x.parent
-    holds = _holding(nodes)
-    cut = {x for x in nodes if x not in path and (x.hint == 2 and x in holds or x.hint == 1 and (2 * x.links >= x.chars or not _below(x, region)))}
+    holds, region = _holding(nodes), _below(nodes, named or best)
+    linked = lambda x: x.chars and 2 * x.links >= x.chars
+    cut = {x for x in nodes if x not in path and (x.hint == 2 and x in holds or x.hint == 1 and (linked(x) or x not in region))}
+    if named:  # menus inside it: of three links and more, and little else
+        cut |= {x for x in region - path if x.link_tags > 2 and linked(x) and x.name not in INLINE}
     nodes = _without(nodes, cut)
     root, best = nodes[0], _marked(nodes)
     if not root.chars:
@@ -339,7 +370,9 @@ def article(page: str | None) -> str:
     for x in path[1:]:
         for kid in x.kids:
             kid.keep = kid.keep or kid.name == "h1"
-    if _inside(best, ("article", "main")):
+    named = _inside(best, ("article", "main"))
+    if named:
+        named.keep = True
         for x in nodes:
             x.keep = x.keep or x.name == "article" and 2 * x.links < x.chars
     out: list[str] = []

@@ -150,6 +150,44 @@ def test_parts_of_the_article_stay(page):
         assert html_extract.article(f"<html><body>{body}</body></html>") == want
 
 
+LONG = "The harbour town was built where the river meets the sea, and its oldest houses still stand on wooden piles."
+NOTE = "Boats leave at nine."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (
+            f"<body><nav><a href='/'>Home</a></nav><main><section><h2>One</h2>{f'<p>{LONG}</p>' * 5}</section><section><h2>Two</h2><p>{NOTE}</p></section><section><h2>Three</h2>{f'<p>{LONG}</p>' * 3}</section></main></body>",
+            f"One {' '.join([LONG] * 5)} Two {NOTE} Three {' '.join([LONG] * 3)}",
+        ),
+        (f'<body><article><h1>T</h1><p>{LONG}</p><section id="related-work"><h2>Related work</h2><p>{LONG}</p></section></article></body>', f"T {LONG} Related work {LONG}"),
+        (f'<body><article><h1>T</h1><p>{LONG}</p><div class="search-tips"><p>{NOTE}</p></div></article></body>', f"T {LONG} {NOTE}"),
+        (f'<body><article><h1>T</h1><section id="comments-on-method"><p>{LONG}</p></section><p>{LONG}</p></article></body>', f"T {LONG} {LONG}"),
+        (f'<body><article><h1>T</h1><p>{LONG}</p><p class="reply">{NOTE}</p></article></body>', f"T {LONG} {NOTE}"),
+        (f'<body><article><h1>T</h1><div class="share-prices"><p>{LONG}</p></div><p>{NOTE}</p></article></body>', f"T {LONG} {NOTE}"),
+        (f'<body><form id="aspnetForm"><input name="q"><article><h1>T</h1><p>{LONG}</p><form>Sign up</form></article></form></body>', f"T {LONG}"),
+        (f'<body><form id="aspnetForm"><div><p>{LONG}</p><p>{LONG}</p></div><button>Go</button></form></body>', f"{LONG} {LONG}"),
+        (f"<body><div><section><header><h2>Head</h2></header><p>{LONG}</p></section></div></body>", f"Head {LONG}"),
+        (f'<body><article><h1>T</h1><p>{LONG}</p><div class="related-posts"><p>{LONG}</p></div><ul class="share-links"><li>Post it</ul><p>{NOTE}</p></article></body>', f"T {LONG} {NOTE}"),
+        (f"<body><main><p>{LONG}</p><ul><li><a href='/1'>First story</a><li><a href='/2'>Second story</a><li><a href='/3'>Third story</a></ul><p>See <a href='/4'>here</a></p></main></body>", f"{LONG} See here"),
+        ("<body><div><p>Equal words here</p></div><div><p>Equal words here</p></div></body>", "Equal words here Equal words here"),
+        ("<body></p></b></div><p>a</b> b</p></p></body>", "a b"),
+    ],
+)
+def test_nothing_else_is_dropped(page, text):
+    assert html_extract.article(page) == text
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "</p>" * 20_000, "<p>" + "<b>" * 20_000 + "</i>" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<h1>" * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, "<a " * 40_000, "<![CDATA[>" * 15_000, '<div class="side">' * 20_000, "<ul><li>" * 15_000])
+def test_stray_tags_cost_a_look_each(page):
+    import time
+
+    began = time.process_time()
+    html_extract.article(page + "<p>End of it.</p>")
+    assert time.process_time() - began < 3
+
+
 def test_menus_that_are_never_closed():
     menu = '<ul><li><a href="/">Home</a><li><a href="/b">Other</a></ul>'
     for tag in ("nav", "aside", "header"):
