@@ -84,14 +84,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         p, q = add("p"), add("q")
         ratio = np.where(p + q, ratios(p, q, toxic, clean, chance), 0.0)  # buckets of no text have none
         value = ratio / np.sqrt(max(1e-12, ((p + q) * ratio**2).sum() / (toxic + clean)))  # features of unit mean square
-        told = settled(rows.coalesce(8).mapInArrow(_featured, "toxic boolean, f array<int>"), "features")
+        told = settled(rows.coalesce(8).mapInArrow(_featured, "toxic binary, sizes binary, f binary"), "features")
         weigh = (TOXIC_SHARE / toxic, (1 - TOXIC_SHARE) / clean)
 
         def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
             """Loss and gradient at coefficients ``x`` (the last is the intercept); one row a task comes back."""
             shared = docs.sparkSession.sparkContext.broadcast((x[:-1] * value, x[-1], weigh))
             parts = told.mapInArrow(lambda batches: _slopes(batches, *shared.value), "loss double, bias double, g binary").collect()
-            shared.unpersist()
+            shared.destroy()
             g = np.append(sum((np.frombuffer(r["g"]) for r in parts), np.zeros(BUCKETS)) * value, sum(r["bias"] for r in parts))
             g[:-1] += RIDGE * x[:-1]
             return sum(r["loss"] for r in parts) + RIDGE / 2 * float(x[:-1] @ x[:-1]), g
@@ -133,29 +133,29 @@ def descended(slope: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.nda
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of texts: their labels, how many features each has, and all features, as plain bytes."""
     for b in batches:
         toxic = b.column("toxic").to_numpy() > 0
         for at, o, d in utf8_blocks(_lower(b.column("text"))):
             got = list(features(o, d))
-            cut = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
-            flat = np.concatenate([*got, np.empty(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(toxic[at : at + len(got)]), pa.ListArray.from_arrays(cut, pa.array(flat))], ["toxic", "f"])
+            parts = toxic[at : at + len(got)], np.array([len(f) for f in got], np.int32), np.concatenate([*got, np.empty(0, np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["toxic", "sizes", "f"])
 
 
 def _slopes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float, weigh: tuple[float, float]) -> Iterator[pa.RecordBatch]:
-    """One row a task: its rows' loss, and the slope by the intercept and by each bucket's weight."""
+    """One row a task: its texts' loss, and the slope by the intercept and by each bucket's weight; a block at a time."""
     loss = by_bias = 0.0
     g = np.zeros(BUCKETS)
     for b in batches:
-        f = b.column("f")
-        flat, size = np.asarray(f.flatten()), np.asarray(pc.list_value_length(f))
-        y, row = np.asarray(b.column("toxic").to_numpy(zero_copy_only=False), bool), np.repeat(np.arange(len(size)), size)
-        z = np.bincount(row, weights[flat], minlength=len(size)) + bias
-        w = np.where(y, *weigh)
-        d = w * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        loss += float((w * np.logaddexp(0, np.where(y, -z, z))).sum())
-        by_bias += float(d.sum())
-        g += np.bincount(flat, d[row], minlength=BUCKETS)
+        for k in range(b.num_rows):
+            y, size, flat = (np.frombuffer(b.column(c)[k].as_buffer(), t) for c, t in (("toxic", bool), ("sizes", np.int32), ("f", np.int32)))
+            row = np.repeat(np.arange(len(size)), size)
+            z = np.bincount(row, weights[flat], minlength=len(size)) + bias
+            w = np.where(y, *weigh)
+            d = w * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+            loss += float((w * np.logaddexp(0, np.where(y, -z, z))).sum())
+            by_bias += float(d.sum())
+            g += np.bincount(flat, d[row], minlength=BUCKETS)
     yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([by_bias]), pa.array([g.tobytes()], pa.binary())], ["loss", "bias", "g"])
 
 
