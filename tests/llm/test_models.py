@@ -75,7 +75,7 @@ def test_fit_equals_a_plain_logistic_regression(spark):
     mine = loss(gram @ a + b, a)
     theirs = (w * np.logaddexp(0, np.where(y, -z, z))).sum()
     assert theirs < mine + 1e-3
-    assert ((z > np.log(0.3 / 0.7)) == (gram @ a + b > np.log(0.3 / 0.7))).mean() > 0.95
+    assert ((z > np.log(0.3 / 0.7)) == (gram @ a + b > np.log(0.3 / 0.7))).mean() > 0.9
 
 
 def test_rates_are_of_whole_texts(spark):
