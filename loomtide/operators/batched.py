@@ -1,16 +1,18 @@
 """Image steps on many images of one shape at once: (n, h, w, c) arrays, one NumPy call a step.
 
 Draws are still each row's own (``Streams`` holds a state a row), so results are those of ``image_ops`` one by one. Steps
-that are not here run one by one, from the first such step on."""
+that are not here run one by one; ``segments`` says which ones."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 
+from . import jpeg
 from . import kernels as K
-from .image_ops import erased
+from .image_ops import VIEWS, erased
 from .rng import STEP, Context, Stream, first_draws, row_states
 
 Images = np.ndarray
@@ -39,14 +41,16 @@ class Streams:
     def coin(self, p: float) -> np.ndarray:
         return self.f64() < p
 
-    def below(self, n: int) -> np.ndarray:
-        least = np.uint64((1 << 64) % n)
+    def below(self, n: int | np.ndarray) -> np.ndarray:
+        """A draw under ``n``, one for all rows or one each."""
+        n = np.broadcast_to(np.asarray(n, np.uint64), self.states.shape)
+        least = (np.uint64(0) - n) % n  # of 2**64
         out = self.u64()
         while (low := np.flatnonzero(out < least)).size:
             again = self[low]
             out[low] = again.u64()
             self.states[low] = again.states
-        return (out % np.uint64(n)).astype(np.int64)
+        return (out % n).astype(np.int64)
 
     def shuffled(self, k: int) -> np.ndarray:
         """A permutation of k things a row."""
@@ -73,17 +77,6 @@ def contrast(px: Images, f) -> Images:
     return blend(px, np.floor(K.luma(px).mean((1, 2)) + 0.5).reshape(-1, 1, 1, 1), f)
 
 
-def hue(px: Images, f) -> Images:
-    f = np.broadcast_to(np.asarray(f, np.float64), len(px))
-    out = np.empty_like(px)
-    # the turn is a whole number of 1/255 circles: images of one turn go together
-    turn = np.trunc(f * 255).astype(int)
-    for t in np.unique(turn):
-        at = turn == t
-        out[at] = K.hue(px[at], (t + 0.5 * np.sign(t)) / 255 if t else 0.0)
-    return out
-
-
 def resize(px: Images, w: int, h: int, kind: str = "bilinear") -> Images:
     if kind == "nearest":
         at = lambda n, out: np.minimum((np.cumsum(np.full(out, n / out)) - n / out / 2).astype(np.int64), n - 1)
@@ -162,13 +155,55 @@ def _random_erasing(px: Images, s: Streams, p=0.5, **args) -> Images:
     return out
 
 
+def _random_resized_crop(px: Images, s: Streams, w, h, scale=(0.08, 1.0), ratio=(0.75, 1.3333334), interpolation="bilinear") -> Images:
+    """Windows are drawn for all rows at once, ten times at most; rows that have none take the middle."""
+    n, ih, iw = px.shape[:3]
+    r = iw / ih
+    cw, ch = (iw, round(iw / ratio[0])) if r < ratio[0] else (round(ih * ratio[1]), ih) if r > ratio[1] else (iw, ih)
+    window = np.tile([(iw - cw) // 2, (ih - ch) // 2, cw, ch], (n, 1))
+    left, low, high = np.arange(n), math.log(ratio[0]), math.log(ratio[1])
+    for _ in range(10):
+        if not len(left):
+            break
+        mine = s[left]
+        area = ih * iw * (scale[0] + (scale[1] - scale[0]) * mine.f64())
+        shape = np.array([math.exp(x) for x in (low + (high - low) * mine.f64()).tolist()])
+        cw, ch = np.rint(np.sqrt(area * shape)).astype(np.int64), np.rint(np.sqrt(area / shape)).astype(np.int64)
+        fits = (cw > 0) & (cw <= iw) & (ch > 0) & (ch <= ih)
+        good = mine[np.flatnonzero(fits)]
+        if len(good.states):
+            x = good.below(iw - cw[fits] + 1)
+            window[left[fits]] = np.stack([x, good.below(ih - ch[fits] + 1), cw[fits], ch[fits]], 1)
+        s.states[left] = mine.states
+        left = left[~fits]
+    out = np.empty((n, h, w, px.shape[3]), px.dtype)
+    for i, (x, y, cw, ch) in enumerate(window.tolist()):
+        out[i] = K.resize(px[i, y : y + ch, x : x + cw], w, h, interpolation)
+    return out
+
+
+def _jpeg(px: Images, s: Streams, quality) -> Images:
+    """Images of one quality go together."""
+    q = quality[0] + s.below(quality[1] - quality[0] + 1)
+    out = np.empty_like(px)
+    for one in np.unique(q).tolist():
+        out[q == one] = jpeg.compressed(px[q == one], one)
+    return out
+
+
+def autocontrast(px: Images) -> Images:
+    p = px.astype(np.int32)
+    lo, hi = p.min((1, 2), keepdims=True), p.max((1, 2), keepdims=True)
+    return np.where(hi == lo, p, (p - lo) * 255 // np.where(hi == lo, 1, hi - lo)).astype(np.uint8)
+
+
 def _color_jitter(px: Images, s: Streams, b=0.0, c=0.0, h=0.0, sat=0.0) -> Images:
     names = ["b", "c", "h"] + (["s"] if sat else [])
     order = s.shuffled(len(names))
     between = lambda low, high: np.float32(low) + (np.float32(high) - np.float32(low)) * s.f32()
     factor = lambda v: between(max(0.0, 1 - v), 1 + v) if v else None
     f = {"b": factor(b), "c": factor(c), "h": between(-h, h) if h else None, "s": factor(sat)}
-    run = {"b": lambda x, v: blend(x, 0, v), "c": contrast, "h": hue, "s": lambda x, v: blend(x, K.luma(x)[..., None], v)}
+    run = {"b": lambda x, v: blend(x, 0, v), "c": contrast, "h": K.hue, "s": lambda x, v: blend(x, K.luma(x)[..., None], v)}
     out = px.copy()
     code = order @ (len(names) ** np.arange(len(names)))
     for q in np.unique(code):
@@ -189,12 +224,13 @@ PLAIN: dict[str, Callable] = {
     "Brightness": lambda px, f: blend(px, 0, f),
     "Contrast": contrast,
     "Saturation": lambda px, f: blend(px, K.luma(px)[..., None], f),
-    "Hue": hue,
+    "Hue": K.hue,
     "Gamma": lambda px, g, gain=1.0: K.gamma(px, g, gain),
     "Grayscale": lambda px, channels=1: np.repeat(K.luma(px)[..., None].astype(np.uint8), channels, axis=3),
     "Invert": K.invert,
     "Posterize": lambda px, bits: K.posterize(px, bits),
     "Solarize": lambda px, threshold: K.solarize(px, threshold),
+    "Autocontrast": autocontrast,
     "GaussianBlur": lambda px, sigma, kernel_size=None: blur(px, sigma, kernel_size),
     "PermuteChannels": lambda px, order: px[..., list(order)],
     "Rgb": lambda px: px if px.shape[3] == 3 else px[..., :3] if px.shape[3] == 4 else np.repeat(px[..., :1], 3, axis=3),
@@ -224,6 +260,9 @@ RANDOM: dict[str, Callable] = {
     "RandomPosterize": _where(PLAIN["Posterize"]),
     "RandomSolarize": _where(PLAIN["Solarize"]),
     "RandomErasing": _random_erasing,
+    "RandomAutocontrast": _where(autocontrast),
+    "RandomResizedCrop": _random_resized_crop,
+    "JPEG": _jpeg,
     "ColorJitter": _color_jitter,
 }
 
@@ -242,14 +281,18 @@ def fits(name: str, args: dict, layout: str) -> bool:
 _SHAPE_KEPT = frozenset("HorizontalFlip VerticalFlip Brightness Contrast Saturation Hue Gamma Invert Posterize Solarize GaussianBlur".split())
 
 
-def prefix(steps: list[tuple[str, dict, int]]) -> int:
-    """How many steps, from the first on, run on many images at once."""
-    layout = "HWC"
-    for k, (name, args, _) in enumerate(steps):
-        if not fits(name, args, layout):
-            return k
+def segments(steps: list[tuple[str, dict, int]]) -> list[tuple[bool, list]]:
+    """Runs of steps that work on many images at once (true) and of others; after several views of an image none does."""
+    out: list[tuple[bool, list]] = []
+    layout, views = "HWC", False
+    for name, args, key in steps:
+        views = views or name in VIEWS
+        together = not views and fits(name, args, layout)
+        if not out or out[-1][0] != together:
+            out.append((together, []))
+        out[-1][1].append((name, args, key))
         layout = {"HwcToChw": "CHW", "ChwToHwc": "HWC"}.get(name, layout)
-    return len(steps)
+    return out
 
 
 def apply(steps: list[tuple[str, dict, int]], px: Images, context: Context, rows: np.ndarray) -> Images:

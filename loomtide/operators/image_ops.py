@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
+from . import jpeg
 from . import kernels as K
 from .rng import TINY, Stream, combine, op_key
 
@@ -506,6 +507,7 @@ RANDOM: dict[str, Callable] = {name: _by_steps(name) for name in RESOLVE} | {
     "RandomPhotometricDistort": _photometric,
     "RandomChannelPermutation": lambda px, s, p=1.0: px[..., _shuffled(s, list(range(px.shape[2])))] if s.coin(p) else px,
     "GaussianNoise": _gaussian_noise,
+    "JPEG": lambda px, s, quality: jpeg.compressed(px[None], quality[0] + s.below(quality[1] - quality[0] + 1))[0],
     "RandAugment": _rand_augment,
     "TrivialAugmentWide": _trivial_augment,
     "AutoAugment": _auto_augment,

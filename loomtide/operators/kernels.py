@@ -6,87 +6,21 @@ results do not depend on batch or partition."""
 from __future__ import annotations
 
 import math
-import struct
-import zlib
+from functools import lru_cache
 
 import numpy as np
 
+from . import png
+
 Image = np.ndarray
 
 
 def decode_png(data: bytes) -> Image:
-    """RGB of a PNG (8 bits a channel, not interlaced). Grey repeats, alpha is dropped."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("not a PNG image")
-    k, idat, palette, head = 8, [], None, None
-    while k < len(data):
-        size, kind = struct.unpack(">I4s", data[k : k + 8])
-        body = data[k + 8 : k + 8 + size]
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", body)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            idat.append(body)
-        k += 12 + size
-    if head is None:
-        raise ValueError("PNG without a header")
-    w, h, depth, colour, _, _, interlace = head
-    if depth != 8 or interlace:
-        raise ValueError("only 8-bit PNG images without interlacing are decoded")
-    c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    raw = np.frombuffer(zlib.decompress(b"".join(idat)), np.uint8).reshape(h, 1 + w * c)
-    out = _unfiltered(raw[:, 0], raw[:, 1:].reshape(h, w, c))
-    px = out.reshape(h, w, c)
-    if colour == 3:
-        return palette[px[:, :, 0]].copy()
-    return rgb(px)
-
-
-def _unfiltered(kinds: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """The pixels of filtered scanlines. Average and Paeth need the pixel to the left, so a row of theirs is worked through
-    along the diagonals of its run of rows: all pixels of a diagonal have what they need."""
-    h, w, c = raw.shape
-    out = np.zeros((h + 1, w + 1, c), np.uint8)  # a zero row above and a zero column to the left
-    out[1:, 1:] = raw
-    y = 0
-    while y < h:
-        kind = kinds[y]
-        if kind == 0:
-            y += 1
-        elif kind == 1:
-            out[y + 1, 1:] = np.cumsum(raw[y], axis=0, dtype=np.uint8)
-            y += 1
-        elif kind == 2:
-            out[y + 1, 1:] += out[y, 1:]
-            y += 1
-        else:
-            stop = y
-            while stop < h and kinds[stop] > 2:
-                stop += 1
-            _diagonals(out, kinds, y, stop)
-            y = stop
-    return out[1:, 1:]
-
-
-def _diagonals(out: np.ndarray, kinds: np.ndarray, first: int, stop: int) -> None:
-    w = out.shape[1] - 1
-    paeth = kinds == 4
-    for d in range(w + stop - first - 1):
-        rows = np.arange(max(0, d - w + 1), min(stop - first, d + 1))
-        y, x = rows + first + 1, d - rows + 1
-        left, up, corner = (out[i, j].astype(np.int16) for i, j in ((y, x - 1), (y - 1, x), (y - 1, x - 1)))
-        p = left + up - corner
-        a, b, e = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
-        guess = np.where((a <= b) & (a <= e), left, np.where(b <= e, up, corner))
-        out[y, x] += np.where(paeth[y - 1][:, None], guess, (left + up) >> 1).astype(np.uint8)
-
-
-def encode_png(px: Image) -> bytes:
-    h, w, c = px.shape
-    raw = np.concatenate([np.zeros((h, 1), np.uint8), px.reshape(h, w * c)], axis=1).tobytes()
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[c], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    """RGB of one PNG file; ``png.decode`` takes many at once."""
+    return png.decode([data])[0]
+
+
+encode_png = png.encode
 
 
 def rgb(px: Image) -> Image:
@@ -118,33 +52,52 @@ FILTERS = {
 _PRECISION = 22
 
 
-def weights(n: int, out: int, kind: str) -> np.ndarray:
-    """A row of resampling weights per output place; rows sum to 1. Shrinking widens the filter's support."""
+@lru_cache(512)
+def taps(n: int, out: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(first source place, weights) by output place, the weights as rows of one length that sum to 1. Shrinking widens the
+    filter's support."""
     support, f = FILTERS[kind]
     scale = n / out
     wide = max(scale, 1.0)
-    reach = support * wide
-    w = np.zeros((out, n))
-    for i in range(out):
-        centre = (i + 0.5) * scale
-        lo, hi = max(0, int(centre - reach + 0.5)), min(n, int(centre + reach + 0.5))
-        v = f((np.arange(lo, hi) - centre + 0.5) / wide)
-        w[i, lo:hi] = v / v.sum() if v.sum() else v
-    return w
+    centre = (np.arange(out) + 0.5) * scale
+    low = np.maximum(0, (centre - support * wide + 0.5).astype(np.int64))
+    high = np.minimum(n, (centre + support * wide + 0.5).astype(np.int64))
+    at = np.arange(int((high - low).max()))
+    v = f((low[:, None] + at - centre[:, None] + 0.5) / wide)
+    v = np.where(at < (high - low)[:, None], v, 0.0)
+    total = np.cumsum(v, axis=1)[:, -1:]
+    return low, v / np.where(total == 0, 1.0, total)
+
+
+#: Taps up to which a pass adds shifted copies; with more of them one matrix product is faster.
+FEW_TAPS = 24
 
 
 def _pass(px: Image, n: int, axis: int, kind: str) -> Image:
     """One direction; uint8 in fixed point with rounding, float32 as it is."""
-    if px.shape[axis] == n:
+    size = px.shape[axis]
+    if size == n:
         return px
-    w = weights(px.shape[axis], n, kind)
+    low, w = taps(size, n, kind)
     if px.dtype == np.uint8:
-        fixed = np.where(w < 0, np.ceil(w * (1 << _PRECISION) - 0.5), np.floor(w * (1 << _PRECISION) + 0.5)).astype(np.int64)
-        moved = np.tensordot(fixed, px.astype(np.int64), axes=(1, axis))
-        out = np.clip((moved + (1 << (_PRECISION - 1))) >> _PRECISION, 0, 255).astype(np.uint8)
-    else:
-        out = np.tensordot(w, px.astype(np.float64), axes=(1, axis)).astype(np.float32)
-    return np.moveaxis(out, 0, axis)
+        w = np.where(w < 0, np.ceil(w * (1 << _PRECISION) - 0.5), np.floor(w * (1 << _PRECISION) + 0.5))
+    if w.shape[1] <= FEW_TAPS:
+        w = (w.astype(np.int32) if px.dtype == np.uint8 else w).reshape(n, -1, *[1] * (px.ndim - 1 - axis))
+        out = None
+        for k in range(w.shape[1]):  # sums stay below 2**31: weights of all filters add up to less than 1.5 in parts above 0
+            part = px.take(np.minimum(low + k, size - 1), axis) * w[:, k]
+            out = part if out is None else np.add(out, part, out=out)
+        if px.dtype != np.uint8:
+            return out.astype(np.float32)
+        return np.clip((out + (1 << (_PRECISION - 1))) >> _PRECISION, 0, 255).astype(np.uint8)
+    matrix = np.zeros((n, size))
+    at = low[:, None] + np.arange(w.shape[1])
+    rows = np.nonzero(at < size)
+    matrix[rows[0], at[rows]] = w[rows]
+    out = np.moveaxis(np.tensordot(matrix, px.astype(np.float64), axes=(1, axis)), 0, axis)
+    if px.dtype != np.uint8:
+        return out.astype(np.float32)
+    return np.clip(np.floor((out + (1 << (_PRECISION - 1))) / (1 << _PRECISION)), 0, 255).astype(np.uint8)  # whole numbers below 2**53: exact
 
 
 def resize(px: Image, w: int, h: int, kind: str = "bilinear") -> Image:
@@ -424,27 +377,31 @@ def saturation(px: Image, f: float) -> Image:
     return blend(px, luma(px)[..., None], f)
 
 
-def hue(px: Image, f: float) -> Image:
-    """A turn of the hue by f of the circle, through 8-bit HSV."""
-    p = px.astype(np.float32)
-    hi, lo = p.max(-1), p.min(-1)
+def hue(px: Image, f) -> Image:
+    """A turn of the hue by f of the circle, through 8-bit HSV; f may be one for each of many images."""
+    f = np.asarray(f, np.float64)
+    turn = np.trunc(f * 255).astype(np.int16).reshape(-1, *[1] * (px.ndim - 2)) if f.ndim else int(f * 255)
+    r, g, b = (px[..., k].astype(np.float32) for k in range(3))
+    hi, lo = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
     d = hi - lo
-    safe = np.where(d == 0, 1, d)
-    rc, gc, bc = ((hi - p[..., k]) / safe for k in range(3))
-    h = np.where(p[..., 0] == hi, bc - gc, np.where(p[..., 1] == hi, 2 + rc - bc, 4 + gc - rc))
-    h = np.where(d == 0, 0, np.mod(h / 6 + 1, 1.0))
-    h8 = (np.clip((h * 255).astype(np.int64), 0, 255) + int(f * 255)) & 255
-    s8 = np.clip(np.where(hi == 0, 0, d * 255 / np.where(hi == 0, 1, hi)).astype(np.int64), 0, 255)
-    v8 = hi.astype(np.int64)
-    x = h8.astype(np.float32) * 6 / 255
-    i = np.floor(x).astype(np.int64)
-    t, s = x - i, s8.astype(np.float32) / 255
-    near = lambda z: np.clip(np.floor(v8 * z + 0.5), 0, 255).astype(np.int64)
-    a, b, c = near(1 - s), near(1 - s * t), near(1 - s * (1 - t))
-    i %= 6
-    pick = lambda *o: np.choose(i, o)
-    out = np.stack([pick(v8, b, a, a, c, v8), pick(c, v8, v8, b, a, a), pick(a, a, c, v8, v8, b)], -1)
-    return np.where((s8 == 0)[..., None], v8[..., None], out).astype(np.uint8)
+    safe = np.where(d == 0, np.float32(1), d)
+    rc, gc, bc = (hi - r) / safe, (hi - g) / safe, (hi - b) / safe
+    h = np.where(r == hi, bc - gc, np.where(g == hi, 2 + rc - bc, 4 + gc - rc)) / 6 + 1
+    h -= np.floor(h)
+    h[d == 0] = 0
+    h8 = (np.minimum((h * 255).astype(np.int16), 255) + turn) & 255
+    s8 = np.minimum((d * 255 / np.where(hi == 0, np.float32(1), hi)).astype(np.int16), 255)
+    # by the turned hue: the sixth of the circle and the place in it
+    x = np.arange(256, dtype=np.float32) * 6 / 255
+    i, t = np.floor(x).astype(np.int8), (x.astype(np.float64) - np.floor(x))[h8]
+    s = s8.astype(np.float32) / 255
+    near = lambda z: (hi * z.astype(np.float64) + 0.5).astype(np.uint8)  # noqa: E731  0 to 255
+    v, a, b, c = hi.astype(np.uint8), near(1 - s), near(1 - s * t), near(1 - s * (1 - t))
+    i = (i % 6)[h8]
+    out = np.empty_like(px)
+    for k, parts in enumerate(((v, b, a, a, c, v), (c, v, v, b, a, a), (a, a, c, v, v, b))):
+        out[..., k] = np.choose(i, parts)
+    return np.where((s8 == 0)[..., None], v[..., None], out)
 
 
 def gamma(px: Image, g: float, gain: float = 1.0) -> Image:

@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import batched, image_ops, kernels, selection
+from ..operators import batched, codecs, image_ops, selection
 from ..operators.rng import Context
 
 #: Bytes of pixels that a step works on at once: what they become stays in a processor's cache.
 CHUNK = 1 << 20
+#: Bytes of pixels that are decoded at once: scanlines of many files are unfiltered together.
+DECODED = 1 << 23
 OUT = "pos long, source long, view int, h int, w int, c int, dtype string, layout string, data binary, label long"
-_U8_ONLY = frozenset("Brightness Contrast Saturation Hue Gamma Grayscale Invert Posterize Solarize Autocontrast Equalize Sharpness RandomGrayscale ColorJitter RandomInvert RandomPosterize RandomSolarize RandomAdjustSharpness RandomAutocontrast RandomEqualize RandomPhotometricDistort RandAugment TrivialAugmentWide AutoAugment AugMix".split())
+_U8_ONLY = frozenset("Brightness Contrast Saturation Hue Gamma Grayscale Invert Posterize Solarize Autocontrast Equalize Sharpness RandomGrayscale ColorJitter RandomInvert RandomPosterize RandomSolarize RandomAdjustSharpness RandomAutocontrast RandomEqualize RandomPhotometricDistort RandAugment TrivialAugmentWide AutoAugment AugMix JPEG".split())
 
 
 class PipelineError(ValueError):
@@ -260,7 +262,11 @@ class Ops:
         return self._add("AugMix", severity=severity, width=width, depth=depth, alpha=alpha, all_ops=all_ops, interpolation=interpolation, fill=fill)
 
     def jpeg(self, quality):
-        raise PipelineError("jpeg: there is no JPEG codec for arrays here")
+        """What a baseline JPEG file of a quality keeps, chroma at half size; (low, high) draws a quality for each image."""
+        q = (quality, quality) if isinstance(quality, int) else tuple(quality)
+        if len(q) != 2 or not all(isinstance(x, int) and 1 <= x <= 100 for x in q) or q[0] > q[1]:
+            raise PipelineError("jpeg takes a quality of 1 to 100, or a lowest and a highest one")
+        return self._add("JPEG", quality=q)
 
     def compose(self, transform):
         out = self
@@ -306,7 +312,7 @@ class State:
 
 @dataclass(frozen=True)
 class Pipeline(Ops):
-    """``df`` has pos (dense from 0), image (PNG bytes, or raw uint8 HWC with h, w and c columns) and label."""
+    """``df`` has pos (dense from 0), image (PNG or JPEG bytes, or raw uint8 HWC with h, w and c columns) and label."""
 
     df: DataFrame
     steps: tuple = ()
@@ -430,7 +436,7 @@ class Pipeline(Ops):
         raw = "h" in self.df.columns
         steps, layout = image_ops.keyed(list(self.steps)), self.state.layout
         extra = ["batch_id", "batch_pos"] if self.batch_ else []
-        at_once = batched.prefix(steps)
+        segments = batched.segments(steps)
 
         def decoded(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """(places in the batch, images) of images of one shape, about CHUNK bytes at a time."""
@@ -441,17 +447,38 @@ class Pipeline(Ops):
             if raw:
                 shape = np.stack([b.column(k).to_numpy() for k in ("h", "w", "c")], axis=1)
             else:
-                px = [kernels.decode_png(x) for x in image.to_pylist()]
-                shape = np.array([x.shape for x in px], np.int64).reshape(-1, 3)
+                shape = np.array([(*codecs.size(memoryview(x.as_buffer()).cast("B")), 3) for x in image], np.int64).reshape(-1, 3)
             kinds, of = np.unique(shape, axis=0, return_inverse=True)
             for k, (h, w, c) in enumerate(kinds.tolist()):
                 every = np.flatnonzero(of.reshape(-1) == k)
-                for at in np.array_split(every, len(every) * h * w * c // CHUNK + 1):
-                    if raw:
+                size = h * w * c
+                if raw:
+                    for at in np.array_split(every, len(every) * size // CHUNK + 1):
                         data = np.frombuffer(b"".join(image[i].as_buffer() for i in at.tolist()), np.uint8)
                         yield at, data.reshape(len(at), h, w, c)
-                    elif len(at):
-                        yield at, np.stack([px[i] for i in at.tolist()])
+                    continue
+                for some in np.array_split(every, len(every) * size // DECODED + 1):
+                    if len(some):
+                        px = np.stack(codecs.decode([image[i].as_py() for i in some.tolist()]))
+                        for part in np.array_split(np.arange(len(some)), len(some) * size // CHUNK + 1):
+                            yield some[part], px[part]
+
+        def stepped(at: np.ndarray, px: np.ndarray, source: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """(places, views, images) of one shape each after all steps. Steps that only work one by one do so between others
+            that work on many images; what they give is stacked again by shape."""
+            now = [(at, np.zeros(len(at), np.int32), px)]
+            for together, some in segments:
+                if together:
+                    now = [(at, views, batched.apply(some, px, context, source[at])) for at, views, px in now]
+                    continue
+                rest: dict[tuple, list] = {}
+                for at, _, px in now:
+                    for i, one in zip(at.tolist(), px, strict=True):
+                        images = image_ops.apply(some, [one], lambda key, row=int(source[i]): context.stream(row, key))
+                        for v, x in enumerate(images):
+                            rest.setdefault((x.shape, x.dtype), []).append((i, v, x))
+                now = [(np.array([i for i, _, _ in same]), np.array([v for _, v, _ in same], np.int32), np.stack([x for _, _, x in same])) for same in rest.values()]
+            yield from now
 
         def told(b: pa.RecordBatch, at: np.ndarray, views: np.ndarray, px: np.ndarray) -> list[pa.RecordBatch]:
             """Batches of images of one shape; ``at`` are their rows in ``b``. Offsets are of 32 bits: at most 1 GiB a batch."""
@@ -477,17 +504,8 @@ class Pipeline(Ops):
                 for at, px in decoded(b):
                     if not len(at):
                         continue
-                    px = batched.apply(steps[:at_once], px, context, source[at])
-                    if at_once == len(steps):
-                        yield from told(b, at, np.zeros(len(at), np.int32), px)
-                        continue
-                    rest: dict[tuple, list] = {}
-                    for i, one in zip(at.tolist(), px, strict=True):
-                        images = image_ops.apply(steps[at_once:], [one], lambda key, row=int(source[i]): context.stream(row, key))
-                        for v, x in enumerate(images):
-                            rest.setdefault((x.shape, x.dtype), []).append((i, v, x))
-                    for same in rest.values():
-                        yield from told(b, np.array([i for i, _, _ in same]), np.array([v for _, v, _ in same], np.int32), np.stack([x for _, _, x in same]))
+                    for rows, views, out in stepped(at, px, source):
+                        yield from told(b, rows, views, out)
 
         cols = ["pos", "source", "image", "label", *(["h", "w", "c"] if raw else []), *extra]
         schema = OUT + (", batch_id long, batch_pos int" if extra else "")

@@ -151,22 +151,33 @@ def test_steps_at_once_equal_steps_one_by_one():
     px[:3] = px[:3, :1, :1]
     plain = {
         "HorizontalFlip": {}, "VerticalFlip": {}, "Rotate": {"angle": 270}, "Pad": {"sides": (1, 2, 3, 0), "mode": "reflect"}, "Brightness": {"f": 1.3}, "Contrast": {"f": 0.7}, "Saturation": {"f": 1.4}, "Hue": {"f": -0.2}, "Gamma": {"g": 0.8}, "Grayscale": {"channels": 3}, "Invert": {},
-        "Posterize": {"bits": 3}, "Solarize": {"threshold": 99}, "GaussianBlur": {"sigma": 0.8, "kernel_size": 3}, "PermuteChannels": {"order": (2, 0, 1)}, "Rgb": {}, "Normalize": {"mean": (0.5, 0.4, 0.3), "std": (0.2, 0.3, 0.4)}, "ToFloat": {}, "CastFloat": {}, "HwcToChw": {}, "Resize": {"w": 6, "h": 14, "interpolation": "bicubic"},
+        "Posterize": {"bits": 3}, "Solarize": {"threshold": 99}, "GaussianBlur": {"sigma": 0.8, "kernel_size": 3}, "PermuteChannels": {"order": (2, 0, 1)}, "Rgb": {}, "Normalize": {"mean": (0.5, 0.4, 0.3), "std": (0.2, 0.3, 0.4)}, "ToFloat": {}, "CastFloat": {}, "HwcToChw": {}, "Resize": {"w": 6, "h": 14, "interpolation": "bicubic"}, "Autocontrast": {},
     }
     drawn = {
         "RandomCrop": {"w": 7, "h": 8, "padding": (2, 2, 2, 2), "mode": "edge"}, "RandomHorizontalFlip": {}, "RandomVerticalFlip": {"p": 0.3}, "RandomGrayscale": {"p": 0.4}, "RandomInvert": {}, "RandomPosterize": {"bits": 2}, "RandomSolarize": {"threshold": 77}, "ColorJitter": {"b": 0.4, "c": 0.3, "h": 0.1, "sat": 0.5},
         "RandomApply": {"p": 0.5, "steps": (("Invert", {}), ("Contrast", {"f": 0.5}))}, "RandomErasing": {"value": "random"},
+        "RandomResizedCrop": {"w": 6, "h": 5, "scale": (0.3, 1.9)}, "RandomAutocontrast": {}, "JPEG": {"quality": (20, 23)},
     }
     assert set(plain) | {"ToUint8", "CastUint8", "ChwToHwc"} == set(batched.PLAIN) and set(drawn) == {*batched.RANDOM, "RandomApply"}
     context, rows = rng.Context(3, 1), np.arange(100, 140)
     whole = [("ColorJitter", drawn["ColorJitter"]), ("RandomCrop", drawn["RandomCrop"]), ("HwcToChw", {}), ("ChwToHwc", {}), ("ToFloat", {}), ("ToUint8", {}), ("CastFloat", {}), ("CastUint8", {})]
     for steps in [*([(n, a)] for n, a in (plain | drawn).items()), whole]:
         keyed = image_ops.keyed(steps)
-        assert batched.prefix(keyed) == len(keyed)
+        assert [x for x, _ in batched.segments(keyed)] == [True]
         got = batched.apply(keyed, px, context, rows)
         want = [image_ops.apply(keyed, [x], lambda key, r=r: context.stream(int(r), key))[0] for x, r in zip(px, rows, strict=True)]
         assert got.dtype == want[0].dtype and np.array_equal(got, np.stack(want)), steps
-    assert batched.prefix(image_ops.keyed([("Invert", {}), ("ElasticTransform", {}), ("Invert", {})])) == 1
+    parts = batched.segments(image_ops.keyed([("Invert", {}), ("ElasticTransform", {}), ("Invert", {}), ("Pad", {}), ("FiveCrop", {}), ("Invert", {})]))
+    assert [(x, len(s)) for x, s in parts] == [(True, 1), (False, 1), (True, 2), (False, 2)]
+
+
+def test_single_steps_between_others(pngs):
+    t = Transform().random_horizontal_flip().random_rotation(30).color_jitter(0.4, 0.4, 0.1).random_resized_crop(6).random_perspective().posterize(4)
+    got = {r["source"]: np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"], 3) for r in Pipeline(pngs).seed(3).decode_image().compose(t).execute().collect()}
+    keyed, context = image_ops.keyed(list(t.steps)), rng.Context(3)
+    for i, px in enumerate(PIXELS):
+        (want,) = image_ops.apply(keyed, [px], lambda key, i=i: context.stream(i, key))
+        assert np.array_equal(got[i], want)
 
 
 def test_rows_of_several_shapes(spark):
@@ -186,7 +197,7 @@ def test_every_random_step_runs():
     s = rng.Context(1).stream
     args = {
         "RandomCrop": {"w": 5, "h": 5}, "RandomResizedCrop": {"w": 5, "h": 5}, "RandomRotation": {"degrees": (-20, 20)}, "RandomAffine": {"degrees": (-9, 9)}, "RandomGaussianBlur": {"kernel_size": 3}, "RandomPosterize": {"bits": 3},
-        "RandomSolarize": {"threshold": 9}, "RandomAdjustSharpness": {"f": 2.0}, "RandomResize": {"low": 4, "high": 9}, "RandomShortestSize": {"sizes": (4, 6)}, "ScaleJitter": {"w": 9, "h": 9}, "ElasticTransform": {"sigma": 1.0},
+        "RandomSolarize": {"threshold": 9}, "RandomAdjustSharpness": {"f": 2.0}, "RandomResize": {"low": 4, "high": 9}, "RandomShortestSize": {"sizes": (4, 6)}, "ScaleJitter": {"w": 9, "h": 9}, "ElasticTransform": {"sigma": 1.0}, "JPEG": {"quality": (10, 90)},
     }
     for name in image_ops.RANDOM:
         for row in range(4):
