@@ -84,15 +84,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         p, q = add("p"), add("q")
         ratio = np.where(p + q, ratios(p, q, toxic, clean, chance), 0.0)  # buckets of no text have none
         value = ratio / np.sqrt(max(1e-12, ((p + q) * ratio**2).sum() / (toxic + clean)))  # features of unit mean square
-        told = settled(rows.coalesce(8).mapInArrow(_featured, "toxic binary, sizes binary, f binary"), "features")
+        told = settled(rows.coalesce(4).mapInArrow(_featured, "toxic binary, sizes binary, f binary"), "features")
         weigh = (TOXIC_SHARE / toxic, (1 - TOXIC_SHARE) / clean)
 
         def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
             """Loss and gradient at coefficients ``x`` (the last is the intercept); one row a task comes back."""
-            shared = docs.sparkSession.sparkContext.broadcast((x[:-1] * value, x[-1], weigh))
-            parts = told.mapInArrow(lambda batches: _slopes(batches, *shared.value), "loss double, bias double, g binary").collect()
+            shared = docs.sparkSession.sparkContext.broadcast(((x[:-1] * value).astype(np.float32), x[-1], weigh))
+            parts = told.coalesce(4).mapInArrow(lambda batches: _slopes(batches, *shared.value), "loss double, bias double, g binary").collect()
             shared.destroy()
-            g = np.append(sum((np.frombuffer(r["g"]) for r in parts), np.zeros(BUCKETS)) * value, sum(r["bias"] for r in parts))
+            g = np.append(sum((np.frombuffer(r["g"], np.float32) for r in parts), np.zeros(BUCKETS)) * value, sum(r["bias"] for r in parts))
             g[:-1] += RIDGE * x[:-1]
             return sum(r["loss"] for r in parts) + RIDGE / 2 * float(x[:-1] @ x[:-1]), g
 
@@ -156,7 +156,7 @@ def _slopes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float,
             loss += float((w * np.logaddexp(0, np.where(y, -z, z))).sum())
             by_bias += float(d.sum())
             g += np.bincount(flat, d[row], minlength=BUCKETS)
-    yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([by_bias]), pa.array([g.tobytes()], pa.binary())], ["loss", "bias", "g"])
+    yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([by_bias]), pa.array([g.astype(np.float32).tobytes()], pa.binary())], ["loss", "bias", "g"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
