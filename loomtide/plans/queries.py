@@ -655,6 +655,46 @@ def pipeline_cifar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.batch(128).execute().select("pos", "batch_id", "batch_pos", "label", "dtype", F.crc32("data").alias("checksum"))
 
 
+@register("pipeline_cifar_png")
+def pipeline_cifar_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images and steps from PNG files: each is encoded in one stage and decoded at the start of the other."""
+    from ..sources.images import encoded_png
+    from .pipeline import Pipeline
+
+    digits = F.sha2(F.concat_ws(":", "event_id", "props"), 512)
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("pos"), F.to_binary(F.substring(F.repeat(digits, 24), 1, 3072), F.lit("utf-8")).alias("image"), (F.col("user_id") % 10).alias("label"), *[F.lit(n).alias(k) for k, n in (("h", 32), ("w", 32), ("c", 3))]
+    )
+    p = Pipeline(encoded_png(rows)).seed(42).decode_image().random_crop(32, padding=4).random_horizontal_flip()
+    return p.normalize((0.5, 0.4, 0.3), (0.25, 0.5, 0.2)).hwc_to_chw().batch(128).execute().select("pos", "batch_id", "batch_pos", "label", "dtype", F.crc32("data").alias("checksum"))
+
+
+@register("pipeline_imagenet")
+def pipeline_imagenet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """256 x 256 PNG files, one for each vector, each of whose 64 values is a band of pixels: random resized crop to 224, flip,
+    jitter, normalize, CHW, batches of 64."""
+    from ..sources.images import encoded_png
+    from .pipeline import Pipeline
+
+    band = F.transform("embedding", lambda x: F.repeat(F.substring(F.md5(x.cast("string")), 1, 24), 128))
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("pos"), F.to_binary(F.array_join(band, ""), F.lit("utf-8")).alias("image"), F.col("label").cast("long").alias("label"), *[F.lit(n).alias(k) for k, n in (("h", 256), ("w", 256), ("c", 3))]
+    )
+    p = Pipeline(encoded_png(rows.repartition(16, "pos"))).seed(42).decode_image().random_resized_crop(224).random_horizontal_flip()
+    p = p.color_jitter(0.4, 0.4, 0.1, 0.4).normalize((0.485, 0.456, 0.406), (0.229, 0.224, 0.225)).hwc_to_chw().batch(64)
+    return p.execute().select("pos", "batch_id", "batch_pos", "label", "dtype", F.crc32("data").alias("checksum"))
+
+
+@register("pipeline_jpeg")
+def pipeline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a JPEG file of a drawn quality keeps of 32 x 32 images, one for each vector: mean and extremes of each."""
+    from .pipeline import Pipeline
+
+    digits = F.array_join(F.transform("embedding", lambda x: F.repeat(F.md5(x.cast("string")), 2)), "")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.to_binary(F.substring(digits, 1, 3072), F.lit("utf-8")).alias("image"), F.col("label").cast("long").alias("label"), *[F.lit(n).alias(k) for k, n in (("h", 32), ("w", 32), ("c", 3))])
+    return Pipeline(rows).seed(7).decode_image().jpeg((10, 95)).execute().select("pos", "h", "w", "c", F.crc32("data").alias("checksum"))
+
+
 def queries() -> dict[str, Query]:
     from . import algebra_queries, draw_queries, text_queries  # noqa: F401  they register theirs
 

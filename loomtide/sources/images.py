@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from ..operators import png
 from ..operators.selection import with_pos
 
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
@@ -154,3 +157,18 @@ def as_bytes(batch: dict) -> dict:
     """A batch of arrays as bytes and lists."""
     x = batch["images"]
     return {"images": x.tobytes(), "shape": list(x.shape), "dtype": str(x.dtype), "labels": batch["labels"].tolist()}
+
+
+def encoded_png(rows: DataFrame) -> DataFrame:
+    """``rows`` with raw uint8 HWC images (image, h, w, c) as PNG files: image holds their bytes and the sizes go. Null images stay
+    null; one of another length than its sizes say is an error."""
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.stack([b.column(k).to_numpy() for k in ("h", "w", "c")], 1).tolist()
+            made = [None if not x.is_valid else png.encode(np.frombuffer(x.as_buffer(), np.uint8).reshape(s)) for x, s in zip(b.column("image"), sizes, strict=True)]
+            kept = [k for k in b.schema.names if k not in ("image", "h", "w", "c")]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(made, pa.binary())], [*kept, "image"])
+
+    kept = [f for f in rows.schema.fields if f.name not in ("image", "h", "w", "c")]
+    return rows.mapInArrow(files, StructType([*kept, StructField("image", BinaryType())]))
