@@ -8,11 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rng import Sampler, fisher_yates
-
-#: Rows up to which the driver draws a permutation.
-DRAWN = 1 << 20
-
+from . import permutation
+from .rng import Sampler
 
 #: Blocks of rows that positions are counted by, at most; their bounds are literals in the plan.
 MOST_BLOCKS = 1024
@@ -65,25 +62,13 @@ def permuted(df: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def shuffle(df: DataFrame, n: int, seed: int, epoch: int = 0, index: int = 0, op_seed: int = 0) -> DataFrame:
-    """``n`` rows in a seeded order: the Fisher-Yates order up to DRAWN rows, and an order by hash, on Spark, beyond."""
-    state = Sampler(seed, epoch).shuffle_seed(index, op_seed)
-    return drawn_shuffle(df, n, state) if n <= DRAWN else placed_shuffle(df, n, state)
+    """``n`` rows in a seeded order, that of a sequential Fisher-Yates shuffle whatever their number."""
+    return drawn_shuffle(df, n, Sampler(seed, epoch).shuffle_seed(index, op_seed))
 
 
 def drawn_shuffle(df: DataFrame, n: int, state: int) -> DataFrame:
-    """The Fisher-Yates order of ``n`` rows. It is sequential, so the driver draws and holds it: for DRAWN rows at most."""
-    import pandas as pd
-
-    if n > DRAWN:
-        raise ValueError(f"{n} rows are too many for the driver to draw")
-    order = df.sparkSession.createDataFrame(pd.DataFrame({"pos": fisher_yates(n, state), "new_pos": range(n)}), "pos long, new_pos long")
-    return permuted(df, order)
-
-
-def placed_shuffle(df: DataFrame, n: int, state: int, block: int = 1 << 16) -> DataFrame:
-    """The order of a seeded hash of ``pos``, with dense places. Ranges of hashes with about ``block`` rows are counted;
-    each row adds its rank in its range to the rows before it. Only the table of ranges is ever in one task."""
-    return _by_hash(df, F.xxhash64("pos", F.lit(state - (1 << 64) if state >> 63 else state)), "pos", n, block)
+    """The Fisher-Yates order of ``n`` rows from a stream's state; Spark makes it."""
+    return permuted(df, permutation.order(df.sparkSession, n, state))
 
 
 def _by_hash(df: DataFrame, h: Column, tie: str, n: int, block: int) -> DataFrame:
@@ -98,8 +83,7 @@ def _by_hash(df: DataFrame, h: Column, tie: str, n: int, block: int) -> DataFram
 
 
 def hash_shuffle(df: DataFrame, key: str, seed: int, block: int = 1 << 16) -> DataFrame:
-    """An order by a seeded hash of a distinct key, with dense places as the new pos: for tables too large for the driver,
-    without the order of ``shuffle``."""
+    """An order by a seeded hash of a distinct key, with dense places as the new pos: another order than that of ``shuffle``, and cheaper."""
     return _by_hash(df, F.xxhash64(key, F.lit(seed)), key, df.count(), block)
 
 

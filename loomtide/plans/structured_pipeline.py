@@ -68,7 +68,7 @@ class StructuredPipeline(Ops):
             # the order of the stream of row 0 and the step StructuredShuffle
             state = combine(combine(Context(self.seed_, self.epoch_).root, 0), op_key("StructuredShuffle"))
             n = df.count()
-            df = selection.drawn_shuffle(df, n, state) if n <= selection.DRAWN else selection.placed_shuffle(df, n, state)
+            df = selection.drawn_shuffle(df, n, state)
         if self.batch_:
             df = selection.batch(df, *self.batch_)
         return structured.transformed(df, list(self.steps), self.seed_, self.epoch_)

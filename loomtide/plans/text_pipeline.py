@@ -75,7 +75,7 @@ class TextPipeline:
             df = found.withColumn("pos", here).drop("req")
         if self.shuffle_ is not None:
             n, state = (self.df if self.index is None else self.index).count(), combine(self.shuffle_, self.epoch_)
-            df = selection.drawn_shuffle(df, n, state) if n <= selection.DRAWN else selection.placed_shuffle(df, n, state)
+            df = selection.drawn_shuffle(df, n, state)
         if self.drop_last:  # the tail is not even encoded
             df = selection.batch(df, self.size, True).drop("batch_id", "batch_pos")
         return df

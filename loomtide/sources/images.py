@@ -12,6 +12,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..operators import png
 from ..operators.selection import with_pos
+from .arrow_ipc import scan_arrow
 
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
 
@@ -75,59 +76,6 @@ def scan_decoded_folder(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("origin", "height", "width", "nChannels", "data").mapInArrow(turned, "origin string, h int, w int, c int, image binary")
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    """A path as Spark's file sources name it."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
-
-
-def scan_arrow(spark: SparkSession, paths: list[str], columns: dict[str, str]) -> DataFrame:
-    """Arrow IPC files (stream or file format) as one table in the order of ``paths``; all must have the same schema.
-
-    ``columns`` gives the wanted columns and their Spark types. Each file is a row of bytes that one task decodes, and
-    pos counts rows across the files by a small table of their lengths."""
-    if not paths:
-        raise ValueError("no Arrow files")
-    schema = ", ".join(f"{c} {t}" for c, t in columns.items())
-
-    def opened(content: bytes) -> pa.Table:
-        buffer = pa.BufferReader(content)
-        try:
-            return pa.ipc.open_file(buffer).read_all()
-        except pa.ArrowInvalid:
-            return pa.ipc.open_stream(pa.BufferReader(content)).read_all()
-
-    def counted(batches):
-        for b in batches:
-            t = [opened(c.as_py()) for c in b.column("content")]
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([x.num_rows for x in t], pa.int64()), pa.array([str(x.schema.remove_metadata()) for x in t])], ["path", "n", "kind"])
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    heads = files.mapInArrow(counted, "path string, n long, kind string").collect()  # a row per file
-    if len({h["kind"] for h in heads}) > 1:
-        raise ValueError("Arrow schema mismatch in " + ", ".join(sorted(h["path"] for h in heads)))
-    by_path = {h["path"]: h for h in heads}
-    start, starts = 0, {}
-    for p in paths:
-        h = by_path[_qualified(spark, p)]
-        starts[h["path"]] = start
-        start += h["n"]
-
-    def numbered(batches):
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                t = opened(content.as_py())
-                if missing := [c for c in columns if c not in t.column_names]:
-                    raise ValueError(f"columns {missing} are missing in {path}")
-                t = t.select(list(columns))
-                at = starts[path]
-                for part in t.to_batches():
-                    yield pa.RecordBatch.from_arrays([pa.array(range(at, at + part.num_rows), pa.int64()), *part.columns], ["pos", *columns])
-                    at += part.num_rows
-
-    return files.mapInArrow(numbered, f"pos long, {schema}")
-
-
 def scan_cached_dataset(spark: SparkSession, dataset, columns: dict[str, str]) -> DataFrame:
     """The Arrow files behind a loaded dataset object (its ``cache_files``), as one table. A dataset whose rows were chosen
     or put in order by an index table has other rows than its files, so it is an error."""

@@ -678,25 +678,49 @@ def test_text_pipeline(spark, word_level):
             bad()
 
 
-def test_large_shuffles_leave_the_driver(spark, monkeypatch):
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 37, 1000, 100_000])
+def test_shuffles_on_spark_are_the_sequential_order(spark, monkeypatch, n):
+    from loomtide.operators import permutation
+
+    want = rng.fisher_yates(n, 77).tolist()
+    one = {r["new_pos"]: r["pos"] for r in permutation.order(spark, n, 77).collect()}
+    monkeypatch.setattr(permutation, "ONE_TASK", 0)
+    many = {r["new_pos"]: r["pos"] for r in permutation.order(spark, n, 77).collect()}
+    assert many == dict(enumerate(want)) and (one == many or n > 1 << 16)
+
+
+def test_draws_made_again_shift_later_steps(spark, monkeypatch):
+    """With numbers of 8 bits many draws are made again; the sequential rule is written out."""
+    from loomtide.operators import permutation
+
+    state, n = 5, 60
+    numbers = (permutation._numbers(state, np.arange(500)) >> np.uint64(56)) << np.uint64(56)
+    again = []
+    k = 0
+    for i in range(n - 1, 0, -1):
+        while numbers[k] < np.uint64(1 << 62):
+            again.append(k)
+            k += 1
+        k += 1
+    monkeypatch.setattr(permutation, "_again", lambda *_: np.array(again))
+    got = {r["i"]: r["j"] for r in permutation.drawn(spark, n, state).collect()}
+    k, want = 0, {0: 0}
+    for i in range(n - 1, 0, -1):
+        while k in again:
+            k += 1
+        want[i] = int(permutation._numbers(state, np.array([k]))[0]) % (i + 1)
+        k += 1
+    assert len(again) > 5 and got == want
+
+
+def test_shuffles_by_selection(spark):
     from loomtide.plans import queries
 
     rows = spark.range(3000).select(F.col("id").alias("pos"), F.col("id").alias("source"))
     places = lambda df: {r["source"]: r["pos"] for r in df.collect()}
     drawn = rng.fisher_yates(3000, rng.Sampler(7, 1).shuffle_seed(0, 0)).tolist()
-    assert places(selection.shuffle(rows, 3000, 7, 1)) == {v: k for k, v in enumerate(drawn)}
-
-    def never(*_):
-        raise AssertionError("drawn on the driver")
-
-    monkeypatch.setattr(selection, "DRAWN", 100)
-    monkeypatch.setattr(selection, "fisher_yates", never)
     a = places(selection.shuffle(rows, 3000, 7, 1))
-    assert sorted(a) == sorted(a.values()) == list(range(3000))
+    assert a == {v: k for k, v in enumerate(drawn)}
     assert a == places(selection.shuffle(rows.repartition(7), 3000, 7, 1)) != places(selection.shuffle(rows, 3000, 7, 2))
-    assert a == places(selection.placed_shuffle(rows, 3000, rng.Sampler(7, 1).shuffle_seed(0, 0), block=50))
-    assert sum(abs(k - v) for k, v in a.items()) / 3000 > 800  # a uniform order moves a row by a third on average
     got = queries.queries()["select_shuffle"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(r["pos"] for r in got) == sorted(r["vec_id"] for r in got) == list(range(500))
-    with pytest.raises(ValueError):
-        selection.drawn_shuffle(rows, 3000, 1)
