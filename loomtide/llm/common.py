@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,19 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_path = path
-    if _scratch:
-        _scratch[-1].paths.append(path)
+    if inside := _scratch.get():
+        inside[-1].paths.append(path)
     return out
 
 
-_scratch: list[Scratch] = []
+#: The open blocks of this thread or task, outermost first.
+_scratch: ContextVar[tuple[Scratch, ...]] = ContextVar("scratch", default=())
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a settled table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class Scratch:
@@ -52,21 +60,20 @@ class Scratch:
         self.spark, self.paths, self.kept = spark, [], set()
 
     def __enter__(self) -> Scratch:
-        _scratch.append(self)
+        _scratch.set((*_scratch.get(), self))
         return self
 
     def keep(self, *tables: DataFrame) -> None:
         self.kept |= {t.settled_path for t in tables}
 
     def __exit__(self, kind, *_) -> None:
-        _scratch.pop()
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        outer = _scratch.get()[:-1]
+        _scratch.set(outer)
         for p in self.paths:
             if kind is None and p not in self.kept:
-                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-                path.getFileSystem(conf).delete(path, True)
-            elif _scratch:  # now the outer block's
-                _scratch[-1].paths.append(p)
+                dropped(self.spark, p)
+            elif outer:  # now the outer block's
+                outer[-1].paths.append(p)
 
 
 def words(text: Column) -> Column:

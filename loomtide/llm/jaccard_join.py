@@ -275,7 +275,8 @@ def _tree_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
             key, doc, size, group = (t.column(c).to_numpy() for c in ("key", "doc_id", "n", "grp"))
             bits = t.column("bits").to_pylist()
             root, also = t.column("root").to_numpy(), t.column("also").combine_chunks()
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist()
+            # a key is a hash of a root and a tile: roots whose hashes meet stay apart
+            at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (root[1:] != root[:-1])))).tolist()
             a, b = [], []
             for lo, hi in zip(at, [*at[1:], len(key)], strict=True):
                 if hi - lo > 1:
@@ -290,7 +291,7 @@ def _tree_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
                 a, b = np.concatenate(a), np.concatenate(b)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    rows = rows.repartition("key").sortWithinPartitions("key")
+    rows = rows.repartition("key").sortWithinPartitions("key", "root")
     return rows.mapInArrow(made, "a long, b long").distinct()
 
 

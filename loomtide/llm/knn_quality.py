@@ -6,7 +6,8 @@ bounded broadcast) are compared with every document's, in blocks, by exact cosin
 similarity. Labels, language, source and id are not inputs.
 
 Null and empty texts have no vector: their score is the mean label of the fit. Texts are whole however long; each row
-is scored by itself, so repeated rows agree. Of neighbours that tie for the last vote either may vote. Without labels every score is 0.5.
+is scored by itself, so repeated rows agree. Vectors are rounded to whole steps and their products are exact, so a score doesn't
+depend on the rows it is computed with; of equal cosines the smaller doc_id votes first. Without labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SURFACE = 6
 MAX_FIT = 4000
 DIMENSIONS = 48
 NEIGHBOURS = 15
+#: Steps that terms and unit vectors are rounded to.
+COARSE, FINE = 1 << 16, 1 << 20
 
 
 def _repeats(text: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -96,26 +99,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, folds: int =
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.2)
     x = x * idf
     _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))  # of TERMS + SURFACE squared: the right singular vectors
-    to = vectors[:, ::-1][:, :DIMENSIONS].astype(np.float32)
-    z = x @ to
-    size = np.linalg.norm(z, axis=1, keepdims=True)
-    good = size[:, 0] > 0
-    return {"idf": idf, "to": to, "z": (z / np.maximum(size, 1e-12))[good], "y": y[good], "prior": float(y.mean())}
+    to = np.rint(vectors[:, ::-1][:, :DIMENSIONS] * FINE)
+    z = placed(x, to)
+    good = z.any(1)
+    return {"idf": idf, "to": to, "z": z[good], "y": y[good], "prior": float(y.mean())}
+
+
+def placed(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Unit vectors in whole steps of 1 / FINE; 0 for those without a direction. All sums are of whole numbers below 2**53."""
+    z = np.rint(x.astype(np.float64) * COARSE) @ to
+    size = np.sqrt((z * z).sum(1, keepdims=True))
+    return np.rint(z / np.where(size == 0, 1.0, size) * FINE)
 
 
 def vote(x: np.ndarray, model: dict, k: int = NEIGHBOURS) -> np.ndarray:
     """Scores of a block of rate rows."""
-    z = (np.sqrt(x) * model["idf"]) @ model["to"]
-    size = np.linalg.norm(z, axis=1, keepdims=True)
+    z = placed(np.sqrt(x) * model["idf"], model["to"])
     out = np.full(len(x), model["prior"])
-    if not len(model["y"]):
+    n = len(model["y"])
+    if not n:
         return out
-    cosines = (z / np.maximum(size, 1e-12)) @ model["z"].T
-    k = min(k, cosines.shape[1])
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64)
+    # whole numbers: the cosine, and below it the place among the labelled, which are sorted by id
+    key = (z @ model["z"].T).astype(np.int64) * n + np.arange(n)[::-1]
+    k = min(k, n)
+    near = np.sort(np.argpartition(-key, k - 1, axis=1)[:, :k], axis=1)  # votes are added in one order
+    weight = np.maximum(np.take_along_axis(key, near, 1) // n, 0) / FINE**2
     total = weight.sum(1)
-    some = (size[:, 0] > 0) & (total > 0)
+    some = z.any(1) & (total > 0)
     out[some] = (weight * model["y"][near]).sum(1)[some] / total[some]
     return np.clip(out, 0.0, 1.0)
 
