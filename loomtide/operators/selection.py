@@ -127,7 +127,12 @@ def packed(docs: DataFrame, block_size: int, separator: int, drop_last: bool = T
     totals = totals.select("run", (F.sum("total").over(Window.orderBy("run")) - F.col("total")).alias("before"))
     within = lengths.withColumn("run", run).withColumn("start", F.sum("n").over(Window.partitionBy("run").orderBy("pos")) - F.col("n"))
     starts = within.join(totals, "run").select("pos", (F.col("before") + F.col("start")).alias("start"))
-    tokens = docs.join(starts, "pos").select("start", F.posexplode(F.concat("ids", F.array(F.lit(separator)))).alias("k", "id"))
-    at = F.col("start") + F.col("k")
-    cut = tokens.groupBy(F.floor(at / block_size).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct((at % block_size).alias("p"), "id"))), lambda x: x["id"]).alias("ids"))
+    # a document goes as one slice to each block that it reaches into, never token by token
+    rows = docs.join(starts, "pos").select("start", F.concat("ids", F.array(F.lit(separator))).alias("ids"))
+    last = F.floor((F.col("start") + F.size("ids") - 1) / block_size)
+    rows = rows.select("start", "ids", F.explode(F.sequence(F.floor(F.col("start") / block_size), last)).alias("block"))
+    low = F.greatest(F.col("block") * block_size - F.col("start"), F.lit(0))
+    high = F.least((F.col("block") + 1) * block_size - F.col("start"), F.size("ids").cast("long"))
+    rows = rows.select("block", "start", F.slice("ids", (low + 1).cast("int"), (high - low).cast("int")).alias("part"))
+    cut = rows.groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"])).alias("ids"))
     return cut.where(F.size("ids") == block_size) if drop_last else cut

@@ -1,7 +1,7 @@
 """Word-level tokenizers over text DataFrames (pos, text[, text_pair], label): encode, decode and collate.
 
-A tokenizer is a table of tokens and ids (``WordLevel``): words meet their ids in a join, broadcast where the vocabulary is of
-a checked size. Nulls are errors with their row, labels are all or none, and a batch's rows have one length."""
+A tokenizer is a table of tokens and ids (``WordLevel``), broadcast where it is of a checked size: each row's words are looked up
+where the row is. Beyond that words meet their ids in a join. Nulls are errors with their row, labels are all or none, and a batch's rows have one length."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -39,9 +42,6 @@ class WordLevel:
     last: str = "[SEP]"
     padding: str = "[PAD]"
 
-    def _small(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.vocabulary.count() <= MAX_TOKENS else df
-
     def token_to_id(self, *names: str) -> dict[str, int]:
         """Ids of a few tokens; those that are not there are left out."""
         return {r["token"]: r["id"] for r in self.vocabulary.where(F.col("token").isin(*names)).collect()}
@@ -61,10 +61,32 @@ class WordLevel:
         said = F.raise_error(F.concat(F.lit("text is null at row "), F.col("pos").cast("string")))
         return F.when(F.col(name).isNull(), said).otherwise(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""))
 
+    def _table(self) -> tuple[pa.Array, np.ndarray] | None:
+        """Tokens and their ids, where they are few enough to be broadcast."""
+        if self.vocabulary.count() > MAX_TOKENS:
+            return None
+        rows = self.vocabulary.select("token", "id").collect()
+        return pa.array([r["token"] for r in rows], pa.string()), np.array([r["id"] for r in rows], np.int32)
+
     def ids(self, df: DataFrame, name: str, unknown: int) -> DataFrame:
-        """(pos, ids) of one text column."""
+        """(pos, ids) of one text column. Words are looked up where their row is; only with a vocabulary over MAX_TOKENS they are
+        shuffled to it."""
+        few = self._table()
+        if few is not None:
+            shared = df.sparkSession.sparkContext.broadcast(few)
+
+            def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                names, numbers = shared.value
+                for b in batches:
+                    words = b.column("words")
+                    at = pc.index_in(words.flatten(), value_set=names)
+                    ids = pc.fill_null(pc.take(pa.array(numbers), at), unknown)
+                    ends = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(words)))))
+                    yield pa.RecordBatch.from_arrays([b.column("pos"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], ["pos", "ids"])
+
+            return df.select("pos", self._words(df, name).alias("words")).mapInArrow(looked_up, "pos long, ids array<int>")
         words = df.select("pos", F.posexplode_outer(self._words(df, name)).alias("at", "token"))
-        known = words.join(self._small(self.vocabulary.select("token", "id")), "token", "left")
+        known = words.join(self.vocabulary.select("token", "id"), "token", "left")
         told = F.struct("at", F.coalesce("id", F.lit(unknown)).cast("int").alias("id"))
         # a text without words has one row without a word
         rows = known.groupBy("pos").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), told))).alias("x"))
@@ -95,13 +117,37 @@ class WordLevel:
     def decode(self, df: DataFrame, skip_special_tokens: bool = True) -> DataFrame:
         """(pos, text) of rows (pos, input_ids): tokens joined by spaces. An id that the vocabulary does not have is an
         error."""
+        hidden = (self.unknown, self.first, self.last, self.padding) if skip_special_tokens else ()
+        few = self._table()
+        if few is not None:
+            shared = df.sparkSession.sparkContext.broadcast(few)
+
+            def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                names, numbers = shared.value
+                numbers = pa.array(numbers)
+                hide = pa.array(hidden, pa.string())
+                for b in batches:
+                    ids = b.column("input_ids")
+                    flat = ids.flatten().cast(pa.int32())
+                    at = pc.index_in(flat, value_set=numbers)
+                    if missing := np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False) & flat.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                        raise ValueError(f"no token has the id {flat[missing[0]].as_py()}")
+                    words = pc.take(names, at)
+                    keep = pc.and_(words.is_valid(), pc.invert(pc.is_in(words, value_set=hide))).to_numpy(zero_copy_only=False)
+                    size = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
+                    kept = np.bincount(np.repeat(np.arange(len(size)), size), keep, minlength=len(size)).astype(np.int64)
+                    ends = np.concatenate(([0], np.cumsum(kept)))
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.filter(pa.array(keep)))
+                    yield pa.RecordBatch.from_arrays([b.column("pos"), pc.binary_join(lists, " ")], ["pos", "text"])
+
+            return df.select("pos", "input_ids").mapInArrow(joined, "pos long, text string")
         words = df.select("pos", F.posexplode_outer("input_ids").alias("at", "id"))
-        known = words.join(self._small(self.vocabulary.select("id", "token")), "id", "left")
+        known = words.join(self.vocabulary.select("id", "token"), "id", "left")
         said = F.raise_error(F.concat(F.lit("no token has the id "), F.col("id").cast("string")))
         token = F.when(F.col("id").isNotNull() & F.col("token").isNull(), said).otherwise(F.col("token"))
         keep = F.col("id").isNotNull()
         if skip_special_tokens:
-            keep = keep & ~F.coalesce(F.col("token").isin(self.unknown, self.first, self.last, self.padding), F.lit(False))
+            keep = keep & ~F.coalesce(F.col("token").isin(*hidden), F.lit(False))
         rows = known.groupBy("pos").agg(F.array_sort(F.collect_list(F.when(keep, F.struct("at", token.alias("token"))))).alias("x"))
         return rows.select("pos", F.array_join(F.transform("x", lambda x: x["token"]), " ").alias("text"))
 

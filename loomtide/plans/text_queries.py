@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
 from ..operators.text import WordLevel
+from ..operators.tokenizer_file import TokenizerFile
 from .queries import _WORDS_SQL, register, table, weighed, weighed_sql
 
 # the 996 commonest words after four special tokens
@@ -73,3 +76,48 @@ def text_wordlevel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokenizer(spark, sf_dir).encode(pairs, pair=True, max_length=32)
     second = F.aggregate("token_type_ids", F.lit(0).cast("long"), lambda s, x: s + x)
     return out.select("pos", weighed(F.col("input_ids")).alias("ids"), (F.size("input_ids") - second).alias("n_first"), second.alias("n_second"))
+
+
+_PIECES_SQL = f"""w AS (SELECT token, count(*) AS n FROM (SELECT unnest({_WORDS_SQL}) AS token FROM documents) GROUP BY token),
+s AS (SELECT piece, sum(n) AS n FROM (SELECT substr(token, 1, k) AS piece, n FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE k <= length(token)) GROUP BY piece ORDER BY n DESC, piece LIMIT 400),
+m AS (SELECT piece, sum(n) AS n FROM (SELECT substr(token, st, k) AS piece, n, st, k, length(token) AS size FROM (SELECT token, n, unnest(range(2, length(token) + 1)) AS st FROM w), (SELECT unnest(range(1, 4)) AS k)) WHERE st + k - 1 <= size GROUP BY piece ORDER BY n DESC, piece LIMIT 600),
+v AS (SELECT piece, 0 AS later, CAST(row_number() OVER (ORDER BY n DESC, piece) AS INTEGER) AS id FROM s UNION ALL SELECT piece, 1, CAST(row_number() OVER (ORDER BY n DESC, piece) AS INTEGER) + 400 FROM m)"""
+
+
+def _pieces_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, id): the 400 commonest beginnings of words and the 600 commonest pieces behind them."""
+    words = table(spark, sf_dir, "documents").select(F.explode(tokens.pieces(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    size = F.length("token")
+    heads = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), size)), lambda k: F.substring(F.col("token"), 1, k))).alias("piece"), "n")
+    inner = words.where(size > 1).select("token", "n", F.explode(F.sequence(F.lit(2), size)).alias("at"))
+    inner = inner.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), size - F.col("at") + 1)), lambda k: F.substring(F.col("token"), F.col("at"), k))).alias("piece"), "n")
+    common = lambda rows, most: rows.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
+    told = lambda rows, mark, before: rows.select(F.concat(F.lit(mark), "piece").alias("token"), (F.row_number().over(Window.orderBy(F.desc("n"), "piece")) + before).cast("int").alias("id"))
+    return told(common(heads, 400), "", 0).union(told(common(inner, 600), "##", 400))
+
+
+@register(
+    "text_wordpiece_encode",
+    f"""WITH RECURSIVE {_PIECES_SQL},
+g AS (SELECT token, 1 AS st, [] :: INTEGER[] AS ids, true AS good FROM w
+UNION ALL
+SELECT token, CASE WHEN p.id IS NULL THEN length(token) + 1 ELSE st + p.size END, CASE WHEN p.id IS NULL THEN [0] ELSE list_append(ids, p.id) END, p.id IS NOT NULL
+FROM g LEFT JOIN LATERAL (
+  SELECT v.id, length(v.piece) AS size FROM v WHERE v.later = CAST(g.st > 1 AS INTEGER) AND substr(g.token, g.st, length(v.piece)) = v.piece ORDER BY length(v.piece) DESC LIMIT 1
+) p ON true WHERE g.st <= length(g.token)),
+k AS (SELECT token, CASE WHEN length(token) > 100 THEN [0] ELSE ids END AS ids FROM g WHERE st > length(token)),
+d AS (SELECT doc_id, unnest({_WORDS_SQL}) AS token, unnest(range(len({_WORDS_SQL}))) AS place FROM documents),
+e AS (SELECT doc_id, flatten(list(k.ids ORDER BY place)) AS ids FROM d JOIN k USING (token) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n, CAST(coalesce(list_sum(list_transform(ids, lambda x: CAST(x = 0 AS INTEGER))), 0) AS BIGINT) AS n_unknown, {weighed_sql('coalesce(ids, [])')} AS ids FROM documents d LEFT JOIN e USING (doc_id)""",
+)
+def text_wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whole by word pieces from a tokenizer file made of the documents' own words."""
+    vocabulary = {"[UNK]": 0} | {r["token"]: r["id"] for r in _pieces_table(spark, sf_dir).collect()}  # 1,000 rows
+    file = {
+        "version": "1.0", "normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": {"type": "WordPiece"},
+        "model": {"type": "WordPiece", "unk_token": "[UNK]", "continuing_subword_prefix": "##", "max_input_chars_per_word": 100, "vocab": vocabulary},
+    }
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
+    out = TokenizerFile(json.dumps(file)).encode(rows)
+    unknown = F.size(F.filter("input_ids", lambda x: x == 0)).cast("long")
+    return out.select(F.col("pos").alias("doc_id"), F.size("input_ids").cast("long").alias("n"), unknown.alias("n_unknown"), weighed(F.col("input_ids")).alias("ids"))

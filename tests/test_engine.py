@@ -673,6 +673,22 @@ def test_text_pipeline(spark, word_level):
     with pytest.raises(TextError, match="null at row 8"):
         list(gone)
     assert list(gone) == []
+    # nine good batches, then one error with the source rows of its batch, whatever a job takes at once
+    hundred = spark.createDataFrame([(i, None if i == 95 else "stone river", i) for i in range(100)], df.schema).repartition(5)
+    for at_once in (1, 30, 4096):
+        good, loader = [], TextPipeline(hundred, word_level).batch(10).loader(at_once=at_once)
+        with pytest.raises(TextError, match="null at row 95") as e:
+            for b in loader:
+                good.append([r["source"] for r in b])
+        assert good == [list(range(k, k + 10)) for k in range(0, 90, 10)] and e.value.sources == list(range(90, 100)) and list(loader) == []
+    with pytest.raises(TextError, match="no row at index 300") as e:
+        list(TextPipeline(hundred, word_level).indices([1, 2, 300]).batch(2).loader())
+    assert e.value.sources == [-301]
+    for k in (0, 1):
+        assert [len(b) for b in TextPipeline(df.where(f"pos < {k}"), word_level).batch(3).loader()] == [1] * k
+    early = p.batch(2).loader(at_once=2)
+    assert len(next(early)) == 2
+    early.close()
     for bad in (lambda: p.batch(0), lambda: p.labels("odd"), lambda: p.indices([-1])):
         with pytest.raises((ValueError, IndexError)):
             bad()
