@@ -5,6 +5,7 @@ A sample is a dict: image (HWC), boxes (N, 4 float32 xyxy), labels (N), masks (N
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -84,6 +85,24 @@ def iou(boxes: np.ndarray, one: np.ndarray) -> np.ndarray:
     return both / np.maximum(area(boxes) + area(one) - both, 1e-12)
 
 
+def iou_crop_options(low=0.3, high=1.0, min_ratio=0.5, max_ratio=2.0, options=(0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0), trials=40, max_attempts=100) -> dict:
+    """The options of ``random_iou_crop``, checked: windows have a share of 0 to 1 of each side."""
+    sizes = all(math.isfinite(x) for x in (low, high, min_ratio, max_ratio)) and 0 < low <= high <= 1 and 0 < min_ratio <= max_ratio
+    if not sizes or trials < 1 or max_attempts < 1 or not len(options) or not all(math.isfinite(x) and x >= 0 for x in options):
+        raise ValueError("random_iou_crop takes rising scales in (0, 1], rising positive ratios, options of 0 or more, and a trial and an attempt at least")
+    return {"low": low, "high": high, "min_ratio": min_ratio, "max_ratio": max_ratio, "options": tuple(options), "trials": trials, "max_attempts": max_attempts}
+
+
+def _overlaps(boxes: np.ndarray, x: int, y: int, w: int, h: int) -> np.ndarray:
+    """Of float32 boxes with a window: sides and areas in float32, the quotient in float64."""
+    b, zero = boxes.astype(np.float32), np.float32(0)
+    wide = np.maximum(np.minimum(b[:, 2], np.float32(x + w)) - np.maximum(b[:, 0], np.float32(x)), zero)
+    high = np.maximum(np.minimum(b[:, 3], np.float32(y + h)) - np.maximum(b[:, 1], np.float32(y)), zero)
+    both = (wide * high).astype(np.float64)
+    own = (np.maximum(b[:, 2] - b[:, 0], zero) * np.maximum(b[:, 3] - b[:, 1], zero)).astype(np.float64)
+    return both / (own + float(w * h) - both)
+
+
 def random_iou_crop(s: dict, r: Stream, low=0.3, high=1.0, min_ratio=0.5, max_ratio=2.0, options=(0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0), trials=40, max_attempts=100) -> dict:
     """A random window that overlaps some box enough; boxes whose centre is outside become empty. Too many attempts: as is.
     A sample without boxes is left as it is, before any draw."""
@@ -101,7 +120,7 @@ def random_iou_crop(s: dict, r: Stream, low=0.3, high=1.0, min_ratio=0.5, max_ra
             x, y = int((w - nw) * r.f64()), int((h - nh) * r.f64())
             centre = (s["boxes"][:, :2] + s["boxes"][:, 2:]) / 2
             inside = (centre[:, 0] > x) & (centre[:, 0] < x + nw) & (centre[:, 1] > y) & (centre[:, 1] < y + nh)
-            if inside.any() and iou(s["boxes"][inside], np.array([x, y, x + nw, y + nh], float)).max() >= least:
+            if inside.any() and _overlaps(s["boxes"][inside], x, y, nw, nh).max() >= least:
                 out = crop(s, x, y, nw, nh)
                 out["boxes"] = np.where(inside[:, None], out["boxes"], 0).astype(np.float32)
                 return out

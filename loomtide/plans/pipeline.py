@@ -22,6 +22,9 @@ CHUNK = 1 << 20
 #: Bytes of pixels that are decoded at once: scanlines of many files are unfiltered together.
 DECODED = 1 << 23
 OUT = "pos long, source long, view int, h int, w int, c int, dtype string, layout string, data binary, label long"
+STACKED = "batch_id long, n int, h int, w int, c int, dtype string, layout string, data binary, labels array<long>, sources array<long>"
+#: Rows of whole batches that a task decodes and stacks.
+TASK_ROWS = 4096
 _U8_ONLY = frozenset("Brightness Contrast Saturation Hue Gamma Grayscale Invert Posterize Solarize Autocontrast Equalize Sharpness RandomGrayscale ColorJitter RandomInvert RandomPosterize RandomSolarize RandomAdjustSharpness RandomAutocontrast RandomEqualize RandomPhotometricDistort RandAugment TrivialAugmentWide AutoAugment AugMix JPEG".split())
 
 
@@ -426,6 +429,24 @@ class Pipeline(Ops):
 
     def execute(self) -> DataFrame:
         """Rows (pos, source, view, h, w, c, dtype, layout, data, label), with batch_id and batch_pos after batch()."""
+        return self._executed(False)
+
+    def stacked(self) -> DataFrame:
+        """A row for each batch, stacked where it was made: batch_id, n (images, with all views), h, w, c, dtype, layout, data, labels
+        and sources. Encoded rows are dealt by ranges of batches, so partitions are in the order of batches and no pixels are shuffled
+        or sorted. Images of a batch that differ in shape are an error."""
+        if not self.batch_ or not self.state.decoded:
+            raise PipelineError("stacked comes after batch")
+        return self._executed(True)
+
+    def _length(self) -> int:
+        """How many rows the index steps leave."""
+        n = self.df.count()
+        for op, arg in self.index:
+            n = max(0, n - arg) if op == "skip" else min(n, arg) if op == "take" else n
+        return n
+
+    def _executed(self, stack: bool) -> DataFrame:
         df = self._source()
         context = Context(self._seed(), self.epoch_)
         if self.batch_:
@@ -433,6 +454,10 @@ class Pipeline(Ops):
             df = selection.batch(df, *self.batch_)
         if not self.state.decoded:
             return df
+        if stack:
+            each = max(1, TASK_ROWS // self.batch_[0])
+            tasks = max(1, -(-self._length() // (each * self.batch_[0])))
+            df = df.repartitionById(tasks, F.expr(f"cast(batch_id div {each} as int)")).sortWithinPartitions("batch_id", "batch_pos")
         raw = "h" in self.df.columns
         steps, layout = image_ops.keyed(list(self.steps)), self.state.layout
         extra = ["batch_id", "batch_pos"] if self.batch_ else []
@@ -507,9 +532,38 @@ class Pipeline(Ops):
                     for rows, views, out in stepped(at, px, source):
                         yield from told(b, rows, views, out)
 
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Stacked batches; a batch is whole when a row of a later one has come."""
+            held: dict[int, list] = {}
+
+            def done(k: int) -> pa.RecordBatch:
+                rows = sorted(held.pop(k), key=lambda x: x[0])
+                shapes = {x[1] for x in rows}
+                if len(shapes) != 1:
+                    raise ValueError(f"images of a batch differ: {sorted(shapes)}")
+                h, w, c, dtype, kind = shapes.pop()
+                values = [k, len(rows), h, w, c, dtype, kind, b"".join(x[2] for x in rows), [x[3] for x in rows], [x[4] for x in rows]]
+                kinds = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], [x.split()[0] for x in STACKED.split(", ")])
+
+            for b in batches:
+                for out in made(iter([b])):
+                    small = {n: out.column(n).to_pylist() for n in ("batch_id", "batch_pos", "view", "h", "w", "c", "dtype", "layout", "label", "source")}
+                    for i, data in enumerate(out.column("data")):
+                        at = {n: v[i] for n, v in small.items()}
+                        held.setdefault(at["batch_id"], []).append(((at["batch_pos"], at["view"]), tuple(at[n] for n in ("h", "w", "c", "dtype", "layout")), data.as_buffer().to_pybytes(), at["label"], at["source"]))
+                if b.num_rows:
+                    last = b.column("batch_id")[-1].as_py()
+                    for k in sorted(k for k in held if k < last):
+                        yield done(k)
+            for k in sorted(held):
+                yield done(k)
+
         cols = ["pos", "source", "image", "label", *(["h", "w", "c"] if raw else []), *extra]
         schema = OUT + (", batch_id long, batch_pos int" if extra else "")
-        return df.select(*[F.col(k).cast("long") if k in ("label", "batch_id") else F.col(k) for k in cols]).mapInArrow(made, schema)
+        if stack:
+            schema = STACKED
+        return df.select(*[F.col(k).cast("long") if k in ("label", "batch_id") else F.col(k) for k in cols]).mapInArrow(whole if stack else made, schema)
 
     def _mixed(self, kind: str, num_classes: int, alpha: float) -> DataFrame:
         from ..operators.mix import mixed
@@ -540,22 +594,9 @@ class Pipeline(Ops):
         return "\n".join(lines)
 
 
-def to_numpy(rows: DataFrame) -> Iterator[dict[str, np.ndarray]]:
-    """Batches in order, as dicts of images and labels; one batch is on the driver at a time. Ragged batches are errors."""
-    held: list = []
-
-    def stacked(batch: list) -> dict[str, np.ndarray]:
-        shapes = {(r["h"], r["w"], r["c"], r["dtype"], r["layout"]) for r in batch}
-        if len(shapes) != 1:
-            raise ValueError(f"images of a batch differ: {sorted(shapes)}")
-        h, w, c, dtype, layout = shapes.pop()
-        shape = (h, w, c) if layout == "HWC" else (c, h, w)
-        return {"images": np.stack([np.frombuffer(r["data"], dtype).reshape(shape) for r in batch]), "labels": np.array([r["label"] for r in batch])}
-
-    for r in rows.orderBy("batch_id", "batch_pos", "view").toLocalIterator():
-        if held and held[-1]["batch_id"] != r["batch_id"]:
-            yield stacked(held)
-            held = []
-        held.append(r)
-    if held:
-        yield stacked(held)
+def to_numpy(pipeline: Pipeline) -> Iterator[dict[str, np.ndarray]]:
+    """Batches in order, as dicts of images and labels. They are stacked on the executors; here one partition of them is unpacked at
+    a time. Ragged batches are errors."""
+    for r in pipeline.stacked().toLocalIterator():
+        shape = (r["h"], r["w"], r["c"]) if r["layout"] == "HWC" else (r["c"], r["h"], r["w"])
+        yield {"images": np.frombuffer(r["data"], r["dtype"]).reshape(r["n"], *shape), "labels": np.array(r["labels"])}

@@ -53,7 +53,10 @@ class StructuredPipeline(Ops):
         return self._add("Sanitize", min_size=min_size, min_area=min_area)
 
     def random_iou_crop(self, **options) -> StructuredPipeline:
-        return self._add("RandomIoUCrop", **options)
+        try:
+            return self._add("RandomIoUCrop", **structured.iou_crop_options(**options))
+        except ValueError as e:
+            raise PipelineError(str(e)) from None
 
     def batch(self, size: int, drop_last: bool = False) -> StructuredPipeline:
         if size <= 0:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.stored import removed, stored
+
 MANIFEST = "dataset.json"
 KINDS = ("image", "class_label", "scalar", "binary", "text")
 
@@ -93,8 +95,9 @@ MOST_BYTES = 1 << 31
 
 
 def convert(splits: dict[str, DataFrame], root: str, name: str, image_column: str = "image", label_column: str = "label", max_rows: int = 1_048_576, most_bytes: int = MOST_BYTES) -> dict:
-    """Writes splits as Parquet (image binary, label int) with at most ``max_rows`` rows and about ``most_bytes`` bytes of
-    images a file, and the manifest."""
+    """Writes splits as Parquet (image binary, label int) with at most ``max_rows`` rows and ``most_bytes`` bytes of images a file (more
+    only where one image is larger than half of that), and the manifest. Rows go to files by the bytes before them, a
+    two-level prefix sum in the order of pos, so one large image makes no other file smaller."""
     m = {"version": 2, "name": name, "features": {"image": {"kind": "image", "column": "image"}, "label": {"kind": "class_label", "column": "label"}}, "splits": {}}
     spark = None
     for split, df in splits.items():
@@ -103,8 +106,21 @@ def convert(splits: dict[str, DataFrame], root: str, name: str, image_column: st
         image = F.col(f"{image_column}.bytes") if kind.startswith("struct") else F.col(image_column)
         extra = [c for c in df.columns if c == "pos"]
         out = df.select(*extra, image.alias("image"), F.col(label_column).cast("int").alias("label"))
-        large = out.agg(F.max(F.octet_length("image"))).first()[0] or 1  # no file holds more than its rows times this
-        out.write.mode("errorifexists").option("maxRecordsPerFile", max(1, min(max_rows, most_bytes // max(1, large)))).parquet(f"{root}/{split}.parquet")
+        kept = None
+        if not extra:  # places that stay what they are when read again
+            kept = out = stored(out.withColumn("pos", F.monotonically_increasing_id()), "rows")
+        sizes = out.select("pos", F.octet_length("image").cast("long").alias("n"), F.expr("pos div 4096").alias("run"))
+        large = sizes.agg(F.max("n")).first()[0] or 0
+        bound = max(most_bytes - large, most_bytes // 2, 1)  # a file's last image may begin just below it
+        totals = sizes.groupBy("run").agg(F.sum("n").alias("total"))
+        before = totals.select("run", (F.sum("total").over(Window.orderBy("run")) - F.col("total")).alias("before"))
+        files = max(1, -(-(totals.agg(F.sum("total")).first()[0] or 1) // bound))
+        at = F.col("before") + F.sum("n").over(Window.partitionBy("run").orderBy("pos")) - F.col("n")
+        places = sizes.join(before, "run").withColumn("file", F.least(F.floor(at / bound), F.lit(files - 1)).cast("int")).select("pos", "file")
+        rows = out.join(places, "pos").repartitionById(files, "file").sortWithinPartitions("pos").select(*extra, "image", "label")
+        rows.write.mode("errorifexists").option("maxRecordsPerFile", max_rows).parquet(f"{root}/{split}.parquet")
+        if kept is not None:
+            removed(kept)
         m["splits"][split] = {"uri": f"{split}.parquet", "num_rows": spark.read.parquet(f"{root}/{split}.parquet").count()}
     checked(m)
     sc = spark.sparkContext

@@ -95,7 +95,7 @@ def read_image_batch(rows: DataFrame, batch_size: int, start: int = 0, as_numpy:
 
     if batch_size <= 0 or start < 0:
         raise ValueError("batch_size must be positive and start not negative")
-    batches = list(to_numpy(Pipeline(rows).skip(start).take(batch_size).decode_image().batch(batch_size).execute()))
+    batches = list(to_numpy(Pipeline(rows).skip(start).take(batch_size).decode_image().batch(batch_size)))
     if not batches:
         raise ValueError(f"no rows from {start} on")
     return batches[0] if as_numpy else as_bytes(batches[0])

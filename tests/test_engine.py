@@ -127,7 +127,7 @@ def test_pipeline_checks_its_steps(pngs):
 
 def test_pipeline_rows_equal_the_kernels(pngs):
     out = Pipeline(pngs).skip(1).take(4).decode_image().resize(9, 6).horizontal_flip().convert_image_dtype("float32").hwc_to_chw().batch(3)
-    got = list(to_numpy(out.execute()))
+    got = list(to_numpy(out))
     assert [len(b["labels"]) for b in got] == [3, 1] and got[0]["images"].shape == (3, 3, 6, 9)
     want = [kernels.to_float(kernels.resize(p, 9, 6)[:, ::-1]).transpose(2, 0, 1) for p in PIXELS[1:5]]
     assert np.array_equal(np.concatenate([b["images"] for b in got]), np.stack(want))
