@@ -83,3 +83,43 @@ def mixed(rows: DataFrame, kind: str, num_classes: int | None, alpha: float, see
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(soft, pa.list_(pa.float32()))], [*out, "soft_label"])
 
     return paired.select(*out, "before").mapInArrow(made, schema)
+
+
+def mixed_batches(rows: DataFrame, kind: str, num_classes: int, alpha: float, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """``rows`` of ``Pipeline.stacked`` with mixed data and soft_labels, a list for each image: the same values as ``mixed`` gives row
+    by row. A batch is in one row, so nothing is shuffled, and each batch is one array operation."""
+    if not (math.isfinite(alpha) and alpha > 0) or num_classes <= 0:
+        raise ValueError("alpha and num_classes must be positive")
+    context, key = Context(seed, epoch), op_key(kind)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                one = b.slice(k, 1)
+                at = {c: one.column(c)[0].as_py() for c in ("batch_id", "n", "h", "w", "c", "dtype", "layout", "labels")}
+                shape = (at["h"], at["w"], at["c"]) if at["layout"] == "HWC" else (at["c"], at["h"], at["w"])
+                px = np.frombuffer(one.column("data")[0].as_buffer(), at["dtype"]).reshape(at["n"], *shape)
+                labels = np.array(at["labels"])
+                if len(bad := labels[(labels < 0) | (labels >= num_classes)]):
+                    raise ValueError(f"label {bad[0]} is out of range")
+                s = context.stream(at["batch_id"], key)
+                lam, old = beta_draw(s, alpha), np.roll(px, 1, axis=0)
+                if kind == "MixUp":
+                    if at["dtype"] != "float32":
+                        raise ValueError("MixUp takes float32 images; convert them first")
+                    lam = np.float32(lam)
+                    px = old * (np.float32(1) - lam) + px * lam
+                else:
+                    x1, y1, x2, y2 = rectangle(s, at["h"], at["w"], lam)
+                    part = (slice(None), slice(y1, y2), slice(x1, x2)) if at["layout"] == "HWC" else (slice(None), slice(None), slice(y1, y2), slice(x1, x2))
+                    px = px.copy()
+                    px[part] = old[part]
+                    lam = np.float32(1 - (x2 - x1) * (y2 - y1) / (at["h"] * at["w"]))
+                hot = (labels[:, None] == np.arange(num_classes)).astype(np.float32)
+                soft = np.roll(hot, 1, axis=0) * (np.float32(1) - lam) + hot * lam
+                new = {"data": pa.array([px.tobytes()], pa.binary())}
+                names = one.schema.names
+                yield pa.RecordBatch.from_arrays([*(new.get(c, one.column(c)) for c in names), pa.array([soft.tolist()], pa.list_(pa.list_(pa.float32())))], [*names, "soft_labels"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", soft_labels array<array<float>>"
+    return rows.mapInArrow(made, schema)

@@ -565,26 +565,27 @@ class Pipeline(Ops):
             schema = STACKED
         return df.select(*[F.col(k).cast("long") if k in ("label", "batch_id") else F.col(k) for k in cols]).mapInArrow(whole if stack else made, schema)
 
-    def _mixed(self, kind: str, num_classes: int, alpha: float) -> DataFrame:
-        from ..operators.mix import mixed
+    def _mixed(self, kind: str, num_classes: int, alpha: float, stacked: bool) -> DataFrame:
+        from ..operators.mix import mixed, mixed_batches
 
         if not self.state.batched or self.state.views > 1:
             raise PipelineError(f"{kind} comes after batch, and not after views")
         if kind == "MixUp" and self.state.dtype != "float32":
             raise PipelineError("mixup takes float32 images; convert them first")
-        return mixed(self.execute(), kind, num_classes, alpha, self._seed(), self.epoch_)
+        run, rows = (mixed_batches, self.stacked()) if stacked else (mixed, self.execute())
+        return run(rows, kind, num_classes, alpha, self._seed(), self.epoch_)
 
     def _seed(self) -> int:
         """The pipeline's seed, or that of its first shuffle."""
         return self.seed_ if self.seed_ is not None else next((a for k, a in self.index if k == "shuffle"), 0)
 
-    def mixup(self, num_classes: int, alpha: float = 1.0) -> DataFrame:
-        """Terminal: the float32 batches with every row mixed with the one before it, and soft labels."""
-        return self._mixed("MixUp", num_classes, alpha)
+    def mixup(self, num_classes: int, alpha: float = 1.0, stacked: bool = False) -> DataFrame:
+        """Terminal: the float32 batches with every row mixed with the one before it, and soft labels; as rows, or ``stacked``."""
+        return self._mixed("MixUp", num_classes, alpha, stacked)
 
-    def cutmix(self, num_classes: int, alpha: float = 1.0) -> DataFrame:
-        """Terminal: the batches with a rectangle of the row before pasted in, and soft labels."""
-        return self._mixed("CutMix", num_classes, alpha)
+    def cutmix(self, num_classes: int, alpha: float = 1.0, stacked: bool = False) -> DataFrame:
+        """Terminal: the batches with a rectangle of the row before pasted in, and soft labels; as rows, or ``stacked``."""
+        return self._mixed("CutMix", num_classes, alpha, stacked)
 
     def explain(self) -> str:
         lines = ["source"] + [f"  {k}({a})" for k, a in self.index]

@@ -93,3 +93,17 @@ def test_windows_by_overlap_check_their_options(spark):
         f = np.float32
         both = float(max(min(x1, f(7)) - max(x0, f(2)), f(0)) * max(min(y1, f(5)) - max(y0, f(1)), f(0)))
         assert got == both / (float((x1 - x0) * (y1 - y0)) + 20.0 - both)
+
+
+@pytest.mark.parametrize("kind", ["mixup", "cutmix"])
+def test_mixing_of_stacked_batches_equals_that_of_rows(spark, kind):
+    images = [RNG.integers(0, 256, (6, 5, 3), dtype=np.uint8) for _ in range(11)]
+    df = spark.createDataFrame([(i, bytearray(kernels.encode_png(x)), i % 3) for i, x in enumerate(images)], "pos long, image binary, label long").repartition(3)
+    p = Pipeline(df).seed(4).epoch(1).shuffle().decode_image().convert_image_dtype("float32")
+    for q in (p.batch(4), p.hwc_to_chw().batch(3)):
+        rows = sorted(getattr(q, kind)(3, 0.7).collect(), key=lambda r: (r["batch_id"], r["batch_pos"]))
+        whole = getattr(q, kind)(3, 0.7, stacked=True).collect()
+        assert b"".join(bytes(r["data"]) for r in whole) == b"".join(bytes(r["data"]) for r in rows)
+        assert [x for r in whole for x in r["soft_labels"]] == [r["soft_label"] for r in rows]
+    with pytest.raises(Exception, match="out of range"):
+        getattr(p.batch(4), kind)(2, stacked=True).collect()
