@@ -4,11 +4,12 @@ x is a vector of 64 numbers, y the same reversed; both are read as matrices of s
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
 from ..functions import tensor as T
-from .queries import EMBEDDINGS_SQL, embeddings, results
+from .queries import EMBEDDINGS_SQL, embeddings, register, results, table
 
 M, C = (8, 8), (4, 4, 4)
 
@@ -98,3 +99,24 @@ results(
 def _steep(x, n: int):
     """Lower triangles with 2 on the diagonal."""
     return F.transform(x, lambda v, k: F.when(k % n == (k / n).cast("int") % n, F.lit(2.0)).when(k % n < (k / n).cast("int") % n, v).otherwise(F.lit(0.0)))
+
+
+_THOUSANDTHS = "list_transform(embedding, lambda x: CAST(trunc(CAST(x AS DOUBLE) * 1000.0) AS BIGINT))"
+
+
+@register(
+    "tensor_typed",
+    f"""WITH t AS (SELECT vec_id, {_THOUSANDTHS} AS v FROM embeddings),
+u AS (SELECT vec_id, v, list_transform(v, lambda x: (x % 256 + 256) % 256) AS u FROM t)
+SELECT vec_id, CAST(list_sum(u) % 256 AS DOUBLE) AS sum8, CAST((list_sum(u) % 256) // 64 AS DOUBLE) AS mean8, CAST(list_max(u) AS DOUBLE) AS most8,
+CAST((list_sum(list_transform(v, lambda x: x * x)) + 32768) % 65536 - 32768 AS DOUBLE) AS square16 FROM u""",
+)
+def tensor_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in thousandths as int16, their bytes as uint8: sums that wrap in their own type, a mean and a largest element."""
+    from ..functions import typed
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", typed.tensor(F.transform("embedding", lambda x: x.cast("double") * 1000.0), (64,), "int16").alias("t"))
+    rows = rows.withColumn("u", typed.to_dtype(F.col("t"), "uint8"))
+    one = lambda c: F.get(typed.values(c), F.lit(0))
+    square = typed.reduce("sum", typed.binary("mul", F.col("t"), F.col("t")), 0)
+    return rows.select("vec_id", one(typed.reduce("sum", F.col("u"), 0)).alias("sum8"), one(typed.reduce("mean", F.col("u"), 0)).alias("mean8"), one(typed.reduce("max", F.col("u"), 0)).alias("most8"), one(square).alias("square16"))
