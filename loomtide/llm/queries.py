@@ -202,10 +202,55 @@ FROM counted x JOIN sums s USING (depth, key) LEFT JOIN nodes p ON x.depth > 0 A
 """
 
 
+def op12_sql() -> str:
+    """Every template at every place, from the fixed templates and phrases."""
+    from .license_scan import PHRASES, SHARE, SLACK, TEMPLATES, split
+
+    value = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    values = lambda rows: ", ".join("(" + ", ".join(map(value, r)) + ")" for r in rows)
+    words = [(t, p, w) for t, x in enumerate(TEMPLATES) for p, w in enumerate(split(x[1]))]
+    keys = [(t, " ".join(split(k))) for t, x in enumerate(TEMPLATES) for k in x[2]]
+    labels = [(t, x[0]) for t, x in enumerate(TEMPLATES)]
+    base = [(label, " ".join(split(p)), len(split(p))) for p, label in PHRASES.items()]
+    return rf"""
+WITH tw AS (SELECT * FROM (VALUES {values(words)}) v(t, p, w)), tk AS (SELECT * FROM (VALUES {values(keys)}) v(t, phrase)),
+tl AS (SELECT * FROM (VALUES {values(labels)}) v(t, label)), tb AS (SELECT * FROM (VALUES {values(base)}) v(label, phrase, size)),
+docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), placed AS (
+  SELECT row, unnest(words) AS w, unnest(range(len(words))) AS place FROM docs
+), weights AS (
+  SELECT w, greatest(1, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT)) AS weight
+  FROM (SELECT k.w, count(DISTINCT d.row) AS df FROM (SELECT DISTINCT w FROM tw) k LEFT JOIN placed d USING (w) GROUP BY k.w), (SELECT count(*) AS n FROM docs WHERE len(words) > 0)
+), passages AS (
+  SELECT t, p, w, weight, sum(weight) OVER (PARTITION BY t) AS total, count(*) OVER (PARTITION BY t) AS size FROM tw JOIN weights USING (w)
+), hits AS (
+  SELECT DISTINCT d.row, t, p, weight, total, size, d.place - p - x.off AS o FROM placed d JOIN passages USING (w), (SELECT unnest(range(-{SLACK}, {SLACK} + 1)) AS off) x
+), near AS (
+  SELECT row, t, o, any_value(total) AS total, any_value(size) AS size, sum(weight) AS found FROM hits GROUP BY row, t, o HAVING 100 * sum(weight) >= {SHARE} * any_value(total)
+), seen AS (
+  SELECT n.row, n.t, n.o, n.found::DOUBLE / n.total::DOUBLE AS share, ' ' || array_to_string(list_slice(words, greatest(o - {SLACK}, 0) + 1, o + size + {SLACK}), ' ') || ' ' AS part FROM near n JOIN docs USING (row)
+), matched AS (
+  SELECT s.row, s.t, s.o, any_value(share) AS share FROM seen s JOIN tk USING (t) GROUP BY s.row, s.t, s.o HAVING bool_and(contains(part, ' ' || phrase || ' '))
+), based AS (
+  SELECT row, label, place FROM (SELECT row, place, w, w || ' ' || lead(w) OVER u AS two, w || ' ' || lead(w) OVER u || ' ' || lead(w, 2) OVER u AS three FROM placed WINDOW u AS (PARTITION BY row ORDER BY place)) x
+  JOIN tb ON phrase = CASE size WHEN 1 THEN w WHEN 2 THEN two ELSE three END
+), told AS (
+  SELECT row, label, share FROM matched JOIN tl USING (t) UNION ALL SELECT row, label, 1.0 FROM based
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.low AS BIGINT) AS first_word, CAST(b.high AS BIGINT) AS last_word,
+  coalesce(b.labels, '') AS base_labels, coalesce(m.labels, '') AS labels, coalesce(m.score, 0.0)::DOUBLE AS score
+FROM docs d LEFT JOIN (SELECT row, count(*) AS n, min(place) AS low, max(place) AS high, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM based GROUP BY row) b USING (row)
+LEFT JOIN (SELECT row, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM told GROUP BY row) m USING (row)
+"""
+
+
 def queries() -> dict:
-    named = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    named = {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and not k.endswith("_sql")}
     return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op11_ranked_search": OP11_SQL, "op13_conversation_trie": OP13_SQL}
+    return {"op3_mixing": OP3_SQL, "op11_ranked_search": OP11_SQL, "op12_license_scan": op12_sql(), "op13_conversation_trie": OP13_SQL}
