@@ -14,6 +14,8 @@ from ..operators import png
 from ..operators.selection import with_pos
 from .arrow_ipc import scan_arrow
 
+#: Paths up to which their order is broadcast, some hundred bytes each.
+MOST_PATHS = 200_000
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
 
 
@@ -51,6 +53,8 @@ def scan_image_folder(spark: SparkSession, root: str) -> DataFrame:
     classes = classes.select("class", (F.row_number().over(by_name) - 1).cast("long").alias("label"), (F.sum("n").over(by_path) - F.col("n")).alias("before"))
     ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy("path")) - 1)
     order = ranked.join(classes, "class").select("path", "label", (F.col("before") + F.col("rank")).cast("long").alias("pos"))
+    # the bytes stay where they are read, unless the paths are too many to be sent to them
+    order = F.broadcast(order) if named.count() <= MOST_PATHS else order
     return files.join(order, "path").select("pos", F.col("content").alias("image"), "label", "class", "path")
 
 
