@@ -8,6 +8,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,37 @@ from ..functions.core import checked
 
 #: Tokens up to which a vocabulary is broadcast; a larger one is joined by a shuffle.
 MAX_TOKENS = 1_000_000
+#: Bytes of text, or of ids, that a task works on at once.
+AT_ONCE = 1 << 22
+#: Fixed: white space of Unicode, as Java has it.
+_SPACES = r"[\t-\r \x{85}\pZ]+"
+
+
+def runs(b: pa.RecordBatch, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, in their order, of about AT_ONCE bytes together; ``size`` has the bytes of each row."""
+    full = np.cumsum(size, dtype=np.int64) // AT_ONCE
+    for start, end in pairwise([0, *(np.flatnonzero(np.diff(full)) + 1).tolist(), b.num_rows]):
+        yield b.slice(start, end - start)
+
+
+def n_bytes(texts: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+
+
+def word_counts(df: DataFrame, name: str = "text") -> DataFrame:
+    """(token, n) of the words that ``tokens.pieces`` finds in a column. A task counts what it has read before it is shuffled, and
+    distinct words become lower case, not texts: no rule of case looks beyond white space."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in runs(b, n_bytes(b.column(0))):
+                found = pc.value_counts(pc.ascii_split_whitespace(part.column(0)).flatten())
+                keep = pc.not_equal(found.field("values"), "")
+                yield pa.RecordBatch.from_arrays([found.field("values").filter(keep), found.field("counts").filter(keep)], ["token", "n"])
+
+    text = checked(F.col(name).isNotNull(), F.col(name), f"{name} is null")
+    found = df.select(text).mapInArrow(counted, "token string, n long")
+    return found.select(F.lower("token").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 @F.pandas_udf(StringType())
@@ -50,47 +83,73 @@ class WordLevel:
         return {r["id"]: r["token"] for r in self.vocabulary.where(F.col("id").isin(*ids)).collect()}
 
     def _special(self) -> tuple[int, int, int]:
-        got = self.token_to_id(self.unknown, self.first, self.last)
-        if missing := [t for t in (self.unknown, self.first, self.last) if t not in got]:
+        names, few = (self.unknown, self.first, self.last), self._table()
+        got = self.token_to_id(*names) if few is None else {t: i for t, i in zip(few[0].to_pylist(), few[1].tolist(), strict=True) if t in names}
+        if missing := [t for t in names if t not in got]:
             raise ValueError(f"the vocabulary has no {', '.join(missing)}")
         return got[self.unknown], got[self.first], got[self.last]
 
-    def _words(self, df: DataFrame, name: str) -> Column:
-        # only texts beyond ASCII go to Python to be composed
-        text = F.coalesce(_composed(F.when(F.length(name) != F.octet_length(name), F.col(name))), F.col(name))
+    def _texts(self, df: DataFrame, names: tuple[str, ...], most: int | None, direction: str) -> DataFrame:
+        """(pos and these columns): texts composed and in lower case; with ``most`` what holds that many words of one end is enough,
+        and the rest is cut off before anything else is done with it."""
         said = F.raise_error(F.concat(F.lit("text is null at row "), F.col("pos").cast("string")))
-        return F.when(F.col(name).isNull(), said).otherwise(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""))
+        df = df.select("pos", *[F.when(F.col(n).isNull(), said).otherwise(F.col(n)).alias(n) for n in names])
+        if most is not None:
+            # one more than that: the first or the last one is empty where white space is at the end
+            words = lambda n: F.split(n, r"(?U)\s+", most + 2 if direction == "right" else -1)
+            df = df.select("pos", *[words(n).alias(n) for n in names])
+            df = df.select("pos", *[F.array_join(tokens.truncate(F.col(n), most + 1, direction), " ").alias(n) for n in names])
+        # only letters from U+0300 on can be composed: other texts do not go to Python for it
+        beyond = lambda n: F.when((F.length(n) != F.octet_length(n)) & F.col(n).rlike(r"[^\x00-\x{2ff}]"), F.col(n))
+        return df.select("pos", *[F.lower(F.coalesce(_composed(beyond(n)), n)).alias(n) for n in names])
+
+    @cached_property
+    def _few(self) -> pa.Table:
+        """The vocabulary, or a row more than MAX_TOKENS of it; made once."""
+        return self.vocabulary.select("token", "id").limit(MAX_TOKENS + 1).toArrow().combine_chunks()
 
     def _table(self) -> tuple[pa.Array, np.ndarray] | None:
         """Tokens and their ids, where they are few enough to be broadcast."""
-        if self.vocabulary.count() > MAX_TOKENS:
+        if self._few.num_rows > MAX_TOKENS:
             return None
-        rows = self.vocabulary.select("token", "id").collect()
-        return pa.array([r["token"] for r in rows], pa.string()), np.array([r["id"] for r in rows], np.int32)
+        names = self._few.column("token").cast(pa.string()).combine_chunks()
+        return names, self._few.column("id").to_numpy().astype(np.int32)
 
-    def ids(self, df: DataFrame, name: str, unknown: int) -> DataFrame:
-        """(pos, ids) of one text column. Words are looked up where their row is; only with a vocabulary over MAX_TOKENS they are
+    def ids(self, df: DataFrame, names: tuple[str, ...], unknown: int, most: int | None = None, direction: str = "right") -> DataFrame:
+        """(pos and a column of ids for each of these text columns); with ``most`` at least that many ids from the ``direction``'s
+        start, where a text has them. Words are looked up where their row is; only with a vocabulary over MAX_TOKENS they are
         shuffled to it."""
         few = self._table()
         if few is not None:
             shared = df.sparkSession.sparkContext.broadcast(few)
 
+            def found(texts: pa.Array) -> pa.Array:
+                tokens, numbers = shared.value
+                words = pc.split_pattern_regex(texts, _SPACES)
+                flat, ends = words.flatten(), np.asarray(words.offsets, np.int64)
+                full = pc.not_equal(flat, "")  # a text may begin or end with white space
+                ends = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))[ends - ends[0]]
+                at = pc.index_in(flat.filter(full), value_set=tokens)
+                return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.fill_null(pc.take(pa.array(numbers), at), unknown))
+
             def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                names, numbers = shared.value
                 for b in batches:
-                    words = b.column("words")
-                    at = pc.index_in(words.flatten(), value_set=names)
-                    ids = pc.fill_null(pc.take(pa.array(numbers), at), unknown)
-                    ends = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(words)))))
-                    yield pa.RecordBatch.from_arrays([b.column("pos"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], ["pos", "ids"])
-
-            return df.select("pos", self._words(df, name).alias("words")).mapInArrow(looked_up, "pos long, ids array<int>")
-        words = df.select("pos", F.posexplode_outer(self._words(df, name)).alias("at", "token"))
-        known = words.join(self.vocabulary.select("token", "id"), "token", "left")
-        told = F.struct("at", F.coalesce("id", F.lit(unknown)).cast("int").alias("id"))
-        # a text without words has one row without a word
-        rows = known.groupBy("pos").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), told))).alias("x"))
-        return rows.select("pos", F.transform("x", lambda x: x["id"]).alias("ids"))
+                    for part in runs(b, sum(n_bytes(b.column(n)) for n in names)):
+                        yield pa.RecordBatch.from_arrays([part.column("pos"), *(found(part.column(n)) for n in names)], ["pos", *names])
+
+            kinds = ", ".join(["pos long", *(f"`{n}` array<int>" for n in names)])
+            return self._texts(df, names, most, direction).mapInArrow(looked_up, kinds)
+        out = None
+        for name in names:
+            split = F.filter(F.split(name, r"(?U)\s+"), lambda w: w != "")
+            words = self._texts(df, (name,), most, direction).select("pos", F.posexplode_outer(split).alias("at", "token"))
+            known = words.join(self.vocabulary.select("token", "id"), "token", "left")
+            told = F.struct("at", F.coalesce("id", F.lit(unknown)).cast("int").alias("id"))
+            # a text without words has one row without a word
+            rows = known.groupBy("pos").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), told))).alias("x"))
+            rows = rows.select("pos", F.transform("x", lambda x: x["id"]).alias(name))
+            out = rows if out is None else out.join(rows, "pos")
+        return out
 
     def encode(self, df: DataFrame, pair: bool = False, add_special_tokens: bool = True, max_length: int | None = None, direction: str = "right") -> DataFrame:
         """(pos, input_ids, attention_mask, token_type_ids); a length limit counts the special tokens, and takes from the
@@ -99,10 +158,9 @@ class WordLevel:
         room = None if max_length is None else max_length - (2 + pair) * add_special_tokens
         if room is not None and room < 0:
             raise ValueError("the special tokens do not fit")
-        rows = self.ids(df, "text", unknown).withColumnRenamed("ids", "a")
-        a, b = F.col("a"), F.array().cast("array<int>")
-        if pair:
-            rows, b = rows.join(self.ids(df, "text_pair", unknown).withColumnRenamed("ids", "b"), "pos"), F.col("b")
+        # of a pair, too, no more than the room is left of either text
+        rows = self.ids(df, ("text", "text_pair")[: 1 + pair], unknown, room, "right" if pair else direction)
+        a, b = F.col("text"), F.col("text_pair") if pair else F.array().cast("array<int>")
         if room is not None:
             a, b = tokens.truncate_pair(a, b, room) if pair else (tokens.truncate(a, room, direction), b)
         one = lambda i: F.array(F.lit(i))
@@ -126,7 +184,7 @@ class WordLevel:
                 names, numbers = shared.value
                 numbers = pa.array(numbers)
                 hide = pa.array(hidden, pa.string())
-                for b in batches:
+                for b in (part for b in batches for part in runs(b, 4 * np.asarray(pc.fill_null(pc.list_value_length(b.column("input_ids")), 0)))):
                     ids = b.column("input_ids")
                     flat = ids.flatten().cast(pa.int32())
                     at = pc.index_in(flat, value_set=numbers)

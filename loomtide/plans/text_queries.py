@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..operators.text import WordLevel
+from ..operators.text import WordLevel, word_counts
 from ..operators.tokenizer_file import TokenizerFile
 from .queries import _WORDS_SQL, register, table, weighed, weighed_sql
 
@@ -22,8 +22,7 @@ def _words_of(text: str) -> str:
 
 
 def tokenizer(spark: SparkSession, sf_dir: str) -> WordLevel:
-    words = table(spark, sf_dir, "documents").select(F.explode(tokens.pieces(F.col("text"))).alias("token"))
-    common = words.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(996)
+    common = word_counts(table(spark, sf_dir, "documents")).orderBy(F.desc("n"), "token").limit(996)
     vocabulary = common.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) + 3).cast("int").alias("id"))
     special = spark.createDataFrame([("[PAD]", 0), ("[UNK]", 1), ("[CLS]", 2), ("[SEP]", 3)], "token string, id int")
     return WordLevel(vocabulary.union(special))

@@ -740,3 +740,52 @@ def test_shuffles_by_selection(spark):
     assert a == places(selection.shuffle(rows.repartition(7), 3000, 7, 1)) != places(selection.shuffle(rows, 3000, 7, 2))
     got = queries.queries()["select_shuffle"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(r["pos"] for r in got) == sorted(r["vec_id"] for r in got) == list(range(500))
+
+
+def test_a_vocabulary_is_made_once_and_texts_are_cut_before_they_travel(spark):
+    from loomtide.operators import text
+    from loomtide.operators.text import WordLevel
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        runs.add(1)
+        yield from batches
+
+    rows = spark.createDataFrame(list(VOCABULARY.items()), "token string, id int").coalesce(1)
+    t = WordLevel(rows.mapInArrow(told, "token string, id int"))
+    long = " River " + "stone NAÏVE 山 " * 40 + "x　"
+    df = spark.createDataFrame([(0, long, "y " * 50), (1, "", "x"), (2, " dull\tx\x1cy ", " ")], "pos long, text string, text_pair string")
+    whole = {r["pos"]: r["input_ids"] for r in t.encode(df, add_special_tokens=False).collect()}
+    assert whole == {0: [4, *[5, 8, 11] * 40, 9], 1: [], 2: [7, 1]}
+    for n in (0, 1, 2, 5, 121, 122, 123):
+        for end, cut in (("right", lambda x: x[:n]), ("left", lambda x: x[max(0, len(x) - n) :])):
+            assert {r["pos"]: r["input_ids"] for r in t.encode(df, add_special_tokens=False, max_length=n, direction=end).collect()} == {k: cut(x) for k, x in whole.items()}
+    second = {0: [10] * 50, 1: [9], 2: []}
+    for n in (0, 1, 7, 60, 200):
+        for r in t.encode(df, pair=True, add_special_tokens=False, max_length=n).collect():
+            a, b = list(whole[r["pos"]]), list(second[r["pos"]])
+            while len(a) + len(b) > n:
+                (a if len(a) > len(b) else b).pop()
+            assert r["input_ids"] == a + b and r["token_type_ids"] == [0] * len(a) + [1] * len(b)
+    t.decode(t.encode(df)).collect()
+    assert runs.value == 1
+    sent = t._texts(df, ("text",), 3, "right").collect()
+    assert max(len(r["text"].split()) for r in sent) <= 4 and len(sent) == 3
+    assert text.AT_ONCE > 0
+
+
+def test_words_are_counted_and_looked_up_in_runs(spark, word_level, monkeypatch):
+    from loomtide.functions import tokens
+    from loomtide.operators import text
+
+    b = pa.RecordBatch.from_pydict({"x": ["a" * k for k in (3, 0, 50, 7, 7, 90, 1)]})
+    monkeypatch.setattr(text, "AT_ONCE", 10)
+    parts = list(text.runs(b, text.n_bytes(b.column(0))))
+    assert len(parts) > 3 and pa.Table.from_batches(parts).to_pydict() == b.to_pydict()
+    said = ["River river\x0bSTONE", "", "  ", "ΣΟΣ Σ naïve x", "\tx x\n", "İx"] * 3
+    df = spark.createDataFrame(list(enumerate(said)), "pos long, text string")
+    want = df.select(F.explode(tokens.pieces(F.col("text"))).alias("token")).groupBy("token").count()
+    assert sorted(text.word_counts(df).collect()) == sorted(want.collect())
+    with pytest.raises(Exception, match="text is null"):
+        text.word_counts(spark.createDataFrame([(0, None)], df.schema)).collect()
