@@ -85,14 +85,16 @@ v AS (SELECT piece, 0 AS later, CAST(row_number() OVER (ORDER BY n DESC, piece)
 
 def _pieces_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token, id): the 400 commonest beginnings of words and the 600 commonest pieces behind them."""
-    words = table(spark, sf_dir, "documents").select(F.explode(tokens.pieces(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    size = F.length("token")
-    heads = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), size)), lambda k: F.substring(F.col("token"), 1, k))).alias("piece"), "n")
-    inner = words.where(size > 1).select("token", "n", F.explode(F.sequence(F.lit(2), size)).alias("at"))
-    inner = inner.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), size - F.col("at") + 1)), lambda k: F.substring(F.col("token"), F.col("at"), k))).alias("piece"), "n")
-    common = lambda rows, most: rows.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
-    told = lambda rows, mark, before: rows.select(F.concat(F.lit(mark), "piece").alias("token"), (F.row_number().over(Window.orderBy(F.desc("n"), "piece")) + before).cast("int").alias("id"))
-    return told(common(heads, 400), "", 0).union(told(common(inner, 600), "##", 400))
+    token, size = F.col("token"), F.length("token")
+    piece = lambda later, at, k: F.struct(F.lit(later).alias("later"), F.substring(token, at, k).alias("piece"))
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.lit(4), size)), lambda k: piece(False, F.lit(1), k))
+    inner = lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), size - at + 1)), lambda k: piece(True, at, k))
+    behind = F.when(size > 1, F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), size)), inner))).otherwise(F.slice(heads, 1, 0))
+    # words are counted once for both kinds
+    found = word_counts(table(spark, sf_dir, "documents")).select(F.explode(F.concat(heads, behind)).alias("p"), "n").groupBy("p.later", "p.piece").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("later").orderBy(F.desc("n"), "piece"))
+    common = found.withColumn("rank", rank).where(F.col("rank") <= 600).where(F.col("later") | (F.col("rank") <= 400))
+    return common.select(F.concat(F.when(F.col("later"), "##").otherwise(""), "piece").alias("token"), (F.col("rank") + F.when(F.col("later"), 400).otherwise(0)).cast("int").alias("id"))
 
 
 @register(

@@ -130,3 +130,22 @@ def test_word_pieces_by_the_plain_rule():
     fast, began = WordPiece(deep, 0, longest=1 << 20), time.process_time()
     assert fast("a" * 200_000) == [1] + [2] * 199_999
     assert time.process_time() - began < 3
+
+
+def test_words_that_are_kept_are_bounded_and_rows_go_in_runs(spark, monkeypatch):
+    """One batch of many distinct words and long texts: the ids are the same, and neither words nor rows pile up."""
+    from loomtide.operators import text, tokenizer_file
+
+    vocabulary = {"[UNK]": 0} | {c: i + 1 for i, c in enumerate("abcdefghij")} | {f"##{c}": i + 11 for i, c in enumerate("abcdefghij")}
+    t = tokenizer_file.TokenizerFile(json.dumps({"version": "1.0", "normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "WhitespaceSplit"}, "model": {"type": "WordPiece", "unk_token": "[UNK]", "vocab": vocabulary}}))
+    words = [a + b + c for a in "ABCDEFGHIJ" for b in "abcdefghij" for c in "abcdefghij"]
+    ids = lambda w: [vocabulary[w[0].lower()], vocabulary[f"##{w[1]}"], vocabulary[f"##{w[2]}"]]
+    monkeypatch.setattr(tokenizer_file, "MOST_KNOWN", 7)
+    known = {}
+    assert list(t.pieces(" ".join([*words, "a" * 500]), known)) == [i for w in words for i in ids(w)] + [0] and len(known) <= 7
+    assert t._normal("ΟΔΟΣ İ É") == "".join(c.lower() for c in "ΟΔΟΣ İ É")
+    monkeypatch.undo()
+    monkeypatch.setattr(text, "AT_ONCE", 64)
+    df = spark.createDataFrame([(k, " ".join(words[k : k + k % 40])) for k in range(300)], "pos long, text string").coalesce(1)
+    rows = {r["pos"]: r["input_ids"] for r in t.encode(df).collect()}
+    assert rows == {k: [i for w in words[k : k + k % 40] for i in ids(w)] for k in range(300)}
