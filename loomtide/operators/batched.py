@@ -69,8 +69,11 @@ def _each(f: np.ndarray | float) -> np.ndarray:
 
 
 def blend(px: Images, base, f) -> Images:
-    b = np.asarray(base).astype(np.float32)
-    return np.clip(b + _each(f) * (px.astype(np.float32) - b), 0, 255).astype(np.uint8)
+    b, x = np.asarray(base).astype(np.float32), px.astype(np.float32)
+    x -= b
+    x *= _each(f)
+    x += b
+    return np.clip(x, 0, 255, out=x).astype(np.uint8)
 
 
 def contrast(px: Images, f) -> Images:

@@ -614,6 +614,11 @@ def _raw_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("pos"), image.alias("image"), F.col("label").cast("long").alias("label"), F.lit(4).alias("h"), F.lit(4).alias("w"), F.lit(4).alias("c"))
 
 
+def _dealt(rows: DataFrame, key: str, each: int) -> DataFrame:
+    """Rows dealt evenly to tasks of about ``each`` of them, so there are more tasks with more rows; 16 at least."""
+    return rows.repartition(max(16, -(-rows.count() // each)), key)
+
+
 @register(
     "pipeline_flip_posterize",
     f"""SELECT CAST(vec_id - 10 AS BIGINT) AS pos, CAST((vec_id - 10) // 32 AS BIGINT) AS batch_id, label, {number_sql('list_sum(' + _K.format('(px[((k // 12) * 4 + 3 - (k // 3) % 4) * 3 + k % 3 + 1] & 240) * (k + 1)') + ')')} AS pixels
@@ -676,11 +681,13 @@ def pipeline_imagenet(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.images import encoded_png
     from .pipeline import Pipeline
 
+    # what the images are made of is dealt out, not the images
+    vectors = _dealt(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), "vec_id", 512)
     band = F.transform("embedding", lambda x: F.repeat(F.substring(F.md5(x.cast("string")), 1, 24), 128))
-    rows = table(spark, sf_dir, "embeddings").select(
+    rows = vectors.select(
         F.col("vec_id").alias("pos"), F.to_binary(F.array_join(band, ""), F.lit("utf-8")).alias("image"), F.col("label").cast("long").alias("label"), *[F.lit(n).alias(k) for k, n in (("h", 256), ("w", 256), ("c", 3))]
     )
-    p = Pipeline(encoded_png(rows.repartition(16, "pos"))).seed(42).decode_image().random_resized_crop(224).random_horizontal_flip()
+    p = Pipeline(encoded_png(rows)).seed(42).decode_image().random_resized_crop(224).random_horizontal_flip()
     p = p.color_jitter(0.4, 0.4, 0.1, 0.4).normalize((0.485, 0.456, 0.406), (0.229, 0.224, 0.225)).hwc_to_chw().batch(64)
     return p.execute().select("pos", "batch_id", "batch_pos", "label", "dtype", F.crc32("data").alias("checksum"))
 

@@ -6,8 +6,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomtide.operators import codecs, jpeg, png
+from loomtide.operators import codecs, jpeg, kernels, png
 from loomtide.plans.pipeline import Pipeline, PipelineError, Transform
 
 RNG = np.random.default_rng(21)
@@ -176,3 +177,40 @@ def test_jpeg_in_pipelines(spark, jvm):
         Pipeline(df).decode_image().to_dtype("float32").jpeg(80)
     with pytest.raises(ValueError):
         jpeg.compressed(np.zeros((1, 4, 4, 2), np.uint8), 50)
+
+
+def test_images_are_dealt_by_their_number(spark, tmp_path):
+    """More rows go to more tasks, and what is shuffled are vectors, not images."""
+    from loomtide.plans import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    shifted = F.explode(F.sequence(F.lit(0), F.lit(29))).alias("again")
+    rows.select("*", shifted).withColumn("vec_id", F.col("vec_id") + 1000 * F.col("again")).drop("again").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert rows.count() * 30 > 8192
+    few, many = (queries.queries()["pipeline_imagenet"](spark, d) for d in ("/root/testdata/sf0.001", str(tmp_path)))
+    assert few.rdd.getNumPartitions() == 16 < many.rdd.getNumPartitions()
+    exchange = next(x for x in many._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Repartition" in x)
+    below = many._jdf.queryExecution().optimizedPlan().toString().split(exchange)[1]
+    assert "image" not in below
+
+
+def test_hue_goes_in_blocks(monkeypatch):
+    """The same bytes whatever a block takes, for one turn and one each, and the plain rule by pixel."""
+    px = np.random.default_rng(5).integers(0, 256, (3, 9, 11, 3), dtype=np.uint8)
+    px[0, 0, :, 1:] = px[0, 0, :, :1]  # greys
+    f = np.array([0.2, -0.4, 0.0], np.float32)
+    whole = kernels.hue(px, f)
+    monkeypatch.setattr(kernels, "HUE_PIXELS", 10)
+    assert (kernels.hue(px, f) == whole).all() and all((kernels.hue(px[i], float(f[i])) == whole[i]).all() for i in range(3))
+    for p, q in zip(px[0].reshape(-1, 3).astype(float).tolist(), whole[0].reshape(-1, 3).tolist(), strict=True):
+        hi, lo = max(p), min(p)
+        h8, s8 = 0, int(np.float32((hi - lo) * 255) / np.float32(hi or 1))
+        if hi > lo:
+            r, g, b = ((np.float32(hi) - np.float32(x)) / np.float32(hi - lo) for x in p)
+            h = (b - g if p[0] == hi else np.float32(2) + r - b if p[1] == hi else np.float32(4) + g - r) / np.float32(6) + np.float32(1)
+            h8 = min(255, int((h - np.floor(h)) * np.float32(255)))
+        x = np.float32((h8 + int(np.float32(0.2) * 255)) & 255) * np.float32(6) / np.float32(255)
+        s, t = np.float32(s8) / np.float32(255), float(x) - np.floor(x)
+        near = lambda z: int(hi * float(z) + 0.5)
+        v, a, b, c = int(hi), near(1 - s), near(1 - s * t), near(1 - s * (1 - t))
+        assert q == list([(v, c, a), (b, v, a), (a, v, c), (a, b, v), (c, a, v), (v, a, b)][int(x) % 6])
