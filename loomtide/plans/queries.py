@@ -667,7 +667,9 @@ def pipeline_cifar_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pipeline import Pipeline
 
     digits = F.sha2(F.concat_ws(":", "event_id", "props"), 512)
-    rows = table(spark, sf_dir, "events").select(
+    # a file of a few row groups would be the work of a few tasks
+    events = _dealt(table(spark, sf_dir, "events").select("event_id", "props", "user_id"), "event_id", 16_384)
+    rows = events.select(
         F.col("event_id").alias("pos"), F.to_binary(F.substring(F.repeat(digits, 24), 1, 3072), F.lit("utf-8")).alias("image"), (F.col("user_id") % 10).alias("label"), *[F.lit(n).alias(k) for k, n in (("h", 32), ("w", 32), ("c", 3))]
     )
     p = Pipeline(encoded_png(rows)).seed(42).decode_image().random_crop(32, padding=4).random_horizontal_flip()

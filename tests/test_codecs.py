@@ -214,3 +214,27 @@ def test_hue_goes_in_blocks(monkeypatch):
         near = lambda z: int(hi * float(z) + 0.5)
         v, a, b, c = int(hi), near(1 - s), near(1 - s * t), near(1 - s * (1 - t))
         assert q == list([(v, c, a), (b, v, a), (a, v, c), (a, b, v), (c, a, v), (v, a, b)][int(x) % 6])
+
+
+def test_plain_files_are_one_array_and_events_are_dealt(spark, tmp_path, monkeypatch):
+    from loomtide.plans import queries
+
+    rng = np.random.default_rng(8)
+    images = [rng.integers(0, 256, (h, w, c), dtype=np.uint8) for h, w, c in ((5, 7, 3), (5, 7, 3), (5, 7, 4), (9, 2, 3), (5, 7, 1), (5, 7, 3))]
+    files = [png.encode(x) for x in images]
+    rows = np.concatenate([np.arange(5, dtype=np.uint8).reshape(5, 1), images[0].reshape(5, 21)], axis=1)  # all kinds of filters
+    files.append(png_file(7, 5, 8, 2, rows.tobytes()))
+    want = [png._decoded([x])[0] for x in files]
+    alone, seen = png._decoded, []
+    monkeypatch.setattr(png, "_decoded", lambda some: seen.extend(some) or alone(some))
+    got = png.decode(files)
+    assert all(a.shape == b.shape and (a == b).all() for a, b in zip(got, want, strict=True)) and seen == [files[4]]
+    bad = bytearray(rows.tobytes())
+    bad[22] = 5
+    for lines, said in ((bytes(bad), "filter that is not known"), (rows.tobytes()[:-1], "ends early")):
+        with pytest.raises(ValueError, match=said):
+            png.decode([files[0], png_file(7, 5, 8, 2, lines)])
+    with pytest.raises(ValueError, match="damaged"):
+        png.decode([files[0][:45] + b"\xff\xff" + files[0][47:]])
+    spark.range(300_000).selectExpr("id as event_id", "'{}' as props", "id as user_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert queries.queries()["pipeline_cifar_png"](spark, str(tmp_path)).rdd.getNumPartitions() == 19
