@@ -26,8 +26,8 @@ from ..functions.core import checked
 MAX_TOKENS = 1_000_000
 #: Bytes of text, or of ids, that a task works on at once.
 AT_ONCE = 1 << 22
-#: Fixed: white space of Unicode, as Java has it.
-_SPACES = r"[\t-\r \x{85}\pZ]+"
+#: Fixed: white space of Unicode beyond ASCII, as Java has it.
+_WIDE_SPACES = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def runs(b: pa.RecordBatch, size: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -125,11 +125,13 @@ class WordLevel:
 
             def found(texts: pa.Array) -> pa.Array:
                 tokens, numbers = shared.value
-                words = pc.split_pattern_regex(texts, _SPACES)
+                if pc.any(pc.match_substring_regex(texts, _WIDE_SPACES)).as_py():
+                    texts = pc.replace_substring_regex(texts, _WIDE_SPACES, " ")
+                words = pc.ascii_split_whitespace(texts)
                 flat, ends = words.flatten(), np.asarray(words.offsets, np.int64)
-                full = pc.not_equal(flat, "")  # a text may begin or end with white space
-                ends = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))[ends - ends[0]]
-                at = pc.index_in(flat.filter(full), value_set=tokens)
+                full = n_bytes(flat) > 0  # a text may begin or end with white space
+                ends = np.concatenate(([0], np.cumsum(full)))[ends - ends[0]]
+                at = pc.index_in(flat, value_set=tokens).filter(pa.array(full))
                 return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.fill_null(pc.take(pa.array(numbers), at), unknown))
 
             def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,19 +185,18 @@ class WordLevel:
             def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names, numbers = shared.value
                 numbers = pa.array(numbers)
-                hide = pa.array(hidden, pa.string())
+                said = pc.invert(pc.is_in(names, value_set=pa.array(hidden, pa.string()))).to_numpy(zero_copy_only=False)
+                said = np.append(said, False)  # for a null
                 for b in (part for b in batches for part in runs(b, 4 * np.asarray(pc.fill_null(pc.list_value_length(b.column("input_ids")), 0)))):
                     ids = b.column("input_ids")
                     flat = ids.flatten().cast(pa.int32())
-                    at = pc.index_in(flat, value_set=numbers)
-                    if missing := np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False) & flat.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    at = np.asarray(pc.fill_null(pc.index_in(flat, value_set=numbers), -1))
+                    if missing := np.flatnonzero((at < 0) & flat.is_valid().to_numpy(zero_copy_only=False)).tolist():
                         raise ValueError(f"no token has the id {flat[missing[0]].as_py()}")
-                    words = pc.take(names, at)
-                    keep = pc.and_(words.is_valid(), pc.invert(pc.is_in(words, value_set=hide))).to_numpy(zero_copy_only=False)
+                    keep = said[at]
                     size = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
-                    kept = np.bincount(np.repeat(np.arange(len(size)), size), keep, minlength=len(size)).astype(np.int64)
-                    ends = np.concatenate(([0], np.cumsum(kept)))
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.filter(pa.array(keep)))
+                    ends = np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], np.cumsum(size)))]
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.take(names, pa.array(at[keep])))
                     yield pa.RecordBatch.from_arrays([b.column("pos"), pc.binary_join(lists, " ")], ["pos", "text"])
 
             return df.select("pos", "input_ids").mapInArrow(joined, "pos long, text string")

@@ -789,3 +789,17 @@ def test_words_are_counted_and_looked_up_in_runs(spark, word_level, monkeypatch)
     assert sorted(text.word_counts(df).collect()) == sorted(want.collect())
     with pytest.raises(Exception, match="text is null"):
         text.word_counts(spark.createDataFrame([(0, None)], df.schema)).collect()
+
+
+def test_words_are_split_without_a_pattern_and_hidden_tokens_go_by_their_place(spark, word_level):
+    # every white space of Unicode parts words, and what only looks like it does not
+    spaces = [chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    said = [f"{c}River{c}{c}stone{c}" for c in spaces] + [f"river{c}stone" for c in "\x1c\x1f᠎​⁠﻿"] + ["", " ", "　", "river"]
+    df = spark.createDataFrame(list(enumerate(said)), "pos long, text string").coalesce(1)
+    ids = {r["pos"]: r["input_ids"] for r in word_level.encode(df, add_special_tokens=False).collect()}
+    k = len(spaces)
+    assert ids == {**{i: [4, 5] for i in range(k)}, **{i: [1] for i in range(k, k + 6)}, k + 6: [], k + 7: [], k + 8: [], k + 9: [4]}
+    rows = spark.createDataFrame([(0, [2, 4, None, 1, 5, 3, 0]), (1, None), (2, []), (3, [2, 3]), (4, [5])], "pos long, input_ids array<int>").coalesce(1)
+    assert {r["pos"]: r["text"] for r in word_level.decode(rows).collect()} == {0: "river stone", 1: "", 2: "", 3: "", 4: "stone"}
+    whole = {r["pos"]: r["text"] for r in word_level.decode(rows, skip_special_tokens=False).collect()}
+    assert whole == {0: "[CLS] river [UNK] stone [SEP] [PAD]", 1: "", 2: "", 3: "[CLS] [SEP]", 4: "stone"}
