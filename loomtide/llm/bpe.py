@@ -4,9 +4,11 @@ For every new word greedy longest match proposes tokens. A row of tokens is what
 only if, no merge crosses between two neighbours; that is tested for all adjacent pairs of all new words at once, by
 walking down the facing edges of both tokens' merge trees. Only words with a failing pair are merged step by step.
 
-The tokenizer file is read on the driver and broadcast (a fixed size). Words are cached per task process, at most
-MOST_CACHED at a time. Null and empty texts have no tokens and decode to the empty text; special tokens in a text are
-tokens, as in the library; texts are whole however long; every row, repeated ones too, is encoded by itself.
+The tokenizer file is read on the driver and broadcast (a fixed size). A task works on AT_ONCE bytes of text at a time and
+caches the words of the last of them, at most 2 * MOST_CACHED besides those at hand. When it ends the cache goes, since Spark's
+processes live on beside the tasks of other stages; only the vocabulary stays for the next task. Null and empty texts have no
+tokens and decode to the empty text; special tokens in a text are tokens, as in the library; texts are whole however long;
+every row, repeated ones too, is encoded by itself.
 """
 
 from __future__ import annotations
@@ -15,15 +17,21 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_CACHED = 200_000
+#: Words after which a new cache begins; the one before it is still looked in.
+MOST_CACHED = 100_000
+#: Bytes of text that a task works on at once; a longer text is whole.
+AT_ONCE = 1 << 20
 #: Letters up to which merging looks for the lowest rank in a list; longer words keep their pairs in a heap.
 SHORT = 100
 END = "</w>"
@@ -178,7 +186,12 @@ class Encoder:
         self.split = regex.compile(SPLIT)
         self.letters = byte_letters()
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache: of a word the ids, as little-endian 32-bit integers."""
+        self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens in order; a special token is a word with a NUL before it."""
@@ -194,37 +207,49 @@ class Encoder:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would make a final sigma
         return self.split.findall(text.lower())
 
-    def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > MOST_CACHED:
-            self.cache = {}
-            new = list(words)
+    def learn(self, words: set[str]) -> None:
+        if len(self.cache) + len(words) > MOST_CACHED:
+            self.before, self.cache = self.cache, {}
+        missing = [w for w in words if w not in self.cache]
+        self.cache |= {w: self.before[w] for w in missing if w in self.before}
+        new = [w for w in missing if w not in self.before]
         plain = [w for w in new if w[0] != "\0" or w[1:] not in self.v.special]
         spelled = [w if w.isascii() and w.isprintable() else "".join(self.letters[b] for b in w.encode()) for w in plain]
         for w, ids in zip(plain, self.v.encoded(spelled), strict=True):
-            self.cache[w] = (np.array(ids, "<u4").tobytes(), " ".join(self.v.tokens[i] for i in ids))
+            self.cache[w] = np.array(ids, "<u4").tobytes()
         for w in new:
             if w not in self.cache:
-                self.cache[w] = (np.array([self.v.special[w[1:]]], "<u4").tobytes(), w[1:])
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-        """For each text the ids as little-endian 32-bit integers, and what they decode to."""
-        for first in range(0, len(texts), 256):
-            rows = [self.words(t or "") for t in texts[first : first + 256]]
+                self.cache[w] = np.array([self.v.special[w[1:]]], "<u4").tobytes()
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """For each text the ids as little-endian 32-bit integers."""
+        full = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(full)) + 1).tolist(), len(texts)]
+        for start, end in ((k, min(k + 256, z)) for a, z in pairwise(cuts) for k in range(a, z, 256)):
+            rows = [self.words(t or "") for t in texts.slice(start, end - start).to_pylist()]
             self.learn({w for r in rows for w in r})
             for r in rows:
-                got = [self.cache[w] for w in r]
-                yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+                yield b"".join([self.cache[w] for w in r])
+
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[tuple[bytes, str]]:
+        """For each text its ids, and what they decode to."""
+        for ids in self.ids(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())):
+            yield ids, " ".join([self.v.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 _encoders: dict[int, Encoder] = {}
 
 
-def _encoder(text: str) -> Encoder:
+@contextmanager
+def _encoder(text: str) -> Iterator[Encoder]:
+    """The process's encoder, whose cache goes at the end of the block."""
     key = hash(text)
     if key not in _encoders:
         _encoders[key] = Encoder(text)
-    return _encoders[key]
+    try:
+        yield _encoders[key]
+    finally:
+        _encoders[key].forget()
 
 
 def _shared(docs: DataFrame, path: str):
@@ -237,11 +262,11 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     file = _shared(docs, path)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(file.value)
-        for b in batches:
-            got = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in e.encode(b.column("text").to_pylist())]
-            cols = list(zip(*got, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), *[pa.array(c, pa.string()) for c in cols[1:]]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _encoder(file.value) as e:
+            for b in batches:
+                got = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in e.encode(b.column("text"))]
+                cols = list(zip(*got, strict=True)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), *[pa.array(c, pa.string()) for c in cols[1:]]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(made, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -252,10 +277,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     file = _shared(docs, path)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(file.value)
-        for b in batches:
-            got = [np.frombuffer(i, "<u4").astype(np.int32) for i, _ in e.encode(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        with _encoder(file.value) as e:
+            for b in batches:
+                got = [np.frombuffer(i, "<i4") for i in e.ids(b.column("text"))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(made, "doc_id long, ids array<int>")
@@ -267,7 +292,8 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     file = _shared(rows, path)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _encoder(file.value).v.tokens
+        with _encoder(file.value) as e:
+            tokens = e.v.tokens
         for b in batches:
             out = [" ".join(tokens[i] for i in ids or [] if i in tokens) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -29,6 +30,28 @@ def test_bpe_equals_the_library(spark, odd, empty):
     assert {r["doc_id"]: r["text"] for r in back} == {r["doc_id"]: t.decode(t.encode(r["text"], add_special_tokens=False).ids, skip_special_tokens=False) for r in special.collect()}
 
 
+def test_a_task_leaves_no_words_behind(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "sha2(string(id), 256) AS text")
+    assert bpe.encode(rows, PATH).selectExpr("sum(size(ids))").first()[0] > 3000
+
+    def look(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(e.cache) for e in bpe._encoders.values()]}, pa.schema([("n", pa.int64())]))
+
+    left = [r["n"] for r in spark.range(0, 32, 1, 32).mapInArrow(look, "n long").collect()]
+    assert left and not any(left)  # processes that encoded are there, their words are not
+
+
+def test_words_that_a_cache_drops_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_CACHED", 40)
+    monkeypatch.setattr(bpe, "AT_ONCE", 300, raising=False)
+    e, t = bpe.Encoder(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH)
+    texts = [" ".join(f"w{'abcdefghij'[k % 10]}{'klmnopq'[k % 7]} the {k}" for k in range(n, n + 9)) for n in range(300)] + [None, "", "one word " * 500, "<|endoftext|>"]
+    for text, (ids, _) in zip(texts, e.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
+        assert len(e.cache) <= 100 and len(e.before) <= 100
+
+
 def test_pair_test_is_the_merging():
     v = bpe.Encoder(open(PATH, encoding="utf-8").read()).v
     rng = np.random.default_rng(2)
