@@ -26,6 +26,8 @@ from ..functions.core import checked
 MAX_TOKENS = 1_000_000
 #: Bytes of text, or of ids, that a task works on at once.
 AT_ONCE = 1 << 22
+#: Words whose counts a task keeps; with more it tells them and begins anew.
+MAX_KEPT = 1 << 20
 #: Fixed: white space of Unicode beyond ASCII, as Java has it.
 _WIDE_SPACES = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -41,17 +43,29 @@ def n_bytes(texts: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.binary_length(texts), 0))
 
 
-def word_counts(df: DataFrame, name: str = "text") -> DataFrame:
-    """(token, n) of the words that ``tokens.pieces`` finds in a column. A task counts what it has read before it is shuffled, and
-    distinct words become lower case, not texts: no rule of case looks beyond white space."""
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n) of a task's texts, words with A-Z in lower case: one row a word, and more only beyond MAX_KEPT words."""
+    held: list[pa.Table] = []
+
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")]).select(["token", "n_sum"]).rename_columns(["token", "n"])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in runs(b, n_bytes(b.column(0))):
-                found = pc.value_counts(pc.ascii_split_whitespace(part.column(0)).flatten())
-                keep = pc.not_equal(found.field("values"), "")
-                yield pa.RecordBatch.from_arrays([found.field("values").filter(keep), found.field("counts").filter(keep)], ["token", "n"])
+    for b in batches:
+        for part in runs(b, n_bytes(b.column(0))):
+            found = pc.value_counts(pc.ascii_split_whitespace(pc.ascii_lower(part.column(0))).flatten())
+            words = pa.table([found.field("values"), found.field("counts")], ["token", "n"])
+            held.append(words.filter(pc.not_equal(found.field("values"), "")))
+            if sum(h.num_rows for h in held) > 2 * MAX_KEPT:
+                held = [summed()]
+                if held[0].num_rows > MAX_KEPT:
+                    yield from held.pop().to_batches(1 << 16)
+    if held:
+        yield from summed().to_batches(1 << 16)
 
+
+def word_counts(df: DataFrame, name: str = "text") -> DataFrame:
+    """(token, n) of the words that ``tokens.pieces`` finds in a column. A task sums its counts before the JVM and the shuffle get them.
+    Letters beyond ASCII become lower case in distinct words, not in texts: no rule of case looks beyond white space."""
     text = checked(F.col(name).isNotNull(), F.col(name), f"{name} is null")
     found = df.select(text).mapInArrow(counted, "token string, n long")
     return found.select(F.lower("token").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))

@@ -803,3 +803,20 @@ def test_words_are_split_without_a_pattern_and_hidden_tokens_go_by_their_place(s
     assert {r["pos"]: r["text"] for r in word_level.decode(rows).collect()} == {0: "river stone", 1: "", 2: "", 3: "", 4: "stone"}
     whole = {r["pos"]: r["text"] for r in word_level.decode(rows, skip_special_tokens=False).collect()}
     assert whole == {0: "[CLS] river [UNK] stone [SEP] [PAD]", 1: "", 2: "", 3: "[CLS] [SEP]", 4: "stone"}
+
+
+def test_a_task_tells_each_word_once(monkeypatch):
+    from collections import Counter
+
+    from loomtide.operators import text
+
+    texts = [f"The the {'abcdefg'[k % 7]} {'XyZ'[k % 3]}\tÄ{k % 5} \n" for k in range(90)] + ["", "  "]
+    batches = [pa.RecordBatch.from_pydict({"text": texts[k : k + 40]}) for k in range(0, len(texts), 40)]
+    want = Counter(w.replace("T", "t").replace("X", "x").replace("Z", "z") for t in texts for w in t.split())
+    monkeypatch.setattr(text, "AT_ONCE", 100)
+    for most, once in ((1 << 20, True), (4, False), (12, False)):
+        monkeypatch.setattr(text, "MAX_KEPT", most)
+        got = [r for b in text.counted(iter(batches)) for r in b.to_pylist()]
+        assert (len(got) == len(want)) == once or most == 12
+        assert sum((Counter({r["token"]: r["n"]}) for r in got), Counter()) == want
+    assert list(text.counted(iter([]))) == [] and not any(b.num_rows for b in text.counted(iter(batches[:0])))
