@@ -29,12 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read again: lineage ends there, and a lost
-    executor costs a re-read. The table stays until the folder is cleared, as checkpoints do, or until its ``Scratch`` ends."""
+def settled(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder, with the writer's ``options``, and read again: lineage ends
+    there, and a lost executor costs a re-read. The table stays until the folder is cleared, as checkpoints do, or until its ``Scratch`` ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_path = path
     if inside := _scratch.get():

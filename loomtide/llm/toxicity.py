@@ -29,6 +29,9 @@ from .common import Scratch, crc32_mod, settled, utf8_blocks
 BUCKETS = 1 << 18
 ORDERS = (4, 5, 6)
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
+#: Bytes of text whose features are one row (a longer text is one: 0.5 MB at most), rows of a file, and tasks that sum slopes.
+#: Readers and Arrow take a whole file's rows at once, in the JVM and beside it.
+ROW_BYTES, FILE_ROWS, SLOPE_TASKS = 1 << 16, 16, 6
 #: Documents that are added to the counts of a bucket, dealt to the classes by their sizes.
 SMOOTH = 1.0
 #: Standard errors at which a ratio keeps half of itself.
@@ -84,13 +87,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         p, q = add("p"), add("q")
         ratio = np.where(p + q, ratios(p, q, toxic, clean, chance), 0.0)  # buckets of no text have none
         value = ratio / np.sqrt(max(1e-12, ((p + q) * ratio**2).sum() / (toxic + clean)))  # features of unit mean square
-        told = settled(rows.coalesce(4).mapInArrow(_featured, "toxic binary, sizes binary, f binary"), "features")
+        told = settled(rows.coalesce(SLOPE_TASKS).mapInArrow(_featured, "toxic binary, sizes binary, low binary"), "features", maxRecordsPerFile=FILE_ROWS)
         weigh = (TOXIC_SHARE / toxic, (1 - TOXIC_SHARE) / clean)
 
         def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
             """Loss and gradient at coefficients ``x`` (the last is the intercept); one row a task comes back."""
             shared = docs.sparkSession.sparkContext.broadcast(((x[:-1] * value).astype(np.float32), x[-1], weigh))
-            parts = told.coalesce(4).mapInArrow(lambda batches: _slopes(batches, *shared.value), "loss double, bias double, g binary").collect()
+            parts = told.coalesce(SLOPE_TASKS).mapInArrow(lambda batches: _slopes(batches, *shared.value), "loss double, bias double, g binary").collect()
             shared.destroy()
             g = np.append(sum((np.frombuffer(r["g"], np.float32) for r in parts), np.zeros(BUCKETS)) * value, sum(r["bias"] for r in parts))
             g[:-1] += RIDGE * x[:-1]
@@ -133,13 +136,24 @@ def descended(slope: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.nda
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each block of texts: their labels, how many features each has, and all features, as plain bytes."""
+    """A row for each block of texts, as plain bytes: their labels; by the upper bits of a bucket and then by text, how many
+    features there are; the lower 16 bits of all features in that order."""
     for b in batches:
         toxic = b.column("toxic").to_numpy() > 0
-        for at, o, d in utf8_blocks(_lower(b.column("text"))):
+        for at, o, d in utf8_blocks(_lower(b.column("text")), ROW_BYTES):
             got = list(features(o, d))
-            parts = toxic[at : at + len(got)], np.array([len(f) for f in got], np.int32), np.concatenate([*got, np.empty(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["toxic", "sizes", "f"])
+            flat, text = np.concatenate(got), np.repeat(np.arange(len(got)), [len(f) for f in got])
+            upper = flat >> 16
+            sizes = np.bincount(upper * len(got) + text, minlength=(BUCKETS >> 16) * len(got)).astype(np.int32)
+            parts = toxic[at : at + len(got)], sizes, flat[np.argsort(upper, kind="stable")].astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["toxic", "sizes", "low"])
+
+
+def _told(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row of ``_featured``: the labels, and of every feature the text and the bucket."""
+    y, size, low = (np.frombuffer(b.column(c)[k].as_buffer(), t) for c, t in (("toxic", bool), ("sizes", np.int32), ("low", np.uint16)))
+    upper, text = np.divmod(np.arange(len(size)), len(y))
+    return y, np.repeat(text, size), np.repeat(upper << 16, size) + low
 
 
 def _slopes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float, weigh: tuple[float, float]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +162,8 @@ def _slopes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float,
     g = np.zeros(BUCKETS)
     for b in batches:
         for k in range(b.num_rows):
-            y, size, flat = (np.frombuffer(b.column(c)[k].as_buffer(), t) for c, t in (("toxic", bool), ("sizes", np.int32), ("f", np.int32)))
-            row = np.repeat(np.arange(len(size)), size)
-            z = np.bincount(row, weights[flat], minlength=len(size)) + bias
+            y, row, flat = _told(b, k)
+            z = np.bincount(row, weights[flat], minlength=len(y)) + bias
             w = np.where(y, *weigh)
             d = w * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
             loss += float((w * np.logaddexp(0, np.where(y, -z, z))).sum())

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtide.llm import knn_quality, toxicity
-from loomtide.llm.common import utf8_blocks
+from loomtide.llm.common import settled, utf8_blocks
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,6 +100,25 @@ def test_features_are_distinct_and_inside_texts():
     assert all(len(set(g.tolist())) == len(g) for g in got)
 
 
+def test_rows_of_features_are_small_and_whole(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghijklmnop "), n)) for n in (400_000, *[30_000] * 20, 0, 3)]
+    toxic = [int(k % 3 == 0) for k in range(len(texts))]
+    rows = list(toxicity._featured(iter([pa.RecordBatch.from_pydict({"toxic": pa.array(toxic, pa.int32()), "text": texts})])))
+    assert max(sum(len(c[0].as_py()) for c in r.columns) for r in rows) < 600_000  # of a block of 1 MB of text they were several MB
+    got, labels = [], []
+    for r in rows:
+        y, text, bucket = toxicity._told(r, 0)
+        labels += y.tolist()
+        got += [set(bucket[text == k].tolist()) for k in range(len(y))]
+    assert labels == toxic
+    assert got == [set(f.tolist()) for t in texts for _, o, d in utf8_blocks(pa.array([t])) for f in toxicity.features(o, d)]
+    files = settled(spark.range(100).coalesce(1), "small_files", maxRecordsPerFile=16).inputFiles()
+    assert len(files) == 7
+
+
 def test_ratios_equal_plain_arithmetic(spark):
     """Counts, ratios and weighing by plain Python on the sample's own texts."""
     import math
