@@ -2,7 +2,8 @@
 
 For every new word greedy longest match proposes tokens. A row of tokens is what the merges make of the word if, and
 only if, no merge crosses between two neighbours; that is tested for all adjacent pairs of all new words at once, by
-walking down the facing edges of both tokens' merge trees. Only words with a failing pair are merged step by step.
+walking down the facing edges of both tokens' merge trees. Only words with a failing pair are merged step by step. Proposing
+walks a trie and merging goes on for all words of a run side by side; words over SHORT letters are taken one by one.
 
 The tokenizer file is read on the driver and broadcast (a fixed size). A task works on AT_ONCE bytes of text at a time and
 caches the words of the last of them, at most 2 * MOST_CACHED besides those at hand. When it ends the cache goes, since Spark's
@@ -32,9 +33,12 @@ from pyspark.sql import functions as F
 MOST_CACHED = 100_000
 #: Bytes of text that a task works on at once; a longer text is whole.
 AT_ONCE = 1 << 20
-#: Letters up to which merging looks for the lowest rank in a list; longer words keep their pairs in a heap.
+#: Letters up to which words are worked on side by side and merging looks for the lowest rank among all; longer words keep
+#: their pairs in a heap.
 SHORT = 100
 END = "</w>"
+#: The code after a word's last letter (letters have the codes of their bytes), a character for it, and no rank.
+STOP, STOP_CHAR, NONE = 256, "\u01ff", 1 << 30
 #: The split pattern of the tokenizer file, with white space spelled out.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -75,6 +79,23 @@ class Vocabulary:
             end = t.endswith(END) and len(t) > len(END)
             if self.merged(t[: -len(END)] if end else t, end) == [i]:
                 (self.last if end else self.inner)[t[: -len(END)] if end else t] = i
+        letters = byte_letters()
+        self.code = np.zeros(512, np.int64)
+        self.code[[*map(ord, letters), ord(STOP_CHAR)]] = np.arange(STOP + 1)
+        self.letter, self.closing = (np.array([self.ids.get(c + e, -1) for c in letters]) for e in ("", END))
+        self.merge_makes = np.array(self.made, np.int64)
+        edges: dict[int, int] = {}
+        token = [-1]  # by node of the trie of all that is proposed
+        for some, stop in ((self.inner, ""), (self.last, STOP_CHAR)):
+            for t, i in some.items():
+                node = 0
+                for c in self.codes(t + stop).tolist():
+                    node = edges.setdefault(node * (STOP + 1) + c, len(token))
+                    if node == len(token):
+                        token.append(-1)
+                token[node] = i
+        self.edges, self.node_token = np.array(sorted(edges), np.int64), np.array(token)
+        self.child = np.array([edges[e] for e in self.edges.tolist()], np.int64)
         self.reach: dict[str, int] = {}  # by two letters: the length of the longest token that begins so
         for t in self.inner:
             self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
@@ -123,6 +144,72 @@ class Vocabulary:
                 heapq.heappush(heap, r << 40 | i)
         return [t for t in s if t >= 0]
 
+    def codes(self, text: str) -> np.ndarray:
+        return self.code[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each pair, or NONE."""
+        key = a << 20 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_rank[at], NONE)
+
+    def merged_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merged``, one merge of every word at a time: (word, token) of all tokens, a word's own in order."""
+        size = np.array([len(w) for w in words], np.int64)
+        codes, last = self.codes("".join(words)), np.cumsum(size) - 1
+        s, word, out = self.letter[codes], np.arange(len(words)), [np.empty((2, 0), np.int64)]
+        s[last] = self.closing[codes[last]]
+        r = np.append(self.ranks(s[:-1], s[1:]), NONE)[: len(s)]
+        r[last] = NONE
+        while len(word):
+            least = np.minimum.reduceat(r << 32 | np.arange(len(r)), np.cumsum(size) - size)
+            rank, k = least >> 32, least & 0xFFFFFFFF
+            if (done := rank == NONE).any():
+                gone = np.repeat(done, size)
+                out.append(np.stack((np.repeat(word[done], size[done]), s[gone])))
+                k = k[~done] - np.cumsum(gone)[k[~done]]
+                s, r, word, size, rank = s[~gone], r[~gone], word[~done], size[~done], rank[~done]
+            s[k] = self.merge_makes[rank]
+            on = np.ones(len(s), bool)
+            on[k + 1] = False
+            s, r, size = s[on], r[on], size - 1
+            k -= np.arange(len(k))  # every word before has one symbol less
+            first = np.cumsum(size) - size
+            r[k] = NONE
+            x = k[k < first + size - 1]
+            r[x] = self.ranks(s[x], s[x + 1])
+            x = k[k > first] - 1
+            r[x] = self.ranks(s[x], s[x + 1])
+        return tuple(np.concatenate(out, axis=1))
+
+    def proposed_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``proposed``, every word one letter down the trie at a time: (word, token) of all tokens, a word's own in order;
+        words that can't be spelled have none."""
+        size = np.array([len(w) for w in words], np.int64)
+        codes = self.codes("".join([w + STOP_CHAR for w in words]))
+        p = np.cumsum(size + 1) - size - 1
+        live, limit, failed, out = np.arange(len(words)), p + size, np.zeros(len(words), bool), [np.empty((2, 0), np.int64)]
+        node, best, stop = np.zeros_like(p), np.full_like(p, -1), p.copy()
+        while len(live):
+            key = node * (STOP + 1) + codes[p]
+            at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            hit = self.edges[at] == key
+            node = np.where(hit, self.child[at], 0)
+            p = p + 1
+            take = (self.node_token[node] >= 0) & (p != limit)  # the last letter is only taken with the stop
+            best, stop = np.where(take, self.node_token[node], best), np.where(take, p, stop)
+            over = ~hit | (p > limit)
+            some = over & (best >= 0)
+            out.append(np.stack((live[some], best[some])))
+            failed[live[over & (best < 0)]] = True
+            on = ~over | some & (stop <= limit)
+            p, node, best = np.where(over, stop, p), np.where(over, 0, node), np.where(over, -1, best)
+            live, limit, p, node, best, stop = (x[on] for x in (live, limit, p, node, best, stop))
+        word, token = np.concatenate(out, axis=1)
+        order = np.argsort(word, kind="stable")
+        order = order[~failed[word[order]]]
+        return word[order], token[order]
+
     def proposed(self, word: str) -> list[int]:
         out, k, n = [], 0, len(word)
         while k < n:
@@ -163,21 +250,30 @@ class Vocabulary:
             x, y = np.where(undo, self.right[x], x), np.where(undo, y, self.left[y])
         return ok
 
-    def encoded(self, words: list[str]) -> list[list[int]]:
-        """The tokens of distinct words (as byte letters)."""
-        rows = [self.proposed(w) for w in words]
-        size = np.array([len(r) for r in rows], np.int64)
-        flat = np.array([t for r in rows for t in r], np.int64)
-        of = np.repeat(np.arange(len(rows)), size)
-        bad = size == 0
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of distinct words (as byte letters), word by word, and how many each word has."""
+        n = len(words)
+        long = np.array([len(w) > SHORT for w in words], bool)
+        short, rest = np.flatnonzero(~long), np.flatnonzero(long).tolist()
+        of, flat = self.proposed_all([words[k] for k in short.tolist()])
+        rows = [self.proposed(words[k]) for k in rest]
+        of = np.concatenate((short[of], np.repeat(np.array(rest, np.int64), [len(r) for r in rows])))
+        flat = np.concatenate((flat, np.array([t for r in rows for t in r], np.int64)))
+        bad = np.bincount(of, minlength=n) == 0
         if len(flat) > 1:
             inside = of[1:] == of[:-1]
             pair = flat[:-1][inside] << 20 | flat[1:][inside]
             some, back = np.unique(pair, return_inverse=True)
             bad[of[1:][inside][~self.fitting(some >> 20, some & 0xFFFFF)[back]]] = True
-        for k in np.flatnonzero(bad).tolist():
-            rows[k] = self.merged(words[k])
-        return rows
+        parts = [(of[~bad[of]], flat[~bad[of]])]
+        again = np.flatnonzero(bad & ~long)
+        word, token = self.merged_all([words[k] for k in again.tolist()])
+        parts.append((again[word], token))
+        for k in np.flatnonzero(bad & long).tolist():
+            row = np.array(self.merged(words[k]), np.int64)
+            parts.append((np.full(len(row), k), row))
+        of, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return flat[np.argsort(of, kind="stable")], np.bincount(of, minlength=n)
 
 
 class Encoder:
@@ -215,8 +311,9 @@ class Encoder:
         new = [w for w in missing if w not in self.before]
         plain = [w for w in new if w[0] != "\0" or w[1:] not in self.v.special]
         spelled = [w if w.isascii() and w.isprintable() else "".join(self.letters[b] for b in w.encode()) for w in plain]
-        for w, ids in zip(plain, self.v.encoded(spelled), strict=True):
-            self.cache[w] = np.array(ids, "<u4").tobytes()
+        flat, size = self.v.encoded(spelled)
+        ids, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(size)).tolist()
+        self.cache |= {w: ids[a:b] for w, a, b in zip(plain, [0, *ends], ends, strict=False)}
         for w in new:
             if w not in self.cache:
                 self.cache[w] = np.array([self.v.special[w[1:]]], "<u4").tobytes()

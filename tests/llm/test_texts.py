@@ -63,6 +63,27 @@ def test_pair_test_is_the_merging():
     assert ok.tolist() == want and 0 < sum(want) < 4000
 
 
+def test_words_side_by_side_equal_one_by_one(monkeypatch):
+    import random
+
+    e, rng = bpe.Encoder(open(PATH, encoding="utf-8").read()), random.Random(9)
+    words = list({"".join(rng.choices(letters, k=rng.randrange(1, 130))) for _ in range(150) for letters in ("ab", "etaoinshrdlu", "äß日", "a1!'")} | {"the", "a", "b", *e.v.inner, *e.v.last})
+    spelled = ["".join(e.letters[b] for b in w.encode()) for w in words[:3000]]
+    want, short = [e.v.merged(w) for w in spelled], [w for w in spelled if len(w) <= bpe.SHORT]
+    proposed = [e.v.proposed(w) for w in short]
+    for got, rows in ((e.v.proposed_all(short), proposed), (e.v.merged_all(short), [e.v.merged(w) for w in short])):
+        assert [got[1][got[0] == k].tolist() for k in range(len(short))] == rows
+    # no word within SHORT letters is proposed or merged by itself
+    one = e.v.merged, e.v.proposed
+    alone = lambda f: lambda w: f(w) if len(w) > bpe.SHORT else pytest.fail("a short word by itself")
+    monkeypatch.setattr(e.v, "merged", alone(one[0]))
+    monkeypatch.setattr(e.v, "proposed", alone(one[1]))
+    for some in (spelled, spelled[:1], []):
+        flat, size = e.v.encoded(some)
+        ends = np.cumsum(size).tolist()
+        assert [flat[b - n : b].tolist() for b, n in zip(ends, size.tolist(), strict=True)] == want[: len(some)]
+
+
 def test_long_words_equal_the_library():
     import random
     import time
